@@ -7,89 +7,68 @@ Score of a query `q` against a text `t` (both folded, see `fold`):
 * characters of `q` (spaces dropped, n of them) found in order, leftmost first:
   0.60 * n / span * (0.5 + 0.5 * n/|t|)
 * otherwise: no match (NULL)
+
+All functions take column names and return one SQL expression.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _locate(ch: Column, text: Column, start: Column) -> Column:
-    """`locate` with column arguments, which `F.locate` does not take."""
-    return F.call_function("locate", ch, text, start)
-
-
-def query_chars(q: Column) -> Column:
+def query_chars(q: str) -> Column:
     """Characters of a query without spaces; computed once per query."""
-    return F.filter(F.split(q, ""), lambda c: (c != "") & (c != " "))
+    return F.expr(f"filter(split({q}, ''), c -> c != '' and c != ' ')")
 
 
-def _last_position(chars: Column, text: Column) -> Column:
+def _last_position(chars: str, text: str) -> str:
     """1-based position of the last character of the leftmost match, -1 if none."""
-
-    def step(at, ch):
-        found = _locate(ch, text, at + 1)
-        return F.when((at < 0) | (found == 0), F.lit(-1)).otherwise(found)
-
-    return F.aggregate(chars, F.lit(0), step)
-
-
-
-
-def fuzzy_score(q: Column, chars: Column, text: Column) -> Column:
-    """Score in (0, 1] or NULL. The cheap arms come first and stay in codegen."""
-    n, m = F.length(q), F.length(text)
-    k = F.size(chars)
-    span = _last_position(chars, text) - F.instr(text, chars[0]) + 1
-    scattered = F.lit(0.6) * k / span * (F.lit(0.5) + F.lit(0.5) * k / m)
-    contained = (
-        F.lit(0.70)
-        + F.lit(0.25) * n / m
-        + F.when(F.startswith(text, q), F.lit(0.04)).otherwise(F.lit(0.0))
-    )
     return (
-        F.when(text == q, F.lit(1.0))
-        .when(F.contains(text, q), contained)
-        .when(_last_position(chars, text) > 0, scattered)
+        f"aggregate({chars}, 0, (at, ch) -> "
+        f"if(at < 0 or locate(ch, {text}, at + 1) = 0, -1, locate(ch, {text}, at + 1)))"
     )
 
 
-def match_positions(q: Column, chars: Column, text: Column) -> Column:
-    """0-based matched positions; contiguous when the query is contained."""
-    at = F.call_function("instr", text, q)
-
-    def step(acc, ch):
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1))
-        found = _locate(ch, text, prev + 2)
-        return F.when(acc.isNull() | (found == 0), F.lit(None).cast("array<int>")).otherwise(
-            F.concat(acc, F.array(found - 1))
-        )
+def fuzzy_score(q: str, chars: str, text: str) -> Column:
+    """Score in (0, 1] or NULL. The cheap arms come first."""
+    last = _last_position(chars, text)
+    n, m, k = f"length({q})", f"length({text})", f"size({chars})"
+    return F.expr(
+        f"""CASE WHEN {text} = {q} THEN 1.0D
+        WHEN contains({text}, {q}) THEN
+          0.70D + 0.25D * {n} / {m} + if(startswith({text}, {q}), 0.04D, 0.0D)
+        WHEN {last} > 0 THEN
+          0.6D * {k} / ({last} - instr({text}, {chars}[0]) + 1) * (0.5D + 0.5D * {k} / {m})
+        END"""
+    )
 
-    greedy = F.aggregate(chars, F.array().cast("array<int>"), step)
-    return F.when(at > 0, F.sequence(at - 1, at + F.length(q) - 2)).otherwise(greedy)
 
+def match_positions(q: str, chars: str, text: str) -> Column:
+    """0-based matched positions; contiguous when the query is contained."""
+    return F.expr(
+        f"""CASE WHEN instr({text}, {q}) > 0
+        THEN sequence(instr({text}, {q}) - 1, instr({text}, {q}) + length({q}) - 2)
+        ELSE aggregate({chars}, cast(array() as array<int>), (acc, ch) ->
+          if(acc is null or locate(ch, {text}, coalesce(try_element_at(acc, -1), -1) + 2) = 0,
+             cast(null as array<int>),
+             concat(acc, array(locate(ch, {text}, coalesce(try_element_at(acc, -1), -1) + 2) - 1))))
+        END"""
+    )
 
-def to_highlights(positions: Column) -> Column:
-    """Merge consecutive positions into half-open [start, end) ranges."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc, p):
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(
-            F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), (p + 1).alias("end"))),
-        )
-        opened = F.concat(acc, F.array(F.struct(p.alias("start"), (p + 1).alias("end"))))
-        return F.when(F.coalesce(last["end"] == p, F.lit(False)), grown).otherwise(opened)
+def to_highlights(positions: str) -> Column:
+    """Merge consecutive positions into half-open [start, end) ranges.
 
-    return F.when(positions.isNotNull(), F.aggregate(positions, empty, step))
+    A range starts where the previous position is not the neighbour, and ends
+    where the next one is not.
+    """
+    return F.expr(
+        f"""arrays_zip(
+          filter({positions}, p -> not array_contains({positions}, p - 1)),
+          transform(filter({positions}, p -> not array_contains({positions}, p + 1)), p -> p + 1))
+        """
+    ).cast("array<struct<start:int,end:int>>")
 
 
-def highlights_text(ranges: Column) -> Column:
+def highlights_text(ranges: str) -> Column:
     """Ranges as `0-3,5-6` for flat outputs."""
-    return F.array_join(
-        F.transform(
-            ranges,
-            lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string")),
-        ),
-        ",",
-    )
+    return F.expr(f"array_join(transform({ranges}, r -> concat(r.start, '-', r.end)), ',')")

@@ -2,7 +2,7 @@
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.schema import lookup
@@ -32,26 +32,24 @@ def fold(col: Column) -> Column:
     return F.lower(F.translate(col, FOLD_FROM, FOLD_TO))
 
 
-def mask_of_folded(low: Column) -> Column:
-    """Character bit set of an already folded text column.
+def mask_of_folded(name: str) -> Column:
+    """Character bit set of an already folded text column, given by name.
 
     Bits 0-25 are letters, 26 any digit, 30 other ASCII, 31 other characters;
     spaces and combining accents set nothing. Plain `contains` tests keep the
     expression in generated code.
     """
-    bits = [F.shiftleft(F.contains(low, F.lit(chr(97 + i))).cast("bigint"), i) for i in range(26)]
-    bits.append(F.shiftleft(low.rlike("[0-9]").cast("bigint"), 26))
-    bits.append(F.shiftleft(low.rlike(r"[\x00-\x1f\x21-\x2f\x3a-\x60\x7b-\x7f]").cast("bigint"), 30))
-    bits.append(F.shiftleft(low.rlike(r"[^\x00-\x7f\u0300-\u036f]").cast("bigint"), 31))
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return F.coalesce(out, F.lit(0).cast("bigint"))
+    bit = "shiftleft(cast({} as bigint), {})"
+    bits = [bit.format(f"contains({name}, '{chr(97 + i)}')", i) for i in range(26)]
+    bits.append(bit.format(f"{name} rlike '[0-9]'", 26))
+    bits.append(bit.format(rf"{name} rlike r'[\x00-\x1f\x21-\x2f\x3a-\x60\x7b-\x7f]'", 30))
+    bits.append(bit.format(rf"{name} rlike r'[^\x00-\x7f\u0300-\u036f]'", 31))
+    return F.expr(f"coalesce({' | '.join(bits)}, 0L)")
 
 
-def char_mask(col: Column) -> Column:
-    """Character bit set of a text (folded here; see `mask_of_folded`)."""
-    return mask_of_folded(fold(col))
+def with_mask(df: DataFrame, source: Column, out: str) -> DataFrame:
+    """Add the character bit set of any text expression."""
+    return df.withColumn("_low", fold(source)).withColumn(out, mask_of_folded("_low")).drop("_low")
 
 
 def escape_literal(col: Column) -> Column:
@@ -125,7 +123,7 @@ LANGUAGE_BY_EXTENSION = {
 def language_of(path: Column) -> Column:
     """Language of a path by its extension; '' when unknown."""
     ext = F.lower(F.regexp_extract(path, r"[^/\\](\.[^./\\]*)$", 1))
-    return lookup(ext, LANGUAGE_BY_EXTENSION, "")
+    return F.coalesce(lookup(ext, LANGUAGE_BY_EXTENSION), F.lit(""))
 
 
 def combine_routes(prefix: Column, suffix: Column) -> Column:

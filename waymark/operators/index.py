@@ -27,9 +27,8 @@ def item_features(items: DataFrame) -> DataFrame:
         fold(slashes(F.col("relative_path"))).alias("path_low"),
         F.length("name").alias("name_len"),
     )
-    name = mask_of_folded(F.col("name_low"))
-    masked = folded.withColumn("name_mask", name)
-    rest = mask_of_folded(F.col("full_low")).bitwiseOR(mask_of_folded(F.col("path_low")))
+    masked = folded.withColumn("name_mask", mask_of_folded("name_low"))
+    rest = mask_of_folded("full_low").bitwiseOR(mask_of_folded("path_low"))
     return masked.withColumn("item_mask", F.col("name_mask").bitwiseOR(rest))
 
 

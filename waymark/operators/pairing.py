@@ -18,23 +18,16 @@ SALTS = 16
 RARE_FIRST = [31] + [ord(c) - 97 for c in "qjzxvkwybhgfpumdclonisrtae"] + [30, 26]
 
 
-def _has_bit(mask: Column, bit) -> Column:
-    return mask.bitwiseAND(F.lit(1 << bit)) != 0
+def rarest_bit(mask: str) -> Column:
+    """One bit of a mask column, the rarest by the fixed order; -1 if empty."""
+    tests = " ".join(f"WHEN {mask} & {1 << b}L != 0 THEN {b}" for b in RARE_FIRST)
+    return F.expr(f"CASE {tests} ELSE -1 END")
 
 
-def rarest_bit(mask: Column) -> Column:
-    """One bit of a mask, the rarest by the fixed order; -1 for an empty mask."""
-    out = None
-    for bit in RARE_FIRST:
-        test = _has_bit(mask, bit)
-        out = F.when(test, F.lit(bit)) if out is None else out.when(test, F.lit(bit))
-    return out.otherwise(F.lit(-1))
-
-
-def set_bits(mask: Column) -> Column:
-    """All set bits of a mask, plus -1, which every item shares."""
-    bits = [F.when(_has_bit(mask, b), F.lit(b)) for b in sorted(RARE_FIRST)]
-    return F.filter(F.array(F.lit(-1), *bits), lambda b: b.isNotNull())
+def set_bits(mask: str) -> Column:
+    """All set bits of a mask column, plus -1, which every item shares."""
+    bits = ", ".join(f"if({mask} & {1 << b}L != 0, {b}, null)" for b in sorted(RARE_FIRST))
+    return F.expr(f"filter(array(-1, {bits}), b -> b is not null)")
 
 
 def grams(text: Column, size: int) -> Column:
@@ -60,11 +53,11 @@ def pair_by_mask(
     covered = F.col(big_mask).bitwiseAND(F.col(query_mask)) == F.col(query_mask)
     if fits(queries, max_queries):
         return big.join(F.broadcast(queries), covered & condition)
-    left = big.withColumn("_token", F.explode(set_bits(F.col(big_mask)))).withColumn(
+    left = big.withColumn("_token", F.explode(set_bits(big_mask))).withColumn(
         "_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS))
     )
     right = (
-        queries.withColumn("_qtoken", rarest_bit(F.col(query_mask)))
+        queries.withColumn("_qtoken", rarest_bit(query_mask))
         .withColumn("_qsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     joined = left.join(

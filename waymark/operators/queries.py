@@ -41,14 +41,13 @@ SCOPE_PREFIXES = [
 
 def parse_scope_prefix(query: Column) -> tuple[Column, Column]:
     """(scope or NULL, remaining text) of a typed query."""
+    table = ", ".join(f"named_struct('p', '{p}', 's', '{s}')" for p, s in SCOPE_PREFIXES)
     low = F.lower(query)
-    scope, text = None, None
-    for prefix, name in SCOPE_PREFIXES:
-        hit = F.startswith(low, F.lit(prefix))
-        rest = F.substr(query, F.lit(len(prefix) + 1))
-        scope = F.when(hit, F.lit(name)) if scope is None else scope.when(hit, F.lit(name))
-        text = F.when(hit, rest) if text is None else text.when(hit, rest)
-    return scope, text.otherwise(query)
+    hit = F.try_element_at(
+        F.filter(F.expr(f"array({table})"), lambda e: F.startswith(low, e["p"])), F.lit(1)
+    )
+    text = F.when(hit.isNotNull(), F.substr(query, F.length(hit["p"]) + 1)).otherwise(query)
+    return hit["s"], text
 
 
 def parse_line_suffix(query: Column) -> tuple[Column, Column]:
@@ -80,8 +79,8 @@ def query_context(queries: DataFrame, fast: bool = False) -> DataFrame:
     url = is_potential_url(F.col("q_text")) & F.col("q_scope").isin("everything", "endpoints")
     return q.withColumn("q_low", fold(F.col("q_text"))).select(
         "*",
-        query_chars(F.col("q_low")).alias("q_chars"),
-        mask_of_folded(F.col("q_low")).alias("q_mask"),
+        query_chars("q_low").alias("q_chars"),
+        mask_of_folded("q_low").alias("q_mask"),
         url.alias("is_url"),
         path_verb(F.col("q_text")).alias("q_verb"),
         segments(F.lower(clean_path(F.col("q_text")))).alias("q_segments"),

@@ -31,8 +31,9 @@ CARRY = [
 
 
 def _in_scope() -> Column:
-    static = ~F.col("q_scope").isin("open", "modified", "text")
-    return static & ((F.col("q_scope") == "everything") | (F.col("q_scope") == F.col("scope")))
+    return F.expr(
+        "q_scope not in ('open', 'modified', 'text') and (q_scope = 'everything' or q_scope = scope)"
+    )
 
 
 def mask_prefilter(
@@ -48,20 +49,14 @@ def mask_prefilter(
 
 def field_cascade(pairs: DataFrame) -> DataFrame:
     """Score a pair on name, then full name, then path, each only if needed."""
-    q, chars = F.col("q_low"), F.col("q_chars")
-    none = F.lit(-1.0)
-    name_ok = F.col("name_mask").bitwiseAND(F.col("q_mask")) == F.col("q_mask")
-    by_name = F.when(name_ok, fuzzy_score(q, chars, F.col("name_low")))
-    scored = pairs.withColumn("_name", F.coalesce(by_name, none))
-    scored = scored.withColumn("_name", F.when(F.col("_name") > MIN_SCORE, F.col("_name")).otherwise(none))
-    by_full = F.when(
-        F.col("_name") < NAME_GOOD_ENOUGH, fuzzy_score(q, chars, F.col("full_low")) * FULL_NAME_WEIGHT
-    )
-    scored = scored.withColumn("_best", F.greatest(F.col("_name"), F.coalesce(by_full, none)))
-    by_path = F.when(
-        F.col("_best") < PATH_GATE, fuzzy_score(q, chars, F.col("path_low")) * PATH_WEIGHT
-    )
-    return scored.withColumn("score", F.greatest(F.col("_best"), F.coalesce(by_path, none))).drop("_best")
+    q, chars = "q_low", "q_chars"
+    name_ok = F.expr("name_mask & q_mask = q_mask")
+    named = pairs.withColumn("_n", F.when(name_ok, fuzzy_score(q, chars, "name_low")))
+    named = named.withColumn("_n", F.expr(f"if(_n > {MIN_SCORE}, _n, -1.0D)"))
+    by_full = F.when(F.col("_n") < NAME_GOOD_ENOUGH, fuzzy_score(q, chars, "full_low") * FULL_NAME_WEIGHT)
+    best = named.withColumn("_b", F.greatest(F.col("_n"), by_full))
+    by_path = F.when(F.col("_b") < PATH_GATE, fuzzy_score(q, chars, "path_low") * PATH_WEIGHT)
+    return best.withColumn("score", F.greatest(F.col("_b"), by_path)).drop("_n", "_b")
 
 
 def type_boost(scored: DataFrame) -> DataFrame:
@@ -137,11 +132,9 @@ def merge_route_score(fuzzy: DataFrame, routes: DataFrame) -> DataFrame:
 
 def with_highlights(results: DataFrame) -> DataFrame:
     """Highlight ranges of the name match, for the few rows that made the cut."""
-    q, chars, name = F.col("q_low"), F.col("q_chars"), F.col("name_low")
-    hit = (F.col("name_mask").bitwiseAND(F.col("q_mask")) == F.col("q_mask")) & (
-        fuzzy_score(q, chars, name) > MIN_SCORE
-    )
-    return results.withColumn("highlights", F.when(hit, to_highlights(match_positions(q, chars, name))))
+    hit = F.expr("name_mask & q_mask = q_mask") & (fuzzy_score("q_low", "q_chars", "name_low") > MIN_SCORE)
+    marked = results.withColumn("_p", F.when(hit, match_positions("q_low", "q_chars", "name_low")))
+    return marked.withColumn("highlights", to_highlights("_p")).drop("_p")
 
 
 def apply_target_line(results: DataFrame) -> DataFrame:
@@ -150,7 +143,11 @@ def apply_target_line(results: DataFrame) -> DataFrame:
 
 
 def score_items(
-    context: DataFrame, items: DataFrame, condition: Column | None = None, provider: Column | None = None
+    context: DataFrame,
+    items: DataFrame,
+    condition: Column | None = None,
+    provider: Column | None = None,
+    routes: bool = True,
 ) -> DataFrame:
     """Best k rows per (query, provider): boosted fuzzy scores and route scores.
 
@@ -158,10 +155,12 @@ def score_items(
     """
     group = F.lit("all") if provider is None else provider
     fuzzy = type_boost(field_cascade(mask_prefilter(items, context, condition)))
-    endpoints = items.filter(F.col("type") == "endpoint")
-    routes = endpoint_hits(context.filter(F.col("is_url")), endpoints)
-    arms = [top_k(arm.withColumn("provider", group), ["qid", "provider"]) for arm in (fuzzy, routes)]
-    return top_k(merge_route_score(*arms), ["qid", "provider"])
+    best = top_k(fuzzy.withColumn("provider", group), ["qid", "provider"])
+    if not routes:
+        return best.select(*ROW)
+    hits = endpoint_hits(context.filter("is_url"), items.filter("type = 'endpoint'"))
+    hits = top_k(hits.withColumn("provider", group), ["qid", "provider"])
+    return top_k(merge_route_score(best, hits), ["qid", "provider"]).select(*ROW)
 
 
 Provider = Callable[[DataFrame, DataFrame], DataFrame]
@@ -191,7 +190,7 @@ class Providers:
 def file_source(context: DataFrame, items: DataFrame) -> DataFrame:
     """File rows, for the scopes everything and files."""
     wanted = context.filter(F.col("q_scope").isin("everything", "files"))
-    return score_items(wanted, items.filter(F.col("scope") == "files"))
+    return score_items(wanted, items.filter(F.col("scope") == "files"), routes=False)
 
 
 def symbol_source(context: DataFrame, items: DataFrame) -> DataFrame:
@@ -225,7 +224,7 @@ def search(
     for scope, paths in (("open", open_files), ("modified", modified_files)):
         if paths is not None:
             asked = context.filter(F.col("q_scope") == scope)
-            arms.append(score_items(asked, filter_paths(features, paths), F.lit(True), F.lit(scope)))
+            arms.append(score_items(asked, filter_paths(features, paths), F.lit(True), F.lit(scope), routes=False))
     best = union_all(arms)
     if activity is not None:
         best = blend_activity(best, activity)

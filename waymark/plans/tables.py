@@ -4,9 +4,8 @@ each with the same derivation as a SQL fragment for the cross-check."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.text import slashes
 from waymark.operators.index import item_features
-from waymark.schema import conform_items
+from waymark.session import fresh_dir
 
 FILE_SEQ = 1_000_000_000_000
 ENDPOINT_SEQ = 2_000_000_000_000
@@ -25,73 +24,50 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def url_path(col):
-    return F.regexp_extract(col, r"^https?://[^/]+([^?#]*)", 1)
-
-
-def url_template(path):
-    verb = F.when(F.startswith(path, F.lit("/de/")), F.lit("[POST] ")).otherwise(F.lit("[GET] "))
-    return F.concat(verb, F.regexp_replace(path, "[0-9]+", "{id}"))
+URL_PATH = "regexp_extract(url, '^https?://[^/]+([^?#]*)', 1)"
+URL_HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
+URL_TEMPLATE = (
+    f"concat(if(startswith({URL_PATH}, '/de/'), '[POST] ', '[GET] '), "
+    f"regexp_replace({URL_PATH}, '[0-9]+', '{{id}}'))"
+)
+PART_TYPE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PART_TYPES.items()) + " END"
 
 
 def part_items(spark, sf) -> DataFrame:
-    p = load(spark, sf, "part")
-    rel = F.concat(F.lit("src/"), F.col("p_brand"), F.lit("/"), F.col("p_partkey"), F.lit(".ts"))
-    kind = None
-    for key, value in PART_TYPES.items():
-        test = F.col("p_type") == key
-        kind = F.when(test, F.lit(value)) if kind is None else kind.when(test, F.lit(value))
-    return conform_items(p.select(
-        F.col("p_partkey").alias("seq"),
-        F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"),
-        F.col("p_name").alias("name"),
-        kind.alias("type"),
-        F.concat(F.lit("/"), rel).alias("file_path"),
-        rel.alias("relative_path"),
-        F.col("p_size").alias("line"),
-        F.lit(0).alias("col"),
-        F.col("p_brand").alias("container"),
-        F.concat_ws(".", "p_brand", "p_name").alias("full_name"),
-        F.col("p_type").alias("detail"),
-    ))
+    rel = "concat('src/', p_brand, '/', p_partkey, '.ts')"
+    return load(spark, sf, "part").selectExpr(
+        "p_partkey as seq", "concat('part:', p_partkey) as id", "p_name as name", f"{PART_TYPE} as type",
+        f"concat('/', {rel}) as file_path", f"{rel} as relative_path", "p_size as line", "0 as col",
+        "p_brand as container", "concat(p_brand, '.', p_name) as full_name", "p_type as detail",
+        "cast(null as string) as command_id", "cast(null as bigint) as size",
+    )
 
 
 def document_paths(spark, sf) -> DataFrame:
     """`documents` with a relative path and an absolute one."""
-    d = load(spark, sf, "documents")
-    rel = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".txt"))
-    return d.select("*", rel.alias("relative_path"), F.concat(F.lit("/"), rel).alias("file_path"))
+    rel = "concat(source, '/', lang, '/', doc_id, '.txt')"
+    return load(spark, sf, "documents").selectExpr(
+        "*", f"{rel} as relative_path", f"concat('/', {rel}) as file_path"
+    )
 
 
 def document_items(spark, sf) -> DataFrame:
-    d = document_paths(spark, sf)
-    return conform_items(d.select(
-        (F.lit(FILE_SEQ) + F.col("doc_id")).alias("seq"),
-        F.concat(F.lit("file:"), F.col("file_path")).alias("id"),
-        F.concat(F.col("doc_id"), F.lit(".txt")).alias("name"),
-        F.lit("file").alias("type"),
-        "file_path", "relative_path",
-        F.col("relative_path").alias("full_name"),
-        F.col("relative_path").alias("detail"),
-        F.col("n_chars").alias("size"),
-    ))
+    return document_paths(spark, sf).selectExpr(
+        f"{FILE_SEQ} + doc_id as seq", "concat('file:', file_path) as id", "concat(doc_id, '.txt') as name",
+        "'file' as type", "file_path", "relative_path", "cast(null as int) as line", "cast(null as int) as col",
+        "cast(null as string) as container", "relative_path as full_name", "relative_path as detail",
+        "cast(null as string) as command_id", "n_chars as size",
+    )
 
 
 def endpoint_items(spark, sf) -> DataFrame:
-    p = load(spark, sf, "pages")
-    path = url_path(F.col("url"))
-    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
-    rel = F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html"))
-    return conform_items(p.select(
-        (F.lit(ENDPOINT_SEQ) + F.col("page_id")).alias("seq"),
-        F.concat(F.lit("endpoint:"), F.col("page_id")).alias("id"),
-        url_template(path).alias("name"),
-        F.lit("endpoint").alias("type"),
-        F.concat(F.lit("/"), rel).alias("file_path"),
-        rel.alias("relative_path"),
-        host.alias("container"),
-        F.concat(host, path).alias("full_name"),
-    ))
+    return load(spark, sf, "pages").selectExpr(
+        f"{ENDPOINT_SEQ} + page_id as seq", "concat('endpoint:', page_id) as id", f"{URL_TEMPLATE} as name",
+        "'endpoint' as type", "concat('/pages/', page_id, '.html') as file_path",
+        "concat('pages/', page_id, '.html') as relative_path", "cast(null as int) as line",
+        "cast(null as int) as col", f"{URL_HOST} as container", f"concat({URL_HOST}, {URL_PATH}) as full_name",
+        "cast(null as string) as detail", "cast(null as string) as command_id", "cast(null as bigint) as size",
+    )
 
 
 def items(spark, sf) -> DataFrame:
@@ -106,6 +82,30 @@ def features(spark, sf) -> DataFrame:
     return item_features(items(spark, sf))
 
 
+_STORED: dict = {}
+
+
+def stored(spark, sf, name: str, build) -> DataFrame:
+    """A derived table written once per session and data set to the shared folder.
+
+    An index is built once and searched many times; searches then read only the
+    columns they need.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = fresh_dir(spark, name)
+        df = build(spark, sf)
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def index(spark, sf) -> DataFrame:
+    """The stored feature table of all items."""
+    return stored(spark, sf, "index", features)
+
+
 QUERIES = [
     (1, "ring", "everything", 10),
     (2, "smring", "everything", 10),
@@ -155,10 +155,6 @@ def as_of(spark, sf):
 
 # ------------------------------------------------------------------ SQL twins
 
-_PART_TYPE_SQL = "CASE p_type " + " ".join(
-    f"WHEN '{k}' THEN '{v}'" for k, v in PART_TYPES.items()
-) + " END"
-
 PATH_SQL = "regexp_extract(url, '^https?://[^/]+([^?#]*)', 1)"
 TEMPLATE_SQL = (
     f"(CASE WHEN starts_with({PATH_SQL}, '/de/') THEN '[POST] ' ELSE '[GET] ' END) "
@@ -178,7 +174,7 @@ DOC_PATHS_SQL = """doc_paths AS (SELECT *, source||'/'||lang||'/'||doc_id||'.txt
 
 ITEMS_SQL = f"""{DOC_PATHS_SQL},
 items AS (
-  SELECT p_partkey::BIGINT AS seq, 'part:'||p_partkey AS id, p_name AS name, {_PART_TYPE_SQL} AS type,
+  SELECT p_partkey::BIGINT AS seq, 'part:'||p_partkey AS id, p_name AS name, {PART_TYPE} AS type,
     '/src/'||p_brand||'/'||p_partkey||'.ts' AS file_path, 'src/'||p_brand||'/'||p_partkey||'.ts' AS relative_path,
     p_size::INTEGER AS line, 0 AS col, p_brand AS container, p_brand||'.'||p_name AS full_name, p_type AS detail,
     NULL::BIGINT AS size FROM part

@@ -72,24 +72,26 @@ ITEM_COLUMNS = [
 ITEM_DDL = ", ".join(f"{name} {dtype}" for name, dtype in ITEM_COLUMNS)
 
 
-def lookup(col: Column, mapping: dict, default=None) -> Column:
-    """A small fixed dimension as a CASE expression: no join, stays in codegen."""
-    pairs = iter(mapping.items())
-    key, value = next(pairs)
-    out = F.when(col == F.lit(key), F.lit(value))
-    for key, value in pairs:
-        out = out.when(col == F.lit(key), F.lit(value))
-    return out if default is None else out.otherwise(F.lit(default))
+def _literal(value) -> str:
+    return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
+
+
+def lookup(col: Column, mapping: dict) -> Column:
+    """Value of a small fixed dimension, NULL for unknown keys: no join needed."""
+    pairs = ", ".join(
+        f"{_literal(k)}, {_literal(v)}{'D' if isinstance(v, float) else ''}" for k, v in mapping.items()
+    )
+    return F.expr(f"map({pairs})")[col]
 
 
 def scope_of(item_type: Column) -> Column:
     """Scope of an item type; unknown types belong to `everything`."""
-    return lookup(item_type, {t: s for t, _, _, s in ITEM_TYPES}, "everything")
+    return F.coalesce(lookup(item_type, {t: s for t, _, _, s in ITEM_TYPES}), F.lit("everything"))
 
 
 def boost_of(item_type: Column) -> Column:
     """Ranking boost of an item type; unknown types are not boosted."""
-    return lookup(item_type, {t: b for t, _, b, _ in ITEM_TYPES}, 1.0)
+    return F.coalesce(lookup(item_type, {t: b for t, _, b, _ in ITEM_TYPES}), F.lit(1.0))
 
 
 def conform_items(df):
