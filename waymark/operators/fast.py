@@ -9,7 +9,7 @@ from waymark.operators.queries import live, query_context
 from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search
 from waymark.operators.routes import endpoint_hits
 from waymark.schema import FAST_SCOPE_ORDER, MAX_RESULTS, boost_of
-from waymark.session import union_all
+from waymark.session import cut, union_all
 
 ROW = [
     "qid", "k", "q_scope", "target_line", "q_low", "seq", "id", "name", "type", "file_path",
@@ -47,18 +47,18 @@ def first_k_by_priority(matches: DataFrame) -> DataFrame:
     )
 
 
-def tier_pairs(context: DataFrame, features: DataFrame, condition=None, max_queries=BROADCAST_QUERIES):
+def tier_pairs(context: DataFrame, features: DataFrame, condition=None, small: bool | None = None):
     """Matching (query, item) pairs of the substring tiers."""
     pairs = pair_by_substring(
         features, context, ["name_low", "full_low"], "q_low", "id",
-        _in_scope() if condition is None else condition, max_queries,
+        _in_scope() if condition is None else condition, small,
     )
     return tier_match(pairs).filter("tier > 0")
 
 
 def add_routes(found: DataFrame, context: DataFrame, features: DataFrame) -> DataFrame:
     """Fill up to k with endpoints that match the path; no verb gate, no boost."""
-    endpoints = features.filter("type = 'endpoint'")
+    endpoints = features.filter("scope = 'endpoints'")
     hits = endpoint_hits(context.filter("is_url"), endpoints, gate=False)
     fresh = hits.join(found.select("qid", "id"), ["qid", "id"], "left_anti")
     # Old rows keep their places, new ones follow in index order.
@@ -82,14 +82,22 @@ def fast_search(
 ) -> DataFrame:
     """The whole fast search: tiers, first k, routes, usage, order by score."""
     context = live(query_context(queries, fast=True))
-    arms = [tier_pairs(context, features)]
+    about = context.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.bool_or("is_url"), F.lit(False)).alias("urls"),
+        F.collect_set(F.when(F.col("q_scope").isin("open", "modified"), F.col("q_scope"))).alias("sets"),
+    ).first()
+    small = about["n"] <= BROADCAST_QUERIES
+    arms = [tier_pairs(context, features, small=small)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
-        if paths is not None:
+        if paths is not None and scope in about["sets"]:
             asked = context.filter(F.col("q_scope") == scope)
-            arms.append(tier_pairs(asked, filter_paths(features, paths), F.lit(True)))
+            arms.append(tier_pairs(asked, filter_paths(features, paths), F.lit(True), small))
     first = first_k_by_priority(union_all(arms))
-    found = first.withColumn("score", F.col("tier") * boost_of(F.col("type")))
-    results = add_routes(found, context, features)
+    # At most k rows per query are left; the rest works on these.
+    results = cut(first.withColumn("score", F.col("tier") * boost_of(F.col("type"))).select(*ROW), "fast")
+    if about["urls"]:
+        results = cut(add_routes(results, context, features), "fast")
     if activity is not None:
         results = blend_activity(results, activity)
     results = apply_target_line(results)

@@ -44,14 +44,15 @@ def pair_by_mask(
     query_mask: str,
     row_key: str,
     condition: Column,
-    max_queries: int = BROADCAST_QUERIES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Rows of `big` x queries whose mask is covered, and `condition` holds.
 
-    The two sides must not share column names.
+    The two sides must not share column names. `small` passes a size check
+    already made.
     """
     covered = F.col(big_mask).bitwiseAND(F.col(query_mask)) == F.col(query_mask)
-    if fits(queries, max_queries):
+    if fits(queries, BROADCAST_QUERIES) if small is None else small:
         return big.join(F.broadcast(queries), covered & condition)
     left = big.withColumn("_token", F.explode(set_bits(big_mask))).withColumn(
         "_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS))
@@ -77,7 +78,7 @@ def pair_by_substring(
     query_text: str,
     row_key: str,
     condition: Column,
-    max_queries: int = BROADCAST_QUERIES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Rows of `big` x queries where any of `texts` contains the query.
 
@@ -87,7 +88,7 @@ def pair_by_substring(
     inside = F.lit(False)
     for t in texts:
         inside = inside | F.coalesce(F.contains(F.col(t), F.col(query_text)), F.lit(False))
-    if fits(queries, max_queries):
+    if fits(queries, BROADCAST_QUERIES) if small is None else small:
         return big.join(F.broadcast(queries), inside & condition)
     tokens = F.array_distinct(
         F.flatten(

@@ -21,7 +21,7 @@ from waymark.schema import (
     PATH_WEIGHT,
     boost_of,
 )
-from waymark.session import union_all
+from waymark.session import cut, union_all
 
 # What a scored row carries through the cut.
 CARRY = [
@@ -37,13 +37,12 @@ def _in_scope() -> Column:
 
 
 def mask_prefilter(
-    items: DataFrame, context: DataFrame, condition: Column | None = None,
-    max_queries: int = BROADCAST_QUERIES,
+    items: DataFrame, context: DataFrame, condition: Column | None = None, small: bool | None = None
 ) -> DataFrame:
     """Query x item pairs whose item holds every character class of the query."""
     return pair_by_mask(
         items, context, "item_mask", "q_mask", "id",
-        _in_scope() if condition is None else condition, max_queries,
+        _in_scope() if condition is None else condition, small,
     )
 
 
@@ -93,8 +92,8 @@ def activity_lookup(results: DataFrame, activity: DataFrame, id_col: str = "id")
 
 def blend_activity(results: DataFrame, activity: DataFrame, weight: float = ACTIVITY_WEIGHT) -> DataFrame:
     """Mix usage into the scores of rows that already made the cut."""
-    # Keep only the activity of result items: the large side stays unshuffled
-    # when the result ids are small enough to broadcast (left to the engine).
+    # The results are few and were written by now: the engine sees their size
+    # and can send their ids to the activity table instead of shuffling it.
     used = activity.join(results.select("id").distinct(), F.col("item_id") == F.col("id"), "left_semi")
     mixed = activity_lookup(results, used)
     apply = (F.col("activity_score") > 0) & (F.col("score") > ACTIVITY_FLOOR)
@@ -148,17 +147,18 @@ def score_items(
     condition: Column | None = None,
     provider: Column | None = None,
     routes: bool = True,
+    small: bool | None = None,
 ) -> DataFrame:
     """Best k rows per (query, provider): boosted fuzzy scores and route scores.
 
     Items are read in place; only the k best rows of each task are shuffled.
     """
     group = F.lit("all") if provider is None else provider
-    fuzzy = type_boost(field_cascade(mask_prefilter(items, context, condition)))
+    fuzzy = type_boost(field_cascade(mask_prefilter(items, context, condition, small)))
     best = top_k(fuzzy.withColumn("provider", group), ["qid", "provider"])
     if not routes:
         return best.select(*ROW)
-    hits = endpoint_hits(context.filter("is_url"), items.filter("type = 'endpoint'"))
+    hits = endpoint_hits(context.filter("is_url"), items.filter("scope = 'endpoints'"))
     hits = top_k(hits.withColumn("provider", group), ["qid", "provider"])
     return top_k(merge_route_score(best, hits), ["qid", "provider"]).select(*ROW)
 
@@ -218,14 +218,24 @@ def search(
     `modified` search the items of those files as one group.
     """
     context = live(query_context(queries))
+    # One row about the query set decides which arms are worth planning.
+    about = context.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.bool_or("is_url"), F.lit(False)).alias("urls"),
+        F.collect_set(F.when(F.col("q_scope").isin("open", "modified"), F.col("q_scope"))).alias("sets"),
+    ).first()
+    small = about["n"] <= BROADCAST_QUERIES
     # Both groups come from one pass over the items.
     group = F.when(F.col("type") == "file", "files").otherwise("symbols")
-    arms = [score_items(context, features.filter(F.col("scope") != "text"), provider=group)]
+    found = features.filter(F.col("scope") != "text")
+    arms = [score_items(context, found, provider=group, routes=about["urls"], small=small)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
-        if paths is not None:
+        if paths is not None and scope in about["sets"]:
             asked = context.filter(F.col("q_scope") == scope)
-            arms.append(score_items(asked, filter_paths(features, paths), F.lit(True), F.lit(scope), routes=False))
-    best = union_all(arms)
+            of_files = filter_paths(features, paths)
+            arms.append(score_items(asked, of_files, F.lit(True), F.lit(scope), False, small))
+    # At most k rows per query and group are left; the rest works on these.
+    best = cut(union_all(arms), "search")
     if activity is not None:
         best = blend_activity(best, activity)
     merged = apply_target_line(merge_providers(best))

@@ -113,10 +113,15 @@ activity AS (SELECT item_id, last_accessed, access_count,
     + 0.4::DOUBLE * access_count / (SELECT greatest(max(access_count), 1) FROM acc) AS score FROM acc)"""
 
 
-def activity_table(spark, sf):
+def score_activity(spark, sf):
     return act.activity_score(act.access_counts(tb.accesses(spark, sf)), tb.as_of(spark, sf))
 
 
+def activity_table(spark, sf):
+    """The saved activity snapshot, as searches read it."""
+    return tb.stored(spark, sf, "activity", score_activity)
+
+
 OPEN_SQL = """open_files AS (SELECT file_path FROM doc_paths WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 modified_files AS (SELECT file_path FROM doc_paths WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
 
