@@ -1,5 +1,7 @@
 """Queries on literal text search."""
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from waymark.functions.fuzzy import highlights_text
@@ -150,7 +152,7 @@ def document_lines(spark, sf):
 
 @query(
     "locate_symbol",
-    f"""WITH {lines_sql(DOCS_SQL)}, s AS (SELECT qid, file_path, line, raw, upper(name) AS sym, col FROM hits),
+    f"""WITH {lines_sql(DOCS_SQL)}, s AS (SELECT qid, file_path, line, raw, translate(name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS sym, col FROM hits),
     a AS (SELECT *, coalesce(nullif(instr(raw, sym), 0), nullif(instr(raw, trim(sym)), 0),
       nullif(instr(lower(raw), lower(trim(sym))), 0), col + 1) - 1 AS p0 FROM s)
     SELECT qid, file_path, line, least(p0, length(raw))::INTEGER AS start_col,
@@ -158,5 +160,5 @@ def document_lines(spark, sf):
 )
 def locate_query(spark, sf):
     # Upper-case names force the any-case arm for most lines.
-    found = text_results(spark, sf).withColumn("name", F.upper("name"))
+    found = text_results(spark, sf).withColumn("name", F.translate("name", ascii_lowercase, ascii_uppercase))
     return rs.locate_symbol(found).select("qid", "file_path", "line", "start_col", "end_col")
