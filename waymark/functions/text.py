@@ -155,16 +155,13 @@ def glob_to_regex(pattern: str) -> str:
             out.append("(?:.*/)?")
             i += 3
             continue
-        if pattern.startswith("/**", i) and i + 3 == len(pattern):
-            out.append("(?:/.*)?")
-            i += 3
-            continue
         ch = pattern[i]
         if pattern.startswith("**", i):
             out.append(".*")
             i += 1
         elif ch == "*":
-            out.append("[^/]*")
+            whole = (i == 0 or pattern[i - 1] == "/") and pattern[i + 1:i + 2] in ("", "/")
+            out.append("[^/]+" if whole else "[^/]*")
         elif ch == "?":
             out.append("[^/]")
         elif ch == "{":
