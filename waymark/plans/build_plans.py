@@ -107,7 +107,7 @@ def modified_set_query(spark, sf):
 # Match records of a log, one per conversation turn that holds the word.
 @query(
     "read_match_log",
-    r"""WITH t AS (SELECT conv_id, turn, repeat(' ', turn::INTEGER) || string_split(text, chr(10))[1] AS line FROM conversations),
+    r"""WITH t AS (SELECT conv_id, turn, role, repeat(' ', turn::INTEGER) || string_split(text, chr(10))[1] AS line FROM conversations),
     m AS (SELECT *, strlen(split_part(line, 'en', 1)) AS s FROM t WHERE contains(line, 'en') AND role = 'user')
     SELECT '/c/' || conv_id AS path, turn::INTEGER AS line, s::INTEGER AS "column", trim(line) AS text, 'en' AS match,
       greatest(0, s - turn) || '-' || greatest(0, s + 2 - turn) AS submatches FROM m""",
