@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from waymark.functions.fuzzy import fuzzy_score
 from waymark.functions.text import fold, id_to_title, mask_of_folded
 from waymark.operators.pairing import pair_by_mask
-from waymark.operators.ranking import rerank, top_k
+from waymark.operators.ranking import keep_scored, top_k
 
 # Slash commands (name, short name, description, aliases,
 # category, scope), in their display order.
@@ -52,7 +52,7 @@ def search_commands(context: DataFrame, commands: DataFrame, limit: int = 20) ->
     """Best of title and id score per query; `commands` carry a `seq`."""
     pairs = pair_by_mask(command_features(commands), context, "c_mask", "q_mask", "command_id", F.lit(True))
     score = F.greatest(fuzzy_score("q_low", "q_chars", "c_name"), fuzzy_score("q_low", "q_chars", "c_id"))
-    scored = pairs.withColumn("score", score).withColumn("k", F.lit(limit))
+    scored = keep_scored(pairs, score).withColumn("k", F.lit(limit))
     return top_k(scored, ["qid"], limit=limit)
 
 

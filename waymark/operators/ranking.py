@@ -46,24 +46,31 @@ def mask_prefilter(
     )
 
 
+def keep_scored(pairs: DataFrame, score: Column) -> DataFrame:
+    """Add `score` and keep the pairs above the minimum.
+
+    The score is emitted by a generator. A plain filter would be pushed into the
+    join condition with the whole scoring expression copied into it.
+    """
+    kept = F.filter(F.array(score), lambda s: s > MIN_SCORE)
+    return pairs.select("*", F.explode(kept).alias("score"))
+
+
 def field_cascade(pairs: DataFrame) -> DataFrame:
     """Score a pair on name, then full name, then path, each only if needed."""
     q, chars = "q_low", "q_chars"
     name_ok = F.expr("name_mask & q_mask = q_mask")
     named = pairs.withColumn("_n", F.when(name_ok, fuzzy_score(q, chars, "name_low")))
-    named = named.withColumn("_n", F.expr(f"if(_n > {MIN_SCORE}, _n, -1.0D)"))
-    by_full = F.when(F.col("_n") < NAME_GOOD_ENOUGH, fuzzy_score(q, chars, "full_low") * FULL_NAME_WEIGHT)
-    best = named.withColumn("_b", F.greatest(F.col("_n"), by_full))
+    name = F.expr(f"if(_n > {MIN_SCORE}, _n, -1.0D)")
+    by_full = F.when(name < NAME_GOOD_ENOUGH, fuzzy_score(q, chars, "full_low") * FULL_NAME_WEIGHT)
+    best = named.withColumn("_b", F.greatest(name, by_full))
     by_path = F.when(F.col("_b") < PATH_GATE, fuzzy_score(q, chars, "path_low") * PATH_WEIGHT)
-    return best.withColumn("score", F.greatest(F.col("_b"), by_path)).drop("_n", "_b")
+    return keep_scored(best, F.greatest(F.col("_b"), by_path)).drop("_n", "_b")
 
 
 def type_boost(scored: DataFrame) -> DataFrame:
-    """Multiply scores above the minimum by the boost of the item type."""
-    return scored.withColumn(
-        "score",
-        F.when(F.col("score") > MIN_SCORE, F.col("score") * boost_of(F.col("type"))).otherwise(F.col("score")),
-    )
+    """Multiply scores (all above the minimum) by the boost of the item type."""
+    return scored.withColumn("score", F.col("score") * boost_of(F.col("type")))
 
 
 def top_k(scored: DataFrame, keys: list[str], k: str = "k", limit: int = MAX_RESULTS) -> DataFrame:

@@ -207,7 +207,7 @@ def recent_usage(spark, sf):
     """Slash commands used lately: one per event type, newest first."""
     e = tb.load(spark, sf, "events").groupBy("event_type").agg(F.max("ts").alias("ts"))
     used = "CASE event_type WHEN 'click' THEN '/files' WHEN 'view' THEN '/M' WHEN 'error' THEN '/txt' WHEN 'signup' THEN '/file' ELSE '/run' END"
-    return e.selectExpr(f"{used} as used", "row_number() over (order by ts desc) as pos")
+    return e.selectExpr(f"{used} as used", "cast(row_number() over (order by ts desc) as bigint) as pos")
 
 
 RECENT_SQL = """used AS (SELECT CASE event_type WHEN 'click' THEN '/files' WHEN 'view' THEN '/M' WHEN 'error' THEN '/txt'

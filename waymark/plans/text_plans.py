@@ -65,8 +65,8 @@ def grep_conversations(spark, sf):
 
 @query(
     "grep_guards",
-    """SELECT count(*) AS files, sum(len(string_split(text, chr(10)))) AS lines,
-    sum(len(list_filter(string_split(text, chr(10)), lambda l: length(l) > 10000))) AS long_lines
+    """SELECT count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines,
+    sum(len(list_filter(string_split(text, chr(10)), lambda l: length(l) > 10000)))::BIGINT AS long_lines
     FROM documents WHERE n_chars <= 20971520""",
 )
 def guards_query(spark, sf):
