@@ -21,23 +21,29 @@ def query_chars(q: str) -> Column:
 
 
 def _last_position(chars: str, text: str) -> str:
-    """1-based position of the last character of the leftmost match, -1 if none."""
+    """1-based position of the last character of the leftmost match, 0 if none.
+
+    The carried value is the last position, -1 before the first character and 0
+    for good once a character is missing (nothing is found from position 0).
+    """
     return (
-        f"aggregate({chars}, 0, (at, ch) -> "
-        f"if(at < 0 or locate(ch, {text}, at + 1) = 0, -1, locate(ch, {text}, at + 1)))"
+        f"aggregate({chars}, -1, (at, ch) -> "
+        f"locate(ch, {text}, if(at = -1, 1, if(at = 0, 0, at + 1))))"
     )
 
 
 def fuzzy_score(q: str, chars: str, text: str) -> Column:
-    """Score in (0, 1] or NULL. The cheap arms come first."""
-    last = _last_position(chars, text)
+    """Score in (0, 1] or NULL. The cheap arms come first; the scan for scattered
+    characters is bound to a variable, so it runs once per text."""
     n, m, k = f"length({q})", f"length({text})", f"size({chars})"
+    span = f"(last - instr({text}, {chars}[0]) + 1)"
     return F.expr(
         f"""CASE WHEN {text} = {q} THEN 1.0D
         WHEN contains({text}, {q}) THEN
           0.70D + 0.25D * {n} / {m} + if(startswith({text}, {q}), 0.04D, 0.0D)
-        WHEN {last} > 0 THEN
-          0.6D * {k} / ({last} - instr({text}, {chars}[0]) + 1) * (0.5D + 0.5D * {k} / {m})
+        WHEN {text} IS NOT NULL THEN
+          transform(array({_last_position(chars, text)}), last ->
+            if(last > 0, 0.6D * {k} / {span} * (0.5D + 0.5D * {k} / {m}), cast(null as double)))[0]
         END"""
     )
 

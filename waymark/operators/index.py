@@ -27,9 +27,8 @@ def item_features(items: DataFrame) -> DataFrame:
         fold(slashes(F.col("relative_path"))).alias("path_low"),
         F.length("name").alias("name_len"),
     )
-    masked = folded.withColumn("name_mask", mask_of_folded("name_low"))
-    rest = mask_of_folded("full_low").bitwiseOR(mask_of_folded("path_low"))
-    return masked.withColumn("item_mask", F.col("name_mask").bitwiseOR(rest))
+    masks = [mask_of_folded(f"{part}_low").alias(f"{part}_mask") for part in ("name", "full", "path")]
+    return folded.select("*", *masks).withColumn("item_mask", F.expr("name_mask | full_mask | path_mask"))
 
 
 def filter_scope(items: DataFrame, scope: str) -> DataFrame:

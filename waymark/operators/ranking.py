@@ -58,13 +58,17 @@ def keep_scored(pairs: DataFrame, score: Column) -> DataFrame:
 
 def field_cascade(pairs: DataFrame) -> DataFrame:
     """Score a pair on name, then full name, then path, each only if needed."""
-    q, chars = "q_low", "q_chars"
-    name_ok = F.expr("name_mask & q_mask = q_mask")
-    named = pairs.withColumn("_n", F.when(name_ok, fuzzy_score(q, chars, "name_low")))
+
+    def on(field: str, weight: float) -> Column:
+        # A field that lacks a character class cannot match: skip its scan.
+        holds = F.expr(f"{field}_mask & q_mask = q_mask")
+        return F.when(holds, fuzzy_score("q_low", "q_chars", f"{field}_low") * weight)
+
+    named = pairs.withColumn("_n", on("name", 1.0))
     name = F.expr(f"if(_n > {MIN_SCORE}, _n, -1.0D)")
-    by_full = F.when(name < NAME_GOOD_ENOUGH, fuzzy_score(q, chars, "full_low") * FULL_NAME_WEIGHT)
+    by_full = F.when(name < NAME_GOOD_ENOUGH, on("full", FULL_NAME_WEIGHT))
     best = named.withColumn("_b", F.greatest(name, by_full))
-    by_path = F.when(F.col("_b") < PATH_GATE, fuzzy_score(q, chars, "path_low") * PATH_WEIGHT)
+    by_path = F.when(F.col("_b") < PATH_GATE, on("path", PATH_WEIGHT))
     return keep_scored(best, F.greatest(F.col("_b"), by_path)).drop("_n", "_b")
 
 

@@ -85,7 +85,7 @@ def features(spark, sf) -> DataFrame:
 _STORED: dict = {}
 
 
-def stored(spark, sf, name: str, build, by: list[str] = []) -> DataFrame:
+def stored(spark, sf, name: str, build, spread: str | None = None, sort: tuple = ()) -> DataFrame:
     """A derived table written once per session and data set to the shared folder.
 
     An index is built once and searched many times; searches then read only the
@@ -95,15 +95,20 @@ def stored(spark, sf, name: str, build, by: list[str] = []) -> DataFrame:
     if key not in _STORED:
         path = fresh_dir(spark, name)
         df = build(spark, sf)
-        df.write.partitionBy(*by).parquet(path)
+        if spread:
+            # Even files, whatever the sources look like; sorted inside, so that
+            # row-group statistics let a scoped search skip the other scopes.
+            n = spark.sparkContext.defaultParallelism
+            df = df.repartition(n, spread).sortWithinPartitions(*sort)
+        df.write.parquet(path)
         _STORED[key] = (path, df.schema)
     path, schema = _STORED[key]
     return spark.read.schema(schema).parquet(path)
 
 
 def index(spark, sf) -> DataFrame:
-    """The stored feature table of all items; a scope is a partition filter."""
-    return stored(spark, sf, "index", features, ["scope"])
+    """The stored feature table of all items."""
+    return stored(spark, sf, "index", features, "id", ("scope", "seq"))
 
 
 QUERIES = [

@@ -17,6 +17,9 @@ def local_session(app: str = "waymark", cores: str = "*", partitions: int = 8) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Call sites of every column cost milliseconds; only error texts use them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.driver.memory", os.environ.get("WAYMARK_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
