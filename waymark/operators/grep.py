@@ -7,7 +7,7 @@ from waymark.operators.pairing import pair_by_substring
 from waymark.schema import MAX_FILE_BYTES, MAX_LINE_CHARS, MAX_RESULTS
 
 # Characters removed at both ends of a shown line.
-BLANKS = r"' \t\r\n\f\u000b   ﻿'"
+BLANKS = r"' \t\r\n\u000b\u000c   ﻿'"
 
 
 def grep_guards(docs: DataFrame) -> DataFrame:
