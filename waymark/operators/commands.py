@@ -7,6 +7,7 @@ from waymark.functions.fuzzy import fuzzy_score
 from waymark.functions.text import fold, id_to_title, mask_of_folded
 from waymark.operators.pairing import pair_by_mask
 from waymark.operators.ranking import keep_scored, top_k
+from waymark.session import fits
 
 # Slash commands (name, short name, description, aliases,
 # category, scope), in their display order.
@@ -22,6 +23,7 @@ SLASH_COMMANDS = [
     ("/p", "p", "Find properties and fields", ["/properties", "/prop", "/field"], "Search", "properties"),
     ("/cmd", "cmd", "Search and execute VS Code commands", ["/commands", "/action", "/run", ">"], "Actions", "commands"),
 ]
+MAX_CATALOG = 1000
 SLASH_DDL = "ord int, name string, short_name string, description string, aliases array<string>, category string, scope string"
 
 
@@ -90,11 +92,12 @@ def suggest_commands(typed: DataFrame, commands: DataFrame, recent: DataFrame) -
 
     `recent(name, recent_pos)` is the usage list, newest first. Recent commands
     whose name or alias starts with the text come first, in usage order; the
-    others follow: equal name, recent, prefix, name order. The command catalog
-    is a fixed list of a few rows, so each typed text is matched to it in place.
+    others follow: equal name, recent, prefix, name order. A catalog is written
+    by hand; its size is checked before it is sent to the tasks.
     """
-    known = commands.join(recent, "name", "left")
-    catalog = F.broadcast(known)  # as many rows as there are slash commands
+    if not fits(commands, MAX_CATALOG):
+        raise ValueError(f"a slash command catalog holds at most {MAX_CATALOG} rows")
+    catalog = F.broadcast(commands.join(recent, "name", "left"))
     pairs = typed.join(catalog, F.expr(_slash_match()))
     low = F.lower("typed")
     starts = F.expr("startswith(lower(name), lower(typed)) or exists(aliases, a -> startswith(lower(a), lower(typed)))")

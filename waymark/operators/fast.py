@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_substring
-from waymark.operators.queries import live, query_context
+from waymark.operators.queries import about_queries, live, query_context
 from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search
 from waymark.operators.routes import endpoint_hits
 from waymark.schema import FAST_SCOPE_ORDER, MAX_RESULTS, boost_of
@@ -37,13 +37,13 @@ def scope_rank():
     return F.expr(f"CASE WHEN q_scope <> 'everything' THEN 0 ELSE CASE scope {tests} ELSE {last} END END")
 
 
-def first_k_by_priority(matches: DataFrame) -> DataFrame:
+def first_k_by_priority(matches: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
     """The first k matches in scope and index order - not the best k."""
     w = Window.partitionBy("qid").orderBy("scope_rank", "seq")
     return (
         matches.withColumn("scope_rank", scope_rank())
         .withColumn("pos", F.row_number().over(w))
-        .filter((F.col("pos") <= MAX_RESULTS) & (F.col("pos") <= F.col("k")))
+        .filter((F.col("pos") <= limit) & (F.col("pos") <= F.col("k")))
     )
 
 
@@ -82,18 +82,14 @@ def fast_search(
 ) -> DataFrame:
     """The whole fast search: tiers, first k, routes, usage, order by score."""
     context = live(query_context(queries, fast=True))
-    about = context.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.bool_or("is_url"), F.lit(False)).alias("urls"),
-        F.collect_set(F.when(F.col("q_scope").isin("open", "modified"), F.col("q_scope"))).alias("sets"),
-    ).first()
-    small = about["n"] <= BROADCAST_QUERIES
+    about = about_queries(context)
+    small, limit = about["n"] <= BROADCAST_QUERIES, about["k"]
     arms = [tier_pairs(context, features, small=small)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
         if paths is not None and scope in about["sets"]:
             asked = context.filter(F.col("q_scope") == scope)
             arms.append(tier_pairs(asked, filter_paths(features, paths), F.lit(True), small))
-    first = first_k_by_priority(union_all(arms))
+    first = first_k_by_priority(union_all(arms), limit)
     # At most k rows per query are left; the rest works on these.
     results = cut(first.withColumn("score", F.col("tier") * boost_of(F.col("type"))).select(*ROW), "fast")
     if about["urls"]:

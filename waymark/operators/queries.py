@@ -95,3 +95,14 @@ def live(context: DataFrame) -> DataFrame:
 def blank(queries: DataFrame) -> DataFrame:
     """Queries whose text is empty or only spaces."""
     return queries.filter(F.trim(F.coalesce(F.col("query"), F.lit(""))) == "")
+
+
+def about_queries(context: DataFrame):
+    """One row about a query set: count, largest k, whether any looks like a
+    path, and which file-set scopes occur. It decides which arms to plan."""
+    return context.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.max("k"), F.lit(1)).alias("k"),
+        F.coalesce(F.bool_or("is_url"), F.lit(False)).alias("urls"),
+        F.collect_set(F.when(F.col("q_scope").isin("open", "modified"), F.col("q_scope"))).alias("sets"),
+    ).first()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions.fuzzy import fuzzy_score, match_positions, to_highlights
 from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_mask
-from waymark.operators.queries import live, query_context
+from waymark.operators.queries import about_queries, live, query_context
 from waymark.operators.routes import endpoint_hits
 from waymark.schema import (
     ACTIVITY_FLOOR,
@@ -80,8 +80,8 @@ def type_boost(scored: DataFrame) -> DataFrame:
 def top_k(scored: DataFrame, keys: list[str], k: str = "k", limit: int = MAX_RESULTS) -> DataFrame:
     """Best `k` rows per key above the minimum score; ties go to the earlier item.
 
-    `k` is a column; the literal bound next to it (every `k` is clamped to it)
-    lets each task cut its own rows before the shuffle.
+    `k` is a column; the literal bound next to it (no `k` is larger) lets each
+    task cut its own rows before the shuffle.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("seq"))
     return (
@@ -159,6 +159,7 @@ def score_items(
     provider: Column | None = None,
     routes: bool = True,
     small: bool | None = None,
+    limit: int = MAX_RESULTS,
 ) -> DataFrame:
     """Best k rows per (query, provider): boosted fuzzy scores and route scores.
 
@@ -166,12 +167,12 @@ def score_items(
     """
     group = F.lit("all") if provider is None else provider
     fuzzy = type_boost(field_cascade(mask_prefilter(items, context, condition, small)))
-    best = top_k(fuzzy.withColumn("provider", group), ["qid", "provider"])
+    best = top_k(fuzzy.withColumn("provider", group), ["qid", "provider"], limit=limit)
     if not routes:
         return best.select(*ROW)
     hits = endpoint_hits(context.filter("is_url"), items.filter("scope = 'endpoints'"))
-    hits = top_k(hits.withColumn("provider", group), ["qid", "provider"])
-    return top_k(merge_route_score(best, hits), ["qid", "provider"]).select(*ROW)
+    hits = top_k(hits.withColumn("provider", group), ["qid", "provider"], limit=limit)
+    return top_k(merge_route_score(best, hits), ["qid", "provider"], limit=limit).select(*ROW)
 
 
 Provider = Callable[[DataFrame, DataFrame], DataFrame]
@@ -230,21 +231,17 @@ def search(
     """
     context = live(query_context(queries))
     # One row about the query set decides which arms are worth planning.
-    about = context.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.bool_or("is_url"), F.lit(False)).alias("urls"),
-        F.collect_set(F.when(F.col("q_scope").isin("open", "modified"), F.col("q_scope"))).alias("sets"),
-    ).first()
-    small = about["n"] <= BROADCAST_QUERIES
+    about = about_queries(context)
+    small, limit = about["n"] <= BROADCAST_QUERIES, about["k"]
     # Both groups come from one pass over the items.
     group = F.when(F.col("type") == "file", "files").otherwise("symbols")
     found = features.filter(F.col("scope") != "text")
-    arms = [score_items(context, found, provider=group, routes=about["urls"], small=small)]
+    arms = [score_items(context, found, provider=group, routes=about["urls"], small=small, limit=limit)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
         if paths is not None and scope in about["sets"]:
             asked = context.filter(F.col("q_scope") == scope)
             of_files = filter_paths(features, paths)
-            arms.append(score_items(asked, of_files, F.lit(True), F.lit(scope), False, small))
+            arms.append(score_items(asked, of_files, F.lit(True), F.lit(scope), False, small, limit))
     # At most k rows per query and group are left; the rest works on these.
     best = cut(union_all(arms), "search")
     if activity is not None:
