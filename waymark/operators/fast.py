@@ -7,7 +7,7 @@ from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_substring
 from waymark.operators.queries import about_queries, live, query_context
 from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search
-from waymark.operators.routes import endpoint_hits
+from waymark.operators.routes import endpoint_hits, route_index
 from waymark.schema import FAST_SCOPE_ORDER, MAX_RESULTS, boost_of
 from waymark.session import cut, union_all
 
@@ -56,10 +56,12 @@ def tier_pairs(context: DataFrame, features: DataFrame, condition=None, small: b
     return tier_match(pairs).filter("tier > 0")
 
 
-def add_routes(found: DataFrame, context: DataFrame, features: DataFrame) -> DataFrame:
+def add_routes(
+    found: DataFrame, context: DataFrame, features: DataFrame, route_keys: DataFrame | None = None
+) -> DataFrame:
     """Fill up to k with endpoints that match the path; no verb gate, no boost."""
-    endpoints = features.filter("scope = 'endpoints'")
-    hits = endpoint_hits(context.filter("is_url"), endpoints, gate=False)
+    keys = route_index(features.filter("scope = 'endpoints'")) if route_keys is None else route_keys
+    hits = endpoint_hits(context.filter("is_url"), keys, gate=False)
     fresh = hits.join(found.select("qid", "id"), ["qid", "id"], "left_anti")
     # Old rows keep their places, new ones follow in index order.
     both = found.select(*ROW).withColumn("late", F.lit(0)).unionByName(
@@ -79,6 +81,7 @@ def fast_search(
     activity: DataFrame | None = None,
     open_files: DataFrame | None = None,
     modified_files: DataFrame | None = None,
+    route_keys: DataFrame | None = None,
 ) -> DataFrame:
     """The whole fast search: tiers, first k, routes, usage, order by score."""
     context = live(query_context(queries, fast=True))
@@ -93,7 +96,7 @@ def fast_search(
     # At most k rows per query are left; the rest works on these.
     results = cut(first.withColumn("score", F.col("tier") * boost_of(F.col("type"))).select(*ROW), "fast")
     if about["urls"]:
-        results = cut(add_routes(results, context, features), "fast")
+        results = cut(add_routes(results, context, features, route_keys), "fast")
     if activity is not None:
         results = blend_activity(results, activity)
     results = apply_target_line(results)

@@ -9,7 +9,7 @@ from waymark.functions.fuzzy import fuzzy_score, match_positions, to_highlights
 from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_mask
 from waymark.operators.queries import about_queries, live, query_context
-from waymark.operators.routes import endpoint_hits
+from waymark.operators.routes import endpoint_hits, route_index
 from waymark.schema import (
     ACTIVITY_FLOOR,
     ACTIVITY_WEIGHT,
@@ -160,17 +160,20 @@ def score_items(
     routes: bool = True,
     small: bool | None = None,
     limit: int = MAX_RESULTS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Best k rows per (query, provider): boosted fuzzy scores and route scores.
 
     Items are read in place; only the k best rows of each task are shuffled.
+    `keys` is the stored route index of the endpoints among the items.
     """
     group = F.lit("all") if provider is None else provider
     fuzzy = type_boost(field_cascade(mask_prefilter(items, context, condition, small)))
     best = top_k(fuzzy.withColumn("provider", group), ["qid", "provider"], limit=limit)
     if not routes:
         return best.select(*ROW)
-    hits = endpoint_hits(context.filter("is_url"), items.filter("scope = 'endpoints'"))
+    keys = route_index(items.filter("scope = 'endpoints'")) if keys is None else keys
+    hits = endpoint_hits(context.filter("is_url"), keys)
     hits = top_k(hits.withColumn("provider", group), ["qid", "provider"], limit=limit)
     return top_k(merge_route_score(best, hits), ["qid", "provider"], limit=limit).select(*ROW)
 
@@ -222,6 +225,7 @@ def search(
     activity: DataFrame | None = None,
     open_files: DataFrame | None = None,
     modified_files: DataFrame | None = None,
+    route_keys: DataFrame | None = None,
 ) -> DataFrame:
     """The whole ranked search over a feature table (see `item_features`).
 
@@ -236,7 +240,7 @@ def search(
     # Both groups come from one pass over the items.
     group = F.when(F.col("type") == "file", "files").otherwise("symbols")
     found = features.filter(F.col("scope") != "text")
-    arms = [score_items(context, found, provider=group, routes=about["urls"], small=small, limit=limit)]
+    arms = [score_items(context, found, provider=group, routes=about["urls"], small=small, limit=limit, keys=route_keys)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
         if paths is not None and scope in about["sets"]:
             asked = context.filter(F.col("q_scope") == scope)

@@ -128,44 +128,45 @@ def regex_keys(templates: DataFrame) -> DataFrame:
 
 def path_keys(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     """Expand each path by the literal patterns that exist for its length."""
-    n = F.size("p_segments")
-    shapes = F.concat(
-        F.array(
-            F.struct(F.lit("S").alias("kind"), n.alias("m")),
-            F.struct(F.lit("F").alias("kind"), n.alias("m")),
-        ),
-        F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.lit("P").alias("kind"), i.alias("m"))),
+    shapes = F.expr(
+        """concat(
+          array(named_struct('kind', 'S', 'm', size(p_segments)), named_struct('kind', 'F', 'm', size(p_segments))),
+          transform(sequence(0, size(p_segments)), i -> named_struct('kind', 'P', 'm', i)))"""
     )
-    usable = paths.filter(n > 0).withColumn("_shape", F.explode(shapes))
-    usable = usable.filter(
-        (F.col("_shape.kind") != "S") | ~F.array_contains("p_segments", "")
-    ).select(*paths.columns, F.col("_shape.kind").alias("kind"), F.col("_shape.m").alias("m"))
-    joined = usable.join(patterns, ["kind", "m"])
-    key = F.zip_with(
-        F.slice(F.col("p_segments"), F.lit(1), F.col("m")),
-        F.filter(F.split("pattern", ""), lambda c: c != ""),
-        lambda s, p: F.when(p == "*", F.lit("*")).otherwise(F.concat(F.lit("="), s)),
+    usable = (
+        paths.filter("size(p_segments) > 0")
+        .withColumn("_shape", F.explode(shapes))
+        .filter("_shape.kind <> 'S' or not array_contains(p_segments, '')")
+        .selectExpr(*paths.columns, "_shape.kind as kind", "_shape.m as m")
     )
-    return joined.select(*paths.columns, "kind", F.array_join(key, "/").alias("key"))
+    key = """array_join(zip_with(slice(p_segments, 1, m), filter(split(pattern, ''), c -> c <> ''),
+               (s, p) -> if(p = '*', '*', concat('=', s))), '/') as key"""
+    return usable.join(patterns, ["kind", "m"]).selectExpr(*paths.columns, "kind", key)
 
 
-def _match(paths: DataFrame, keys: DataFrame, score: str) -> DataFrame:
-    patterns = keys.select("kind", "m", "pattern").distinct()
-    pairs = path_keys(paths, patterns).join(keys.drop("m", "pattern"), ["kind", "key"])
-    hit = F.regexp_like(F.col("p_clean"), F.col("t_regex"))
-    suffix = F.col("kind") == "S"
+def template_keys(templates: DataFrame) -> DataFrame:
+    """All keys of compiled templates. Templates change rarely: store this table
+    with the index and read it back for every search."""
+    return union_all([suffix_keys(templates), regex_keys(templates)])
+
+
+def key_patterns(keys: DataFrame) -> DataFrame:
+    """The literal patterns that occur among keys; few, whatever the templates."""
+    return keys.select("kind", "m", "pattern").distinct()
+
+
+def _match(paths: DataFrame, keys: DataFrame, score: str, patterns: DataFrame | None = None) -> DataFrame:
+    known = key_patterns(keys) if patterns is None else patterns
+    pairs = path_keys(paths, known).join(keys.drop("m", "pattern"), ["kind", "key"])
     # A regex hit outranks the suffix form, so a template scores one way only.
-    keep = F.when(suffix, ~F.col("t_irregular") | ~hit).otherwise(hit)
-    return (
-        pairs.filter(keep)
-        .withColumn(
-            score,
-            F.when(suffix, F.col("key_score")).otherwise(
-                regex_score(F.col("p_segments"), F.col("t_params"))
-            ),
-        )
-        .drop("kind", "key", "key_score")
+    kept = pairs.filter(
+        """CASE WHEN kind <> 'S' THEN regexp_like(p_clean, t_regex)
+           WHEN t_irregular THEN not regexp_like(p_clean, t_regex) ELSE true END"""
+    )
+    value = F.when(F.col("kind") == "S", F.col("key_score")).otherwise(
+        regex_score(F.col("p_segments"), F.col("t_params"))
     )
+    return kept.withColumn(score, value).drop("kind", "key", "key_score")
 
 
 def route_scores(paths: DataFrame, templates: DataFrame, score: str = "route_score") -> DataFrame:
@@ -174,8 +175,7 @@ def route_scores(paths: DataFrame, templates: DataFrame, score: str = "route_sco
     `paths` come from `prepare_path`, `templates` from `compile_template`; the
     two must not share column names.
     """
-    keys = union_all([suffix_keys(templates), regex_keys(templates)])
-    return _match(paths, keys, score)
+    return _match(paths, template_keys(templates), score)
 
 
 def best_routes(
@@ -186,7 +186,7 @@ def best_routes(
     Regular templates that share a key and a score are interchangeable up to
     their order, so only `k` of them per key take part in the join.
     """
-    keys = union_all([suffix_keys(templates), regex_keys(templates)])
+    keys = template_keys(templates)
     w = Window.partitionBy("kind", "key").orderBy(F.desc("key_score"), F.asc(template_order))
     regular = keys.filter(~F.col("t_irregular"))
     slim = regular.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
@@ -201,16 +201,25 @@ def method_gate(matches: DataFrame, query_verb: str = "p_verb", score: str = "ro
     return matches.withColumn(score, F.col(score) + bonus).filter(F.col(score).isNotNull())
 
 
-def endpoint_hits(context: DataFrame, endpoints: DataFrame, gate: bool = True) -> DataFrame:
-    """Route-scored endpoint items of path-like queries (score in `score`)."""
+def route_index(endpoints: DataFrame) -> DataFrame:
+    """Key table of endpoint items, for `endpoint_hits`."""
+    return template_keys(compile_template(endpoints, "name"))
+
+
+def endpoint_hits(
+    context: DataFrame, keys: DataFrame, gate: bool = True, patterns: DataFrame | None = None
+) -> DataFrame:
+    """Route-scored endpoint items of path-like queries (score in `score`).
+
+    `keys` is a `route_index`, `patterns` its `key_patterns` if stored as well.
+    """
     paths = context.select(
         "*",
         F.col("q_verb").alias("p_verb"),
         clean_path(F.col("q_text")).alias("p_clean"),
         F.col("q_segments").alias("p_segments"),
     )
-    templates = compile_template(endpoints, "name")
-    hits = route_scores(paths, templates, "score")
+    hits = _match(paths, keys, "score", patterns)
     if gate:
         hits = method_gate(hits, "p_verb", "score")
     return hits.withColumn("scope", F.lit("endpoints"))

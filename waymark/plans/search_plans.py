@@ -155,7 +155,7 @@ final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq
 def search_frame(spark, sf):
     return rk.search(
         tb.queries(spark), tb.index(spark, sf), activity_table(spark, sf),
-        tb.open_files(spark, sf), tb.modified_files(spark, sf),
+        tb.open_files(spark, sf), tb.modified_files(spark, sf), tb.route_keys(spark, sf),
     )
 
 
@@ -388,7 +388,7 @@ def first_k_query(spark, sf):
 def fast_frame(spark, sf):
     return fs.fast_search(
         tb.queries(spark), tb.index(spark, sf), activity_table(spark, sf),
-        tb.open_files(spark, sf), tb.modified_files(spark, sf),
+        tb.open_files(spark, sf), tb.modified_files(spark, sf), tb.route_keys(spark, sf),
     )
 
 

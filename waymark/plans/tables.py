@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators.index import item_features
+from waymark.operators.routes import route_index
 from waymark.session import fresh_dir
 
 FILE_SEQ = 1_000_000_000_000
@@ -111,6 +112,11 @@ def index(spark, sf) -> DataFrame:
     return stored(spark, sf, "index", features, "id", ("scope", "seq"))
 
 
+def route_keys(spark, sf) -> DataFrame:
+    """The stored route keys of all endpoints."""
+    return stored(spark, sf, "routes", lambda s, d: route_index(index(s, d).filter("scope = 'endpoints'")))
+
+
 QUERIES = [
     (1, "ring", "everything", 10),
     (2, "smring", "everything", 10),
