@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions.prefix import number_chunk, running
+from waymark.functions.prefix import number_chunk, running, spread_chunk, time_chunk
 from waymark.operators import activity as act
 from waymark.operators import build as bd
 from waymark.operators import commands as cm
@@ -169,6 +169,17 @@ def test_running_matches_a_plain_window(spark):
     assert order(got) == order(want)
 
 
+def test_chunks_follow_the_order_and_the_load(spark):
+    secs = [i for i in range(400)] + [100_000 + i // 50 for i in range(400)]
+    d = df(spark, [(s,) for s in secs], "s int").selectExpr("s", "cast(timestamp_seconds(s) as timestamp_ntz) as ts")
+    rows = d.select("s", time_chunk(d, rows=20).alias("c")).orderBy("s").collect()
+    chunks = [r.c for r in rows]
+    assert chunks == sorted(chunks) and len(set(chunks)) > 15
+    assert d.select(time_chunk(d).alias("c")).distinct().collect()[0].c == 0
+    one = df(spark, [(5,), (7,)], "v bigint").select(spread_chunk("v", 100, [5, 5, 5], 10).alias("c"))
+    assert {r.c for r in one.collect()} == {0}
+
+
 def test_activity(spark):
     base = "2024-01-10 00:00:00"
     rows = [("a", base, 1), ("a", base, 2), ("b", "2024-01-09 00:00:00", 3), ("c", "2023-11-01 00:00:00", 4)]
@@ -223,8 +234,20 @@ def test_guard(spark):
     secs = [0, 30, 60, 61, 100, 121, 122, 1000]
     rows = [("k", s, i) for i, s in enumerate(secs)]
     d = df(spark, rows, "key string, s int, event_id bigint").selectExpr("key", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "event_id")
-    got = sorted(r.event_id for r in sg.rebuild_guard(d, 60).collect())
-    assert got == [0, 3, 6, 7]
+    for rows in (1, 1000):
+        got = sorted(r.event_id for r in sg.rebuild_guard(d, 60, chunk=time_chunk(d, rows=rows)).collect())
+        assert got == [0, 3, 6, 7]
+
+
+def test_changes_and_cooldown_over_many_chunks(spark, sf):
+    from waymark.plans import tables as tb
+
+    e = tb.load(spark, sf, "events").selectExpr("user_id as key", "ts", "event_id", "event_type as value", "event_type as kind").cache()
+    fine = time_chunk(e, rows=20)
+    pick = lambda d: sorted(r.event_id for r in d.collect())
+    assert pick(sg.changes_only(e, chunk=fine)) == pick(sg.changes_only(e))
+    marks, rest = e.filter("kind = 'purchase'"), e.filter("kind <> 'purchase'")
+    assert pick(sg.cooldown(rest, marks, 900, fine)) == pick(sg.cooldown(rest, marks, 900))
 
 
 @pytest.mark.parametrize("name", ["changes_only", "cooldown", "rebuild_guard"])

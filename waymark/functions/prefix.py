@@ -93,10 +93,43 @@ def running(
     return joined.select(*keep, *out)
 
 
-def time_chunk(ts: Column, seconds: int = 3600) -> Column:
-    """Chunk number of a timestamp: fixed width, never decreasing."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.floor(F.timestamp_diff("SECOND", epoch, ts.cast("timestamp_ntz")) / seconds)
+CHUNK_ROWS = 1_000_000
+SEGMENTS = 64
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def time_chunk(df: DataFrame, ts: str = "ts", rows: int = CHUNK_ROWS) -> Column:
+    """Chunk number along a time column, about `rows` rows each.
+
+    One aggregated row tells the count and 64 quantiles. Between two quantiles
+    time is divided evenly, so busy hours get narrow chunks and quiet ones wide.
+    """
+    micros = f"timestampdiff(MICROSECOND, {EPOCH}, cast({ts} as timestamp_ntz))"
+    shares = F.array(*[F.lit(i / SEGMENTS) for i in range(SEGMENTS + 1)])
+    about = df.agg(
+        F.count(ts).alias("n"), F.percentile_approx(F.expr(micros), shares, 10_000).alias("q")
+    ).first()
+    return F.lit(0) if not about["n"] else spread_chunk(micros, about["n"], about["q"], rows)
+
+
+def spread_chunk(value: str, n: int, quantiles: list[int], rows: int) -> Column:
+    """Chunk number of a numeric SQL expression from its count and quantiles."""
+    edges = sorted(set(quantiles))
+    pieces = -(-n // rows)
+    if pieces <= 1 or len(edges) < 2:
+        return F.lit(0)
+    per = -(-pieces // (len(edges) - 1))
+
+    def pick(low: int, high: int) -> str:
+        """Binary search over the edges as nested conditions."""
+        if high - low == 1:
+            width = edges[high] - edges[low]
+            inside = f"cast(floor(({value} - {edges[low]}L) * {per}D / {width}D) as bigint)"
+            return f"{low * per}L + least(greatest({inside}, 0L), {per - 1}L)"
+        mid = (low + high) // 2
+        return f"if({value} < {edges[mid]}L, {pick(low, mid)}, {pick(mid, high)})"
+
+    return F.expr(pick(0, len(edges) - 1))
 
 
 def number_chunk(n: Column, width: int = 10000) -> Column:

@@ -42,7 +42,7 @@ def running_max_count(accesses: DataFrame) -> DataFrame:
     up in one task.
     """
     order = ["ts", "event_id"]
-    chunk = time_chunk(F.col("ts"))
+    chunk = time_chunk(accesses)
     counted = running(accesses, ["item_id"], order, chunk, {"access_count": ("sum", F.lit(1).cast("bigint"))})
     return running(counted, [], order, chunk, {"max_access_count": ("max", F.col("access_count"))})
 

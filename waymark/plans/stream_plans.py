@@ -4,7 +4,6 @@ what is there, and is compared with SQL over the whole table."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.prefix import time_chunk
 from waymark.operators import activity as act
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
@@ -162,7 +161,7 @@ def guard_stream_query(spark, sf):
 def progress_query(spark, sf):
     e = tb.load(spark, sf, "events").selectExpr("event_type as token", "ts", "event_id", "1 as processed")
     totals = e.groupBy("token").agg(F.count("*").alias("total"))
-    return sg.progress_counts(e, totals, time_chunk(F.col("ts"), 6 * 3600))
+    return sg.progress_counts(e, totals)
 
 
 # ------------------------------------------------------------ streamed upserts

@@ -58,7 +58,7 @@ def changes_only(events: DataFrame, state: DataFrame | None = None, chunk: Colum
     rows = events.select("key", "ts", "event_id", "value", F.lit(True).alias("_new"))
     if state is not None:
         rows = rows.unionByName(state.select("key", "ts", "event_id", "value", F.lit(False).alias("_new")))
-    part = time_chunk(F.col("ts")) if chunk is None else chunk
+    part = time_chunk(rows) if chunk is None else chunk
     seen = running(rows, ["key"], ["ts", "event_id"], part, {"previous": ("lag", F.col("value"))})
     return seen.filter(F.col("_new") & (F.col("previous") != F.col("value"))).drop("_new")
 
@@ -89,7 +89,7 @@ def cooldown(events: DataFrame, rebuilds: DataFrame, seconds: float = 5.0, chunk
         *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in extra],
         F.lit(0).alias("_side"), F.col("ts").alias("_r"),
     )
-    part = time_chunk(F.col("ts")) if chunk is None else chunk
+    part = time_chunk(events) if chunk is None else chunk
     seen = running(e.unionByName(r), [], ["ts", "_side", "event_id"], part, {"_last": ("last", F.col("_r"))})
     age = F.timestamp_diff("MICROSECOND", F.col("_last"), F.col("ts"))
     quiet = F.col("_last").isNull() | (age > int(seconds * 1_000_000))
@@ -133,7 +133,9 @@ def _accept(batches):
         yield pdf.loc[keep & ~prior, ["key", "event_id", "us"]]
 
 
-def rebuild_guard(requests: DataFrame, seconds: float = 60.0, state: DataFrame | None = None) -> DataFrame:
+def rebuild_guard(
+    requests: DataFrame, seconds: float = 60.0, state: DataFrame | None = None, chunk: Column | None = None
+) -> DataFrame:
     """Requests `(key, ts, event_id)` that start a rebuild: more than `seconds`
     after the last accepted one of the key.
 
@@ -148,7 +150,7 @@ def rebuild_guard(requests: DataFrame, seconds: float = 60.0, state: DataFrame |
     if state is not None:
         rows = rows.unionByName(state.select("key", "ts", "event_id", F.lit(True).alias("prior")))
     rows = rows.withColumn("us", us)
-    chunk = time_chunk(F.col("ts"))
+    chunk = time_chunk(rows) if chunk is None else chunk
     lagged = running(rows, ["key"], ["ts", "event_id"], chunk, {"before": ("lag", F.col("us"))})
     fresh = F.coalesce(F.col("us") - F.col("before") > gap, F.lit(True)).cast("bigint")
     islands = running(lagged, ["key"], ["ts", "event_id"], chunk, {"island": ("sum", fresh)})
@@ -173,12 +175,13 @@ def guard_step(seconds: float):
     return step
 
 
-def progress_counts(batches: DataFrame, totals: DataFrame, chunk: Column) -> DataFrame:
+def progress_counts(batches: DataFrame, totals: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Processed count, rounded percentage and state after each finished batch.
 
     `batches(token, ts, event_id, processed)`, `totals(token, total)`.
     """
-    done = running(batches, ["token"], ["ts", "event_id"], chunk, {"done": ("sum", F.col("processed").cast("bigint"))})
+    part = time_chunk(batches) if chunk is None else chunk
+    done = running(batches, ["token"], ["ts", "event_id"], part, {"done": ("sum", F.col("processed").cast("bigint"))})
     state = (
         F.when(F.col("done") >= F.col("total"), F.lit("end"))
         .when(F.col("done") == F.col("processed"), F.lit("start"))
