@@ -110,27 +110,33 @@ def cooldown_step(seconds: float):
     return step
 
 
-def _accept(batches):
-    """Greedy choice along sorted rows; one carried time per (key, island)."""
-    current, free_at = None, None
-    for pdf in batches:
-        keep = np.zeros(len(pdf), dtype=bool)
-        micros = pdf["us"].to_numpy()
-        prior = pdf["prior"].to_numpy()
-        groups = pdf["gid"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(pdf) else np.array([], dtype=int)
-        for start, end in zip(edges, np.r_[edges[1:], len(pdf)]):
-            if groups[start] != current:
-                current, free_at = groups[start], None
-            i = start
-            while i < end:
-                if free_at is not None:
-                    i = start + np.searchsorted(micros[start:end], free_at, side="right")
-                    if i >= end:
-                        break
-                keep[i] = True
-                free_at = micros[i] + pdf["gap"].iat[i]
-        yield pdf.loc[keep & ~prior, ["key", "event_id", "us"]]
+def _acceptor():
+    """The greedy choice as a local function: it travels to the workers by value,
+    so they need numpy and pandas but not this package."""
+
+    def accept(batches):
+        """Greedy choice along sorted rows; one carried time per (key, island)."""
+        current, free_at = None, None
+        for pdf in batches:
+            keep = np.zeros(len(pdf), dtype=bool)
+            micros = pdf["us"].to_numpy()
+            prior = pdf["prior"].to_numpy()
+            groups = pdf["gid"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(pdf) else np.array([], dtype=int)
+            for start, end in zip(edges, np.r_[edges[1:], len(pdf)]):
+                if groups[start] != current:
+                    current, free_at = groups[start], None
+                i = start
+                while i < end:
+                    if free_at is not None:
+                        i = start + np.searchsorted(micros[start:end], free_at, side="right")
+                        if i >= end:
+                            break
+                    keep[i] = True
+                    free_at = micros[i] + pdf["gap"].iat[i]
+            yield pdf.loc[keep & ~prior, ["key", "event_id", "us"]]
+
+    return accept
 
 
 def rebuild_guard(
@@ -161,7 +167,7 @@ def rebuild_guard(
         .sortWithinPartitions("gid", "us", "event_id")
     )
     key_type = requests.schema["key"].dataType.simpleString()
-    chosen = sorted_rows.mapInPandas(_accept, f"key {key_type}, event_id bigint, us bigint")
+    chosen = sorted_rows.mapInPandas(_acceptor(), f"key {key_type}, event_id bigint, us bigint")
     return chosen.select("key", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
 
 
