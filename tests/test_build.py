@@ -199,6 +199,14 @@ def test_nearest_rank(spark):
     assert got == {"x": 950.0, "y": 5.0, "z": 1.0}
 
 
+def test_reports(spark):
+    m = df(spark, [("idle", 1234.567, 10.0, None, 0.5)], "name string, rss double, heap_total double, heap_used double, external double")
+    assert st.memory_report(m).first().text == "| idle | 1234.57 | 10.00 |  | 0.50 |"
+    one = st.latency_summary(df(spark, [("a", 0.25), ("a", 0.75)], "name string, value double"))
+    row = st.latency_report({"suite": one}).first()
+    assert row.text == "| a | 500.00μs | 1.00ms | 250.00μs | 750.00μs | 750.00μs | 250.00μs |"
+
+
 # --------------------------------------------------------------- shown results
 
 
