@@ -22,7 +22,6 @@ from waymark.functions.routes import (
     template_verb,
     verb_bonus,
 )
-from waymark.schema import MAX_RESULTS
 from waymark.session import union_all
 
 
