@@ -6,8 +6,9 @@ and read again as the next stage's `docs`. All but the last return the columns o
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import pieces, plans, rules, sketches
+from waymark.llm import linechunks, pieces, plans, rules, sketches, tiling
 from waymark.llm.common import Scratch
 
 
@@ -17,11 +18,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without chunks of lines that occurred before; `n_chars` follows the text."""
+    out = linechunks.dedup_lines(docs)
+    n_chars = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.select(*(n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return sketches.keep_first(docs).select(docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return tiling.clean(docs, plans.table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, with merge-dropout, and the text that they decode to."""
     out = pieces.encode(docs.select("doc_id", "text"), plans.piece_model(), drop=0.1, seed=20)
@@ -30,7 +43,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
+    ("line dedup", line_dedup),
     ("near dedup", near_dedup),
+    ("decontamination", decontaminate),
     ("encoding", encode),
 ]
 

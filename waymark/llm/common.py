@@ -43,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             yield batch.slice(a, b - a)
 
 
-def shingle_hashes(words: list[bytes], size: int = 5) -> np.ndarray:
+def shingle_hashes(words: list[bytes] | list[str], size: int = 5) -> np.ndarray:
     """One 64-bit hash for each run of `size` words, in text order; a shorter text is one run, none has none."""
     import xxhash
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import pieces, rules, sketches
+from waymark import session
+from waymark.llm import balance, idfiles, linechunks, pieces, rules, severity, sketches, tiling
 
 QUERIES = {}
 ORACLES = {}
@@ -71,3 +72,61 @@ FROM s JOIN c ON c.node = s.doc_id
 @query("op3_fast_sketch", OP3_SQL)
 def op3_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_id_files")
+def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = session.fresh_dir(spark, "ids")
+    manifest = idfiles.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return idfiles.read(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op5_string_tiling")
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they leak."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tiling.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.coverage", "x.n_tiles")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS hs FROM d),
+e AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: (hs[i] * 31 + coalesce(CASE WHEN i > 1 THEN hs[i - 1] END, 0)) % 1000003 % 4 = 0 OR i = len(ls)) AS ends FROM h),
+c AS (
+  SELECT doc_id, ls, ends, unnest(range(1, len(ends) + 1)) AS k FROM e
+), p AS (
+  SELECT doc_id, k, ls[coalesce(CASE WHEN k > 1 THEN ends[k - 1] END, 0) + 1 : ends[k]] AS part FROM c
+), r AS (
+  SELECT *, len(part) > 1 AND len(list_filter(part, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 1 AS multi, array_to_string(part, chr(10)) AS chunk FROM p
+), g AS (
+  SELECT *, multi AND row_number() OVER (PARTITION BY multi, chunk ORDER BY doc_id, k) > 1 AS gone FROM r
+), s AS (
+  SELECT doc_id, sum(CASE WHEN gone THEN len(part) ELSE 0 END) AS n_removed_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed_chunks, sum(len(part)) AS n_lines,
+    md5(coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY k), '')) AS kept_md5
+  FROM g GROUP BY doc_id
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed_lines AS BIGINT) AS n_removed_lines, CAST(n_removed_chunks AS BIGINT) AS n_removed_chunks, kept_md5 FROM s
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
+@query("op6_line_chunks", OP6_SQL)
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linechunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@query("op8_label_propagation")
+def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ordinal_severity")
+def op9_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, and whether it is toxic at all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "severity", "toxic")
