@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import session
-from waymark.llm import balance, idfiles, linechunks, pieces, rules, severity, sketches, tiling
+from waymark.llm import balance, contexts, idfiles, linechunks, pieces, rules, severity, sketches, tiling
 
 QUERIES = {}
 ORACLES = {}
@@ -53,11 +53,11 @@ WITH RECURSIVE d AS (
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS x
   FROM d
 ), e AS (SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s),
-both AS (
+shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n
   FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), link AS (
-  SELECT a, b FROM both WHERE 100 * n >= 75 * (na + nb - n)
+  SELECT a, b FROM shared WHERE 100 * n >= 75 * (na + nb - n)
 ), two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 walk AS (
   SELECT doc_id AS node, doc_id AS root FROM s
@@ -130,3 +130,11 @@ def op9_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "severity", "toxic")
+
+
+@query("op10_context_bootstrap")
+def op10_context_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contexts.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(contexts.digest("base_spans"), 256).alias("base_sha256"), contexts.digest("spans").alias("spans"), "n_found"
+    )
