@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import session
-from waymark.llm import balance, contexts, idfiles, linechunks, pieces, rules, severity, sketches, tiling
+from waymark.llm import balance, contexts, idfiles, linechunks, pieces, rules, severity, sketches, suffixes, tiling
 
 QUERIES = {}
 ORACLES = {}
@@ -119,6 +119,18 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+@query("op7_difference_cover")
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op8_label_propagation")
 def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.shard(table(spark, sf_dir, "documents"))
