@@ -1,10 +1,10 @@
 """Shards by balanced label propagation, with SQL functions and joins only.
 
-Documents of equal text are neighbours. All start in a shard by hash. In each round, the
-documents of a group outside the shard where most of its members are ask to move there;
-a shard takes whole groups, in a fixed order, as far as its quota has room. Groups larger
-than half a shard's quota are cut into bundles first. What is linked to nothing, or beyond
-a quota from the start, then fills the shards: their row counts differ by one at most.
+Documents of equal text are neighbours. All start in a shard by hash. In each round, every
+group that is still apart asks to move to the shard where most of its members are, if there
+is room; a shard takes whole groups, in a fixed order, as far as its quota goes. Groups
+larger than half a quota are cut into bundles first. What is linked to nothing, or found no
+room, then fills the shards: their row counts differ by one at most.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +38,7 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], n: int, weight: C
     return out.select(*rows.columns, (F.col("_shift") + F.col("_in")).alias(name))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 6) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of `docs`.
 
     `size` is the UTF-8 length of the text (null: none) plus 1, `text_crc32` its unsigned
@@ -71,33 +71,34 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
     part = max(1, n // shards // 2)
     linked = base.join(groups, "text_key", "left").withColumn("bundle", F.pmod(F.col("mark"), F.ceil(F.col("members") / F.lit(part))))
     linked = linked.drop("members")
-    cells = scratch.write(linked.where("bundle is not null").groupBy("text_key", "bundle", start().alias("shard")).agg(F.count("*").alias("n")))
+    keys = ["text_key", "bundle"]
+    cells = linked.where("bundle is not null").groupBy(*keys, start().alias("shard")).agg(F.count("*").alias("n"))
+    sizes = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
+    cells = scratch.write(cells.join(sizes, keys))
+    settled = scratch.write(cells.limit(0).select(*keys, "shard", "total"))
+    held: dict[int, int] = {}
     for _ in range(rounds):
-        # Where most of a bundle's neighbours are; of equals, the lowest shard.
-        most = cells.groupBy("text_key", "bundle").agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("m"))
-        asked = cells.join(most.select("text_key", "bundle", (-F.col("m.low")).cast("int").alias("to")), ["text_key", "bundle"])
-        movers = asked.where("shard != to").groupBy("to", "text_key", "bundle").agg(F.sum("n").alias("n"))
-        here = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = F.element_at(F.array(*(F.lit(max(0, q - here.get(s, 0))) for s, q in enumerate(quota))), F.col("to") + 1)
-        movers = scratch.write(numbered(movers, ["to"], ["text_key", "bundle"], n, F.col("n")))
-        taken = movers.where(F.col("at") + F.col("n") <= room).select("text_key", "bundle", F.col("to").alias("goal"))
+        left = [q - held.get(s, 0) for s, q in enumerate(quota)]
+        widest = max(range(shards), key=lambda s: (left[s], -s))
+        room = lambda c: F.element_at(F.array(*map(F.lit, left)), c + 1)  # noqa: E731, B023
+        # The shard with most of a bundle's neighbours that has room for it, the lowest of equals; if none has, the widest.
+        fits = F.col("total") <= room(F.col("shard"))
+        aim = cells.groupBy(*keys, "total").agg(F.max(F.when(fits, F.struct("n", (-F.col("shard")).alias("low")))).alias("m"))
+        aim = aim.select(*keys, "total", F.coalesce(-F.col("m.low"), F.lit(widest)).cast("int").alias("shard"))
+        asked = numbered(aim, ["shard"], keys, n, F.col("total"))
+        taken = scratch.write(asked.where(F.col("at") + F.col("total") <= room(F.col("shard"))).select(*keys, "shard", "total"))
         if taken.isEmpty():
             break
-        new = cells.join(taken, ["text_key", "bundle"], "left").groupBy("text_key", "bundle", F.coalesce("goal", "shard").alias("shard")).agg(F.sum("n").alias("n"))
-        old, cells = cells, scratch.write(new)
-        scratch.drop(old, movers)
-    # A bundle in one cell is there as a whole; the documents of others are still where they began.
-    home = cells.groupBy("text_key", "bundle").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).where("lo = hi").select("text_key", "bundle", F.col("lo").alias("home"))
-    placed = linked.join(home, ["text_key", "bundle"], "left")
-    placed = placed.withColumn("shard", F.when(F.col("bundle").isNotNull(), F.coalesce("home", start())))
+        settled = settled.union(taken)
+        rest = scratch.write(cells.join(taken.select(keys), keys, "left_anti"))
+        scratch.drop(cells)
+        cells = rest
+        held = {r["shard"]: r["n"] for r in settled.groupBy("shard").agg(F.sum("total").alias("n")).collect()}
+    placed = linked.join(settled.drop("total"), keys, "left")
     columns = ["doc_id", "size", "text_crc32", "mark", "shard"]
-    # Rows beyond a shard's quota and rows that are linked to nothing fill what is left.
-    bound = scratch.write(numbered(placed.where("shard is not null").select(columns), ["shard"], ["mark", "doc_id"], n))
-    quotas = F.element_at(F.array(*(F.lit(q) for q in quota)), F.col("shard") + 1)
-    stay = bound.where(F.col("at") < quotas).select(columns)
-    held = {r["shard"]: r["n"] for r in stay.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    free = placed.where("shard is null").select(columns).union(bound.where(F.col("at") >= quotas).select(columns))
-    free = numbered(free, [], ["mark", "doc_id"], n)
+    # What is linked to nothing, and groups that found no room, fill what is left.
+    stay = placed.where("shard is not null").select(columns)
+    free = numbered(placed.where("shard is null").select(columns), [], ["mark", "doc_id"], n)
     goal = F.lit(shards - 1)
     for s in reversed(range(shards)):
         upto = sum(quota[t] - held.get(t, 0) for t in range(s + 1))

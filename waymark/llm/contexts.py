@@ -25,7 +25,7 @@ PATTERN = {
 #: Texts without these have no match.
 GATE = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: What may be an identifier that the base patterns missed: a token with a digit or @.
-TOKEN, TOKEN_GATE = r"[A-Za-z0-9@+(][A-Za-z0-9@._%+()-]*+", r"[0-9]{4}|@"
+TOKEN, TOKEN_GATE = r"(?<![A-Za-z0-9@._%+()-])(?=[A-Za-z._%+()-]*[0-9@])[A-Za-z0-9@._%+()-]++", r"[0-9]{4}|@"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
 CONTEXT = 64
@@ -141,7 +141,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("base", F.concat(*KINDS))
     tokens = F.filter(
         found(F.col("text"), TOKEN, None),
-        lambda c: c["value"].rlike("[0-9@]") & ~F.exists("base", lambda b: (b["begin"] < c["stop"]) & (b["stop"] > c["begin"])),
+        lambda c: ~F.exists("base", lambda b: (b["begin"] < c["stop"]) & (b["stop"] > c["begin"])),
     )
     rows = rows.withColumn("others", F.when(F.col("text").rlike(TOKEN_GATE), tokens).otherwise(F.array().cast(SPAN)))
     rows = scratch.write(rows.select("doc_id", "mark", "base", "others"))
