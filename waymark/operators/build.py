@@ -140,29 +140,30 @@ def classify_node(kind: str, language: str) -> Column:
     )
 
 
-def qualify_names(symbols: DataFrame, max_depth: int = 8, chunk: Column | None = None) -> DataFrame:
+def qualify_names(symbols: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Container and full name of `symbols(file_path, line, depth, name, type)`.
 
     The container is the chain of enclosing types. One pass remembers the
-    latest symbol of each depth; it encloses a deeper row unless something
-    shallower came after it.
+    latest symbol of each depth that occurs; it encloses a deeper row unless
+    something shallower came after it.
     """
+    deepest = symbols.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first()["d"]
     is_type = F.col("type").isin("class", "interface", "enum")
     latest = {
         f"_d{d}": (
             "last",
             F.when(F.col("depth") == d, F.struct("line", F.when(is_type, F.col("name")).alias("name"))),
         )
-        for d in range(max_depth)
+        for d in range(deepest)
     }
     part = number_chunk(F.col("line")) if chunk is None else chunk
     seen = running(symbols, ["file_path"], ["line"], part, latest)
     links = []
-    for d in range(max_depth):
+    for d in range(deepest):
         fresh = [f"_d{d}.line > coalesce(_d{e}.line, -1)" for e in range(d)]
         test = " and ".join([f"depth > {d}", *fresh])
         links.append(f"if({test}, _d{d}.name, null)")
-    container = F.expr(f"nullif(concat_ws('.', {', '.join(links)}), '')")
+    container = F.expr(f"nullif(concat_ws('.', {', '.join(links) or 'null'}), '')")
     return (
         seen.withColumn("container", container)
         .withColumn("full_name", F.concat_ws(".", "container", "name"))
@@ -275,12 +276,14 @@ def flat_symbols(rows: DataFrame) -> DataFrame:
     )
 
 
-def flatten_symbol_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_symbol_tree(nodes: DataFrame) -> DataFrame:
     """Nested symbols `(id, parent_id, name, kind)` -> rows with dotted names.
 
     One join per level, until a level is empty. A node of an unmapped kind is
-    left out but its name stays in the names of its children.
+    left out but its name stays in the names of its children. Ids that repeat can
+    form a cycle; more levels than nodes prove one.
     """
+    count = nodes.count()
     typed = nodes.withColumn("type", lookup(F.col("kind"), SYMBOL_KIND_TYPES))
     level = typed.filter("parent_id is null").select(
         "id", "name", "type", F.lit(None).cast("string").alias("container"), F.col("name").alias("full_name"),
@@ -291,8 +294,8 @@ def flatten_symbol_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
         level = cut(level, "tree")
         if level.isEmpty():
             break
-        if len(levels) >= max_depth:
-            raise ValueError(f"symbols nest deeper than {max_depth} levels")
+        if len(levels) >= count:
+            raise ValueError("symbols form a cycle")
         levels.append(level)
         parents = level.select(F.col("id").alias("_pid"), F.col("full_name").alias("_pname"), "depth")
         level = typed.join(parents, F.col("parent_id") == F.col("_pid")).select(
@@ -315,22 +318,23 @@ def symbol_coverage(files: DataFrame, symbols: DataFrame, threshold: float = 0.6
 # -------------------------------------------------------------------- settings
 
 
-def flatten_settings(settings: DataFrame, max_depth: int = 6) -> DataFrame:
+def flatten_settings(settings: DataFrame) -> DataFrame:
     """JSON settings `(owner, ord, json)` -> dotted keys; later settings override.
 
-    Arrays stay whole. Objects below `max_depth` stay whole as well.
+    Arrays stay whole. One pass per level, until no object is left.
     """
     spark = settings.sparkSession
     level = settings.select("owner", "ord", F.lit(None).cast("string").alias("prefix"), F.try_parse_json("json").alias("v"))
     leaves = []
-    for depth in range(max_depth):
+    while True:
         inner = level.filter("schema_of_variant(v) like 'OBJECT%'")
         pairs = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
             "owner", "ord", F.concat_ws(".", "prefix", "key").alias("prefix"), F.col("value").alias("v")
         )
         nested = F.expr("schema_of_variant(v) like 'OBJECT%'")
-        last = depth == max_depth - 1
-        leaves.append(pairs if last else pairs.filter(~F.coalesce(nested, F.lit(False))))
-        level = pairs
+        leaves.append(pairs.filter(~F.coalesce(nested, F.lit(False))))
+        level = pairs.filter(F.coalesce(nested, F.lit(False)))
+        if level.isEmpty():
+            break
     flat = union_all(leaves).select("owner", "ord", F.col("prefix").alias("key"), F.expr("cast(v as string)").alias("value"))
     return flat.groupBy("owner", "key").agg(F.max_by("value", "ord").alias("value"))

@@ -23,7 +23,8 @@ SLASH_COMMANDS = [
     ("/p", "p", "Find properties and fields", ["/properties", "/prop", "/field"], "Search", "properties"),
     ("/cmd", "cmd", "Search and execute VS Code commands", ["/commands", "/action", "/run", ">"], "Actions", "commands"),
 ]
-MAX_CATALOG = 1000
+#: Catalog rows up to which it is sent to the tasks.
+BROADCAST_CATALOG = 1000
 SLASH_DDL = "ord int, name string, short_name string, description string, aliases array<string>, category string, scope string"
 
 
@@ -92,19 +93,20 @@ def suggest_commands(typed: DataFrame, commands: DataFrame, recent: DataFrame) -
 
     `recent(name, recent_pos)` is the usage list, newest first. Recent commands
     whose name or alias starts with the text come first, in usage order; the
-    others follow: equal name, recent, prefix, name order. A catalog is written
-    by hand; its size is checked before it is sent to the tasks.
+    others follow: equal name, recent, prefix, name order. A name that repeats in
+    `recent` counts at its first position. The catalog is sent to the tasks after a
+    check of its size; beyond it, the planner chooses.
     """
-    if not fits(commands, MAX_CATALOG):
-        raise ValueError(f"a slash command catalog holds at most {MAX_CATALOG} rows")
-    catalog = F.broadcast(commands.join(recent, "name", "left"))
-    pairs = typed.join(catalog, F.expr(_slash_match()))
+    used = recent.groupBy("name").agg(F.min("recent_pos").alias("recent_pos"))
+    catalog = commands.join(used, "name", "left")
+    pairs = typed.join(F.broadcast(catalog) if fits(commands, BROADCAST_CATALOG) else catalog, F.expr(_slash_match()))
     low = F.lower("typed")
     starts = F.expr("startswith(lower(name), lower(typed)) or exists(aliases, a -> startswith(lower(a), lower(typed)))")
     flagged = F.col("recent_pos").isNotNull() & starts
     typed_empty = F.col("typed") == ""
     w = Window.partitionBy("qid").orderBy(
-        F.when(flagged, F.col("recent_pos")).otherwise(F.lit(1_000_000)),
+        F.when(flagged, 0).otherwise(1),
+        F.when(flagged, F.col("recent_pos")),
         F.when(typed_empty, F.col("ord")).otherwise(F.lit(0)),
         F.when(F.col("name") == low, 0).otherwise(1),
         F.when(F.col("recent_pos").isNotNull(), 0).otherwise(1),

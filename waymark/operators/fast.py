@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_substring
 from waymark.operators.queries import about_queries, live, query_context
-from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search
+from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search, within
 from waymark.operators.routes import endpoint_hits, route_index
-from waymark.schema import FAST_SCOPE_ORDER, MAX_RESULTS, boost_of
+from waymark.schema import FAST_SCOPE_ORDER, boost_of
 from waymark.session import cut, union_all
 
 ROW = [
@@ -37,13 +37,13 @@ def scope_rank():
     return F.expr(f"CASE WHEN q_scope <> 'everything' THEN 0 ELSE CASE scope {tests} ELSE {last} END END")
 
 
-def first_k_by_priority(matches: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
+def first_k_by_priority(matches: DataFrame, limit: int | None = None) -> DataFrame:
     """The first k matches in scope and index order - not the best k."""
     w = Window.partitionBy("qid").orderBy("scope_rank", "seq")
     return (
         matches.withColumn("scope_rank", scope_rank())
         .withColumn("pos", F.row_number().over(w))
-        .filter((F.col("pos") <= limit) & (F.col("pos") <= F.col("k")))
+        .filter(within("pos", "k", limit))
     )
 
 
@@ -70,7 +70,7 @@ def add_routes(
     w = Window.partitionBy("qid").orderBy("late", "seq")
     return (
         both.withColumn("n", F.row_number().over(w))
-        .filter((F.col("n") <= MAX_RESULTS) & ((F.col("late") == 0) | (F.col("n") <= F.col("k"))))
+        .filter((F.col("late") == 0) | (F.col("n") <= F.col("k")))
         .drop("n", "late")
     )
 

@@ -4,61 +4,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.pairing import pair_by_substring
-from waymark.schema import MAX_FILE_BYTES, MAX_LINE_CHARS, MAX_RESULTS
+from waymark.schema import MAX_FILE_BYTES
 
 # Characters removed at both ends of a shown line.
 BLANKS = r"' \t\r\n\u000b\u000c   ﻿'"
 
 
-def grep_guards(docs: DataFrame) -> DataFrame:
+def grep_guards(docs: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Leave out files above the size limit (`size` in bytes, NULL = unknown)."""
-    return docs.filter(F.coalesce(F.col("size"), F.lit(0)) <= MAX_FILE_BYTES)
+    return docs.filter(F.coalesce(F.col("size"), F.lit(0)) <= max_bytes)
 
 
 def _needles(queries: DataFrame) -> DataFrame:
-    """Search texts `(qid, query, max_results)`; empty ones find nothing."""
-    return queries.filter("trim(query) <> ''").selectExpr(
-        "qid", "lower(query) as q_low", f"least(coalesce(max_results, {MAX_RESULTS}), {MAX_RESULTS}) as k"
-    )
+    """Search texts `(qid, query, max_results)`; empty ones find nothing, without a count all lines."""
+    return queries.filter("trim(query) <> ''").selectExpr("qid", "lower(query) as q_low", f"coalesce(max_results, {2**31 - 1}) as k")
 
 
-def matching_lines(docs: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
+def matching_lines(
+    docs: DataFrame, queries: DataFrame, small: bool | None = None, max_bytes: int | None = None, max_line: int | None = None
+) -> DataFrame:
     """Lines that contain a query, one row per (query, line).
 
     Documents are matched whole first, so only those with a hit are split.
-    Blank lines and lines above the length limit are left out.
+    Blank lines are left out; files above `max_bytes` and lines above `max_line`
+    characters only where a caller asks for it.
     """
-    guarded = grep_guards(docs).withColumn("text_low", F.lower("text"))
-    pairs = pair_by_substring(guarded, _needles(queries), ["text_low"], "q_low", "file_path", F.lit(True), small)
+    found = docs if max_bytes is None else grep_guards(docs, max_bytes)
+    pairs = pair_by_substring(
+        found.withColumn("text_low", F.lower("text")), _needles(queries), ["text_low"], "q_low", "file_path", F.lit(True), small
+    )
     keep = [c for c in docs.columns if c != "text"]
     lines = pairs.select(*keep, "qid", "q_low", "k", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    if max_line is not None:
+        lines = lines.filter(F.length("raw") <= max_line)
     return (
         lines.withColumn("raw_low", F.lower("raw"))
         .filter("contains(raw_low, q_low)")
-        .filter(f"length(raw) <= {MAX_LINE_CHARS}")
         .withColumn("name", F.expr(f"btrim(raw, {BLANKS})"))
         .filter("name <> ''")
         .withColumn("indent", F.expr(f"length(raw) - length(ltrim({BLANKS}, raw))"))
     )
 
 
-def grep(docs: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
+def grep(docs: DataFrame, queries: DataFrame, small: bool | None = None, **limits) -> DataFrame:
     """First match of each line: 0-based line and column, shown text, highlight."""
-    hits = matching_lines(docs, queries, small).withColumn("column", F.expr("instr(raw_low, q_low) - 1"))
+    hits = matching_lines(docs, queries, small, **limits).withColumn("column", F.expr("instr(raw_low, q_low) - 1"))
     start = F.expr("greatest(0, column - indent)")
     return hits.withColumn("hl_start", start).withColumn("hl_end", F.expr("hl_start + length(q_low)"))
 
 
-def grep_submatches(docs: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
+def grep_submatches(docs: DataFrame, queries: DataFrame, small: bool | None = None, **limits) -> DataFrame:
     """Every match of each line; offsets are relative to the shown text.
 
     The pieces between matches give the running offsets.
     """
-    hits = matching_lines(docs, queries, small)
+    hits = matching_lines(docs, queries, small, **limits).withColumn("_parts", F.expr("split(raw_low, concat('\\\\Q', replace(q_low, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E'))"))
     starts = F.expr(
         r"""aggregate(
-          slice(split(replace(raw_low, q_low, '\u0000'), '\u0000'), 1,
-                size(split(replace(raw_low, q_low, '\u0000'), '\u0000')) - 1),
+          slice(_parts, 1, size(_parts) - 1),
           named_struct('at', 0, 'all', cast(array() as array<int>)),
           (acc, piece) -> named_struct(
             'at', acc.at + length(piece) + length(q_low),
@@ -69,7 +72,7 @@ def grep_submatches(docs: DataFrame, queries: DataFrame, small: bool | None = No
         """transform(starts, s -> named_struct('start', greatest(0, s - indent),
              'end', greatest(0, s + length(q_low) - indent)))"""
     )
-    return hits.withColumn("starts", starts).withColumn("column", F.expr("starts[0]")).withColumn("submatches", shift)
+    return hits.withColumn("starts", starts).withColumn("column", F.expr("starts[0]")).withColumn("submatches", shift).drop("_parts")
 
 
 def first_hits(hits: DataFrame, open_files: DataFrame | None = None) -> DataFrame:
@@ -83,16 +86,14 @@ def first_hits(hits: DataFrame, open_files: DataFrame | None = None) -> DataFram
         opened = open_files.select("file_path", F.lit(True).alias("is_open")).distinct()
         flagged = hits.join(opened, "file_path", "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
     w = Window.partitionBy("qid").orderBy(F.desc("is_open"), "seq", "line")
-    return (
-        flagged.withColumn("pos", F.row_number().over(w))
-        .filter((F.col("pos") <= MAX_RESULTS) & (F.col("pos") <= F.col("k")))
-    )
+    return flagged.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.col("k"))
 
 
-def text_items(hits: DataFrame) -> DataFrame:
-    """Hits as result rows of type text."""
+def text_items(hits: DataFrame, *keep: str) -> DataFrame:
+    """Hits as result rows of type text, with the columns `keep` of the hits."""
     return hits.select(
         "qid",
+        *keep,
         F.concat_ws(":", F.lit("text"), "file_path", "line", "column").alias("id"),
         "name",
         F.lit("text").alias("type"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from waymark.functions.fuzzy import query_chars
 from waymark.functions.routes import clean_path, is_potential_url, path_verb, segments
 from waymark.functions.text import fold, mask_of_folded, slashes
-from waymark.schema import DEFAULT_FAST_RESULTS, DEFAULT_RESULTS, MAX_RESULTS
+from waymark.schema import DEFAULT_FAST_RESULTS, DEFAULT_RESULTS
 
 # Typed prefix -> scope, first match wins.
 SCOPE_PREFIXES = [
@@ -70,9 +70,7 @@ def query_context(queries: DataFrame, fast: bool = False) -> DataFrame:
         "qid",
         F.col("query").alias("raw_query"),
         F.coalesce(F.col("scope"), F.lit("everything")).alias("q_scope"),
-        F.least(F.coalesce(F.col("max_results"), F.lit(default_k)), F.lit(MAX_RESULTS))
-        .cast("int")
-        .alias("k"),
+        F.coalesce(F.col("max_results"), F.lit(default_k)).cast("int").alias("k"),
         slashes(text).alias("q_text"),
         line.alias("target_line"),
     )

@@ -14,7 +14,6 @@ from waymark.schema import (
     ACTIVITY_FLOOR,
     ACTIVITY_WEIGHT,
     FULL_NAME_WEIGHT,
-    MAX_RESULTS,
     MIN_SCORE,
     NAME_GOOD_ENOUGH,
     PATH_GATE,
@@ -77,17 +76,22 @@ def type_boost(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.col("score") * boost_of(F.col("type")))
 
 
-def top_k(scored: DataFrame, keys: list[str], k: str = "k", limit: int = MAX_RESULTS) -> DataFrame:
+def within(position: str, k: str, limit: int | None) -> Column:
+    """`position` <= `k`; a literal bound beside it lets each task cut its own rows before the shuffle."""
+    fits = F.col(position) <= F.col(k)
+    return fits if limit is None else (F.col(position) <= limit) & fits
+
+
+def top_k(scored: DataFrame, keys: list[str], k: str = "k", limit: int | None = None) -> DataFrame:
     """Best `k` rows per key above the minimum score; ties go to the earlier item.
 
-    `k` is a column; the literal bound next to it (no `k` is larger) lets each
-    task cut its own rows before the shuffle.
+    `k` is a column; `limit`, where given, is the largest `k` of all.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("seq"))
     return (
         scored.filter(F.col("score") > MIN_SCORE)
         .withColumn("rank", F.row_number().over(w))
-        .filter((F.col("rank") <= limit) & (F.col("rank") <= F.col(k)))
+        .filter(within("rank", k, limit))
     )
 
 
@@ -118,7 +122,7 @@ def rerank(results: DataFrame, keys: list[str], k: str | None = None) -> DataFra
     """Rank again after scores changed; optionally cut again."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("seq"))
     out = results.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.filter((F.col("rank") <= MAX_RESULTS) & (F.col("rank") <= F.col(k)))
+    return out if k is None else out.filter(F.col("rank") <= F.col(k))
 
 
 ROW = ["qid", "k", "q_scope", "target_line", "q_low", "q_chars", "q_mask", "provider", *CARRY, "score"]
@@ -159,7 +163,7 @@ def score_items(
     provider: Column | None = None,
     routes: bool = True,
     small: bool | None = None,
-    limit: int = MAX_RESULTS,
+    limit: int | None = None,
     keys: DataFrame | None = None,
 ) -> DataFrame:
     """Best k rows per (query, provider): boosted fuzzy scores and route scores.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import normalize_path
 from waymark.operators.activity import recent_items
-from waymark.schema import DEFAULT_RESULTS, MAX_RESULTS
+from waymark.schema import DEFAULT_RESULTS
 
 
 def blank_results(
@@ -17,17 +17,15 @@ def blank_results(
 ) -> DataFrame:
     """Recent items for each blank query `(qid, query, scope, max_results)`.
 
-    `paths` restricts the answers to open or modified files. At most
-    `MAX_RESULTS` recent items exist, so pairing them with queries is bounded
-    per query by its own count.
+    `paths` restricts the answers to open or modified files. As many recent items
+    are ranked as the largest query asks for, and each query takes its own count.
     """
+    asked = queries.select("qid", F.coalesce("max_results", F.lit(DEFAULT_RESULTS)).alias("k")).filter("k > 0")
+    most = asked.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k")).first()["k"]
     if paths is not None:
         wanted = paths.select(normalize_path(F.col("file_path")).alias("_p")).distinct()
         items = items.join(wanted, normalize_path(F.col("file_path")) == F.col("_p"), "left_semi")
-    recent = recent_items(activity, items, as_of, MAX_RESULTS)
+    recent = recent_items(activity, items, as_of, most)
     w = Window.orderBy(F.desc("last_accessed"), F.asc("id"))
     ranked = recent.withColumn("rank", F.row_number().over(w))
-    asked = queries.select("qid", F.coalesce("max_results", F.lit(DEFAULT_RESULTS)).alias("k")).withColumn(
-        "rank", F.explode(F.sequence(F.lit(1), F.least("k", F.lit(MAX_RESULTS))))
-    )
-    return asked.join(ranked, "rank").drop("k")
+    return asked.withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("k")))).join(ranked, "rank").drop("k")

@@ -260,6 +260,20 @@ def qualify_query(spark, sf):
     return bd.qualify_names(nested_symbols(spark, sf)).select("name", "container", "full_name")
 
 
+@query(
+    "qualify_names_deep",
+    """SELECT s_suppkey AS k, d AS depth, 't' || d || '_' || s_suppkey AS name,
+      nullif(array_to_string(list_transform(range(d), lambda i: 't' || i || '_' || s_suppkey), '.'), '') AS container,
+      array_to_string(list_transform(range(d + 1), lambda i: 't' || i || '_' || s_suppkey), '.') AS full_name
+    FROM supplier, (SELECT unnest(range(13))::INTEGER AS d)""",
+)
+def qualify_deep_query(spark, sf):
+    nested = tb.load(spark, sf, "supplier").selectExpr("s_suppkey as k", "explode(sequence(0, 12)) as depth").selectExpr(
+        "k", "depth", "cast(depth as long) as line", "concat('/s/', k) as file_path", "concat('t', depth, '_', k) as name", "'class' as type"
+    )
+    return bd.qualify_names(nested).select("k", "depth", "name", "container", "full_name")
+
+
 # Controller sources: one per supplier, its routes from its columns.
 @query(
     "controller_endpoints",
@@ -375,3 +389,19 @@ def settings_query(spark, sf):
         """concat('{"search":{"k":', get_json_object(props, '$.k'), ',"deep":{"list":[', get_json_object(props, '$.k'), ',1],"empty":{}}},"on":true}') as json""",
     )
     return bd.flatten_settings(e)
+
+
+DEEP_KEY = ".".join(f"l{i}" for i in range(10))
+
+
+@query(
+    "flatten_settings_deep",
+    f"""SELECT user_id AS owner, '{DEEP_KEY}' AS key, arg_max(json_extract_string(props, '$.k'), event_id) AS value FROM events GROUP BY user_id""",
+)
+def settings_deep_query(spark, sf):
+    opened = "".join(f'{{"l{i}":' for i in range(10))
+    e = tb.load(spark, sf, "events").select(
+        F.col("user_id").alias("owner"), F.col("event_id").alias("ord"),
+        F.concat(F.lit(opened), F.get_json_object("props", "$.k"), F.lit("}" * 10)).alias("json"),
+    )
+    return bd.flatten_settings(e)

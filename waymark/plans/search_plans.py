@@ -8,9 +8,11 @@ from waymark.operators import activity as act
 from waymark.operators import fast as fs
 from waymark.operators import index as ix
 from waymark.operators import ranking as rk
+from waymark.operators.answers import answer
 from waymark.operators.queries import live, query_context
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
+from waymark.plans.text_plans import DOCS_SQL, NEEDLES_SQL, documents, lines_sql
 from waymark.schema import boost_of
 
 R6 = lambda c: F.round(F.col(c), 6)
@@ -446,3 +448,47 @@ def staged_query(spark, sf):
     q = tb.queries(spark).filter("scope not in ('open', 'modified')")
     out = fs.staged_search(q, tb.index(spark, sf), activity_table(spark, sf))
     return out.select("stage", "qid", "id", "rank", R6("score").alias("score"))
+
+
+def _asked_sql(rows):
+    return "queries(qid, query, scope, max_results) AS (VALUES " + ", ".join(f"({i}, '{q}', '{s}', {k})" for i, q, s, k in rows) + ")"
+
+
+ALL_KINDS = [*tb.QUERIES, (16, "license", "text", 50), (17, "The ", "text", 25), (18, " ", "modified", 5), (19, "", "files", 3)]
+ALL_SQL = SEARCH_SQL.replace(tb.QUERIES_SQL, _asked_sql([q for q in ALL_KINDS if q[2] != "text"]))
+TEXT_KINDS = "needles(qid, query, k) AS (VALUES " + ", ".join(f"({i}, '{q}', {k})" for i, q, s, k in ALL_KINDS if s == "text") + ")"
+ALL_KINDS_SQL = f"""WITH s AS (WITH {ALL_SQL} SELECT qid, 'ranked' AS kind, rank::INTEGER AS rank, id, round(score, 6) AS score FROM final
+    WHERE rank <= k),
+t AS (WITH {lines_sql(DOCS_SQL).replace(NEEDLES_SQL, TEXT_KINDS)}, {OPEN_SQL.replace("doc_paths", "(SELECT doc_id, file_path FROM (SELECT seq AS doc_id, file_path FROM docs)) p")},
+    p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY file_path IN (SELECT file_path FROM open_files) DESC, seq, line) AS pos FROM hits)
+    SELECT qid, 'text' AS kind, pos::INTEGER AS rank, 'text:'||file_path||':'||line||':'||col AS id, 1.0::DOUBLE AS score FROM p WHERE pos <= k),
+b AS (WITH {tb.ITEMS_SQL}, {ACTIVITY_SQL}, {_asked_sql(ALL_KINDS)},
+    m AS (SELECT '/'||source||'/'||lang||'/'||doc_id||'.txt' AS file_path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    r AS (SELECT id, file_path, last_accessed, item_id FROM activity JOIN items ON id = item_id),
+    n AS (SELECT qid, id, max_results, row_number() OVER (PARTITION BY qid ORDER BY last_accessed DESC, item_id) AS n FROM queries JOIN r
+      ON scope <> 'modified' OR file_path IN (SELECT file_path FROM m) WHERE trim(query) = '')
+    SELECT qid, 'recent' AS kind, n::INTEGER AS rank, id, 2.0::DOUBLE AS score FROM n WHERE n <= max_results)
+SELECT * FROM s UNION ALL SELECT * FROM t UNION ALL SELECT * FROM b"""
+
+
+@query("search_all_kinds", ALL_KINDS_SQL)
+def all_kinds_query(spark, sf):
+    asked = spark.createDataFrame(ALL_KINDS, tb.QUERIES_DDL)
+    out = answer(
+        asked, tb.index(spark, sf), activity_table(spark, sf), tb.as_of(spark, sf), documents(spark, sf),
+        tb.open_files(spark, sf), tb.modified_files(spark, sf), tb.route_keys(spark, sf),
+    )
+    return out.select("qid", "kind", "rank", "id", R6("score").alias("score"))
+
+
+LARGE = [(1, "ri", "everything", 1400), (2, "txt", "files", 1400)]
+
+
+@query(
+    "top_k_large",
+    f"""WITH {SEARCH_SQL.replace(tb.QUERIES_SQL, _asked_sql(LARGE))} SELECT qid, rank::INTEGER AS rank, id, round(score, 6) AS score
+    FROM final WHERE rank <= k""",
+)
+def top_k_large_query(spark, sf):
+    out = rk.search(spark.createDataFrame(LARGE, tb.QUERIES_DDL), tb.index(spark, sf), activity_table(spark, sf))
+    return out.select("qid", "rank", "id", R6("score").alias("score"))

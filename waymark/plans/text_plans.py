@@ -10,6 +10,7 @@ from waymark.operators import grep as gr
 from waymark.operators import results as rs
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
+from waymark.schema import MAX_LINE_CHARS
 
 NEEDLES = [(1, "license", 50), (2, "The ", 25), (3, "ré", 40), (4, "@example", 1000), (5, "no such text", 10), (6, "  ", 10)]
 
@@ -19,7 +20,7 @@ def needles(spark):
 
 
 def documents(spark, sf):
-    return tb.document_paths(spark, sf).selectExpr("doc_id as seq", "file_path", "n_chars as size", "text")
+    return tb.document_paths(spark, sf).selectExpr("doc_id as seq", "file_path", "octet_length(text) as size", "text")
 
 
 def turns(spark, sf):
@@ -37,11 +38,11 @@ def lines_sql(source: str) -> str:
     """CTEs `hits` for `docs(seq, file_path, size, text)`."""
     return f"""{NEEDLES_SQL}, docs AS ({source}),
 lines AS (SELECT seq, file_path, unnest(string_split(text, chr(10))) AS raw,
-    unnest(range(0, len(string_split(text, chr(10))))) AS line FROM docs WHERE coalesce(size, 0) <= 20971520),
+    unnest(range(0, len(string_split(text, chr(10))))) AS line FROM docs),
 hits AS (SELECT qid, k, seq, file_path, line::INTEGER AS line, raw, lower(query) AS q, trim(raw, {BLANK_CHARS}) AS name,
     length(raw) - length(ltrim(raw, {BLANK_CHARS})) AS indent, instr(lower(raw), lower(query)) - 1 AS col
   FROM lines JOIN needles ON contains(lower(raw), lower(query))
-  WHERE length(raw) <= 10000 AND trim(raw, {BLANK_CHARS}) <> '' AND trim(query) <> '')"""
+  WHERE trim(raw, {BLANK_CHARS}) <> '' AND trim(query) <> '')"""
 
 
 DOCS_SQL = "SELECT doc_id AS seq, '/'||source||'/'||lang||'/'||doc_id||'.txt' AS file_path, n_chars AS size, text FROM documents"
@@ -67,11 +68,11 @@ def grep_conversations(spark, sf):
     "grep_guards",
     """SELECT count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines,
     sum(len(list_filter(string_split(text, chr(10)), lambda l: length(l) > 10000)))::BIGINT AS long_lines
-    FROM documents WHERE n_chars <= 20971520""",
+    FROM documents WHERE octet_length(encode(text)) <= 20971520""",
 )
 def guards_query(spark, sf):
     kept = gr.grep_guards(documents(spark, sf))
-    return kept.selectExpr("size(split(text, '\\n')) as n", f"size(filter(split(text, '\\n'), l -> length(l) > {gr.MAX_LINE_CHARS})) as g").agg(
+    return kept.selectExpr("size(split(text, '\\n')) as n", f"size(filter(split(text, '\\n'), l -> length(l) > {MAX_LINE_CHARS})) as g").agg(
         F.count("*").alias("files"), F.sum("n").alias("lines"), F.sum("g").alias("long_lines")
     )
 
@@ -162,3 +163,14 @@ def locate_query(spark, sf):
     # Upper-case names force the any-case arm for most lines.
     found = text_results(spark, sf).withColumn("name", F.translate("name", ascii_lowercase, ascii_uppercase))
     return rs.locate_symbol(found).select("qid", "file_path", "line", "start_col", "end_col")
+
+
+# Each document as one line, with a size beyond the guard's limit.
+LONG_SQL = DOCS_SQL.replace("n_chars AS size, text", "31457280 AS size, replace(text, chr(10), ' ') AS text")
+
+
+@query("grep_long_lines", f"WITH {lines_sql(LONG_SQL)} SELECT {HIT_COLS} FROM hits")
+def long_lines_query(spark, sf):
+    flat = documents(spark, sf).withColumn("size", F.lit(31457280)).withColumn("text", F.expr("replace(text, '\\n', ' ')"))
+    hits = gr.text_items(gr.grep(flat, needles(spark)))
+    return hits.select("qid", "id", "name", "line", "column", "hl_start", "hl_end")

@@ -47,7 +47,6 @@ ACTIVITY_WEIGHT = 0.3
 ACTIVITY_FLOOR = 0.05
 DEFAULT_RESULTS = 20
 DEFAULT_FAST_RESULTS = 10
-MAX_RESULTS = 1000
 MAX_FILE_BYTES = 20 * 1024 * 1024
 MAX_LINE_CHARS = 10000
 RETENTION_DAYS = 30

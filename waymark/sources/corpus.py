@@ -77,9 +77,11 @@ def drop_generated_paths(files: DataFrame, path: str = "file_path") -> DataFrame
     return files.filter(~(source & is_generated_path(F.col(path))))
 
 
-def drop_generated_content(files: DataFrame, marker: str = GENERATED_MARKER, text: str = "text") -> DataFrame:
-    """Drop files whose first 1024 bytes hold the marker."""
-    head = F.substr(F.encode(F.col(text), "utf-8"), F.lit(1), F.lit(MARKER_WINDOW))
+def drop_generated_content(
+    files: DataFrame, marker: str = GENERATED_MARKER, text: str = "text", window: int = MARKER_WINDOW
+) -> DataFrame:
+    """Drop files whose first `window` bytes hold the marker."""
+    head = F.substr(F.encode(F.col(text), "utf-8"), F.lit(1), F.lit(window))
     return files.filter(~F.contains(head, F.encode(F.lit(marker), "utf-8")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.text import any_glob_regex, normalize_path, slashes
-from waymark.operators.ranking import search
+from waymark.operators.answers import answer
 from waymark.sources.corpus import DEFAULT_EXCLUDES, is_generated_path
 
 
@@ -85,13 +85,12 @@ def apply_changes(root: str, build: Callable[[DataFrame], DataFrame], excludes=D
     return each
 
 
-def answer_queries(features: DataFrame, path: str, activity: DataFrame | None = None):
-    """A `foreachBatch` function: ranked search for each batch of queries."""
+def answer_queries(features: DataFrame, path: str, activity: DataFrame | None = None, **sources):
+    """A `foreachBatch` function: the answers to each batch of queries, of every kind (see `answer`)."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        found = search(batch, features, activity)
-        found.select("qid", "rank", "id", "scope", "line", "score").write.mode("overwrite").parquet(
-            f"{path}/version={epoch}"
-        )
+        batch.persist()
+        answer(batch, features, activity, **sources).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        batch.unpersist()
 
     return each
