@@ -107,19 +107,20 @@ def modified_set_query(spark, sf):
 # Match records of a log, one per conversation turn that holds the word.
 @query(
     "read_match_log",
-    r"""WITH t AS (SELECT conv_id, turn, role, repeat(' ', turn::INTEGER) || string_split(text, chr(10))[1] AS line FROM conversations),
+    r"""WITH t0 AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM conversations),
+    t AS (SELECT conv_id, turn, role, i, repeat(' ', turn::INTEGER) || raw AS line FROM t0),
     m AS (SELECT *, strlen(split_part(line, 'en', 1)) AS s FROM t WHERE contains(line, 'en') AND role = 'user')
-    SELECT '/c/' || conv_id AS path, turn::INTEGER AS line, s::INTEGER AS "column", trim(line) AS text, 'en' AS match,
+    SELECT '/c/' || conv_id AS path, (turn * 1000 + i)::INTEGER AS line, s::INTEGER AS "column", trim(line) AS text, 'en' AS match,
       greatest(0, s - turn) || '-' || greatest(0, s + 2 - turn) AS submatches FROM m""",
 )
 def match_log_query(spark, sf):
     t = tb.load(spark, sf, "conversations").selectExpr(
-        "conv_id", "turn", "role", "concat(repeat(' ', cast(turn as int)), split(text, '\\n')[0]) as line"
-    ).filter("contains(line, 'en')")
+        "conv_id", "turn", "role", "posexplode(split(text, '\\n')) as (i, raw)"
+    ).selectExpr("conv_id", "turn", "role", "i", "concat(repeat(' ', cast(turn as int)), raw) as line").filter("contains(line, 'en')")
     log = t.withColumn("at", F.expr("octet_length(substring_index(line, 'en', 1))")).selectExpr(
         """to_json(named_struct('type', if(role = 'user', 'match', 'context'), 'data', named_struct(
              'path', named_struct('text', concat('/c/', conv_id)), 'lines', named_struct('text', concat(line, '\\n')),
-             'line_number', turn + 1, 'submatches', array(named_struct('match', named_struct('text', 'en'), 'start', at, 'end', at + 2))))) as value"""
+             'line_number', turn * 1000 + i + 1, 'submatches', array(named_struct('match', named_struct('text', 'en'), 'start', at, 'end', at + 2))))) as value"""
     )
     broken = tb.load(spark, sf, "conversations").selectExpr("text as value")
     out = cp.read_match_log(log.unionByName(broken))

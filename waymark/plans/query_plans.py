@@ -155,7 +155,7 @@ def typed_commands(spark, sf):
 
 def seq_commands(spark, sf):
     """Catalog rows with an order column (the hash of the id keeps it stable)."""
-    return cm.command_items(command_ids(spark, sf)).withColumn("seq", F.crc32("command_id"))
+    return cm.command_items(command_ids(spark, sf)).withColumn("seq", F.conv(F.substring(F.md5("command_id"), 1, 8), 16, 10).cast("long"))
 
 
 TYPED_COMMANDS_SQL = f"""{COMMANDS_SQL},
@@ -169,12 +169,13 @@ chit AS (SELECT * FROM cs WHERE score > 0.01)"""
 
 @query(
     "search_commands",
-    f"WITH {TYPED_COMMANDS_SQL} SELECT qkey, id, round(score, 6) AS score FROM chit",
+    f"""WITH {TYPED_COMMANDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY score DESC, ('0x' || substr(md5(command_id), 1, 8))::BIGINT) AS n FROM chit)
+    SELECT qkey, id, round(score, 6) AS score FROM r WHERE n <= 20""",
 )
 def search_commands_query(spark, sf):
     asked = typed_commands(spark, sf)
     context = qp.live(qp.query_context(asked))
-    found = cm.search_commands(context, seq_commands(spark, sf), limit=1000)
+    found = cm.search_commands(context, seq_commands(spark, sf))
     keys = asked.selectExpr("qid as kq", "query as kquery").join(
         tb.load(spark, sf, "events").selectExpr("event_type", "crc32(event_type) as h").distinct(), F.col("kq") == F.col("h"), "left"
     ).selectExpr("kq", "coalesce(event_type, cast(kq as string)) as qkey")

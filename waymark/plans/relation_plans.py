@@ -14,8 +14,8 @@ LABEL_SQL = "CASE WHEN n = 0 THEN 'no {0}s' WHEN n = 1 THEN '1 {0}' ELSE n || '
 
 
 # Line items as references to parts: file by supplier, line by order.
-def references(spark, sf, where="true"):
-    return tb.load(spark, sf, "lineitem").filter(where).selectExpr(
+def references(spark, sf):
+    return tb.load(spark, sf, "lineitem").selectExpr(
         "l_partkey as symbol", "concat('/s/', l_suppkey) as file_path", "l_orderkey as line", "l_linenumber as col",
         "l_orderkey as end_line", "l_linenumber + 3 as end_col",
     )
@@ -48,7 +48,7 @@ PARENT = "if(p_size < 20, 'interface', if(p_size < 30, 'class', null))"
 
 @query(
     "implementation_counts",
-    f"""WITH {REFS_SQL.format("AND r.l_returnflag = 'R' AND r.l_quantity > 44")}, s AS (SELECT c.symbol, n, {KIND} AS kind, CASE WHEN p_size < 20 THEN 'interface' WHEN p_size < 30 THEN 'class' END AS parent_kind
+    f"""WITH {REFS_SQL.format("")}, s AS (SELECT c.symbol, n, {KIND} AS kind, CASE WHEN p_size < 20 THEN 'interface' WHEN p_size < 30 THEN 'class' END AS parent_kind
       FROM counted c JOIN part ON symbol = p_partkey)
     SELECT symbol, kind, n, {LABEL_SQL.format('implementation')} AS label FROM s WHERE kind IN ('class', 'interface', 'method', 'function')
       AND (n > 0 OR kind IN ('class', 'interface') OR parent_kind = 'interface')""",
@@ -56,8 +56,7 @@ PARENT = "if(p_size < 20, 'interface', if(p_size < 30, 'class', null))"
 def implementation_query(spark, sf):
     kinds = tb.load(spark, sf, "part").selectExpr("p_partkey as symbol", f"{KIND} as kind", f"{PARENT} as parent_kind")
     symbols = declarations(spark, sf).join(kinds, "symbol")
-    impls = references(spark, sf, "l_returnflag = 'R' and l_quantity > 44")
-    return rl.implementation_counts(symbols, impls).select("symbol", "kind", "n", "label")
+    return rl.implementation_counts(symbols, references(spark, sf)).select("symbol", "kind", "n", "label")
 
 
 # Nations declared twice per region file; customers are their members.
@@ -122,6 +121,32 @@ def enclosing_query(spark, sf):
     return rl.enclosing_declaration(refs, marks).select("file_path", "line", "owner", "owner_line")
 
 
+# One C# file per supplier: line, text ({} is the key), owner of a reference there and its line.
+CODE_LINES = [
+    ("namespace A.B", None, None), ("class S{} : Base", None, None), ("{{", "call at line 3", 2),
+    ("public async Task<int> Load{}(int id)", "Load{}", 3), ("{{", "Load{}", 3), ("return Helper(id);", "Load{}", 3),
+    ("}}", "Load{}", 3), ("readonly ref int Size{}(int a)", "Size{}", 7), ("use(x);", "Size{}", 7),
+    ("extern static void Raw{}<T>(T x);", "Raw{}", 9), ("Map{}<T>(T x) {{", "Map{}", 10), ("// class comment", "Map{}", 10),
+    ("x();", "Map{}", 10), ("interface I{}", None, None), ("y();", "call at line 15", 14),
+]
+CODE_TEXT = ", ".join("'" + t.replace("{}", "\x00").replace("{{", "{").replace("}}", "}") + "'" for t, _, _ in CODE_LINES)
+CODE_ROWS = [(i, o.replace("{}", "\x00"), at) for i, (_, o, at) in enumerate(CODE_LINES) if o]
+
+
+@query(
+    "enclosing_declaration_code",
+    f"""SELECT '/code/' || s_suppkey || '.cs' AS file_path, line, replace(owner, chr(1), s_suppkey::VARCHAR) AS owner, owner_line
+    FROM supplier, (VALUES {', '.join(f"({i}, '{o}', {at})" for i, o, at in CODE_ROWS)}) AS t(line, owner, owner_line)""".replace("\x00", "\x01"),
+)
+def enclosing_code_query(spark, sf):
+    text = f"array({CODE_TEXT})".replace("\x00", "\x01")
+    lines = tb.load(spark, sf, "supplier").selectExpr("s_suppkey", f"posexplode({text}) as (line, raw)").selectExpr(
+        "concat('/code/', s_suppkey, '.cs') as file_path", "line", "replace(raw, char(1), cast(s_suppkey as string)) as text"
+    )
+    refs = lines.filter(F.col("line").isin([i for i, _, _ in CODE_ROWS])).select(F.concat_ws(":", "file_path", "line").alias("ref_id"), "file_path", "line")
+    return rl.enclosing_declaration(refs, rl.declaration_marks(lines)).select("file_path", "line", "owner", "owner_line")
+
+
 # Orders of a customer as symbols: one range per order, and one per thousand.
 @query(
     "enclosing_symbol",

@@ -231,3 +231,20 @@ def report_query(spark, sf):
         "events": st.latency_summary(samples(spark, sf)),
         "orders": st.latency_summary(orders),
     })
+
+
+_MB = lambda c: f"coalesce(printf('%.2f', {c}), '')"
+
+
+@query(
+    "memory_report",
+    f"""WITH m AS (SELECT o_orderpriority AS name, count(*) / 4 AS rss, max(o_custkey) / 4 AS heap_total,
+      CASE WHEN o_orderpriority > '3' THEN min(o_orderkey) / 4 END AS heap_used, max(o_orderkey) / 4 AS external FROM orders GROUP BY 1)
+    SELECT name, '| ' || name || ' | ' || {" || ' | ' || ".join(_MB(c) for c in ["rss", "heap_total", "heap_used", "external"])} || ' |' AS text FROM m""",
+)
+def memory_report_query(spark, sf):
+    o = tb.load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(
+        (F.count("*") / 4).alias("rss"), (F.max("o_custkey") / 4).alias("heap_total"),
+        F.when(F.col("o_orderpriority") > "3", F.min("o_orderkey") / 4).alias("heap_used"), (F.max("o_orderkey") / 4).alias("external"),
+    )
+    return st.memory_report(o)
