@@ -7,7 +7,7 @@ from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_substring
 from waymark.operators.queries import about_queries, live, query_context
 from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search, within
-from waymark.operators.routes import endpoint_hits, route_index
+from waymark.operators.routes import cut_keys, endpoint_hits, route_index
 from waymark.schema import FAST_SCOPE_ORDER, boost_of
 from waymark.session import cut, union_all
 
@@ -57,12 +57,19 @@ def tier_pairs(context: DataFrame, features: DataFrame, condition=None, small: b
 
 
 def add_routes(
-    found: DataFrame, context: DataFrame, features: DataFrame, route_keys: DataFrame | None = None
+    found: DataFrame, context: DataFrame, features: DataFrame, route_keys: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Fill up to k with endpoints that match the path; no verb gate, no boost."""
+    """Fill up to k with endpoints that match the path; no verb gate, no boost. `limit`: the largest k, if known."""
     keys = route_index(features.filter("scope = 'endpoints'")) if route_keys is None else route_keys
+    if limit is not None:
+        # Up to `limit` of a key may be found already.
+        keys = cut_keys(keys, 2 * limit, F.asc("seq"))
     hits = endpoint_hits(context.filter("is_url"), keys, gate=False)
-    fresh = hits.join(found.select("qid", "id"), ["qid", "id"], "left_anti")
+    fresh = hits.join(found.select("qid", "seq"), ["qid", "seq"], "left_anti")
+    w = Window.partitionBy("qid").orderBy("seq")
+    fresh = fresh.withColumn("n", F.row_number().over(w)).filter(within("n", "k", limit)).drop("n")
+    items = features.filter("scope = 'endpoints'").select([c for c in ROW if c in features.columns])
+    fresh = items.join(fresh, "seq")
     # Old rows keep their places, new ones follow in index order.
     both = found.select(*ROW).withColumn("late", F.lit(0)).unionByName(
         fresh.select(*ROW).withColumn("late", F.lit(1))
@@ -96,7 +103,7 @@ def fast_search(
     # At most k rows per query are left; the rest works on these.
     results = cut(first.withColumn("score", F.col("tier") * boost_of(F.col("type"))).select(*ROW), "fast")
     if about["urls"]:
-        results = cut(add_routes(results, context, features, route_keys), "fast")
+        results = cut(add_routes(results, context, features, route_keys, limit), "fast")
     if activity is not None:
         results = blend_activity(results, activity)
     results = apply_target_line(results)

@@ -9,7 +9,7 @@ from waymark.functions.fuzzy import fuzzy_score, match_positions, to_highlights
 from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_mask
 from waymark.operators.queries import about_queries, live, query_context
-from waymark.operators.routes import endpoint_hits, route_index
+from waymark.operators.routes import cut_keys, endpoint_hits, route_index
 from waymark.schema import (
     ACTIVITY_FLOOR,
     ACTIVITY_WEIGHT,
@@ -177,8 +177,12 @@ def score_items(
     if not routes:
         return best.select(*ROW)
     keys = route_index(items.filter("scope = 'endpoints'")) if keys is None else keys
-    hits = endpoint_hits(context.filter("is_url"), keys)
-    hits = top_k(hits.withColumn("provider", group), ["qid", "provider"], limit=limit)
+    if limit is not None:
+        keys = cut_keys(keys, limit, F.desc("key_score"), F.asc("seq"))
+    hits = endpoint_hits(context.filter("is_url"), keys).withColumn("type", F.lit("endpoint"))
+    hits = top_k(hits.withColumn("provider", group).drop("type"), ["qid", "provider"], limit=limit)
+    # The items of the few hits that are left.
+    hits = items.filter("scope = 'endpoints'").select(*CARRY).join(hits, "seq")
     return top_k(merge_route_score(best, hits), ["qid", "provider"], limit=limit).select(*ROW)
 
 
@@ -244,6 +248,9 @@ def search(
     # Both groups come from one pass over the items.
     group = F.when(F.col("type") == "file", "files").otherwise("symbols")
     found = features.filter(F.col("scope") != "text")
+    if "everything" not in about["scopes"]:
+        # Reaches the scan: row groups of other scopes are skipped.
+        found = found.filter(F.col("scope").isin([*about["scopes"], *(["endpoints"] if about["urls"] else [])]))
     arms = [score_items(context, found, provider=group, routes=about["urls"], small=small, limit=limit, keys=route_keys)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
         if paths is not None and scope in about["sets"]:

@@ -201,14 +201,33 @@ def method_gate(matches: DataFrame, query_verb: str = "p_verb", score: str = "ro
 
 
 def route_index(endpoints: DataFrame) -> DataFrame:
-    """Key table of endpoint items, for `endpoint_hits`."""
-    return template_keys(compile_template(endpoints, "name"))
+    """Key table of endpoint items, for `endpoint_hits`: no item columns but `seq`.
+
+    The expression and parameters of a template are kept only where they are read.
+    """
+    keys = template_keys(compile_template(endpoints.select("seq", "name"), "name"))
+    read = F.col("t_irregular") | (F.col("kind") != "S")
+    return keys.select(
+        "seq", "kind", "m", "pattern", "key", "key_score", "t_verb", "t_irregular",
+        F.when(read, F.col("t_regex")).alias("t_regex"), F.when(read, F.col("t_params")).alias("t_params"),
+    )
+
+
+def cut_keys(keys: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first `k` regular templates of each key and verb.
+
+    They score alike on every path, so the others cannot be among a path's `k` first. Each
+    task cuts its own rows before the shuffle, so keys that most templates share (`*`) stay small.
+    """
+    w = Window.partitionBy("kind", "key", "t_verb").orderBy(*order)
+    regular = keys.filter("not t_irregular").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+    return regular.unionByName(keys.filter("t_irregular"))
 
 
 def endpoint_hits(
     context: DataFrame, keys: DataFrame, gate: bool = True, patterns: DataFrame | None = None
 ) -> DataFrame:
-    """Route-scored endpoint items of path-like queries (score in `score`).
+    """Path-like queries with the `seq` and route score (`score`) of endpoint items.
 
     `keys` is a `route_index`, `patterns` its `key_patterns` if stored as well.
     """
@@ -221,4 +240,4 @@ def endpoint_hits(
     hits = _match(paths, keys, "score", patterns)
     if gate:
         hits = method_gate(hits, "p_verb", "score")
-    return hits.withColumn("scope", F.lit("endpoints"))
+    return hits.drop("t_verb", "t_irregular", "t_regex", "t_params")
