@@ -5,14 +5,15 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from waymark.session import local_session  # noqa: E402
+from waymark.session import clear_cuts, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("tests", "8", 4)
+def spark(tmp_path_factory):
+    s = local_session("tests", "8", 4, shared=str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_cuts(s)
     s.stop()
 
 

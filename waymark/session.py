@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(app: str = "waymark", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and benches; clusters bring their own."""
+#: Folders of sessions that name none, and the tables written to cut lineage, by application.
+_OWN_DIR: dict[str, str] = {}
+_CUTS: dict[str, list[str]] = {}
+
+
+def local_session(app: str = "waymark", cores: str = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session for tests and benches, which name the shared folder; clusters bring their own."""
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,16 +34,17 @@ def local_session(app: str = "waymark", cores: str = "*", partitions: int = 8) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Where that is unset, a local master, which has no other machines, gets one of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    fallback = tempfile.mkdtemp(prefix="waymark-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIR:
+        _OWN_DIR[app] = tempfile.mkdtemp(prefix="waymark-")
+    return _OWN_DIR[app]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -54,9 +61,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete the tables that `cut` wrote in this application; results that read them are over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in _CUTS.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when `df` has at most `max_rows` rows; reads no more than it must."""
     return df.limit(max_rows + 1).count() <= max_rows
