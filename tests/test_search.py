@@ -149,14 +149,14 @@ def docs(spark, *texts):
 def test_grep_offsets(spark):
     d = docs(spark, "    const FOO = 1;\nnothing\n\n  foo foo", "x" * 10001 + "foo", "last foo")
     q = spark.createDataFrame([(1, "foo", 10)], "qid int, query string, max_results int")
-    got = [(r.file_path, r.line, r.column, r.name, r.hl_start, r.hl_end) for r in grep(d, q).orderBy("seq", "line").collect()]
+    got = [(r.file_path, r.line, r.column, r.name, r.hl_start, r.hl_end) for r in grep(d, q, max_line=10000).orderBy("seq", "line").collect()]
     assert got == [("/d/0", 0, 10, "const FOO = 1;", 6, 9), ("/d/0", 3, 2, "foo foo", 0, 3), ("/d/2", 0, 5, "last foo", 5, 8)]
-    subs = [[(s.start, s.end) for s in r.submatches] for r in grep_submatches(d, q).orderBy("seq", "line").collect()]
+    subs = [[(s.start, s.end) for s in r.submatches] for r in grep_submatches(d, q, max_line=10000).orderBy("seq", "line").collect()]
     assert subs == [[(6, 9)], [(0, 3), (4, 7)], [(5, 8)]]
-    large = {(r.file_path, r.line) for r in grep(d, q, small=False).collect()}
+    large = {(r.file_path, r.line) for r in grep(d, q, small=False, max_line=10000).collect()}
     assert large == {(g[0], g[1]) for g in got}
     opened = spark.createDataFrame([("/d/2",)], "file_path string")
-    order = [(r.file_path, r.line) for r in first_hits(grep(d, q), opened).orderBy("pos").collect()]
+    order = [(r.file_path, r.line) for r in first_hits(grep(d, q, max_line=10000), opened).orderBy("pos").collect()]
     assert order == [("/d/2", 0), ("/d/0", 0), ("/d/0", 3)]
 
 
