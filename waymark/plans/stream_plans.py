@@ -63,7 +63,6 @@ def run_steps(stream: DataFrame, label: str, each, mode: str = "append") -> None
 # --------------------------------------------------------- event-time windows
 
 GAP, DELAY = "6 hours", "10 minutes"
-CLOSED_SQL = "epoch_us((SELECT max(ts) FROM events)) // 1000 * 1000 - 600000000"
 
 
 @query(
@@ -71,22 +70,24 @@ CLOSED_SQL = "epoch_us((SELECT max(ts) FROM events)) // 1000 * 1000 - 600000000"
     f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g),
     b AS (SELECT user_id AS key, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, arg_max(event_type, (ts, event_id)) AS value, count(*) AS n FROM s GROUP BY user_id, burst)
-    SELECT * FROM b WHERE end_us <= {CLOSED_SQL}""",
+    SELECT * FROM b""",
 )
 def debounce_query(spark, sf):
-    e = event_stream(spark, sf).selectExpr("user_id as key", "ts", "event_id", "event_type as value")
-    out = run_to_table(sg.debounce(e, "key", GAP, DELAY), "debounce")
+    form = ["user_id as key", "ts", "event_id", "event_type as value"]
+    out = run_to_table(sg.debounce(event_stream(spark, sf).selectExpr(*form), "key", GAP, DELAY), "debounce")
+    out = out.unionByName(sg.debounce_rest(tb.load(spark, sf, "events").selectExpr(*form), out, "key", GAP))
     return out.selectExpr("key", us("start", "start_us"), us("end", "end_us"), "value", "n")
 
 
 @query(
     "batch_window",
     f"""WITH b AS (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_type AS folder, user_id AS item, count(*) AS n FROM events GROUP BY 1, 2, 3)
-    SELECT * FROM b WHERE start_us + 3600000000 <= {CLOSED_SQL}""",
+    SELECT * FROM b""",
 )
 def batch_window_query(spark, sf):
-    e = event_stream(spark, sf).selectExpr("event_type as folder", "user_id as item", "ts")
-    out = run_to_table(sg.batch_window(e, "folder", "item", "1 hour", DELAY), "batches")
+    form = ["event_type as folder", "user_id as item", "ts"]
+    out = run_to_table(sg.batch_window(event_stream(spark, sf).selectExpr(*form), "folder", "item", "1 hour", DELAY), "batches")
+    out = out.unionByName(sg.batch_window_rest(tb.load(spark, sf, "events").selectExpr(*form), out, "folder", "item", "1 hour"))
     return out.selectExpr(us("start", "start_us"), "folder", "item", "n")
 
 

@@ -39,6 +39,22 @@ def batch_window(requests: DataFrame, folder: str, item: str, width: str, delay:
     )
 
 
+def debounce_rest(events: DataFrame, emitted: DataFrame, key: str, gap: str) -> DataFrame:
+    """Bursts still open when a run of the stream `debounce` ended, from the same events as a batch.
+
+    Bursts of a key do not overlap, so only rows after its last emitted one are read.
+    """
+    last = emitted.groupBy(key).agg(F.max("end").alias("_end"))
+    rest = events.join(last, key, "left").filter(F.col("_end").isNull() | (F.col("ts") >= F.col("_end"))).drop("_end")
+    return debounce(rest, key, gap, "0 seconds")
+
+
+def batch_window_rest(requests: DataFrame, emitted: DataFrame, folder: str, item: str, width: str) -> DataFrame:
+    """Windows still open when a run of the stream `batch_window` ended: those after the last emitted one."""
+    closed = emitted.agg(F.max("end")).scalar()
+    return batch_window(requests.filter(closed.isNull() | (F.col("ts") >= closed)), folder, item, width, "0 seconds")
+
+
 def latest_query(typed: DataFrame) -> DataFrame:
     """The newest query per session `(session, ts, event_id, query)`."""
     return typed.groupBy("session").agg(F.max(F.struct("ts", "event_id", "query")).alias("last")).select(
