@@ -4,6 +4,7 @@ what is there, and is compared with SQL over the whole table."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.text import normalize_path
 from waymark.operators import activity as act
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
@@ -33,11 +34,11 @@ def event_slices(spark, sf) -> tuple[str, object]:
     return _SLICES[key]
 
 
-FILES_PER_TRIGGER = 1000
+FILES_PER_TRIGGER = 1
 
 
 def event_stream(spark, sf) -> DataFrame:
-    """The arrival files as a stream; tests lower the limit to get many batches."""
+    """The arrival files as a stream, one in each micro-batch: state is handed over between them."""
     path, schema = event_slices(spark, sf)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(path)
 
@@ -231,9 +232,9 @@ def apply_changes_query(spark, sf):
 @query("removals_before_adds", UPKEEP_SQL)
 def compacted_query(spark, sf):
     root = kept_index(spark, sf)
-    # A late repeat of an old removal must not delete fresh rows.
-    old = spark.read.parquet(f"{root}/removals/version=1")
-    old.write.mode("append").parquet(f"{root}/removals/version=1")
+    # A removal of the first batch that arrives after the paths were added again must not delete these rows.
+    fresh = spark.read.parquet(f"{root}/adds").filter("version > 1").select(normalize_path(F.col("file_path")).alias("file_path")).distinct()
+    fresh.write.mode("append").parquet(f"{root}/removals/version=1")
     target = fresh_dir(spark, "compacted")
     up.compact(spark, root, target)
     return up.live_items(spark, target).select("id", "file_path", "built_by")

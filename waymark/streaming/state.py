@@ -52,6 +52,7 @@ def with_state(root: str, keys: list[str], schema, step: Callable):
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        batch.persist()  # read for the keys, the output and the state
         before = state_before(spark, root, epoch, keys, schema)
         keyed = set(keys) <= set(batch.columns)
         touched = before.join(batch.select(*keys).distinct(), keys, "left_semi") if keyed else before
@@ -60,6 +61,7 @@ def with_state(root: str, keys: list[str], schema, step: Callable):
         if epoch > 0 and epoch % SNAPSHOT_EVERY == 0:
             after = after.unionByName(before.join(after.select(*keys), keys, "left_anti"))
         after.write.mode("overwrite").parquet(f"{root}/state/version={epoch}")
+        batch.unpersist()
 
     return each
 

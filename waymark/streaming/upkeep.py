@@ -76,11 +76,12 @@ def apply_changes(root: str, build: Callable[[DataFrame], DataFrame], excludes=D
 
     def each(batch: DataFrame, epoch: int) -> None:
         version = epoch + 1
-        now = resolve_changes(batch, excludes, ignored)
+        now = resolve_changes(batch, excludes, ignored).persist()  # written twice
         now.select(normalize_path(F.col("file_path")).alias("file_path")).write.mode("overwrite").parquet(
             f"{root}/removals/version={version}"
         )
         build(now.filter("kind <> 'delete'")).write.mode("overwrite").parquet(f"{root}/adds/version={version}")
+        now.unpersist()
 
     return each
 
