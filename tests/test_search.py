@@ -160,6 +160,9 @@ def test_grep_offsets(spark):
     assert order == [("/d/2", 0), ("/d/0", 0), ("/d/0", 3)]
 
 
-def test_rarest_bit(spark):
-    df = spark.createDataFrame([(0,), (1,), (1 | 1 << 25,), (1 << 31 | 1,)], "m bigint")
-    assert [r[0] for r in df.select(pairing.rarest_bit("m")).collect()] == [-1, 0, 25, 31]
+def test_slices_hold_each_query_once(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "BROADCAST_QUERIES", 100)
+    asked = spark.range(1000).selectExpr("cast(id as int) as qid")
+    parts = pairing.slices(asked)
+    assert len(parts) == 10 and sorted(r.qid for p in parts for r in p.collect()) == list(range(1000))
+    assert len(pairing.slices(asked.limit(50))) == 1

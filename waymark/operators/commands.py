@@ -53,7 +53,7 @@ def command_features(commands: DataFrame) -> DataFrame:
 
 def search_commands(context: DataFrame, commands: DataFrame, limit: int = 20) -> DataFrame:
     """Best of title and id score per query; `commands` carry a `seq`."""
-    pairs = pair_by_mask(command_features(commands), context, "c_mask", "q_mask", "command_id", F.lit(True))
+    pairs = pair_by_mask(command_features(commands), context, "c_mask", "q_mask", F.lit(True))
     score = F.greatest(fuzzy_score("q_low", "q_chars", "c_name"), fuzzy_score("q_low", "q_chars", "c_id"))
     scored = keep_scored(pairs, score).withColumn("k", F.lit(limit))
     return top_k(scored, ["qid"], limit=limit)

@@ -50,7 +50,7 @@ def first_k_by_priority(matches: DataFrame, limit: int | None = None) -> DataFra
 def tier_pairs(context: DataFrame, features: DataFrame, condition=None, small: bool | None = None):
     """Matching (query, item) pairs of the substring tiers."""
     pairs = pair_by_substring(
-        features, context, ["name_low", "full_low"], "q_low", "id",
+        features, context, ["name_low", "full_low"], "q_low",
         _in_scope() if condition is None else condition, small,
     )
     return tier_match(pairs).filter("tier > 0")

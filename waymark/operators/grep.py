@@ -31,7 +31,7 @@ def matching_lines(
     """
     found = docs if max_bytes is None else grep_guards(docs, max_bytes)
     pairs = pair_by_substring(
-        found.withColumn("text_low", F.lower("text")), _needles(queries), ["text_low"], "q_low", "file_path", F.lit(True), small
+        found.withColumn("text_low", F.lower("text")), _needles(queries), ["text_low"], "q_low", F.lit(True), small
     )
     keep = [c for c in docs.columns if c != "text"]
     lines = pairs.select(*keep, "qid", "q_low", "k", F.posexplode(F.split("text", "\n")).alias("line", "raw"))

@@ -1,40 +1,27 @@
 """Pairing a set of queries with a large table on a non-equality condition.
 
-A small query set (checked, not assumed) is broadcast, so the large table is
-never shuffled. A larger one goes through an equality join on a token both
-sides must share, with the hot tokens salted.
+The queries are broadcast in slices of checked size, so the large table is never shuffled
+and no wide row is copied; it is read once for each slice. Slices are independent: each
+query is in one, so cuts per query hold within a slice.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import fits
+from waymark.session import fits, union_all
 
 BROADCAST_QUERIES = 2000
-SALTS = 16
 
-# Fixed order: mask bits from rare to common in names; 31 and 30 are the
-# non-letter classes, 26 the digits.
-RARE_FIRST = [31] + [ord(c) - 97 for c in "qjzxvkwybhgfpumdclonisrtae"] + [30, 26]
 
+def slices(queries: DataFrame, small: bool | None = None) -> list[DataFrame]:
+    """The query set in parts of about `BROADCAST_QUERIES` rows by a hash of `qid`.
 
-def rarest_bit(mask: str) -> Column:
-    """One bit of a mask column, the rarest by the fixed order; -1 if empty."""
-    tests = " ".join(f"WHEN {mask} & {1 << b}L != 0 THEN {b}" for b in RARE_FIRST)
-    return F.expr(f"CASE {tests} ELSE -1 END")
-
-
-def set_bits(mask: str) -> Column:
-    """All set bits of a mask column, plus -1, which every item shares."""
-    bits = ", ".join(f"if({mask} & {1 << b}L != 0, {b}, null)" for b in sorted(RARE_FIRST))
-    return F.expr(f"filter(array(-1, {bits}), b -> b is not null)")
-
-
-def grams(text: Column, size: int) -> Column:
-    """Distinct character runs of one length, over the whole text."""
-    last = F.length(text) - size + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+    `small` passes a size check already made.
+    """
+    if fits(queries, BROADCAST_QUERIES) if small is None else small:
+        return [queries]
+    n = max(2, -(-queries.count() // BROADCAST_QUERIES))
+    return [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
 def pair_by_mask(
@@ -42,33 +29,15 @@ def pair_by_mask(
     queries: DataFrame,
     big_mask: str,
     query_mask: str,
-    row_key: str,
     condition: Column,
     small: bool | None = None,
 ) -> DataFrame:
     """Rows of `big` x queries whose mask is covered, and `condition` holds.
 
-    The two sides must not share column names. `small` passes a size check
-    already made.
+    The two sides must not share column names.
     """
     covered = F.col(big_mask).bitwiseAND(F.col(query_mask)) == F.col(query_mask)
-    if fits(queries, BROADCAST_QUERIES) if small is None else small:
-        return big.join(F.broadcast(queries), covered & condition)
-    left = big.withColumn("_token", F.explode(set_bits(big_mask))).withColumn(
-        "_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS))
-    )
-    right = (
-        queries.withColumn("_qtoken", rarest_bit(query_mask))
-        .withColumn("_qsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    joined = left.join(
-        right,
-        (F.col("_token") == F.col("_qtoken"))
-        & (F.col("_salt") == F.col("_qsalt"))
-        & covered
-        & condition,
-    )
-    return joined.drop("_token", "_salt", "_qtoken", "_qsalt")
+    return union_all(big.join(F.broadcast(part), covered & condition) for part in slices(queries, small))
 
 
 def pair_by_substring(
@@ -76,37 +45,11 @@ def pair_by_substring(
     queries: DataFrame,
     texts: list[str],
     query_text: str,
-    row_key: str,
     condition: Column,
     small: bool | None = None,
 ) -> DataFrame:
-    """Rows of `big` x queries where any of `texts` contains the query.
-
-    Beyond the broadcast bound the shared token is the query's first three
-    characters (or all of a shorter query), looked up among the text's grams.
-    """
+    """Rows of `big` x queries where any of `texts` contains the query."""
     inside = F.lit(False)
     for t in texts:
         inside = inside | F.coalesce(F.contains(F.col(t), F.col(query_text)), F.lit(False))
-    if fits(queries, BROADCAST_QUERIES) if small is None else small:
-        return big.join(F.broadcast(queries), inside & condition)
-    tokens = F.array_distinct(
-        F.flatten(
-            F.array(*[grams(F.coalesce(F.col(t), F.lit("")), n) for t in texts for n in (1, 2, 3)])
-        )
-    )
-    left = big.withColumn("_token", F.explode(tokens)).withColumn(
-        "_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS))
-    )
-    right = (
-        queries.withColumn("_qtoken", F.substr(F.col(query_text), F.lit(1), F.lit(3)))
-        .withColumn("_qsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    joined = left.join(
-        right,
-        (F.col("_token") == F.col("_qtoken"))
-        & (F.col("_salt") == F.col("_qsalt"))
-        & inside
-        & condition,
-    )
-    return joined.drop("_token", "_salt", "_qtoken", "_qsalt")
+    return union_all(big.join(F.broadcast(part), inside & condition) for part in slices(queries, small))

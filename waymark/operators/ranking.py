@@ -40,7 +40,7 @@ def mask_prefilter(
 ) -> DataFrame:
     """Query x item pairs whose item holds every character class of the query."""
     return pair_by_mask(
-        items, context, "item_mask", "q_mask", "id",
+        items, context, "item_mask", "q_mask",
         _in_scope() if condition is None else condition, small,
     )
 
