@@ -97,7 +97,7 @@ def test_extract_and_qualify(spark):
     code = "export class A {\n  go() {}\n}\ninterface B {\n}\nexport async function f() {\n}\n"
     d = df(spark, [("/a.ts", "a.ts", "typescript", code)], "file_path string, relative_path string, language string, text string")
     found = bd.extract_symbols(d)
-    assert [(r.name, r.type, r.line) for r in found.orderBy("line").collect()] == [("A", "class", 0), ("B", "interface", 3), ("f", "function", 5)]
+    assert [(r.name, r.type, r.line) for r in found.orderBy("line").collect()] == [("A", "class", 0), ("go", "method", 1), ("B", "interface", 3), ("f", "function", 5)]
     depth = {r.line: r.depth for r in bd.brace_depth(d.select("file_path", "text")).collect()}
     assert (depth[0], depth[1], depth[3]) == (0, 1, 0)
     rows = [("/f", 0, 0, "A", "class"), ("/f", 1, 1, "m", "method"), ("/f", 2, 2, "x", "variable"), ("/f", 3, 1, "I", "enum"),

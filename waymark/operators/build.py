@@ -42,7 +42,24 @@ _C_METHOD = (
     r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|async|abstract|final|sealed)\s+)+"
     r"(?:[\w<>\[\],.?]+\s+)+(\w+)\s*\("
 )
+_TS_WORDS = r"(?!(?:if|for|while|switch|catch|function|return|constructor|new|super|await|typeof|else|do|with)\b)"
+_TS_METHOD = (
+    r"^\s+(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*" + _TS_WORDS
+    + r"([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^={;]+)?\{"
+)
+_TS_PROPERTY = r"^\s+(?:(?:public|private|protected|static|readonly|declare)\s+)+([A-Za-z_$][\w$]*)\s*[?!]?\s*[:=;]"
+_TS_VARIABLE = r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*[:=;]"
+_C_WORDS = r"(?!(?:return|else|if|for|while|switch|typedef|using|namespace|new|delete|throw|case)\b)"
+_C_FUNCTION = _C_WORDS + r"(?:[A-Za-z_][\w:<>,]*[\s*&]+)+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:const\s*)?\{?\s*$"
 RULES = [
+    *[
+        Rule(lang, pattern, kind)
+        for lang in ("typescript", "typescriptreact", "javascript", "javascriptreact")
+        for pattern, kind in ((_TS_METHOD, "method"), (_TS_PROPERTY, "property"), (_TS_VARIABLE, "variable"))
+    ],
+    *[Rule(lang, r"^\s*(?:typedef\s+)?enum\s+(?:class\s+|struct\s+)?(\w+)", "enum") for lang in ("c", "cpp")],
+    *[Rule(lang, "^" + _C_FUNCTION, "function") for lang in ("c", "cpp")],
+    Rule("cpp", r"^\s+" + _C_FUNCTION, "method"),
     *[
         Rule(lang, rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?{word}\s+(\w+)", kind)
         for lang in ("typescript", "typescriptreact", "javascript", "javascriptreact")
@@ -104,6 +121,20 @@ def extract_symbols(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     )
 
 
+#: Columns of one level, in languages that nest by indentation.
+INDENTS = {"python": 4, "ruby": 2}
+
+
+def code_symbols(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """Extracted declarations with depth, container, full name and id (`ts:path:fullName:row`)."""
+    found = extract_symbols(docs, rules)
+    depth = brace_depth(docs.select("file_path", "text"))
+    width = F.coalesce(lookup(F.col("language"), INDENTS), F.lit(0))
+    level = F.when(width > 0, F.floor(F.try_divide("indent", width))).otherwise(F.col("depth"))
+    named = qualify_names(found.join(depth, ["file_path", "line"]).withColumn("depth", level.cast("int")))
+    return named.withColumn("id", F.concat_ws(":", F.lit("ts"), "file_path", "full_name", "line"))
+
+
 def brace_depth(docs: DataFrame) -> DataFrame:
     """Open braces before each line: `(file_path, line, depth)`."""
     lines = docs.select("file_path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))

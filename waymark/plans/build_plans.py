@@ -406,3 +406,37 @@ def settings_deep_query(spark, sf):
         F.concat(F.lit(opened), F.get_json_object("props", "$.k"), F.lit("}" * 10)).alias("json"),
     )
     return bd.flatten_settings(e)
+
+
+# One source of each language per supplier ({} is the key): text, then line, name, type and full name of its symbols.
+CODE_FORMS = [
+    ("typescript", "class A{} {\n  private size = 1;\n  run{}(x: number): void {\n    if (x) {\n    }\n  }\n}\nexport const go{} = (a) => a;\nfunction f{}() {\n}\nenum E{} { X }",
+     [(0, "A{}", "class", "A{}"), (1, "size", "property", "A{}.size"), (2, "run{}", "method", "A{}.run{}"), (7, "go{}", "variable", "go{}"), (8, "f{}", "function", "f{}"), (10, "E{}", "enum", "E{}")]),
+    ("javascript", "class A{} {\n  async run{}(x) {\n    while (x) {\n    }\n  }\n}\nlet v{} = 1;", [(0, "A{}", "class", "A{}"), (1, "run{}", "method", "A{}.run{}"), (6, "v{}", "variable", "v{}")]),
+    ("cpp", "class B{} {\n  int get{}() const {\n    return 1;\n  }\n};\nenum class F{} { Y };\nint add{}(int a) {\n}",
+     [(0, "B{}", "class", "B{}"), (1, "get{}", "method", "B{}.get{}"), (5, "F{}", "enum", "F{}"), (6, "add{}", "function", "add{}")]),
+    ("c", "struct S{} {\n};\nenum G{} { Z };\nstatic int *sum{}(int a)\n{\n  return sum{}(a);\n}", [(0, "S{}", "class", "S{}"), (2, "G{}", "enum", "G{}"), (3, "sum{}", "function", "sum{}")]),
+    ("csharp", "public class C{} {\n  public int Load{}(int a) {\n  }\n}", [(0, "C{}", "class", "C{}"), (1, "Load{}", "method", "C{}.Load{}")]),
+    ("java", "public interface J{} {\n}\npublic class K{} {\n  public void act{}() {\n  }\n}", [(0, "J{}", "interface", "J{}"), (2, "K{}", "class", "K{}"), (3, "act{}", "method", "K{}.act{}")]),
+    ("php", "class H{} {\n  public function w{}() {\n  }\n}", [(0, "H{}", "class", "H{}"), (1, "w{}", "function", "H{}.w{}")]),
+    ("python", "class P{}:\n    def m{}(self):\n        pass\ndef g{}():\n    pass", [(0, "P{}", "class", "P{}"), (1, "m{}", "function", "P{}.m{}"), (3, "g{}", "function", "g{}")]),
+    ("go", "type T{} struct {\n}\nfunc (t T{}) M{}() {\n}\nfunc N{}() {\n}", [(0, "T{}", "class", "T{}"), (2, "M{}", "method", "M{}"), (4, "N{}", "function", "N{}")]),
+    ("ruby", "class R{}\n  def s{}\n  end\nend", [(0, "R{}", "class", "R{}"), (1, "s{}", "method", "R{}.s{}")]),
+]
+_KEYED = lambda t: "'" + t.replace("{}", "\x01").replace("\n", "\\n") + "'"
+
+
+@query(
+    "extract_code_symbols",
+    f"""SELECT 'ts:/x/' || s_suppkey || '.' || lang || ':' || replace(full_name, chr(1), s_suppkey::VARCHAR) || ':' || line AS id, line,
+      replace(name, chr(1), s_suppkey::VARCHAR) AS name, type, replace(full_name, chr(1), s_suppkey::VARCHAR) AS full_name
+    FROM supplier, (VALUES {", ".join(f"('{lang}', {line}, {_KEYED(name)}, '{kind}', {_KEYED(full)})" for lang, _, rows in CODE_FORMS for line, name, kind, full in rows)})
+      AS t(lang, line, name, type, full_name)""",
+)
+def code_symbols_query(spark, sf):
+    forms = ", ".join(f"named_struct('language', '{lang}', 'raw', {_KEYED(text)})" for lang, text, _ in CODE_FORMS)
+    docs = tb.load(spark, sf, "supplier").selectExpr("s_suppkey", f"inline(array({forms}))").selectExpr(
+        "concat('/x/', s_suppkey, '.', language) as file_path", "concat('x/', s_suppkey) as relative_path", "language",
+        "replace(raw, char(1), cast(s_suppkey as string)) as text",
+    )
+    return bd.code_symbols(docs).select("id", "line", "name", "type", "full_name")
