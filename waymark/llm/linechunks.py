@@ -59,7 +59,8 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select("doc_id", "text")
     keys = _chunk_rows(docs).select("doc_id", "k", F.xxhash64("chunk").alias("key"))
     first = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first")).where("n > 1")
-    marks = keys.join(first.select("key", "first"), "key").groupBy("doc_id").agg(F.collect_set(F.struct("k", "key", "first")).alias("marks"))
+    first = scratch.write(first.select("key", "first"))
+    marks = keys.join(first, "key").groupBy("doc_id").agg(F.collect_set(F.struct("k", "key", "first")).alias("marks"))
     held = docs.join(marks.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).where(F.col("text").isNotNull())
     held = held.withColumn("lines", lines_of()).withColumn("chunks", chunks_of(F.col("lines")))
     held = held.select("doc_id", "lines", "chunks", F.explode("marks").alias("m"))
@@ -72,7 +73,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     # Rows that repeat a doc_id with another text may hold something else in that place.
     held = scratch.write(held.where(F.xxhash64("chunk") == F.col("key")))
-    origin = held.where("is_first").groupBy("key").agg(F.min("chunk").alias("origin"))
+    origin = scratch.write(held.where("is_first").groupBy("key").agg(F.min("chunk").alias("origin")))
     same = held.where("not is_first").join(origin, "key").where(F.col("chunk").cast("binary") == F.col("origin").cast("binary"))
     return same.select("doc_id", "k").distinct()
 
