@@ -11,6 +11,7 @@ hash. Any document can be read with its own offset, without its neighbours.
 """
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,33 +26,67 @@ from waymark.llm.common import Scratch, slices, text_or_empty
 
 MAGIC = b"WIDS0001"
 ENTRY = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_ids", "<u4")])
-#: Words a task remembers.
-CACHED = 200_000
+#: Runs of letters or marks that a task remembers, in each of two generations.
+CACHED = 250_000
 
 
 class WordCache(dict):
-    """Ids of each white-space separated word, asked from the tokenizer once.
+    """Ids of each white-space separated word of some texts.
 
-    The tokenizer's pieces never cross white space, so a text's ids are those of its words.
+    The tokenizer's pre-tokens never cross white space, so a text's ids are those of its
+    words. Words of plain letters and marks are pre-tokens side by side, runs of either;
+    these are asked for many at a time, in one text, where the mark of word ends parts them.
     """
 
+    #: Words whose pre-tokens are their runs of letters and of marks; no digits, apostrophes or composing characters.
+    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
+    TEXT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~ \t\n\x0b\x0c\r]*")
+    RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> None:
+        for a in range(0, len(words), 2_000):  # an encoding takes a kilobyte and more
+            part = words[a : a + 2_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for a in range(0, len(runs), 20_000):
+            part = runs[a : a + 20_000]
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer does not mark the end of each pre-token")
+            blob = ids.tobytes()
+            self.runs.update((w, blob[i:j]) for w, i, j in zip(part, [0, *stops.tolist()], stops.tolist()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        if len(self) > CACHED:
-            held = {w: self[w] for w in words if w in self}
-            self.clear()
-            self.update(held)
-        new = list(words.difference(self))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, ws)) for ws in split]
+        if len(self.runs) > CACHED:
+            self.older, self.runs = self.runs, {}
+        self.clear()  # runs repeat more than words, so these are kept
+        # Plain texts are lists of runs, others lists of words, of which the plain ones are runs again.
+        plain = [bool(self.TEXT.fullmatch(t)) and not any(x in t for x in self.special) for t in texts]
+        split = [self.RUN.findall(t.lower()) if p else t.split() for t, p in zip(texts, plain)]
+        words = set().union(*(ws for ws, p in zip(split, plain) if not p))
+        parts = {w: self.RUN.findall(w.lower()) for w in words if self.PLAIN.fullmatch(w) and not any(x in w for x in self.special)}
+        runs = set().union(*parts.values(), *(ws for ws, p in zip(split, plain) if p)).difference(self.runs)
+        self.runs.update((r, self.older[r]) for r in runs & self.older.keys())
+        self._learn_runs(list(runs.difference(self.older)))
+        self._whole(list(words.difference(parts)))
+        self.update((w, b"".join(map(self.runs.__getitem__, rs))) for w, rs in parts.items())
+        return [b"".join(map((self.runs if p else self).__getitem__, ws)) for ws, p in zip(split, plain)]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, max_docs: int = 2_000, max_bytes: int = 64 << 10) -> bytes:
@@ -180,29 +215,36 @@ def read_document(folder: str, name: str, place: int) -> np.ndarray:
     return np.frombuffer(_decompressor(_get(folder, f"{mark}.dict")).decompress(frame), "<u4")
 
 
-def read(manifest: DataFrame, folder: str) -> DataFrame:
+def read(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document, read back from the files.
 
     `start` counts the ids of all documents before it; the sum over earlier files comes from
-    the manifest, which has one row per file.
+    the manifest, which has one row per file. Without `with_ids`, `ids` is null.
     """
     folder = _uri(folder)
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("shard", "name", "dictionary", before.alias("before"))
 
+    def batch(rows: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+        plain = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)))
+        else:
+            lists = pa.nulls(len(rows), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*plain, lists], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for row in part.to_pylist():
-                rows, start, size = [], row["before"], 0
+                rows, held, start, size = [], [], row["before"], 0
                 for doc, ids in open_shard(_get(folder, row["name"]), _get(folder, f"{row['dictionary']}.dict")):
-                    rows.append({"doc_id": doc, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes()), "ids": ids.astype(np.int32)})
+                    rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+                    held.append(ids)
                     start, size = start + len(ids), size + len(ids)
                     if size > 1 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, READ)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, READ)
+                        yield batch(rows, held)
+                        rows, held, size = [], [], 0
+                yield batch(rows, held)
 
     return files.repartition(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
-
-
-READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
