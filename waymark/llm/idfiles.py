@@ -98,12 +98,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, max_docs: int = 2_000, max
     import zstandard
 
     short = docs.where(F.octet_length("text") <= 64 << 10)
-    sample = short.select(F.xxhash64("doc_id").alias("h"), "doc_id", text_or_empty().alias("text")).orderBy("h", "doc_id").limit(max_docs)
+    # The sample is chosen by ids alone, then its texts are fetched: at most `max_docs` rows are broadcast.
+    chosen = short.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_docs).select("doc_id").distinct()
+    sample = short.join(F.broadcast(chosen), "doc_id").select("doc_id", text_or_empty().alias("text")).limit(max_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(tokenizer)
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(cache.encode(part.column(2).to_pylist()), pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(cache.encode(part.column(1).to_pylist()), pa.binary())], names=["ids"])
 
     rows = sorted(bytes(r["ids"]) for r in sample.mapInArrow(run, "ids binary").collect())
     try:
