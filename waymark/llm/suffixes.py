@@ -129,7 +129,19 @@ def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield a, data[a : a + BLOCK + LENGTH - 1]
 
 
+def _anchors(docs: DataFrame) -> DataFrame:
+    """(anchor) of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            out = [segments(block)[0] for text in part.column(0).to_pylist() for _, block in blocks(text.encode())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.empty(0, U64)]).astype(np.int64))], names=["anchor"])
+
+    return docs.select("text").mapInArrow(run, "anchor long")
+
+
 def _segment_rows(docs: DataFrame) -> DataFrame:
+    """(doc, anchor, key, place) of each segment: a hash of its bytes; 64 times its begin, plus its windows."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,18 +233,18 @@ def _tidy(spark) -> None:
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, begin, stop): byte ranges of repeated windows, for docs(doc, text) with a unique doc that gives the order."""
     spark = docs.sparkSession
-    rows = _segment_rows(docs)
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("key") != F.max("key")).alias("differ")).where("n > 1")
-    again = scratch.write(rows.join(shared.drop("n"), "anchor"))
+    shared = scratch.write(_anchors(docs).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    _tidy(spark)
+    again = scratch.write(_segment_rows(docs).join(shared, "anchor"))
     _tidy(spark)
     begin, windows = F.shiftright("place", 6), F.col("place").bitwiseAND(F.lit(63))
-    first = again.groupBy("anchor", "key").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"), F.first("differ").alias("differ"))
+    first = again.groupBy("anchor", "key").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
     first = scratch.write(first)
     whole = again.join(first.where("n > 1").select("anchor", "key", "first"), ["anchor", "key"])
     whole = whole.where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
     whole = scratch.write(whole.select("doc", begin.alias("begin"), (begin + windows + (LENGTH - 1)).alias("stop")))
-    kinds = first.where("differ").select("anchor", "first.*")
-    many = kinds.groupBy("anchor").agg((F.count("*") > MANY).alias("hot"))
+    kinds = first.select("anchor", "first.*")
+    many = scratch.write(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > MANY).alias("hot")))
     pieces = scratch.write(_pieces(docs, kinds.join(many, "anchor")))
     _tidy(spark)
     size = pieces.where("not hot").agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
