@@ -441,6 +441,31 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[31]["spans"] == [] and sum(r["n_found"] for r in got.values()) == 1
 
 
+def test_contexts_discover_other_shapes(spark):
+    rng = random.Random(16)
+    number = lambda f: "".join(rng.choice("23456789") if c == "9" else c for c in f)
+    texts = [f"{sentence(rng, 4)} call me at {number('+1 (999) 999-9999')} before noon {sentence(rng, 4)}" for _ in range(30)]
+    texts += [f"{sentence(rng, 4)} paid with card 4111111111111111 on file" for _ in range(2)] + [f"{sentence(rng, 4)} in {y} we met 12 34 times" for y in range(1990, 2020)]
+    first = len(texts)
+    unseen = ["555-123-4567", "555 123 4567", "(555) 123-4568", "5.5.5-12-34-569"]
+    texts += [f"{sentence(rng, 4)} call me at {v} before noon {sentence(rng, 4)}" for v in unseen]
+    texts += [f"{sentence(rng, 4)} call me at 555-12-34-56, before noon", "call me at 5pm before noon", f"the serial 555-123-9999 {sentence(rng, 4)}"]
+    got = {r["doc_id"]: r for r in contexts.find(docs_of(spark, texts)).collect()}
+    for i, v in enumerate([*unseen, "555-12-34-56"], first):
+        assert [(s["kind"], s["value"], texts[i][s["begin"] : s["stop"]]) for s in got[i]["spans"]] == [("phone", v, v)]
+    assert sum(r["n_found"] for r in got.values()) == 5
+
+
+def test_contexts_go_on_until_nothing_is_added(spark):
+    """Each context is known only by the values that the one before it taught: four steps."""
+    around = [(f"{c}o {c}a", f"{c}e {c}i") for c in "bcdf"]
+    values = [[f"{'+1 ' if not i else ''}555-{i}{k:03}-{1000 + k}" for k in range(n)] for i, n in enumerate((790, 190, 43, 9, 1))]
+    texts = [f"{b} {v} {a}" for i, (b, a) in enumerate(around) for v in values[i] + values[i + 1]]
+    got = {r["doc_id"]: r for r in contexts.find(docs_of(spark, texts)).collect()}
+    assert [s["value"] for s in got[len(texts) - 1]["spans"]] == values[4]
+    assert sum(r["n_found"] for r in got.values()) == 2 * (190 + 43 + 9) + 1
+
+
 # --- the pipeline and the entry
 
 

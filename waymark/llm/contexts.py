@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction, with SQL functions and joins only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They seed the
-bootstrapping: the words around each seed, with the shape of its value, are lexical
-patterns. Patterns and values form a graph; in each round a pattern is scored by the
-confidence of the distinct values that it surrounds, and a value that no base pattern took
-by the good patterns around it. Values of high confidence are spans of the seeds' kind.
+bootstrapping: the words around each seed are lexical patterns. Patterns and values form a
+graph; in each round a pattern is scored by the confidence of the distinct values that it
+surrounds, and a value that no base pattern took by the good patterns around it, until no
+value is added. What a value looks like is a coarse form apart from the patterns: a value
+counts for the kinds whose seeds have its form. Values of high confidence are spans of the
+seeds' kind.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import Scratch, text_or_empty
@@ -24,12 +26,15 @@ PATTERN = {
 }
 #: Texts without these have no match.
 GATE = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: What may be an identifier that the base patterns missed: a token with a digit or @.
-TOKEN, TOKEN_GATE = r"(?<![A-Za-z0-9@._%+()-])(?=[A-Za-z._%+()-]*[0-9@])[A-Za-z0-9@._%+()-]++", r"[0-9]{4}|@"
+#: What may be an identifier that the base patterns missed: a token with a digit or @, up to its last letter or digit.
+TOKEN, TOKEN_GATE = r"(?<![A-Za-z0-9@._%+()-])(?=[A-Za-z._%+()-]*[0-9@])[A-Za-z0-9@._%+()-]*[A-Za-z0-9]", r"[0-9@]"
+#: Or a run of groups of digits with single spaces, or a dash in spaces, between them.
+RUN = r"(?<![A-Za-z0-9@._%+()-])[+(]*+[0-9](?:[0-9().+-]*[0-9])?+(?:\)?\x20(?:-\x20)?[+(]*+[0-9](?:[0-9().+-]*[0-9])?+)++(?![A-Za-z@])"
+RUN_GATE = r"[0-9]\)?\x20(?:-\x20)?[+(]*[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
 CONTEXT = 64
-ROUNDS, MIN_SCORE, MIN_CONFIDENCE = 3, 0.8, 0.9
+MIN_SCORE, MIN_CONFIDENCE = 0.8, 0.9
 SPAN = "array<struct<kind:string,begin:int,stop:int,value:string,before:string,after:string>>"
 
 
@@ -83,45 +88,61 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _form(value: Column) -> Column:
+    """With @, seven or more digits, four or more in three or more groups; else null. Every seed has one."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    dotted = value.rlike(r"[0-9]\.[0-9]+\.[0-9]")
+    return F.when(value.contains("@"), "at").when(digits >= 7, "many").when((digits >= 4) & dotted, "dotted")
+
+
 def _patterns(span: Column) -> Column:
-    """The lexical patterns around a span: two words before, one on each side, two after; each with the value's shape."""
+    """The lexical patterns around a span: two words before, one on each side, two after; `_` is the value, `^` no word."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: w != "")
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(span["value"], "[0-9]", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
 
     def of(x: Column) -> Column:
         left, right = x["left"], x["right"]
         n = F.size(left)
         word = lambda c, i: F.coalesce(F.get(c, i), F.lit("^"))
-        return F.array(
-            F.concat_ws(" ", word(left, n - 2), word(left, n - 1), x["shape"]),
-            F.concat_ws(" ", word(left, n - 1), x["shape"], word(right, F.lit(0))),
-            F.concat_ws(" ", x["shape"], word(right, F.lit(0)), word(right, F.lit(1))),
+        each = F.array(
+            F.concat_ws(" ", word(left, n - 2), word(left, n - 1), F.lit("_")),
+            F.concat_ws(" ", word(left, n - 1), F.lit("_"), word(right, F.lit(0))),
+            F.concat_ws(" ", F.lit("_"), word(right, F.lit(0)), word(right, F.lit(1))),
         )
+        return F.filter(each, lambda p: p.rlike(r"\p{L}"))
 
-    return bound(F.struct(words(span["before"]).alias("left"), words(span["after"]).alias("right"), shape.alias("shape")), of)
+    return bound(F.struct(words(span["before"]).alias("left"), words(span["after"]).alias("right")), of)
 
 
-def discover(spans: DataFrame, scratch: Scratch, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def discover(spans: DataFrame, scratch: Scratch, rounds: int | None = None, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(value, kind) of the values that the patterns around the seeds vouch for.
 
     `spans` has value, kind (null: not a seed) and patterns. A pattern's score for a kind is
-    the confidence of its distinct values over their number plus one, so few values never
-    score high. A value's doubt is the product of the doubts of its patterns that score
-    `min_score` or more.
+    the confidence of its distinct values over the number of those with a form of this
+    kind's seeds plus one, so few values never score high. A value's doubt is the product of
+    the doubts of its patterns that score `min_score` or more. Ends when no value is added,
+    or after `rounds` if given.
     """
-    edges = scratch.write(spans.select("value", "kind", F.explode("patterns").alias("pattern")).distinct())
-    size = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    trust = edges.where("kind is not null").select("value", "kind", "pattern", F.lit(1.0).alias("trust"))
-    open_edges = edges.where("kind is null").select("value", "pattern")
-    sure = None
-    for _ in range(rounds):
-        score = trust.groupBy("pattern", "kind").agg(F.sum("trust").alias("sum")).join(size, "pattern")
-        good = score.withColumn("score", F.col("sum") / (F.col("n") + 1)).where(F.col("score") >= min_score).select("pattern", "kind", "score")
+    edges = spans.select("value", "kind", _form(F.col("value")).alias("form"), F.explode("patterns").alias("pattern")).distinct()
+    edges = scratch.write(edges)
+    seeds, others = edges.where("kind is not null"), edges.where("kind is null")
+    # At most one row for each kind and form.
+    forms = F.broadcast(scratch.write(seeds.select("kind", "form").distinct().withColumnRenamed("kind", "of")))
+    known = seeds.groupBy("pattern", "kind").agg(F.countDistinct("value").alias("sure"))
+    size = edges.join(forms, "form").groupBy("pattern", F.col("of").alias("kind")).agg(F.countDistinct("value").alias("n"))
+    size = scratch.write(size.join(known, ["pattern", "kind"], "left").withColumn("sure", F.coalesce("sure", F.lit(0))))
+    open_edges = scratch.write(others.join(forms, "form").select("value", F.col("of").alias("kind"), "pattern"))
+    sure, n_sure, done = None, 0, 0
+    while rounds is None or done < rounds or sure is None:
+        score = size
+        if sure is not None:
+            more = open_edges.join(sure, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("trust").alias("more"))
+            score = size.join(more, ["pattern", "kind"], "left").withColumn("sure", F.col("sure") + F.coalesce("more", F.lit(0.0)))
+        good = score.withColumn("score", F.col("sure") / (F.col("n") + 1)).where(F.col("score") >= min_score).select("pattern", "kind", "score")
         doubt = F.sum(F.log(1 - F.least("score", F.lit(0.999))))
-        sure = scratch.write(open_edges.join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("trust")).where(F.col("trust") >= min_confidence))
-        trust = edges.where("kind is not null").select("value", "kind", "pattern", F.lit(1.0).alias("trust")).union(
-            open_edges.join(sure, "value").select("value", "kind", "pattern", "trust")
-        )
+        sure = scratch.write(open_edges.join(good, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("trust")).where(F.col("trust") >= min_confidence))
+        before, n_sure, done = n_sure, sure.count(), done + 1
+        if n_sure == before:  # trust only grows from round to round, so nothing was exchanged
+            break
     best = sure.groupBy("value").agg(F.max(F.struct("trust", F.expr(f"-array_position(array({', '.join(map(repr, KINDS))}), kind)").alias("low"), "kind")).alias("x"))
     return best.select("value", F.col("x.kind").alias("kind"))
 
@@ -131,24 +152,29 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
     `base_spans` and `spans` are arrays of (kind, begin, stop, value), by kind as in KINDS,
     then begin; places are code points, stop exclusive. `spans` has the base ones and those
-    found by their context, `n_found` counts the latter. A null text has no spans. Repeated
-    rows get equal answers, also without a doc_id.
+    found by their context, `n_found` counts the latter. Of found ones inside one another
+    the longest stays. A null text has no spans. Repeated rows get equal answers, also
+    without a doc_id.
     """
     scratch = Scratch(docs.sparkSession, "contexts")
     text = text_or_empty()
     base = docs.select("doc_id", F.xxhash64("text").alias("mark"), text.alias("text"))
     rows = base.select("doc_id", "mark", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     rows = rows.withColumn("base", F.concat(*KINDS))
-    tokens = F.filter(
-        found(F.col("text"), TOKEN, None),
-        lambda c: ~F.exists("base", lambda b: (b["begin"] < c["stop"]) & (b["stop"] > c["begin"])),
+    # Without a form, nothing can vouch for a value.
+    none = F.array().cast(SPAN)
+    may = F.concat(
+        F.when(F.col("text").rlike(TOKEN_GATE), found(F.col("text"), TOKEN, None)).otherwise(none),
+        F.when(F.col("text").rlike(RUN_GATE), found(F.col("text"), RUN, None)).otherwise(none),
     )
-    rows = rows.withColumn("others", F.when(F.col("text").rlike(TOKEN_GATE), tokens).otherwise(F.array().cast(SPAN)))
-    rows = scratch.write(rows.select("doc_id", "mark", "base", "others"))
+    others = F.filter(may, lambda c: _form(c["value"]).isNotNull() & ~F.exists("base", lambda b: (b["begin"] < c["stop"]) & (b["stop"] > c["begin"])))
+    rows = scratch.write(rows.select("doc_id", "mark", "base", others.alias("others")))
     spans = rows.select("doc_id", "mark", F.explode(F.concat("base", "others")).alias("s"))
     spans = spans.select("doc_id", "mark", "s.kind", "s.value", F.col("s.begin").alias("begin"), F.col("s.stop").alias("stop"), _patterns(F.col("s")).alias("patterns"))
     known = discover(spans, scratch, **options)
-    added = spans.where("kind is null").drop("kind").join(known, "value")
+    added = spans.where("kind is null").select("doc_id", "mark", "value", "begin", "stop").distinct().join(known, "value")
+    ahead = Window.partitionBy("doc_id", "mark").orderBy("begin", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("upto", F.max("stop").over(ahead)).where("upto is null or upto < stop")
     added = added.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "begin", "stop", "value")).alias("added"))
     out = rows.join(
         added.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "added"),
