@@ -59,6 +59,20 @@ def test_heap_and_arrays_agree():
     assert [np.frombuffer(b, "<u4").tolist() for b in many] == [pieces.with_heap(own, w, int(k), 0.3) for w, k in zip(words, keys)]
 
 
+def test_each_occurrence_of_a_word_is_cut_on_its_own():
+    own = pieces.Pieces(plans.piece_model())
+    word, long = " international", " " + "internationalization" * 4
+    texts = [(word * 400 + long * 3)[1:]] * 30
+    encoder = pieces.Encoder(own, 0.3, 1)
+    got = encoder.encode(list(range(30)), texts)
+    assert [own.decode(np.frombuffer(g, "<u4").tolist()) for g in got] == texts and len(set(got)) == 30
+    assert got == [pieces.Encoder(own, 0.3, 1, 10).encode([k], [t])[0] for k, t in enumerate(texts)]
+    keys = pieces.word_keys([word] * 400, 1, encoder.document(0))
+    plain = [pieces.with_heap(own, word, int(k), 0.3) for k in keys]
+    assert np.frombuffer(got[0], "<u4").tolist()[: sum(map(len, plain))] == sum(plain, [])
+    assert len(set(map(tuple, plain))) > 20
+
+
 def test_encode_is_lossless_seeded_and_varied(spark, odd):
     docs = docs_of(spark, odd).withColumn("n_pieces", F.lit("clash"))
     one = pieces.encode(docs, plans.piece_model(), 0.3, seed=1).orderBy("doc_id").collect()

@@ -2,8 +2,9 @@
 
 A word's symbols start as characters; an agenda holds every adjacent pair that forms a
 piece, best score first, then leftmost. A popped candidate is skipped when a keyed hash
-of (seed, variant of the document, word, begin, middle, end) falls below the dropout
-rate. The same seed and document give the same ids again, on any executor.
+of (seed, document, place of the word in the text, begin, middle, end) falls below the
+dropout rate, so every occurrence of a word is cut on its own. The same seed and document
+give the same ids again, on any executor.
 
 Space is the mark of word starts. Characters outside the vocabulary become byte pieces,
 so decoding gives back every text exactly. One space goes before each text and is taken
@@ -11,6 +12,7 @@ off by decoding.
 """
 
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +25,9 @@ from waymark.llm.common import U64, mix, slices, without
 
 #: Words longer than this go through the heap, shorter ones through arrays, many at a time.
 ARRAY_CHARS = 48
-#: Entries a task remembers in each of two generations.
+#: Characters that go through the arrays at once, so that these stay in the processor's cache.
+BATCH_CHARS = 1 << 15
+#: Words without skips that a task remembers in each of two generations.
 CACHED = 250_000
 NONE = np.int32(2**31 - 1)
 
@@ -79,8 +83,15 @@ class Pieces:
             self._of_char[list(self.chars)] = list(self.chars.values())
         return self._of_char
 
+    @property
+    def pairs(self) -> dict[int, int]:
+        """Piece of each pair that forms one; built where it is used."""
+        if "_pairs" not in self.__dict__:
+            self._pairs = dict(zip(self.keys.tolist(), self.merged.tolist()))
+        return self._pairs
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_of_char"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_of_char", "_pairs")}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece that each pair forms, or -1."""
@@ -105,15 +116,11 @@ def skipped(key, begin, middle, end, drop: float):
     return (mix(x) >> U64(11)).astype(np.float64) * 2.0**-53 < drop
 
 
-def word_keys(words: list[str], seed: int, variant: int) -> np.ndarray:
-    """A 64-bit key for each (not empty) word."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(U64)
-    first = np.cumsum(lens) - lens
-    place = (np.arange(len(points)) - np.repeat(first, lens)).astype(U64)
+def word_keys(words: list[str], seed: int, document: int) -> np.ndarray:
+    """A 64-bit key for each word of a document, by its place among them."""
     with np.errstate(over="ignore"):
-        each = mix(points * U64(0x9E3779B97F4A7C15) + place * U64(0xD6E8FEB86659FD93) + U64(1))
-        return mix(np.add.reduceat(each, first) + U64((seed * 0x9E3779B1 + variant * 0x85EBCA77C2B2AE63) & (2**64 - 1)))
+        first = mix(np.array([(seed * 0x9E3779B1 + document * 0x85EBCA77C2B2AE63) & (2**64 - 1)], U64))
+        return mix(first + np.arange(1, len(words) + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
 def with_heap(pieces: Pieces, word: str, key: int, drop: float) -> list[int]:
@@ -122,13 +129,13 @@ def with_heap(pieces: Pieces, word: str, key: int, drop: float) -> list[int]:
     n = len(sym)
     after, before, end = [*range(1, n), -1], [-1, *range(n - 1)], list(range(1, n + 1))
     agenda: list[tuple] = []
-    known = dict(zip(pieces.keys.tolist(), pieces.merged.tolist())) if n > 4 * ARRAY_CHARS else None
+    known = pieces.pairs
 
     def offer(a: int) -> None:
         b = after[a] if a >= 0 else -1
         if b < 0 or sym[a] < 0 or sym[b] < 0:
             return
-        new = known.get(sym[a] * pieces.size + sym[b], -1) if known else int(pieces.pair(np.array([sym[a]]), np.array([sym[b]]))[0])
+        new = known.get(sym[a] * pieces.size + sym[b], -1)
         if new >= 0:
             heapq.heappush(agenda, (int(pieces.rank[new]), a, b, end[b], sym[a], sym[b], new))
 
@@ -153,8 +160,11 @@ def with_heap(pieces: Pieces, word: str, key: int, drop: float) -> list[int]:
     return out
 
 
-def with_arrays(pieces: Pieces, words: list[str], keys: np.ndarray, drop: float) -> list[bytes]:
-    """Many short words at once: each round takes the best candidate left in every word."""
+def with_arrays(pieces: Pieces, words: list[str], keys: np.ndarray, drop: float, seen: list | None = None) -> list[bytes]:
+    """Many short words at once: each round takes the best candidate left in every word.
+
+    `seen` gets every candidate: (word, begin, middle and end as three bytes).
+    """
     lens = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
     sym = pieces.of_char[points].astype(np.int64)
@@ -171,6 +181,9 @@ def with_arrays(pieces: Pieces, words: list[str], keys: np.ndarray, drop: float)
             a, b = i[on], j[on]
             off = skipped(keys[wid[a]], beg[a].astype(U64), beg[b].astype(U64), end[b].astype(U64), drop)
             new[on[off]] = -1
+        if seen is not None and (on := np.flatnonzero(new >= 0)).size:
+            a, b = i[on], j[on]
+            seen.append((wid[a], beg[a] << 16 | beg[b] << 8 | end[b]))
         return new, np.where(new >= 0, pieces.rank[new], NONE)
 
     new, rank = candidates(np.arange(len(sym)))
@@ -206,59 +219,108 @@ def with_arrays(pieces: Pieces, words: list[str], keys: np.ndarray, drop: float)
 
 
 class Encoder:
-    """Encodes texts, remembering the words of each variant."""
-
-    def __init__(self, pieces: Pieces, drop: float, seed: int, variants: int):
-        self.pieces, self.drop, self.seed = pieces, drop, seed
-        self.variants = variants if drop else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def variant(self, key) -> int:
-        return xxhash.xxh3_64_intdigest(repr(key).encode(), seed=self.seed & (2**64 - 1)) % self.variants
-
-    def learn(self, variant: int, words: set[str]) -> None:
-        """Make `words` known; those of the last generation are taken over, others segmented."""
-        known, older = self.known[variant], self.older[variant]
-        known.update((w, older[w]) for w in words & older.keys())
-        short = [w for w in words if w not in known and len(w) <= ARRAY_CHARS]
-        keys = word_keys(short, self.seed, variant) if self.drop and short else np.zeros(len(short), U64)
-        known.update(zip(short, with_arrays(self.pieces, short, keys, self.drop)) if short else ())
-        for w in words:
-            if len(w) > ARRAY_CHARS and w not in known:
-                key = int(word_keys([w], self.seed, variant)[0])
-                known[w] = np.array(with_heap(self.pieces, w, key, self.drop), "<u4").tobytes()
+    """Encodes texts. What depends on no key is remembered: the words' ids without any skip and the candidates on the way there."""
+
+    def __init__(self, pieces: Pieces, drop: float, seed: int, cached: int = CACHED):
+        self.pieces, self.drop, self.seed, self.cached = pieces, drop, seed, cached
+        self.known: dict[str, tuple[bytes, np.ndarray]] = {}
+        self.older: dict[str, tuple[bytes, np.ndarray]] = {}
+
+    def document(self, key) -> int:
+        return xxhash.xxh3_64_intdigest(repr(key).encode(), seed=self.seed & (2**64 - 1))
+
+    def learn(self, words: set[str]) -> None:
+        """Make `words` known; those of the last generation are taken over, others segmented without skips."""
+        if len(self.known) > self.cached:
+            self.older, self.known = self.known, {}
+        new = words.difference(self.known)
+        self.known.update((w, self.older[w]) for w in new & self.older.keys())
+        new = new.difference(self.older)
+        for part in batched([w for w in new if len(w) <= ARRAY_CHARS]):
+            seen: list = []
+            ids = with_arrays(self.pieces, part, np.zeros(len(part), U64), 0, seen)
+            self.known.update(zip(part, zip(ids, by_word(seen, len(part)))))
+        if not self.drop:
+            for w in new:
+                if len(w) > ARRAY_CHARS:
+                    self.known[w] = np.array(with_heap(self.pieces, w, 0, 0), "<u4").tobytes(), NO_CANDIDATES
+
+    def skips(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        """Whether a candidate on the way without skips is skipped, for each word; without one, nothing changes."""
+        each = [self.known[w][1] for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        places = np.concatenate(each)
+        wid = np.repeat(np.arange(len(words)), sizes)
+        begin, middle, end = (((places >> k) & 255).astype(U64) for k in (16, 8, 0))
+        out = np.zeros(len(words), bool)
+        out[wid[skipped(keys[wid], begin, middle, end, self.drop)]] = True
+        return out
 
     def encode(self, keys: list, texts: list[str | None]) -> list[bytes | None]:
         split = [None if t is None else self.pieces.words.findall(" " + t) if t else [] for t in texts]
-        by = [self.variant(k) for k in keys]
-        out: list[bytes | None] = [None] * len(texts)
-        for v in set(by):
-            mine = [i for i, x in enumerate(by) if x == v and split[i] is not None]
-            words = set().union(*(split[i] for i in mine))
-            if len(self.known[v]) > CACHED // self.variants:
-                self.older[v], self.known[v] = self.known[v], {}
-            known = self.known[v]
-            self.learn(v, words.difference(known))
-            for i in mine:
-                out[i] = b"".join(map(known.__getitem__, split[i]))
-        return out
+        self.learn(set().union(*(ws for ws in split if ws)))
+        if not self.drop:
+            return [None if ws is None else b"".join([self.known[w][0] for w in ws]) for ws in split]
+        flat = [w for ws in split if ws for w in ws]
+        marks = [word_keys(ws, self.seed, self.document(k)) for k, ws in zip(keys, split) if ws]
+        marks = np.concatenate(marks) if marks else np.empty(0, U64)
+        out: list[bytes] = []
+        at = 0
+        for part in batched(flat):
+            mine = marks[at : at + len(part)]
+            at += len(part)
+            got: list = [None] * len(part)
+            short = [i for i, w in enumerate(part) if len(w) <= ARRAY_CHARS]
+            if len(short) < len(part):
+                for i, w in enumerate(part):
+                    if len(w) > ARRAY_CHARS:
+                        got[i] = np.array(with_heap(self.pieces, w, int(mine[i]), self.drop), "<u4").tobytes()
+            if short:
+                words, theirs = [part[i] for i in short], mine[short]
+                again = self.skips(words, theirs)
+                redone = with_arrays(self.pieces, [words[i] for i in np.flatnonzero(again)], theirs[again], self.drop) if again.any() else []
+                redone = iter(redone)
+                for i, w, other in zip(short, words, again.tolist()):
+                    got[i] = next(redone) if other else self.known[w][0]
+            out += got
+        done = iter(out)
+        return [None if ws is None else b"".join(itertools.islice(done, len(ws))) for ws in split]
+
+
+NO_CANDIDATES = np.empty(0, np.int32)
+
+
+def batched(words: list[str]) -> Iterator[list[str]]:
+    """Runs of words of about `BATCH_CHARS` characters."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    cuts = np.flatnonzero(np.diff(ends // BATCH_CHARS)) + 1
+    edges = [0, *cuts.tolist(), len(words)]
+    return (words[a:b] for a, b in zip(edges, edges[1:]) if a < b)
+
+
+def by_word(seen: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[np.ndarray]:
+    """Places of candidates, one array for each of `n` words."""
+    wid, places = (np.concatenate(x) for x in zip(*seen)) if seen else (np.empty(0, np.int64), NO_CANDIDATES)
+    order = np.argsort(wid, kind="stable")
+    places = places[order].astype(np.int32)
+    ends = np.cumsum(np.bincount(wid, minlength=n)).tolist()
+    return [places[a:b].copy() for a, b in zip([0, *ends], ends)]
 
 
-def encode(docs: DataFrame, model_file: str, drop: float = 0.1, seed: int = 1, variants: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, drop: float = 0.1, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds `piece_ids` (array<int>), `n_pieces` and `decoded` to each row of `docs`.
 
     A null text has null ids, no count and a null decoded text; an empty one has no ids.
     A null key is a key like any other. Repeated rows get equal answers. Columns of these
-    names in the input are replaced. Documents are shared out among `variants` ways of
-    skipping merges by a hash of (seed, key); no shuffle takes place.
+    names in the input are replaced. Merges are skipped by a hash of (seed, key, place of the
+    word in the text, place in the word); no shuffle takes place.
     """
     base = without(docs, "piece_ids", "n_pieces", "decoded")
     pieces = Pieces(model_file)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema.fields)}, piece_ids array<int>, n_pieces int, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces, drop, seed, variants)
+        encoder = Encoder(pieces, drop, seed)
         for part in slices(batches, text):
             at = part.schema.get_field_index
             blobs = encoder.encode(part.column(at(key)).to_pylist(), part.column(at(text)).to_pylist())
