@@ -190,6 +190,18 @@ def test_id_files(spark, odd):
     assert idfiles.read(none, folder + "-none").count() == 0
 
 
+def test_words_part_where_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    space = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [*(f"a{c}b" for c in [*space, "\u180e", "\u200b", "\ufeff"]), "\x1c", "a \x1d b\x1e\x1f", "It's 4\x1cé\u3000z", "x\x1c" * 50]
+    got = idfiles.WordCache(path).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_id_files_without_ids(spark):
     import public_tokenizers
 

@@ -28,12 +28,20 @@ MAGIC = b"WIDS0001"
 ENTRY = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_ids", "<u4")])
 #: Runs of letters or marks that a task remembers, in each of two generations.
 CACHED = 250_000
+#: str.split() parts words at these, the tokenizer does not; all other white space is the same.
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
+WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Words between the tokenizer's white space."""
+    return WORD.findall(text) if any(c in text for c in NOT_SPACE) else text.split()
 
 
 class WordCache(dict):
     """Ids of each white-space separated word of some texts.
 
-    The tokenizer's pre-tokens never cross white space, so a text's ids are those of its
+    The tokenizer's pre-tokens never cross its white space, so a text's ids are those of its
     words. Words of plain letters and marks are pre-tokens side by side, runs of either;
     these are asked for many at a time, in one text, where the mark of word ends parts them.
     """
@@ -78,7 +86,7 @@ class WordCache(dict):
         self.clear()  # runs repeat more than words, so these are kept
         # Plain texts are lists of runs, others lists of words, of which the plain ones are runs again.
         plain = [bool(self.TEXT.fullmatch(t)) and not any(x in t for x in self.special) for t in texts]
-        split = [self.RUN.findall(t.lower()) if p else t.split() for t, p in zip(texts, plain)]
+        split = [self.RUN.findall(t.lower()) if p else words_of(t) for t, p in zip(texts, plain)]
         words = set().union(*(ws for ws, p in zip(split, plain) if not p))
         parts = {w: self.RUN.findall(w.lower()) for w in words if self.PLAIN.fullmatch(w) and not any(x in w for x in self.special)}
         runs = set().union(*parts.values(), *(ws for ws, p in zip(split, plain) if p)).difference(self.runs)
