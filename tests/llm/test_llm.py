@@ -259,6 +259,25 @@ def test_leaks_held_and_joined(spark, odd):
     assert tiling.clean(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_repeated_and_missing_ids(spark):
+    """Each row and each text of an item is judged on its own, held or joined."""
+    rng = random.Random(18)
+    short, long, other = sentence(rng, 20), sentence(rng, 200), sentence(rng, 30)
+    bench = spark.createDataFrame([(1, short), (1, long), (1, short + " end"), (2, other), (2, other)], "item_id long, text string")
+    clean, leak = sentence(rng, 50), sentence(rng, 10) + " " + short
+    rows = [(5, leak), (None, other), (None, clean), (6, clean), (6, other), (6, None), (7, leak), (7, leak), (None, None)]
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = Counter((i, t, tuple({leak: (1, 1), other: (2,)}.get(t, ()))) for i, t in rows)
+    both = []
+    for limit in (10**6, 0):
+        got = tiling.find_leaks(docs, bench, max_held_tokens=limit).collect()
+        assert Counter((r["doc_id"], r["text"], tuple(x["item_id"] for x in r["leaks"])) for r in got) == want
+        both.append(Counter((r["doc_id"], r["text"], tuple(map(tuple, r["leaks"]))) for r in got))
+        kept = tiling.clean(docs, bench, max_held_tokens=limit).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter({(None, clean): 1, (6, clean): 1, (6, None): 1, (None, None): 1})
+    assert both[0] == both[1]
+
+
 # --- 6 line chunks
 
 

@@ -173,46 +173,58 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _seed_rows(rows: DataFrame, key: str) -> DataFrame:
-    """(seed, key, place) of every text."""
+def _seed_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(seed, *keys, place) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            each = [seeds(tokens(t)) for t in part.column(1).to_pylist()]
+            each = [seeds(tokens(t)) for t in part.column(part.num_columns - 1).to_pylist()]
             at = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in each]))
             flat = np.concatenate([*each, np.empty(0, np.uint64)]).astype(np.int64)
             place = np.concatenate([*(np.arange(len(x)) for x in each), np.empty(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(0).take(at), pa.array(place)], names=["seed", key, "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *(part.column(i).take(at) for i in range(len(keys))), pa.array(place)], names=["seed", *keys, "place"])
 
-    return rows.select(key, "text").where(f"{key} is not null").mapInArrow(run, f"seed long, {key} {rows.schema[key].dataType.simpleString()}, place int")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, "text").mapInArrow(run, f"seed long, {kinds}, place int")
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, kind: str, coverage: float) -> DataFrame:
-    """The same by joins: seeds, then the bound on coverage, then the tiling of what is left."""
+    """The same by joins: seeds, then the bound on coverage, then the tiling of what is left.
+
+    A document is a (doc_id, hash of the text), an item an (item_id, hash of the text), so
+    each text is judged on its own, as in `_held`.
+    """
     scratch = Scratch(docs.sparkSession, "tiling")
-    theirs = scratch.write(_seed_rows(benchmark, "item_id"))
-    mine = _seed_rows(docs, "doc_id").join(theirs.select("seed").distinct(), "seed", "left_semi").select("seed", "doc_id").distinct()
-    pairs = mine.join(theirs, "seed").groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n"))
-    sizes = theirs.groupBy("item_id").agg((F.max("place") + SEED).alias("size"))
+    doc, item = ["doc_id", "doc_mark"], ["item_id", "item_mark"]
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item_mark"), "text")
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("doc_mark"), "text")
+    theirs = scratch.write(_seed_rows(items, item))
+    mine = _seed_rows(texts, doc).join(theirs.select("seed").distinct(), "seed", "left_semi").select("seed", *doc).distinct()
+    pairs = mine.join(theirs, "seed").groupBy(*doc, *item).agg(F.count("*").alias("n"))
+    sizes = theirs.groupBy(*item).agg((F.max("place") + SEED).alias("size"))
     # n seeds cover SEED * n tokens at most; tile_pair has the exact bound.
-    near = pairs.join(sizes, "item_id").where(F.col("n") * SEED >= coverage * F.col("size"))
-    near = scratch.write(near.join(benchmark.select("item_id", F.col("text").alias("item_text")), "item_id").select("doc_id", "item_id", "item_text"))
-    both = near.join(docs.select("doc_id", "text"), "doc_id")
+    near = pairs.join(sizes, item).where(F.col("n") * SEED >= coverage * F.col("size")).select(*doc, *item)
+    near = scratch.write(near.join(items.withColumnRenamed("text", "item_text"), item).select(F.col("doc_id").alias("_id"), F.col("doc_mark").alias("_mark"), "item_id", "item_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc_mark") == F.col("_mark"))
+    both = near.join(texts.dropDuplicates(doc), same).select(*doc, "item_id", "item_text", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = []
-            for doc, item, item_text, text in zip(*(c.to_pylist() for c in part.columns)):
-                for leak in Bench.of([(item, item_text)]).leaks(text, coverage):
-                    out.append({"doc_id": doc, **leak})
-            kinds = [part.schema.field(0).type, _arrow(kind), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(names, kinds)], names=names)
+            for i, (of, of_text, text) in enumerate(zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))):
+                out += [(i, x["coverage"], x["n_tiles"]) for x in Bench.of([(of, of_text)]).leaks(text, coverage)]
+            at = pa.array([r[0] for r in out], pa.int64())
+            found = [pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in range(4)), *found], names=names)
 
-    names = ["doc_id", "item_id", "coverage", "n_tiles"]
+    names = ["_id", "_mark", "item_id", "item_text", "coverage", "n_tiles"]
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    found = both.select("doc_id", "item_id", "item_text", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {kind}, coverage double, n_tiles int").distinct()
-    found = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "coverage", "n_tiles"))).alias("leaks"))
-    return docs.join(found, "doc_id", "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS.format(kind=kind)))).select(*docs.columns, "leaks")
+    found = both.mapInArrow(run, f"_id {doc_kind}, _mark long, item_id {kind}, item_text string, coverage double, n_tiles int")
+    # In the order of `_held`: by item_id, then by the item's text.
+    leaks = F.sort_array(F.collect_list(F.struct("item_id", "item_text", "coverage", "n_tiles")))
+    found = found.groupBy("_id", "_mark").agg(F.transform(leaks, lambda x: F.struct(x["item_id"].alias("item_id"), x["coverage"].alias("coverage"), x["n_tiles"].alias("n_tiles"))).alias("leaks"))
+    out = docs.withColumn("doc_mark", F.xxhash64("text")).join(found, same, "left")
+    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS.format(kind=kind)))).select(*docs.columns, "leaks")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_held_tokens: int = MAX_HELD_TOKENS) -> DataFrame:
@@ -221,8 +233,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     Tokens are runs of letters, digits and underscores in lower case. Items of fewer than
     five tokens, null items and null texts match nothing; empty tables give empty arrays.
     Repeated rows get equal answers; repeated benchmark rows count once. A benchmark beyond
-    `max_held_tokens` is joined instead of shipped, which leaves rows without a doc_id
-    unmatched; results are the same otherwise. A column `leaks` in the input is replaced.
+    `max_held_tokens` is joined instead of shipped; results are the same. A column `leaks`
+    in the input is replaced.
     """
     base = without(docs, "leaks")
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
