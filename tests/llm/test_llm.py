@@ -404,6 +404,14 @@ def test_shards(spark, n, copies):
         assert sum(len(v) > 1 for t, v in home.items() if t) < 15  # of 86 groups
 
 
+def test_shards_place_all_groups_that_find_room(spark):
+    texts = ["big" if i < 400 else f"text {i // 2}" for i in range(1200)]
+    home = {}
+    for r in balance.shard(docs_of(spark, texts)).collect():
+        home.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert sum(len(v) > 1 for t, v in home.items() if t != "big") <= 1
+
+
 def test_shards_repeated_rows(spark):
     got = balance.shard(docs_of(spark, ["a"] * 20, [None] * 10 + [1] * 10)).collect()
     assert len(got) == 20 and Counter(r["shard"] for r in got) == Counter({0: 3, 1: 3, 2: 3, 3: 3, 4: 2, 5: 2, 6: 2, 7: 2})

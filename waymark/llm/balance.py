@@ -7,6 +7,8 @@ larger than half a quota are cut into bundles first. What is linked to nothing,
 room, then fills the shards: their row counts differ by one at most.
 """
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,14 +40,15 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], n: int, weight: C
     return out.select(*rows.columns, (F.col("_shift") + F.col("_in")).alias(name))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 6) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of `docs`.
 
     `size` is the UTF-8 length of the text (null: none) plus 1, `text_crc32` its unsigned
     CRC-32, `law` is 'rows', `slot` counts from 0 in each shard in a fixed order,
     `grown_shard` is null. Equal texts are neighbours; null texts have none. Rows that
     repeat a doc_id are rows of their own, ordered arbitrarily among themselves if they are
-    equal. An empty table gives no rows.
+    equal. An empty table gives no rows. Rounds go on until one places nothing, each places
+    a bundle at least; `rounds` limits them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
@@ -77,7 +80,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 6) -> DataFrame:
     cells = scratch.write(cells.join(sizes, keys))
     settled = scratch.write(cells.limit(0).select(*keys, "shard", "total"))
     held: dict[int, int] = {}
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         left = [q - held.get(s, 0) for s, q in enumerate(quota)]
         widest = max(range(shards), key=lambda s: (left[s], -s))
         room = lambda c: F.element_at(F.array(*map(F.lit, left)), c + 1)  # noqa: E731, B023
@@ -85,6 +88,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = 6) -> DataFrame:
         fits = F.col("total") <= room(F.col("shard"))
         aim = cells.groupBy(*keys, "total").agg(F.max(F.when(fits, F.struct("n", (-F.col("shard")).alias("low")))).alias("m"))
         aim = aim.select(*keys, "total", F.coalesce(-F.col("m.low"), F.lit(widest)).cast("int").alias("shard"))
+        # What fits nowhere does not ask, or it would stand in the way of smaller ones.
+        aim = aim.where(F.col("total") <= room(F.col("shard")))
         asked = numbered(aim, ["shard"], keys, n, F.col("total"))
         taken = scratch.write(asked.where(F.col("at") + F.col("total") <= room(F.col("shard"))).select(*keys, "shard", "total"))
         if taken.isEmpty():
