@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import session
-from waymark.llm import balance, contexts, idfiles, linechunks, pieces, rules, severity, sketches, suffixes, tiling
+from waymark.llm import balance, contexts, idfiles, linechunks, pieces, prefixes, rules, severity, sketches, spelling, subvectors, suffixes, tiling
 
 QUERIES = {}
 ORACLES = {}
@@ -150,3 +150,91 @@ def op10_context_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(contexts.digest("base_spans"), 256).alias("base_sha256"), contexts.digest("spans").alias("spans"), "n_found"
     )
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+), marked AS (
+  SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM marked, crc_table
+), vocabulary AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS BIGINT) AS i FROM vocabulary)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cuts c JOIN vocabulary v ON c.rest = v.word
+  UNION SELECT v.word, c.word FROM cuts c JOIN vocabulary v ON c.rest = v.word
+), ranked AS (
+  SELECT p.word, a.n, p.near, b.n AS m, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY b.n DESC, encode(p.near)) AS place
+  FROM pairs p JOIN vocabulary a ON a.word = p.word JOIN vocabulary b ON b.word = p.near
+), best AS (SELECT * FROM ranked WHERE place = 1),
+forms AS (SELECT word, near AS form, m AS form_n FROM best WHERE m >= 2 * n),
+walk AS (
+  SELECT word, word AS last, 0 AS steps FROM vocabulary
+  UNION ALL SELECT walk.word, forms.form, steps + 1 FROM walk JOIN forms ON forms.word = walk.last
+), ends AS (SELECT word, max_by(last, steps) AS root FROM walk GROUP BY word)
+SELECT v.word, f.form, e.root, v.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, f.form_n
+FROM vocabulary v LEFT JOIN best b ON b.word = v.word LEFT JOIN forms f ON f.word = v.word JOIN ends e ON e.word = v.word
+"""
+
+
+@query("op11_sorted_variants", OP11_SQL)
+def op11_sorted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _op12_sql() -> str:
+    near = "min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), c := c))"
+    sql = """
+WITH whole AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings WHERE len(embedding) = 64
+), kept AS MATERIALIZED (
+  SELECT r, vec_id, [CAST(floor(64 * x) AS BIGINT) FOR x IN e] AS v FROM whole WHERE len([x FOR x IN e IF x IS NOT NULL AND isfinite(x)]) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS INTEGER) AS c, v AS w FROM kept
+  ORDER BY c LIMIT 16
+), """
+    for k in range(3):
+        sql += f"""a{k} AS MATERIALIZED (
+  SELECT r, any_value(v) AS v, {near}.c AS c FROM kept, c{k} GROUP BY r
+), s{k} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{k}) GROUP BY c, i
+), m{k} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM s{k} GROUP BY c
+), c{k + 1} AS MATERIALIZED (
+  SELECT c{k}.c, coalesce(m{k}.w, c{k}.w) AS w FROM c{k} LEFT JOIN m{k} ON m{k}.c = c{k}.c
+), """
+    return sql + f"""a3 AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, {near} AS near FROM kept, c3 GROUP BY r
+)
+SELECT vec_id, near.c AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.c = near.c
+"""
+
+
+@query("op12_subvector_centroids", _op12_sql())
+def op12_subvector_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = subvectors.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", subvectors.digest("centroid").alias("centroid_sha256"))
+
+
+@query("op13_prefix_bpe")
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = prefixes.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
