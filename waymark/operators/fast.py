@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.index import filter_paths
 from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_substring
+from waymark.operators.postings import GramIndex, candidates, gram_index
 from waymark.operators.queries import about_queries, live, query_context
 from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search, within
 from waymark.operators.routes import cut_keys, endpoint_hits, route_index
@@ -47,12 +48,21 @@ def first_k_by_priority(matches: DataFrame, limit: int | None = None) -> DataFra
     )
 
 
-def tier_pairs(context: DataFrame, features: DataFrame, condition=None, small: bool | None = None):
-    """Matching (query, item) pairs of the substring tiers."""
-    pairs = pair_by_substring(
-        features, context, ["name_low", "full_low"], "q_low",
-        _in_scope() if condition is None else condition, small,
-    )
+def name_grams(features: DataFrame) -> GramIndex:
+    """The stored index over the names and full names of items, for batches of fast searches."""
+    return gram_index(features, "seq", F.array("name_low", "full_low"))
+
+
+def tier_pairs(context: DataFrame, features: DataFrame, condition=None, small: bool | None = None, found: DataFrame | None = None):
+    """Matching (query, item) pairs of the substring tiers.
+
+    `found(q_low, id)` holds the candidates of each text, where an index gave them.
+    """
+    asked = _in_scope() if condition is None else condition
+    if found is None:
+        pairs = pair_by_substring(features, context, ["name_low", "full_low"], "q_low", asked, small)
+    else:
+        pairs = features.join(found, F.col("seq") == F.col("id_")).join(context, "q_low").filter(asked)
     return tier_match(pairs).filter("tier > 0")
 
 
@@ -89,16 +99,26 @@ def fast_search(
     open_files: DataFrame | None = None,
     modified_files: DataFrame | None = None,
     route_keys: DataFrame | None = None,
+    grams: GramIndex | None = None,
 ) -> DataFrame:
-    """The whole fast search: tiers, first k, routes, usage, order by score."""
+    """The whole fast search: tiers, first k, routes, usage, order by score.
+
+    With `grams` (see `name_grams`, over the same items) candidates come from posting
+    lists, so any number of queries reads the items once.
+    """
     context = live(query_context(queries, fast=True))
+    found = None
+    if grams is not None:
+        context = cut(context, "context")
+        found = candidates(context, grams).withColumnRenamed("id", "id_")
+        features = grams.rows
     about = about_queries(context)
     small, limit = about["n"] <= BROADCAST_QUERIES, about["k"]
-    arms = [tier_pairs(context, features, small=small)]
+    arms = [tier_pairs(context, features, small=small, found=found)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
         if paths is not None and scope in about["sets"]:
             asked = context.filter(F.col("q_scope") == scope)
-            arms.append(tier_pairs(asked, filter_paths(features, paths), F.lit(True), small))
+            arms.append(tier_pairs(asked, filter_paths(features, paths), F.lit(True), small, found))
     first = first_k_by_priority(union_all(arms), limit)
     # At most k rows per query are left; the rest works on these.
     results = cut(first.withColumn("score", F.col("tier") * boost_of(F.col("type"))).select(*ROW), "fast")

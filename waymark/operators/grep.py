@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.pairing import pair_by_substring
+from waymark.operators.postings import GramIndex, found_lines
 from waymark.schema import MAX_FILE_BYTES
 
 # Characters removed at both ends of a shown line.
@@ -21,39 +22,45 @@ def _needles(queries: DataFrame) -> DataFrame:
 
 
 def matching_lines(
-    docs: DataFrame, queries: DataFrame, small: bool | None = None, max_bytes: int | None = None, max_line: int | None = None
+    docs: DataFrame | GramIndex, queries: DataFrame, small: bool | None = None, max_bytes: int | None = None, max_line: int | None = None
 ) -> DataFrame:
     """Lines that contain a query, one row per (query, line).
 
-    Documents are matched whole first, so only those with a hit are split.
-    Blank lines are left out; files above `max_bytes` and lines above `max_line`
-    characters only where a caller asks for it.
+    `docs` are documents or their stored index (`postings.text_index`). Documents are
+    matched whole first, their lines parted once, and only lines with a hit leave them; an
+    index gives the candidates of all queries in one pass. Blank lines are left out; files
+    above `max_bytes` and lines above `max_line` characters only where a caller asks for it.
     """
-    found = docs if max_bytes is None else grep_guards(docs, max_bytes)
-    pairs = pair_by_substring(
-        found.withColumn("text_low", F.lower("text")), _needles(queries), ["text_low"], "q_low", F.lit(True), small
-    )
-    keep = [c for c in docs.columns if c != "text"]
-    lines = pairs.select(*keep, "qid", "q_low", "k", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    asked = _needles(queries)
+    if isinstance(docs, GramIndex):
+        lines = found_lines(docs, asked).join(asked, "q_low")
+        if max_bytes is not None:
+            lines = grep_guards(lines, max_bytes)
+    else:
+        found = docs if max_bytes is None else grep_guards(docs, max_bytes)
+        keep = [c for c in docs.columns if c != "text"]
+        parted = found.select(*keep, F.lower("text").alias("text_low"), F.split("text", "\n").alias("lines"))
+        pairs = pair_by_substring(parted, asked, ["text_low"], "q_low", F.lit(True), small)
+        numbered = F.transform("lines", lambda raw, i: F.struct(i.alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
+        hits = F.filter(numbered, lambda x: F.contains(x["raw_low"], F.col("q_low")))
+        lines = pairs.select(*keep, "qid", "q_low", "k", F.inline(hits))
     if max_line is not None:
         lines = lines.filter(F.length("raw") <= max_line)
     return (
-        lines.withColumn("raw_low", F.lower("raw"))
-        .filter("contains(raw_low, q_low)")
-        .withColumn("name", F.expr(f"btrim(raw, {BLANKS})"))
+        lines.withColumn("name", F.expr(f"btrim(raw, {BLANKS})"))
         .filter("name <> ''")
         .withColumn("indent", F.expr(f"length(raw) - length(ltrim({BLANKS}, raw))"))
     )
 
 
-def grep(docs: DataFrame, queries: DataFrame, small: bool | None = None, **limits) -> DataFrame:
+def grep(docs: DataFrame | GramIndex, queries: DataFrame, small: bool | None = None, **limits) -> DataFrame:
     """First match of each line: 0-based line and column, shown text, highlight."""
     hits = matching_lines(docs, queries, small, **limits).withColumn("column", F.expr("instr(raw_low, q_low) - 1"))
     start = F.expr("greatest(0, column - indent)")
     return hits.withColumn("hl_start", start).withColumn("hl_end", F.expr("hl_start + length(q_low)"))
 
 
-def grep_submatches(docs: DataFrame, queries: DataFrame, small: bool | None = None, **limits) -> DataFrame:
+def grep_submatches(docs: DataFrame | GramIndex, queries: DataFrame, small: bool | None = None, **limits) -> DataFrame:
     """Every match of each line; offsets are relative to the shown text.
 
     The pieces between matches give the running offsets.

@@ -14,6 +14,7 @@ from waymark.plans import tables as tb
 from waymark.plans.registry import query
 from waymark.plans.text_plans import DOCS_SQL, NEEDLES_SQL, documents, lines_sql
 from waymark.schema import boost_of
+from waymark.session import union_all
 
 R6 = lambda c: F.round(F.col(c), 6)
 
@@ -403,6 +404,34 @@ def fast_search_query(spark, sf):
     return fast_frame(spark, sf).select("qid", "id", "line", R6("score").alias("score"), "rank")
 
 
+BURST_BATCH_SQL = """q AS (SELECT DISTINCT substr(p_name, 1, 4) AS t FROM part UNION SELECT DISTINCT substr(p_name, -3) FROM part
+    UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT DISTINCT left(CAST(p_partkey AS VARCHAR), 2) FROM part)"""
+
+
+def burst_batch(spark, sf):
+    """Pieces of names, brands and numbers of the data as queries of a fast search for five results."""
+    part = tb.load(spark, sf, "part")
+    texts = [part.selectExpr(f"{e} as t") for e in ("substr(p_name, 1, 4)", "substr(p_name, -3)", "lower(p_brand)", "left(cast(p_partkey as string), 2)")]
+    return union_all(texts).distinct().selectExpr("t as qid", "t as query", "'everything' as scope", "5 as max_results")
+
+
+@query(
+    "burst_postings",
+    f"""WITH {tb.FEATURES_SQL}, {BURST_BATCH_SQL}, qs AS (SELECT t AS qid, {tb.fold_sql("trim(t)")} AS q FROM q WHERE trim(t) <> '' AND NOT contains(t, '/')),
+    tiers AS (SELECT qid, seq, id, CASE WHEN name_low = q THEN 1.0 WHEN starts_with(name_low, q) THEN 0.9 WHEN contains(name_low, q) THEN 0.8
+      WHEN full_low = q THEN 0.9 WHEN starts_with(full_low, q) THEN 0.8 WHEN contains(full_low, q) THEN 0.7 END::DOUBLE AS tier,
+      {tb.BOOST_SQL} AS boost, CASE scope WHEN 'types' THEN 1 WHEN 'symbols' THEN 2 WHEN 'endpoints' THEN 3 WHEN 'files' THEN 4 ELSE 5 END AS visit
+      FROM qs JOIN features ON scope <> 'text' AND (contains(name_low, q) OR contains(full_low, q))),
+    first AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY visit, seq) AS pos FROM tiers)
+    SELECT qid, id, round(tier * boost, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY tier * boost DESC, seq)::INTEGER AS rank
+    FROM first WHERE pos <= 5""",
+)
+def burst_postings_query(spark, sf):
+    asked = burst_batch(spark, sf).filter("not contains(query, '/')")
+    out = fs.fast_search(asked, tb.index(spark, sf), grams=tb.name_grams(spark, sf))
+    return out.select("qid", "id", R6("score").alias("score"), "rank")
+
+
 @query(
     "burst_routes",
     f"WITH {FAST_SQL} SELECT qid, id, round(base_score, 6) AS score FROM fast WHERE qid IN (SELECT qid FROM context WHERE is_url)",

@@ -4,7 +4,9 @@ each with the same derivation as a SQL fragment for the cross-check."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators import fast
 from waymark.operators.index import item_features
+from waymark.operators.postings import text_index
 from waymark.operators.routes import route_index
 from waymark.session import fresh_dir
 
@@ -117,6 +119,28 @@ def route_keys(spark, sf) -> DataFrame:
     return stored(spark, sf, "routes", lambda s, d: route_index(index(s, d).filter("scope = 'endpoints'")))
 
 
+_GRAMS: dict = {}
+
+
+def _grams(spark, sf, name: str, build):
+    """A gram index built once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _GRAMS:
+        _GRAMS[key] = build()
+    return _GRAMS[key]
+
+
+def name_grams(spark, sf):
+    """Posting lists of the names and full names of all items."""
+    return _grams(spark, sf, "names", lambda: fast.name_grams(index(spark, sf)))
+
+
+def text_grams(spark, sf):
+    """Posting lists of the lines of all documents."""
+    docs = document_paths(spark, sf).selectExpr("doc_id as seq", "file_path", "octet_length(text) as size", "text")
+    return _grams(spark, sf, "texts", lambda: text_index(docs))
+
+
 QUERIES = [
     (1, "ring", "everything", 10),
     (2, "smring", "everything", 10),

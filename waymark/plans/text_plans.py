@@ -11,6 +11,7 @@ from waymark.operators import results as rs
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
 from waymark.schema import MAX_LINE_CHARS
+from waymark.session import union_all
 
 NEEDLES = [(1, "license", 50), (2, "The ", 25), (3, "ré", 40), (4, "@example", 1000), (5, "no such text", 10), (6, "  ", 10)]
 
@@ -58,6 +59,32 @@ def grep_documents(spark, sf):
     return hits.select("qid", "id", "name", "line", "column", "hl_start", "hl_end")
 
 
+@query("grep_postings", f"WITH {lines_sql(DOCS_SQL)} SELECT {HIT_COLS} FROM hits")
+def grep_by_postings(spark, sf):
+    """The rows of `grep`, through posting lists of the lines."""
+    hits = gr.text_items(gr.grep(tb.text_grams(spark, sf), needles(spark)))
+    return hits.select("qid", "id", "name", "line", "column", "hl_start", "hl_end")
+
+
+# Every name of a part and of a brand as a text to find, thousands on large data.
+WORDS_SQL = """words AS (SELECT DISTINCT lower(p_name) AS q FROM part UNION SELECT DISTINCT lower(p_brand) FROM part
+    UNION SELECT DISTINCT lower(substr(text, 1 + doc_id % 40, 7)) FROM documents WHERE length(text) > 50)"""
+
+
+@query(
+    "grep_batch",
+    f"""WITH {WORDS_SQL}, asked AS (SELECT q FROM words WHERE trim(q) <> '' AND NOT contains(q, chr(10))),
+    lines AS (SELECT doc_id AS seq, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents)
+    SELECT q AS query, seq, line::INTEGER AS line FROM lines JOIN asked ON contains(lower(raw), q) WHERE trim(raw, {BLANK_CHARS}) <> ''""",
+)
+def grep_batch(spark, sf):
+    """Many texts at once, through posting lists: every line of each."""
+    part, docs = tb.load(spark, sf, "part"), tb.load(spark, sf, "documents").filter("length(text) > 50")
+    words = union_all([part.selectExpr("lower(p_name) as query"), part.selectExpr("lower(p_brand) as query"), docs.selectExpr("lower(substr(text, cast(1 + doc_id % 40 as int), 7)) as query")])
+    asked = words.distinct().selectExpr("query as qid", "query", "cast(null as int) as max_results")
+    return gr.grep(tb.text_grams(spark, sf), asked).select(F.col("qid").alias("query"), "seq", "line")
+
+
 @query("grep_conversations", f"WITH {lines_sql(TURNS_SQL)} SELECT {HIT_COLS} FROM hits")
 def grep_conversations(spark, sf):
     hits = gr.text_items(gr.grep(turns(spark, sf), needles(spark)))
