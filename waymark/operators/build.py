@@ -5,7 +5,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.lexer import code_lines
 from waymark.functions.prefix import number_chunk, running
+from waymark.functions.scan import scan
 from waymark.functions.text import combine_routes, resolve_controller_token, uri_to_path
 from waymark.schema import SYMBOL_KIND_TYPES, lookup
 from waymark.session import cut, union_all
@@ -36,16 +38,21 @@ class Rule(NamedTuple):
     type: str
 
 
-# Rules of our own for line-based extraction. Multi-line declarations and
-# keywords inside strings are known misses.
+# Rules of our own, for lines without comments and strings (see `lexer.code_lines`).
 _C_METHOD = (
     r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|async|abstract|final|sealed)\s+)+"
     r"(?:[\w<>\[\],.?]+\s+)+(\w+)\s*\("
 )
 _TS_WORDS = r"(?!(?:if|for|while|switch|catch|function|return|constructor|new|super|await|typeof|else|do|with)\b)"
+# Parentheses in arguments go one level deep.
+_TS_ARGUMENTS = r"\([^();]*(?:\([^();]*\)[^();]*)*\)"
 _TS_METHOD = (
     r"^\s+(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*" + _TS_WORDS
-    + r"([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^={;]+)?\{"
+    + r"([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?" + _TS_ARGUMENTS + r"\s*(?::[^={;]+)?\{"
+)
+_TS_ARROW = (
+    r"^\s+(?:(?:public|private|protected|static|readonly|override|declare)\s+)*([A-Za-z_$#][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?"
+    r"(?:(?:<[^>]*>)?" + _TS_ARGUMENTS + r"|[A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=>"
 )
 _TS_PROPERTY = r"^\s+(?:(?:public|private|protected|static|readonly|declare)\s+)+([A-Za-z_$][\w$]*)\s*[?!]?\s*[:=;]"
 _TS_VARIABLE = r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*[:=;]"
@@ -55,7 +62,7 @@ RULES = [
     *[
         Rule(lang, pattern, kind)
         for lang in ("typescript", "typescriptreact", "javascript", "javascriptreact")
-        for pattern, kind in ((_TS_METHOD, "method"), (_TS_PROPERTY, "property"), (_TS_VARIABLE, "variable"))
+        for pattern, kind in ((_TS_METHOD, "method"), (_TS_PROPERTY, "property"), (_TS_ARROW, "property"), (_TS_VARIABLE, "variable"))
     ],
     *[Rule(lang, r"^\s*(?:typedef\s+)?enum\s+(?:class\s+|struct\s+)?(\w+)", "enum") for lang in ("c", "cpp")],
     *[Rule(lang, "^" + _C_FUNCTION, "function") for lang in ("c", "cpp")],
@@ -90,34 +97,39 @@ def extract_symbols(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Declarations of `docs(file_path, relative_path, language, text)`.
 
     Rules become expressions at plan time; a line is tested by the rules of its
-    language only. Rows carry the 0-based line and column, and the nesting depth
-    (open braces, or indentation for Python).
+    language only, without its comments and strings, together with the lines that a
+    parenthesis carries on. Rows carry the 0-based line and column, the indent and the
+    open braces before the line. A name that two rules find counts once.
     """
     by_language: dict[str, list[Rule]] = {}
     for r in rules:
         by_language.setdefault(r.language, []).append(r)
-    lines = docs.select(
-        "file_path", "relative_path", "language", F.posexplode(F.split("text", "\n")).alias("line", "raw")
-    )
+    lines = code_lines(docs, "file_path", "relative_path")
     found = None
     for language, own in by_language.items():
+        # Attributes of HTML are strings.
+        text = "kept" if language == "html" else "code"
         per_rule = [
             F.expr(
-                f"transform(regexp_extract_all(raw, r'{r.pattern}', 1), "
+                f"transform(regexp_extract_all({text}, r'{r.pattern}', 1), "
                 f"n -> named_struct('name', n, 'type', '{r.type}'))"
             )
             for r in own
         ]
         names = F.filter(F.concat(*per_rule), lambda x: x["name"] != "")
+        if language.startswith(("typescript", "javascript")):
+            named = F.transform(names, lambda x: x["name"])
+            names = F.filter(names, lambda x, i: F.array_position(named, x["name"]) == i + 1)
         test = F.col("language") == language
         found = F.when(test, names) if found is None else found.when(test, names)
-    hits = lines.select("file_path", "relative_path", "language", "line", "raw", F.posexplode(found).alias("nth", "s"))
+    hits = lines.select("file_path", "relative_path", "language", "line", "raw", "depth", F.posexplode(found).alias("nth", "s"))
     return hits.select(
         "file_path", "relative_path", "language", "line", "nth",
         F.expr("greatest(instr(raw, s.name) - 1, 0)").alias("col"),
         F.col("s.name").alias("name"),
         F.col("s.type").alias("type"),
         F.expr("length(raw) - length(ltrim(raw))").alias("indent"),
+        "depth",
     )
 
 
@@ -128,19 +140,19 @@ INDENTS = {"python": 4, "ruby": 2}
 def code_symbols(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Extracted declarations with depth, container, full name and id (`ts:path:fullName:row`)."""
     found = extract_symbols(docs, rules)
-    depth = brace_depth(docs.select("file_path", "text"))
     width = F.coalesce(lookup(F.col("language"), INDENTS), F.lit(0))
     level = F.when(width > 0, F.floor(F.try_divide("indent", width))).otherwise(F.col("depth"))
-    named = qualify_names(found.join(depth, ["file_path", "line"]).withColumn("depth", level.cast("int")))
+    named = qualify_names(found.withColumn("depth", level.cast("int")))
     return named.withColumn("id", F.concat_ws(":", F.lit("ts"), "file_path", "full_name", "line"))
 
 
 def brace_depth(docs: DataFrame) -> DataFrame:
-    """Open braces before each line: `(file_path, line, depth)`."""
-    lines = docs.select("file_path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    net = F.expr("length(replace(raw, '}', '')) - length(replace(raw, '{', ''))").cast("bigint")
-    summed = running(lines, ["file_path"], ["line"], number_chunk(F.col("line")), {"after": ("sum", net)})
-    return summed.select("file_path", "line", (F.col("after") - net).alias("depth"))
+    """Open braces before each logical line of `docs(file_path, text)`: `(file_path, line, depth)`.
+
+    Braces in comments and strings do not count, by the rules of `language` where there is one.
+    """
+    known = docs if "language" in docs.columns else docs.withColumn("language", F.lit("typescript"))
+    return code_lines(known, "file_path").select("file_path", "line", "depth")
 
 
 # Ends of syntax node kinds, tested in this order; the bare word
@@ -174,32 +186,25 @@ def classify_node(kind: str, language: str) -> Column:
 def qualify_names(symbols: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Container and full name of `symbols(file_path, line, depth, name, type)`.
 
-    The container is the chain of enclosing types. One pass remembers the
-    latest symbol of each depth that occurs; it encloses a deeper row unless
-    something shallower came after it.
+    The container is the chain of enclosing types: a row takes everything as deep as
+    itself or deeper off the stack, then lies on it. Stretches of rows compose, as what the
+    shallowest of them takes off and the types they leave, so the stack before each row comes
+    from a scan, at any depth. Rows of one line are told apart by `nth`, where there is one.
     """
-    deepest = symbols.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first()["d"]
     is_type = F.col("type").isin("class", "interface", "enum")
-    latest = {
-        f"_d{d}": (
-            "last",
-            F.when(F.col("depth") == d, F.struct("line", F.when(is_type, F.col("name")).alias("name"))),
-        )
-        for d in range(deepest)
-    }
-    part = number_chunk(F.col("line")) if chunk is None else chunk
-    seen = running(symbols, ["file_path"], ["line"], part, latest)
-    links = []
-    for d in range(deepest):
-        fresh = [f"_d{d}.line > coalesce(_d{e}.line, -1)" for e in range(d)]
-        test = " and ".join([f"depth > {d}", *fresh])
-        links.append(f"if({test}, _d{d}.name, null)")
-    container = F.expr(f"nullif(concat_ws('.', {', '.join(links) or 'null'}), '')")
-    return (
-        seen.withColumn("container", container)
-        .withColumn("full_name", F.concat_ws(".", "container", "name"))
-        .drop(*latest)
-    )
+    own = F.struct(F.col("depth").alias("depth"), F.col("name").alias("name"))
+    left = F.when(is_type, F.array(own)).otherwise(F.array().cast("array<struct<depth:int,name:string>>"))
+    effect = F.struct(F.col("depth").cast("int").alias("least"), left.cast("array<struct<depth:int,name:string>>").alias("stack"))
+
+    def then(a: Column, b: Column) -> Column:
+        stays = F.filter(a["stack"], lambda e: e["depth"] < b["least"])
+        return F.struct(F.least(a["least"], b["least"]).alias("least"), F.concat(stays, b["stack"]).alias("stack"))
+
+    order = ["line", "nth"] if "nth" in symbols.columns else ["line"]
+    seen = scan(symbols, ["file_path"], order, effect, then, "_stack", chunk)
+    around = F.filter("_stack.stack", lambda e: e["depth"] < F.col("depth"))
+    container = F.nullif(F.array_join(F.transform(around, lambda e: e["name"]), "."), F.lit(""))
+    return seen.withColumn("container", container).withColumn("full_name", F.concat_ws(".", "container", "name")).drop("_stack")
 
 
 # ---------------------------------------------------------------- C# endpoints
@@ -211,20 +216,21 @@ CLASS_LINE = r"^\s*(?:(?:public|private|protected|internal|static|abstract|seale
 def controller_endpoints(docs: DataFrame) -> DataFrame:
     """Endpoint items of controller sources `docs(file_path, text)`.
 
-    Attribute lines belong to the next declaration below them. The last verb
-    and the last route of a method win; the class route is the prefix.
+    Attribute lines belong to the next declaration below them, also where an attribute
+    takes several lines; comments are none. The last verb and the last route of a method
+    win; the class route is the prefix.
     """
-    lines = docs.select("file_path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    is_attr = F.col("raw").rlike(r"^\s*\[")
-    marked = lines.select(
-        "file_path", "line", "raw",
-        F.regexp_extract("raw", CLASS_LINE, 1).alias("class_name"),
-        F.when(~is_attr | F.col("raw").rlike(r"\]\s*\w"), F.regexp_extract(
-            F.regexp_replace("raw", r"^(\s*\[[^\]]*\])+", ""), _C_METHOD, 1)).otherwise(F.lit("")).alias("method_name"),
-        F.when(is_attr, F.expr(f"regexp_extract_all(raw, r'{ATTRIBUTE}', 1)")).alias("kinds"),
-        F.when(is_attr, F.expr(f"regexp_extract_all(raw, r'{ATTRIBUTE}', 2)")).alias("routes"),
-    ).filter("trim(raw) <> ''")
-    ends = (~is_attr) | (F.col("method_name") != "") | (F.col("class_name") != "")
+    lines = code_lines(docs.select("file_path", "text", F.lit("csharp").alias("language")), "file_path")
+    is_attr = F.col("code").rlike(r"^\s*\[")
+    declared = F.regexp_replace("code", r"^(\s*\[[^\]]*\])+", "")
+    marked = lines.filter("trim(kept) <> ''").select(
+        "file_path", "line",
+        F.regexp_extract("code", CLASS_LINE, 1).alias("class_name"),
+        F.when(~is_attr | F.col("code").rlike(r"\]\s*\w"), F.regexp_extract(declared, _C_METHOD, 1)).otherwise(F.lit("")).alias("method_name"),
+        F.when(is_attr, F.expr(f"regexp_extract_all(kept, r'{ATTRIBUTE}', 1)")).alias("kinds"),
+        F.when(is_attr, F.expr(f"regexp_extract_all(kept, r'{ATTRIBUTE}', 2)")).alias("routes"),
+    )
+    ends = F.col("kinds").isNull() | (F.col("method_name") != "") | (F.col("class_name") != "")
     marked = marked.withColumn("_end", ends.cast("bigint"))
     chunk = number_chunk(F.col("line"))
     blocks = running(marked, ["file_path"], ["line"], chunk, {"_b": ("sum", F.col("_end"))}).withColumn(
@@ -266,22 +272,30 @@ def controller_endpoints(docs: DataFrame) -> DataFrame:
     )
 
 
-MAP_CALL = r"\.Map(Get|Post|Put|Delete|Patch)\s*\(\s*([@$]*\"[^\"]*\"|[^,)\s\"]+)"
+MAP_CALL = r"\.Map(Get|Post|Put|Delete|Patch)\s*\("
+MAP_ROUTE = r"^\s*([@$]*\"[^\"]*\"|[^,)\s\"]+)"
 
 
 def minimal_api_endpoints(docs: DataFrame) -> DataFrame:
-    """Endpoint items of `app.MapGet("/route", ...)` calls."""
-    lines = docs.select("file_path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    calls = lines.filter("contains(raw, '.Map')").select(
-        "file_path", "line",
-        F.explode(F.arrays_zip(
-            F.expr(f"regexp_extract_all(raw, r'{MAP_CALL}', 1)").alias("verb"),
-            F.expr(f"regexp_extract_all(raw, r'{MAP_CALL}', 2)").alias("arg"),
-        )).alias("c"),
+    """Endpoint items of `app.MapGet("/route", ...)` calls, on one line or several; not those in comments or strings.
+
+    Calls are found in the code, their routes read at the same places of the text with strings.
+    """
+    # Texts without a call need no lexing.
+    lines = code_lines(docs.filter("contains(text, '.Map')").select("file_path", "text", F.lit("csharp").alias("language")), "file_path")
+    with_calls = lines.filter("contains(code, '.Map')").select(
+        "file_path", "line", "kept",
+        F.expr(f"regexp_extract_all(code, r'{MAP_CALL}', 1)").alias("verbs"),
+        F.expr(f"transform(regexp_extract_all(code, r'{MAP_CALL}', 0), h -> length(h))").alias("heads"),
+        F.expr(f"transform(split(code, r'{MAP_CALL}'), p -> length(p))").alias("gaps"),
     )
+    place = "aggregate(slice(gaps, 1, i + 1), 1, (a, x) -> a + x) + aggregate(slice(heads, 1, i + 1), 0, (a, x) -> a + x)"
+    calls = with_calls.select("file_path", "line", F.expr(
+        f"inline(transform(verbs, (v, i) -> named_struct('verb', v, 'arg', regexp_extract(substr(kept, {place}), r'{MAP_ROUTE}', 1))))"
+    ))
     rows = calls.select(
-        "file_path", "line", F.upper("c.verb").alias("verb"),
-        F.regexp_replace("c.arg", r"^[\"@$]+|\"+$", "").alias("route"),
+        "file_path", "line", F.upper("verb").alias("verb"),
+        F.regexp_replace("arg", r"^[\"@$]+|\"+$", "").alias("route"),
     ).filter("route <> ''")
     return rows.select(
         F.concat_ws(":", F.lit("endpoint"), "file_path", "route", "line").alias("id"),

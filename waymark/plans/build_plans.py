@@ -11,6 +11,7 @@ from waymark.functions.text import (
     uri_to_path,
 )
 from waymark.operators import build as bd
+from waymark.plans import sources as src
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
 from waymark.session import fresh_dir
@@ -440,3 +441,79 @@ def code_symbols_query(spark, sf):
         "replace(raw, char(1), cast(s_suppkey as string)) as text",
     )
     return bd.code_symbols(docs).select("id", "line", "name", "type", "full_name")
+
+
+def keyed_sources(spark, sf, forms):
+    """One text per supplier and form, with the supplier's key in its names."""
+    rows = spark.createDataFrame(list(forms.items()), "language string, form string")
+    keys = tb.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    texts = keys.join(F.broadcast(rows))
+    return texts.selectExpr("concat('/', language, '/', k) as file_path", "concat(language, '/', k) as relative_path", "language", "replace(form, '§', k) as text")
+
+
+DECLARED_SQL = "d(language, line, name, type, full_name) AS (VALUES " + ", ".join(map(str, src.DECLARED)) + ")"
+
+
+@query(
+    "extract_split_declarations",
+    f"""WITH {DECLARED_SQL} SELECT 'ts:/' || language || '/' || s_suppkey || ':' || replace(full_name, '§', s_suppkey::VARCHAR) || ':' || line AS id,
+      line::INTEGER AS line, replace(name, '§', s_suppkey::VARCHAR) AS name, type, replace(full_name, '§', s_suppkey::VARCHAR) AS full_name FROM supplier, d""",
+)
+def split_declarations_query(spark, sf):
+    """Declarations over several lines, among comments and strings that look like some, in eight languages."""
+    return bd.code_symbols(keyed_sources(spark, sf, src.SOURCES)).select("id", "line", "name", "type", "full_name")
+
+
+@query(
+    "controller_endpoints_split",
+    """WITH s AS (SELECT s_suppkey::VARCHAR AS k FROM supplier)
+    SELECT '/csharp/' || k AS file_path, 7 AS line, '[POST] api/S' || k || '/two' AS name, 'S' || k || 'Controller.One' AS full_name FROM s
+    UNION ALL SELECT '/csharp/' || k, 18, '[DELETE] api/S' || k || '/four', 'S' || k || 'Controller.Four' FROM s""",
+)
+def split_controllers_query(spark, sf):
+    docs = keyed_sources(spark, sf, {"csharp": src.CONTROLLER})
+    return bd.controller_endpoints(docs).select("file_path", "line", "name", "full_name")
+
+
+@query(
+    "minimal_api_split",
+    """SELECT '/csharp/' || s_suppkey AS file_path, 0 AS line, '[GET] /one/' || s_suppkey AS name FROM supplier
+    UNION ALL SELECT '/csharp/' || s_suppkey, 6, '[PATCH] /two' FROM supplier UNION ALL SELECT '/csharp/' || s_suppkey, 7, '[DELETE] /three' FROM supplier""",
+)
+def split_minimal_query(spark, sf):
+    docs = keyed_sources(spark, sf, {"csharp": src.MINIMAL})
+    return bd.minimal_api_endpoints(docs).select("file_path", "line", "name")
+
+
+@query(
+    "open_braces",
+    r"""WITH l AS (SELECT page_id, i, regexp_replace(x, '[^{}]', '', 'g') AS b FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS x,
+      unnest(range(0, len(string_split(html, chr(10))))) AS i FROM pages)),
+    n AS (SELECT *, len(replace(b, '}', '')) - len(replace(b, '{', '')) AS net FROM l)
+    SELECT '/p/' || page_id AS file_path, i::INTEGER AS line, coalesce(sum(net) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS depth FROM n""",
+)
+def open_braces_query(spark, sf):
+    """Braces of pages, where nothing but braces and line breaks is left of the text."""
+    docs = tb.load(spark, sf, "pages").selectExpr("concat('/p/', page_id) as file_path", r"regexp_replace(html, '[^{}\n]', '') as text")
+    return bd.brace_depth(docs)
+
+
+DEEP = 40
+
+
+@query(
+    "qualify_names_stack",
+    f"""SELECT s_suppkey AS k, d AS depth, nullif(array_to_string(list_transform(range(d), lambda i: 't' || i), '.'), '') AS container
+    FROM supplier, (SELECT unnest(range({DEEP} + 1))::INTEGER AS d)
+    UNION ALL SELECT s_suppkey, {DEEP} + 1, array_to_string(list_transform(range(d // 2), lambda i: 't' || i), '.') FROM supplier, (SELECT unnest(range(2, {DEEP} + 1, 2)) AS d)""",
+)
+def qualify_stack_query(spark, sf):
+    """A nest of types, then a row below each half of its depth, which takes the deeper ones off again."""
+    down = tb.load(spark, sf, "supplier").selectExpr("s_suppkey as k", f"explode(sequence(0, {DEEP})) as depth").selectExpr(
+        "k", "depth", "depth as line", "concat('t', depth) as name", "'class' as type", f"depth as shown"
+    )
+    up = tb.load(spark, sf, "supplier").selectExpr("s_suppkey as k", f"explode(sequence({DEEP}, 2, -2)) as d").selectExpr(
+        "k", "cast(d div 2 as int) as depth", f"{2 * DEEP} - d as line", "'leaf' as name", "'method' as type", f"{DEEP} + 1 as shown"
+    )
+    rows = down.unionByName(up).withColumn("file_path", F.concat(F.lit("/s/"), "k"))
+    return bd.qualify_names(rows).select("k", F.col("shown").alias("depth"), "container")
