@@ -73,3 +73,10 @@ def test_declaration_forms(spark):
     text = ["readonly int A(int x)", "Map<T>(T x) {", "extern void B();", "return C();"]
     lines = spark.createDataFrame([("/f", i, t) for i, t in enumerate(text)], "file_path string, line int, text string")
     assert [r["name"] for r in relations.declaration_marks(lines).orderBy("line").collect()] == ["A", "Map", "B"]
+
+
+def test_generic_methods_without_a_modifier(spark):
+    text = ["Pair<K, V>(K key, Func<V> make = f()) {", "Sort<T>(T[] all) where T : IComparable, new() {", "Call<int>(x);", "a < b > (c) d", "Fill<T>(T x) where T : class {", "Deep<A.B?>(int[] y){"]
+    lines = spark.createDataFrame([("/f", i, t) for i, t in enumerate(text)], "file_path string, line int, text string")
+    got = {r["line"]: r["name"] for r in relations.declaration_marks(lines).collect()}
+    assert got == {0: "Pair", 1: "Sort", 4: "Fill", 5: "Deep"}

@@ -366,19 +366,21 @@ def symbol_coverage(files: DataFrame, symbols: DataFrame, threshold: float = 0.6
 def flatten_settings(settings: DataFrame) -> DataFrame:
     """JSON settings `(owner, ord, json)` -> dotted keys; later settings override.
 
-    Arrays stay whole. One pass per level, until no object is left.
+    Arrays stay whole. One pass per level, until no object is left; each level is written
+    and read by the next, so no level is parsed again.
     """
     spark = settings.sparkSession
     level = settings.select("owner", "ord", F.lit(None).cast("string").alias("prefix"), F.try_parse_json("json").alias("v"))
+    level = level.filter("schema_of_variant(v) like 'OBJECT%'")
+    nested = F.coalesce(F.expr("schema_of_variant(v) like 'OBJECT%'"), F.lit(False))
     leaves = []
     while True:
-        inner = level.filter("schema_of_variant(v) like 'OBJECT%'")
-        pairs = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
+        pairs = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
             "owner", "ord", F.concat_ws(".", "prefix", "key").alias("prefix"), F.col("value").alias("v")
         )
-        nested = F.expr("schema_of_variant(v) like 'OBJECT%'")
-        leaves.append(pairs.filter(~F.coalesce(nested, F.lit(False))))
-        level = pairs.filter(F.coalesce(nested, F.lit(False)))
+        pairs = cut(pairs.select("*", nested.alias("nested")), "settings")
+        leaves.append(pairs.filter(~F.col("nested")))
+        level = pairs.filter("nested").drop("nested")
         if level.isEmpty():
             break
     flat = union_all(leaves).select("owner", "ord", F.col("prefix").alias("key"), F.expr("cast(v as string)").alias("value"))

@@ -11,6 +11,7 @@ from waymark.plans.registry import query
 from waymark.plans.search_plans import ACTIVITY_SQL, SEARCH_SQL, activity_table
 from waymark.plans.usage_plans import MICROS
 from waymark.session import fresh_dir
+from waymark.streaming import keyed as kd
 from waymark.streaming import signals as sg
 from waymark.streaming import state as st
 from waymark.streaming import upkeep as up
@@ -107,9 +108,7 @@ def changes_query(spark, sf):
 @query("changes_only_stream", CHANGES_SQL)
 def changes_stream_query(spark, sf):
     e = event_stream(spark, sf).selectExpr("user_id as key", "ts", "event_id", "event_type as value")
-    root = fresh_dir(spark, "changes")
-    run_steps(e, "changes", st.with_state(root, ["key"], "key bigint, ts timestamp_ntz, event_id bigint, value string", sg.changes_step))
-    return spark.read.parquet(f"{root}/out").select("event_id", "key", "value", "previous")
+    return run_to_table(kd.changes_only_stream(e), "changes").select("event_id", "key", "value", "previous")
 
 
 KINDS = "CASE event_type WHEN 'purchase' THEN 'rebuild' WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'create' ELSE 'change' END"
@@ -127,9 +126,7 @@ def cooldown_query(spark, sf):
 @query("cooldown_stream", COOLDOWN_SQL)
 def cooldown_stream_query(spark, sf):
     e = event_stream(spark, sf).selectExpr("ts", "event_id", f"{KINDS} as kind")
-    root = fresh_dir(spark, "cooldown")
-    run_steps(e, "cooldown", st.with_state(root, ["one"], "one int, ts timestamp_ntz, event_id bigint", sg.cooldown_step(300)))
-    return spark.read.parquet(f"{root}/out").select("event_id", "kind")
+    return run_to_table(kd.cooldown_stream(e, 300), "cooldown").select("event_id", "kind")
 
 
 # One accepted request at a time: the next is the first one after the pause.
@@ -148,9 +145,7 @@ def guard_query(spark, sf):
 @query("rebuild_guard_stream", GUARD_SQL)
 def guard_stream_query(spark, sf):
     e = event_stream(spark, sf).selectExpr("event_type as key", "ts", "event_id")
-    root = fresh_dir(spark, "guard")
-    run_steps(e, "guard", st.with_state(root, ["key"], "key string, ts timestamp_ntz, event_id bigint", sg.guard_step(4 * 3600)))
-    return spark.read.parquet(f"{root}/out").selectExpr("key", us("ts", "us"))
+    return run_to_table(kd.rebuild_guard_stream(e, 4 * 3600), "guard").select("key", "us")
 
 
 @query(
@@ -177,7 +172,7 @@ def typed_queries(e):
 
 @query("latest_query", LATEST_SQL)
 def latest_query_query(spark, sf):
-    frame = sg.latest_query(typed_queries(event_stream(spark, sf)))
+    frame = kd.latest_query_stream(typed_queries(event_stream(spark, sf)))
     path = fresh_dir(spark, "latest")
     run_steps(frame, "latest", st.upsert_versions(path), "update")
     return st.latest(spark.read.parquet(path), ["session"]).select("session", "event_id", "query")
@@ -185,10 +180,11 @@ def latest_query_query(spark, sf):
 
 @query("stream_activity", f"WITH {ACTIVITY_SQL} SELECT item_id, access_count, round(score, 6) AS score FROM activity")
 def stream_activity_query(spark, sf):
-    accesses = event_stream(spark, sf).selectExpr("concat('part:', user_id) as item_id", "ts")
-    path = fresh_dir(spark, "usage")
-    run_steps(act.access_counts(accesses), "usage", st.upsert_versions(path), "update")
-    counts = st.latest(spark.read.parquet(path), ["item_id"])
+    accesses = event_stream(spark, sf).selectExpr("concat('part:', user_id) as item_id", "ts", "event_id")
+    path, merged = fresh_dir(spark, "usage"), fresh_dir(spark, "usage-merged")
+    run_steps(kd.access_counts_stream(accesses), "usage", st.upsert_versions(path), "update")
+    st.merge_versions(spark, path, merged, ["item_id"])
+    counts = spark.read.parquet(merged).withColumn("last_accessed", F.timestamp_micros("last_us").cast("timestamp_ntz"))
     return act.activity_score(counts, tb.as_of(spark, sf)).select("item_id", "access_count", R6("score").alias("score"))
 
 

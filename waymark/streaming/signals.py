@@ -1,11 +1,10 @@
 """Debouncing, batching, change detection and guards over event streams."""
 
-import numpy as np
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.prefix import running, time_chunk
+from waymark.session import cut
 
 # ------------------------------------------------- event-time aggregates (JVM)
 
@@ -62,7 +61,7 @@ def latest_query(typed: DataFrame) -> DataFrame:
     )
 
 
-# ---------------------------------------------- ordered steps with keyed state
+# ---------------------------------------------- steps along the order of a key
 
 
 def changes_only(events: DataFrame, state: DataFrame | None = None, chunk: Column | None = None) -> DataFrame:
@@ -79,19 +78,6 @@ def changes_only(events: DataFrame, state: DataFrame | None = None, chunk: Colum
     return seen.filter(F.col("_new") & (F.col("previous") != F.col("value"))).drop("_new")
 
 
-def last_rows(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """The last row of each key, over new events and earlier state."""
-    rows = events.select("key", "ts", "event_id", "value")
-    if state is not None:
-        rows = rows.unionByName(state.select("key", "ts", "event_id", "value"))
-    return rows.groupBy("key").agg(F.max(F.struct("ts", "event_id", "value")).alias("r")).select("key", "r.*")
-
-
-def changes_step(batch: DataFrame, state: DataFrame):
-    """`changes_only` for one micro-batch (see `with_state`)."""
-    return changes_only(batch, state), last_rows(batch, state)
-
-
 def cooldown(events: DataFrame, rebuilds: DataFrame, seconds: float = 5.0, chunk: Column | None = None) -> DataFrame:
     """Drop creates and changes that follow a rebuild within `seconds`.
 
@@ -112,58 +98,17 @@ def cooldown(events: DataFrame, rebuilds: DataFrame, seconds: float = 5.0, chunk
     return seen.filter((F.col("_side") == 1) & (quiet | (F.col("kind") == "delete"))).select(*events.columns)
 
 
-def cooldown_step(seconds: float):
-    """`cooldown` for one micro-batch; the state is the latest rebuild."""
-
-    def step(batch: DataFrame, state: DataFrame):
-        marks = batch.filter("kind = 'rebuild'").select("ts", "event_id").unionByName(state.select("ts", "event_id"))
-        out = cooldown(batch.filter("kind <> 'rebuild'"), marks, seconds)
-        newest = marks.agg(F.max(F.struct("ts", "event_id")).alias("r")).filter("r is not null").select(
-            F.lit(0).alias("one"), "r.*"
-        )
-        return out, newest
-
-    return step
-
-
-def _acceptor():
-    """The greedy choice as a local function: it travels to the workers by value,
-    so they need numpy and pandas but not this package."""
-
-    def accept(batches):
-        """Greedy choice along sorted rows; one carried time per (key, island)."""
-        current, free_at = None, None
-        for pdf in batches:
-            keep = np.zeros(len(pdf), dtype=bool)
-            micros = pdf["us"].to_numpy()
-            prior = pdf["prior"].to_numpy()
-            groups = pdf["gid"].to_numpy()
-            edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(pdf) else np.array([], dtype=int)
-            for start, end in zip(edges, np.r_[edges[1:], len(pdf)]):
-                if groups[start] != current:
-                    current, free_at = groups[start], None
-                i = start
-                while i < end:
-                    if free_at is not None:
-                        i = start + np.searchsorted(micros[start:end], free_at, side="right")
-                        if i >= end:
-                            break
-                    keep[i] = True
-                    free_at = micros[i] + pdf["gap"].iat[i]
-            yield pdf.loc[keep & ~prior, ["key", "event_id", "us"]]
-
-    return accept
-
-
 def rebuild_guard(
     requests: DataFrame, seconds: float = 60.0, state: DataFrame | None = None, chunk: Column | None = None
 ) -> DataFrame:
     """Requests `(key, ts, event_id)` that start a rebuild: more than `seconds`
-    after the last accepted one of the key.
+    after the last accepted one of the key. `state` holds accepted ones from before.
 
-    A request after a long quiet time is always accepted, so a key splits into
-    independent islands there. Islands are spread over tasks and read as sorted
-    batches with one carried value; none is gathered in memory.
+    Rows of a key are numbered by time, and each is given the number of the first one
+    after its pause, by counting. The accepted ones are those on the way from the first
+    row along these successors. Steps are doubled: with the rows 0 to n - 1 of the way and the
+    successors n steps on, both double in one equality join on key and number, so a key of
+    any density is spread over all tasks and the rounds grow with the logarithm of the way.
     """
     gap = int(seconds * 1_000_000)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -173,30 +118,29 @@ def rebuild_guard(
         rows = rows.unionByName(state.select("key", "ts", "event_id", F.lit(True).alias("prior")))
     rows = rows.withColumn("us", us)
     chunk = time_chunk(rows) if chunk is None else chunk
-    lagged = running(rows, ["key"], ["ts", "event_id"], chunk, {"before": ("lag", F.col("us"))})
-    fresh = F.coalesce(F.col("us") - F.col("before") > gap, F.lit(True)).cast("bigint")
-    islands = running(lagged, ["key"], ["ts", "event_id"], chunk, {"island": ("sum", fresh)})
-    sorted_rows = (
-        islands.select("key", "event_id", "us", "prior", F.lit(gap).alias("gap"),
-                       F.concat_ws("/", F.col("key").cast("string"), "island").alias("gid"))
-        .repartition("gid")
-        .sortWithinPartitions("gid", "us", "event_id")
-    )
-    key_type = requests.schema["key"].dataType.simpleString()
-    chosen = sorted_rows.mapInPandas(_acceptor(), f"key {key_type}, event_id bigint, us bigint")
+    # Each row asks, at the end of its pause, how many rows lie up to there.
+    asks = rows.select("key", F.expr(f"ts + interval {gap} microseconds").alias("ts"), "event_id", "prior", (F.col("us") + gap).alias("us"))
+    both = rows.withColumn("_side", F.lit(0)).unionByName(asks.withColumn("_side", F.lit(1)))
+    counted = running(both, ["key"], ["us", "_side", "event_id", "prior"], chunk, {"n": ("sum", (1 - F.col("_side")).cast("bigint"))})
+    counted = cut(counted.select("key", "event_id", "prior", "us", "_side", "n"), "guard")
+    numbered = counted.filter("_side = 0").select("key", "event_id", "prior", "us", (F.col("n") - 1).alias("at"))
+    asked = counted.filter("_side = 1").select("key", "event_id", "prior", (F.col("us") - gap).alias("us"), F.col("n").alias("to"))
+    last = numbered.groupBy("key").agg(F.max("at").alias("last"))
+    # The counts of a row and of its question meet again; a way ends where nothing follows.
+    own = numbered.join(asked, ["key", "us", "event_id", "prior"])
+    steps = own.join(last, "key").filter(F.col("to") <= F.col("last")).select("key", "at", "to")
+    way = numbered.filter("at = 0").select("key", "at")
+    while True:
+        steps, way = cut(steps, "guard"), cut(way, "guard")
+        if steps.isEmpty():
+            break
+        way = way.unionByName(way.join(steps, ["key", "at"]).select("key", F.col("to").alias("at")))
+        onward = steps.select("key", F.col("at").alias("to"), F.col("to").alias("further"))
+        steps = steps.join(onward, ["key", "to"]).select("key", "at", F.col("further").alias("to"))
+    chosen = numbered.filter("not prior").join(way, ["key", "at"])
     return chosen.select("key", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
 
 
-def guard_step(seconds: float):
-    """`rebuild_guard` for one micro-batch; the state is the last accepted row."""
-
-    def step(batch: DataFrame, state: DataFrame):
-        accepted = rebuild_guard(batch, seconds, state)
-        return accepted, accepted.groupBy("key").agg(F.max(F.struct("ts", "event_id")).alias("r")).select("key", "r.*")
-
-    return step
-
-
 def progress_counts(batches: DataFrame, totals: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Processed count, rounded percentage and state after each finished batch.
 

@@ -1,31 +1,12 @@
-"""Versioned output and keyed state of micro-batches, as plain tables.
+"""Updates of micro-batches as plain tables.
 
 Every micro-batch writes its own version folder and overwrites it when it is
-run again, so a retry changes nothing. State is written as a delta of the
-touched keys; every `SNAPSHOT_EVERY` versions it is written whole, so a read
-never goes back further than that.
+run again, so a retry changes nothing.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SNAPSHOT_EVERY = 20
-
-
-def versions(spark: SparkSession, path: str, names: list[int], schema) -> DataFrame:
-    """Rows of some version folders, with their version number."""
-    frames = [
-        spark.read.schema(schema).parquet(f"{path}/version={v}").withColumn("version", F.lit(v)) for v in names
-    ]
-    if not frames:
-        return spark.createDataFrame([], schema).withColumn("version", F.lit(0))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The row of the highest version per key."""
@@ -37,35 +18,6 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def state_before(spark: SparkSession, root: str, epoch: int, keys: list[str], schema) -> DataFrame:
-    """State left by all micro-batches before `epoch`."""
-    first = max(epoch - 1, 0) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    return latest(versions(spark, f"{root}/state", list(range(first, epoch)), schema), keys)
-
-
-def with_state(root: str, keys: list[str], schema, step: Callable):
-    """A `foreachBatch` function around `step(batch, state) -> (output, state)`.
-
-    The step sees the state of the keys in its batch (all of it when the batch
-    has no such columns) and returns their new one.
-    """
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()  # read for the keys, the output and the state
-        before = state_before(spark, root, epoch, keys, schema)
-        keyed = set(keys) <= set(batch.columns)
-        touched = before.join(batch.select(*keys).distinct(), keys, "left_semi") if keyed else before
-        output, after = step(batch, touched)
-        output.write.mode("overwrite").parquet(f"{root}/out/version={epoch}")
-        if epoch > 0 and epoch % SNAPSHOT_EVERY == 0:
-            after = after.unionByName(before.join(after.select(*keys), keys, "left_anti"))
-        after.write.mode("overwrite").parquet(f"{root}/state/version={epoch}")
-        batch.unpersist()
-
-    return each
-
-
 def upsert_versions(path: str):
     """A `foreachBatch` function that keeps each batch of updates as a version."""
 
@@ -75,6 +27,11 @@ def upsert_versions(path: str):
     return each
 
 
+def merge_versions(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
+    """Write the latest row of each key as the only version of a new folder, for a stream that starts there."""
+    latest(spark.read.parquet(path), keys).write.parquet(f"{target}/version=0")
+
+
 def run_available(stream_writer, checkpoint: str) -> None:
     """Process everything that is there, then stop."""
     q = stream_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
