@@ -1,4 +1,4 @@
-"""Spelling variants, subvector centroids and prefix BPE against plain versions of their contracts."""
+"""Spelling variants, subvector centroids, prefix BPE and the ordinal likelihood against plain versions."""
 
 import hashlib
 import math
@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import plans, prefixes, spelling, subvectors
+from waymark.llm import plans, prefixes, severity, spelling, subvectors
 from waymark.llm.common import Scratch
 
 # --- 11 spelling variants
@@ -230,3 +230,60 @@ def test_whole_tables(spark, sf, vocabulary, library):
             hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest(),
             hashlib.sha256(text.encode()).hexdigest(),
         )
+
+
+# --- 9 the likelihood of ordinal grades
+
+
+def ordinal_rows(n=600, words=6):
+    rng = np.random.default_rng(9)
+    x = rng.random((n, words)) < 0.4
+    eta = x @ np.array([2.0, 1.0, 0.5, -1.0, 0.0, 1.5])
+    noise = rng.logistic(size=n)
+    return x, (eta[:, None] + noise[:, None] >= [0.5, 2.0, 3.5]).sum(1)
+
+
+def mean_loss(w, t, x, grade):
+    """-log P(grade) row by row, from the probabilities themselves."""
+    total = 0.0
+    for row, y in zip(x, grade):
+        above = [1.0, *(1 / (1 + math.exp(k - float(row @ w))) for k in t), 0.0]
+        total -= math.log(above[y] - above[y + 1])
+    return total / len(x)
+
+
+def test_slopes_are_those_of_the_likelihood():
+    x, grade = ordinal_rows(80)
+    w, t = np.array([0.3, -0.2, 0.1, 0.4, -0.5, 0.2]), np.array([-0.4, 0.7, 1.9])
+    loss, g_eta, g_t = severity._loss(x @ w, t, grade)
+    assert loss == pytest.approx(mean_loss(w, t, x, grade))
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert (g_eta @ x)[k] == pytest.approx((mean_loss(w + step, t, x, grade) - mean_loss(w - step, t, x, grade)) / 2e-6, abs=1e-6)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert g_t[k] == pytest.approx((mean_loss(w, t + step, x, grade) - mean_loss(w, t - step, x, grade)) / 2e-6, abs=1e-6)
+
+
+def test_fit_is_the_optimum():
+    x, grade = ordinal_rows()
+    w, t = severity._fit([np.flatnonzero(r).tolist() for r in x], grade, 6, l2=0.0)
+    # Plain descent, many small steps.
+    v, u = np.zeros(6), np.array([0.0, 1.0, 2.0])
+    for _ in range(6000):
+        _, g_eta, g_t = severity._loss(x @ v, u, grade)
+        v, u = v - 0.5 * (g_eta @ x), u - 0.5 * g_t
+    assert mean_loss(w, t, x, grade) <= mean_loss(v, u, x, grade) + 1e-5
+    assert np.allclose(w, v, atol=0.02) and np.allclose(t, u, atol=0.02) and list(t) == sorted(t)
+
+
+def test_severity_of_odd_rows(spark):
+    bad, good = "vile nasty awful words here", "kind gentle plain words here"
+    docs = [(i, bad if i % 2 else good) for i in range(60)] + [(0, good), (None, bad), (70, None), (71, "")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("TOXIC", F.lit("clash"))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (999, 1), (3, None)], "doc_id long, toxic int")
+    out = severity.score(docs, severity.fit(docs, marks)).collect()
+    assert len(out) == 64 and all(r["toxic"] == ("vile" in r["text"]) for r in out if r["text"])
+    nothing = docs.limit(0)
+    assert severity.score(nothing, severity.fit(nothing, marks)).count() == 0
+    assert {r["severity"] for r in severity.score(docs, severity.fit(docs, marks.limit(0))).collect()} == {0.0}
