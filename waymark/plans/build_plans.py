@@ -11,6 +11,7 @@ from waymark.functions.text import (
     uri_to_path,
 )
 from waymark.operators import build as bd
+from waymark.operators import indexing as ixg
 from waymark.plans import sources as src
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
@@ -517,3 +518,52 @@ def qualify_stack_query(spark, sf):
     )
     rows = down.unionByName(up).withColumn("file_path", F.concat(F.lit("/s/"), "k"))
     return bd.qualify_names(rows).select("k", F.col("shown").alias("depth"), "container")
+
+
+# A workspace per supplier: a source of each language, endpoints, and files that are left out or named only.
+EXTENSIONS = {"typescript": "ts", "python": "py", "csharp": "cs", "go": "go", "php": "php", "java": "java", "cpp": "cpp", "ruby": "rb"}
+WORKSPACE = {f"src/a.{EXTENSIONS[lang]}": text for lang, text in src.SOURCES.items()} | {
+    "api/c.cs": src.CONTROLLER, "api/m.cs": src.MINIMAL, "notes.txt": "class Note { }", "empty.ts": None,
+    "node_modules/x.ts": "class X {}", "obj/x.cs": "public class X {}", "api/y.g.cs": "public class Y {}", "skip.ts": "class Skip {}",
+    "api/z.cs": "// <auto-generated />\npublic class Z {}",
+}
+LEFT_OUT = ["node_modules/x.ts", "obj/x.cs", "api/y.g.cs", "skip.ts", "api/z.cs"]
+NAMED = [p for p in WORKSPACE if p not in LEFT_OUT]
+BUILT = [
+    *[("file", p, None, p.rsplit("/", 1)[-1], p) for p in NAMED],
+    *[(kind, f"src/a.{EXTENSIONS[lang]}", line, name, full) for lang, line, name, kind, full in src.DECLARED],
+    ("class", "api/c.cs", 3, "S§Controller", "S§Controller"), ("method", "api/c.cs", 11, "One", "S§Controller.One"),
+    ("endpoint", "api/c.cs", 7, "[POST] api/S§/two", "S§Controller.One"), ("endpoint", "api/c.cs", 18, "[DELETE] api/S§/four", "S§Controller.Four"),
+    ("endpoint", "api/m.cs", 0, "[GET] /one/§", "/one/§"), ("endpoint", "api/m.cs", 6, "[PATCH] /two", "/two"), ("endpoint", "api/m.cs", 7, "[DELETE] /three", "/three"),
+]
+BUILT_SQL = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in BUILT)
+
+
+def workspaces(spark, sf):
+    """Listing, verdicts and commands of one workspace for each supplier; one file is listed twice."""
+    rows = [(i, p, t) for i, (p, t) in enumerate(WORKSPACE.items())] + [(len(WORKSPACE), "src/./a.go", WORKSPACE["src/a.go"])]
+    forms = spark.createDataFrame(rows, "i int, path string, form string")
+    keys = tb.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    files = keys.join(F.broadcast(forms)).selectExpr(
+        "cast(k as bigint) * 1000 + i as seq", "concat('/ws', k, '/', path) as file_path", "path as relative_path",
+        "cast(length(form) as bigint) as size", "replace(form, '§', k) as text",
+    )
+    verdicts = keys.selectExpr("concat('/ws', k) as root", "concat('.gitignore\\u00003\\u0000skip.*\\u0000skip.ts', '') as text")
+    commands = tb.load(spark, sf, "nation").selectExpr("concat('tool.open', replace(n_name, ' ', '')) as command_id").union(spark.range(1).selectExpr("'_hidden' as command_id"))
+    return files, verdicts, commands
+
+
+@query(
+    "build_index",
+    f"""WITH b(type, path, line, name, full_name) AS (VALUES {BUILT_SQL}),
+    s AS (SELECT s_suppkey::VARCHAR AS k FROM supplier)
+    SELECT type, CASE WHEN path = 'src/a.go' THEN '/ws' || k || '/src/./a.go' ELSE '/ws' || k || '/' || path END AS file_path, line::INTEGER AS line, replace(name, '§', k) AS name,
+      replace(CASE WHEN type = 'file' AND path = 'src/a.go' THEN 'src/./a.go' ELSE full_name END, '§', k) AS full_name,
+      CASE type WHEN 'file' THEN 'files' WHEN 'class' THEN 'types' WHEN 'method' THEN 'symbols' WHEN 'function' THEN 'symbols'
+        WHEN 'property' THEN 'properties' WHEN 'variable' THEN 'properties' ELSE 'endpoints' END AS scope FROM b, s""",
+)
+def build_index_query(spark, sf):
+    """Every item that the job makes of the workspaces, commands aside."""
+    files, verdicts, commands = workspaces(spark, sf)
+    built = ixg.build_index(files, verdicts, commands)
+    return built.features.filter("type <> 'command'").select("type", "file_path", "line", "name", "full_name", "scope")
