@@ -1,12 +1,15 @@
 """Code relations: reference counts, enclosing declarations, caller paths."""
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.prefix import number_chunk, running
 from waymark.functions.text import count_label
 from waymark.schema import CALL_DEPTH
-from waymark.session import cut, union_all
+from waymark.session import cut, fresh_dir, union_all
+from waymark.sources.bucketed import write_bucketed
 
 # Symbol kinds that get lenses, that can be implemented, that
 # are shown with zero implementations, and that have a call chain.
@@ -180,21 +183,51 @@ def symbols_by_position(symbols: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- caller paths
 
 
-def caller_paths(edges: DataFrame, roots: DataFrame, depth: int = CALL_DEPTH) -> DataFrame:
+#: Edges of a callee that lie together; one with more is split into parts of about as many.
+HUB_EDGES = 50_000
+
+
+class Adjacency(NamedTuple):
+    """Edges stored by `callee` and `part`, and the number of `parts` of the callees that have several."""
+
+    edges: DataFrame
+    hubs: DataFrame
+
+
+def adjacency(edges: DataFrame, hub_edges: int = HUB_EDGES) -> Adjacency:
+    """Store `edges(callee, caller, ...)` once in buckets for walks that join them level by level."""
+    spark = edges.sparkSession
+    parts = F.ceil(F.col("n") / hub_edges).cast("int")
+    hubs = cut(edges.groupBy("callee").agg(F.count("*").alias("n")).filter(F.col("n") > hub_edges).select("callee", parts.alias("parts")), "hubs")
+    dealt = F.coalesce(F.pmod(F.xxhash64(*[c for c in edges.columns if c != "callee"]), F.col("parts")).cast("int"), F.lit(0))
+    split = edges.join(hubs, "callee", "left").withColumn("part", dealt).drop("parts")
+    return Adjacency(write_bucketed(split, fresh_dir(spark, "edges"), ["callee", "part"]), hubs)
+
+
+def step_up(tips: DataFrame, to: Adjacency) -> DataFrame:
+    """`tips(callee, ...)` with the edges of their callees; a tip goes to every part of a hub, no edge is moved."""
+    parts = tips.join(to.hubs, "callee", "left")
+    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return parts.join(to.edges, ["callee", "part"]).drop("part")
+
+
+def caller_paths(edges: DataFrame | Adjacency, roots: DataFrame, depth: int = CALL_DEPTH) -> DataFrame:
     """Incoming-call paths of `roots(node)` over `edges(callee, caller, call_site)`.
 
     One child per call site. A node already on its own path is emitted but not
-    expanded. Each level is written once and read by the next; nothing is cut.
+    expanded. Each level is written once and read by the next; nothing is cut. Edges are
+    stored in buckets first (or given so, see `adjacency`), so a level shuffles its tips only.
     """
+    to = edges if isinstance(edges, Adjacency) else adjacency(edges.select("callee", "caller", "call_site"))
     level = roots.select(
         F.col("node").alias("root"), "node", F.lit(0).alias("depth"),
-        F.lit(None).cast(edges.schema["call_site"].dataType).alias("call_site"),
+        F.lit(None).cast(to.edges.schema["call_site"].dataType).alias("call_site"),
         F.array("node").alias("path"), F.lit(True).alias("open"),
     )
     levels = [level]
     for d in range(1, depth + 1):
         tips = level.filter("open").select("root", "path", F.col("node").alias("callee"))
-        step = tips.join(edges.select("callee", "caller", "call_site"), "callee").select(
+        step = step_up(tips, to).select(
             "root", F.col("caller").alias("node"), F.lit(d).alias("depth"), "call_site",
             F.concat("path", F.array("caller")).alias("path"),
             (~F.array_contains("path", F.col("caller"))).alias("open"),
@@ -218,9 +251,10 @@ def caller_edges(owned: DataFrame) -> DataFrame:
     )
 
 
-def caller_paths_from_refs(edges: DataFrame, roots: DataFrame, depth: int = CALL_DEPTH) -> DataFrame:
+def caller_paths_from_refs(edges: DataFrame | Adjacency, roots: DataFrame, depth: int = CALL_DEPTH) -> DataFrame:
     """As `caller_paths` over `caller_edges`; a caller already on the path is
     dropped. The root itself does not count as visited."""
+    to = edges if isinstance(edges, Adjacency) else adjacency(edges.select("callee", "caller", "call_site", "name"))
     level = roots.select(
         F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("call_site"),
         F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("path"),
@@ -229,7 +263,7 @@ def caller_paths_from_refs(edges: DataFrame, roots: DataFrame, depth: int = CALL
     for d in range(1, depth + 1):
         tips = level.select("root", "path", F.col("node").alias("callee"))
         step = (
-            tips.join(edges, "callee")
+            step_up(tips, to)
             .filter(~F.array_contains("path", F.col("caller")))
             .select(
                 "root", F.col("caller").alias("node"), F.lit(d).alias("depth"),
