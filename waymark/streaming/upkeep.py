@@ -1,7 +1,7 @@
 """Index upkeep from a stream of file changes.
 
-The index is a set of version folders: `adds` holds item rows, `removals` holds
-paths. A row is live when no removal of its path has a later version, so
+The index is a base, in buckets of the path, and a set of version folders: `adds` holds item
+rows, `removals` holds paths. A row is live when no removal of its path has a later version, so
 removals of a version always come before its additions, and a late removal
 never deletes fresh rows. A micro-batch writes only what it changed; the base is
 not rewritten until `compact`.
@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import any_glob_regex, normalize_path, slashes
 from waymark.operators.answers import answer
+from waymark.sources.bucketed import open_bucketed, write_bucketed
 from waymark.sources.corpus import DEFAULT_EXCLUDES, is_generated_path
 
+#: Column of the base that holds the normalized path.
+PATH = "_path"
 
-def replace_items(items: DataFrame, root: str, version: int = 0) -> None:
-    """Start an index, or a full rebuild, in a fresh folder."""
-    items.write.mode("overwrite").parquet(f"{root}/adds/version={version}")
+
+def replace_items(items: DataFrame, root: str, buckets: int | None = None) -> None:
+    """Start an index, or a full rebuild, in a fresh folder; the base lies in buckets of the normalized path."""
+    spark = items.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
+    # The number of buckets is part of the folder's name, so that another session can open it.
+    write_bucketed(items.withColumn(PATH, normalize_path(F.col("file_path"))), f"{root}/base/{n}", [PATH], n)
     paths = items.select(normalize_path(F.col("file_path")).alias("file_path")).limit(0)
-    paths.write.mode("overwrite").parquet(f"{root}/removals/version={version}")
+    paths.write.mode("overwrite").parquet(f"{root}/removals/version=0")
+    items.limit(0).write.mode("overwrite").parquet(f"{root}/adds/version=0")
 
 
 def append_items(root: str):
@@ -34,18 +42,32 @@ def append_items(root: str):
 
 
 def live_items(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the index as it stands."""
-    adds = spark.read.parquet(f"{root}/adds")
+    """Rows of the index as it stands.
+
+    The base meets the removed paths in its buckets, so it is read in place; only the rows
+    of later versions and the paths are shuffled.
+    """
+    base, n = base_of(spark, root)
     removals = spark.read.parquet(f"{root}/removals").groupBy("file_path").agg(F.max("version").alias("removed_at"))
-    kept = adds.withColumn("_p", normalize_path(F.col("file_path"))).join(
-        removals.withColumnRenamed("file_path", "_p"), "_p", "left"
-    )
-    return kept.filter(F.col("version") >= F.coalesce("removed_at", F.lit(-1))).drop("_p", "removed_at", "version")
+    removals = removals.withColumnRenamed("file_path", PATH)
+    adds = spark.read.parquet(f"{root}/adds").withColumn(PATH, normalize_path(F.col("file_path"))).join(removals, PATH, "left")
+    fresh = adds.filter(F.col("version") >= F.coalesce("removed_at", F.lit(-1))).drop("removed_at", "version")
+    kept = base.join(removals.select(PATH), PATH, "left_anti")
+    return kept.unionByName(fresh).drop(PATH)
+
+
+def base_of(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """The base of an index, and its number of buckets."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/base")
+    (entry,) = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    n = int(entry.getPath().getName())
+    return open_bucketed(spark, f"{root}/base/{n}", [PATH], n), n
 
 
 def compact(spark: SparkSession, root: str, target: str) -> None:
     """Write the live rows as the only version of a new index folder."""
-    replace_items(live_items(spark, root), target)
+    replace_items(live_items(spark, root), target, base_of(spark, root)[1])
 
 
 def resolve_changes(
