@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.index import filter_paths
-from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_substring
+from waymark.operators.pairing import count_slices, pair_by_substring
 from waymark.operators.postings import GramIndex, candidates, gram_index
 from waymark.operators.queries import about_queries, live, query_context
 from waymark.operators.ranking import _in_scope, apply_target_line, blend_activity, search, within
@@ -113,7 +113,7 @@ def fast_search(
         found = candidates(context, grams).withColumnRenamed("id", "id_")
         features = grams.rows
     about = about_queries(context)
-    small, limit = about["n"] <= BROADCAST_QUERIES, about["k"]
+    small, limit = count_slices(about["n"], about["bytes"]) == 1, about["k"]
     arms = [tier_pairs(context, features, small=small, found=found)]
     for scope, paths in (("open", open_files), ("modified", modified_files)):
         if paths is not None and scope in about["sets"]:

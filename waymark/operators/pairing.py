@@ -8,20 +8,29 @@ query is in one, so cuts per query hold within a slice.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import fits, union_all
+from waymark.session import union_all
 
-BROADCAST_QUERIES = 2000
+#: Queries of a slice, and the bytes of their texts: what is broadcast stays below a few times as much.
+BROADCAST_QUERIES = 20_000
+BROADCAST_BYTES = 16 << 20
+
+
+def count_slices(n: int, n_bytes: int) -> int:
+    """Slices that `n` queries with texts of `n_bytes` need."""
+    return max(1, -(-n // BROADCAST_QUERIES), -(-n_bytes // BROADCAST_BYTES))
 
 
 def slices(queries: DataFrame, small: bool | None = None) -> list[DataFrame]:
-    """The query set in parts of about `BROADCAST_QUERIES` rows by a hash of `qid`.
+    """The query set in parts of about `BROADCAST_QUERIES` rows or `BROADCAST_BYTES` of text, by a hash of `qid`.
 
     `small` passes a size check already made.
     """
-    if fits(queries, BROADCAST_QUERIES) if small is None else small:
+    if small:
         return [queries]
-    n = max(2, -(-queries.count() // BROADCAST_QUERIES))
-    return [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in queries.dtypes if kind == "string"]
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0)).alias("bytes")).first()
+    n = count_slices(size["n"], size["bytes"])
+    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
 def pair_by_mask(

@@ -96,10 +96,11 @@ def blank(queries: DataFrame) -> DataFrame:
 
 
 def about_queries(context: DataFrame):
-    """One row about a query set: count, largest k, whether any looks like a path,
+    """One row about a query set: count, bytes of text, largest k, whether any looks like a path,
     which scopes occur, and which of these are file sets. It decides which arms to plan."""
     return context.agg(
         F.count("*").alias("n"),
+        F.coalesce(F.sum(F.octet_length("raw_query") + F.octet_length("q_text") + F.octet_length("q_low")), F.lit(0)).alias("bytes"),
         F.coalesce(F.max("k"), F.lit(1)).alias("k"),
         F.coalesce(F.bool_or("is_url"), F.lit(False)).alias("urls"),
         F.collect_set(F.when(F.col("q_scope").isin("open", "modified"), F.col("q_scope"))).alias("sets"),

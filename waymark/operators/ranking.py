@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.fuzzy import fuzzy_score, match_positions, to_highlights
 from waymark.operators.index import filter_paths
-from waymark.operators.pairing import BROADCAST_QUERIES, pair_by_mask
+from waymark.operators.pairing import count_slices, pair_by_mask
 from waymark.operators.queries import about_queries, live, query_context
 from waymark.operators.routes import cut_keys, endpoint_hits, route_index
 from waymark.schema import (
@@ -244,7 +244,7 @@ def search(
     context = live(query_context(queries))
     # One row about the query set decides which arms are worth planning.
     about = about_queries(context)
-    small, limit = about["n"] <= BROADCAST_QUERIES, about["k"]
+    small, limit = count_slices(about["n"], about["bytes"]) == 1, about["k"]
     # Both groups come from one pass over the items.
     group = F.when(F.col("type") == "file", "files").otherwise("symbols")
     found = features.filter(F.col("scope") != "text")

@@ -1,48 +1,52 @@
 """Run summaries over latency samples."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.prefix import running
 from waymark.functions.text import format_duration
-from waymark.session import union_all
+from waymark.session import cut, fits, union_all
 
-BRACKET = 0.005
-ACCURACY = 10_000
-CHUNKS = 256
+#: Parts of an octave that the first histogram tells apart, and parts of a part in each later one.
+FIRST_PARTS, PARTS = 64, 4_096
+#: Names up to which what is looked for is sent to the tasks: a few dozen bytes each.
+BROADCAST_NAMES = 100_000
+
+
+def _octave_part(value: str) -> Column:
+    """A number that does not decrease along the values, the same for all within 1/64 of an octave."""
+    size = f"cast(floor(log2(abs({value})) * {FIRST_PARTS}) as bigint) + 100000L"
+    return F.expr(f"CASE WHEN isnan({value}) THEN 1000000L WHEN {value} = 0 THEN 0L WHEN {value} > 0 THEN {size} ELSE -({size}) END")
+
+
+def _pick(counted: DataFrame) -> DataFrame:
+    """The part of each name that holds its rank, and the rank within: (name, lo, hi, rank)."""
+    upto = F.sum("c").over(Window.partitionBy("name").orderBy("part"))
+    reached = counted.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+    return reached.select("name", "lo", "hi", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
 
 
 def nearest_rank(samples: DataFrame, q: float) -> DataFrame:
-    """Exact nearest-rank percentile per name, without sorting a whole group.
+    """Exact nearest-rank percentile per name, by histograms that get finer.
 
-    An approximate sketch brackets the value (its rank error is far below the
-    bracket's width); one pass counts what lies below the bracket, and only the
-    distinct values inside it are ordered, in chunks.
+    The first one has a fixed part of an octave for each count, so it needs no bounds; each
+    later one divides the part that holds the rank by 4,096, until one value is left there.
+    Only counts by name and part are shuffled, never samples; no sample row is sorted. Null
+    values do not count; NaN is the greatest.
     """
-    probs = [max(0.0, q - BRACKET), min(1.0, q + BRACKET)]
-    edges = samples.groupBy("name").agg(
-        F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), ACCURACY).alias("e"),
-        F.count("value").alias("n"),
-    )
-    edges = edges.select(
-        "name", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"),
-        F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)).alias("target"),
-    )
-    joined = samples.join(edges, "name")
-    below = joined.groupBy("name").agg(F.count_if(F.col("value") < F.col("low")).alias("below"))
-    inside = (
-        joined.filter("value >= low and value <= high")
-        .groupBy("name", "value", "low", "high", "target")
-        .agg(F.count("*").alias("c"))
-    )
-    part = F.expr(f"if(high > low, cast(floor((value - low) / (high - low) * {CHUNKS}) as bigint), 0L)")
-    ordered = running(inside, ["name"], ["value"], part, {"upto": ("sum", F.col("c"))})
-    return (
-        ordered.join(below, "name")
-        .filter("below + upto >= target")
-        .groupBy("name")
-        .agg(F.min("value").alias("percentile"))
-    )
+    known = samples.filter("value is not null").select("name", F.col("value").cast("double").alias("value"))
+    bounds = [F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    counted = known.groupBy("name", _octave_part("value").alias("part")).agg(*bounds)
+    rank = F.greatest(F.ceil(F.lit(q) * F.sum("c").over(Window.partitionBy("name"))), F.lit(1))
+    found, left = [], cut(_pick(counted.withColumn("rank", rank)), "ranks")
+    few = fits(left, BROADCAST_NAMES)
+    while True:
+        found.append(left.filter("lo = hi").select("name", F.col("lo").alias("percentile")))
+        left = left.filter("lo <> hi")
+        if left.isEmpty():
+            return union_all(found)
+        near = known.join(F.broadcast(left) if few else left, "name").filter("value >= lo and value <= hi")
+        part = F.expr(f"least(cast(floor((value - lo) / (hi - lo) * {PARTS}) as bigint), {PARTS - 1}L)")
+        left = cut(_pick(near.groupBy("name", "rank", part.alias("part")).agg(*bounds)), "ranks")
 
 
 def latency_summary(samples: DataFrame, q: float = 0.95) -> DataFrame:
