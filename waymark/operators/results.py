@@ -93,8 +93,22 @@ def display_rows(results: DataFrame) -> DataFrame:
     )
 
 
-def source_lines(results: DataFrame, lines: DataFrame) -> DataFrame:
-    """Results joined with the text of their line: `lines(file_path, line, text)`."""
+def needed_lines(results: DataFrame, docs: DataFrame) -> DataFrame:
+    """The lines `(file_path, line, text)` of `docs(file_path, text)` that results point to.
+
+    The lines wanted of each file are gathered first and meet the texts by file, so texts
+    of other files are neither parted nor moved, and only wanted lines leave a text.
+    """
+    wanted = results.select("file_path", "line").filter("line >= 0").distinct()
+    wanted = wanted.groupBy("file_path").agg(F.collect_list("line").alias("_wanted"))
+    met = docs.select("file_path", "text").join(wanted, "file_path").select("file_path", "_wanted", F.split("text", "\n").alias("_all"))
+    there = F.filter("_wanted", lambda i: i < F.size("_all"))
+    return met.select("file_path", F.inline(F.transform(there, lambda i: F.struct(i.alias("line"), F.get("_all", i).alias("text")))))
+
+
+def source_lines(results: DataFrame, source: DataFrame) -> DataFrame:
+    """Results joined with the text of their line, from `source(file_path, line, text)` or documents `(file_path, text)`."""
+    lines = source if "line" in source.columns else needed_lines(results, source)
     return results.join(lines, ["file_path", "line"])
 
 

@@ -167,8 +167,7 @@ def text_results(spark, sf):
 def project_query(spark, sf):
     found = text_results(spark, sf)
     results = found.select("qid", "file_path", "line", "name", "highlights")
-    lines = document_lines(spark, sf)
-    out = rs.project_highlights(rs.source_lines(results, lines))
+    out = rs.project_highlights(rs.source_lines(results, documents(spark, sf)))
     return out.selectExpr("qid", "file_path", "line", "range.start as range_start", "range.end as range_end")
 
 
