@@ -98,26 +98,26 @@ SEGMENT_LINES = 16
 
 
 def text_segments(docs: DataFrame, lines: int = SEGMENT_LINES) -> DataFrame:
-    """`docs` without `text`, as segments of consecutive lines: (..., segment, first_line, lines)."""
+    """`docs` without `text`, as segments of consecutive lines: (..., first_line, lines, low, segment); `low` is all of it folded."""
     keep = [c for c in docs.columns if c != "text"]
     whole = docs.select(*keep, F.split("text", "\n").alias("_all"))
     starts = F.sequence(F.lit(0), F.size("_all") - 1, F.lit(lines))
     each = whole.select("*", F.explode(starts).alias("first_line"))
     cut_out = each.select(*keep, "first_line", F.slice("_all", F.col("first_line") + 1, F.lit(lines)).alias("lines"))
-    return cut_out.withColumn("segment", F.monotonically_increasing_id())
+    return cut_out.withColumn("low", F.lower(F.array_join("lines", "\n"))).withColumn("segment", F.monotonically_increasing_id())
 
 
 def text_index(docs: DataFrame, lines: int = SEGMENT_LINES) -> GramIndex:
     """The stored index over the lines of `docs`; a null text has none."""
     # Written first: the numbers of the segments must not change between two readings.
     segments = cut(text_segments(docs.filter("text is not null"), lines), "segments")
-    return gram_index(segments, "segment", F.transform("lines", lambda t: F.lower(t)))
+    return gram_index(segments, "segment", F.split("low", "\n"))
 
 
 def found_lines(index: GramIndex, texts: DataFrame) -> DataFrame:
     """Lines that hold a text of `texts(q_low)`: the columns of the documents, q_low, line, raw, raw_low."""
-    keep = [c for c in index.rows.columns if c not in ("segment", "first_line", "lines")]
-    met = index.rows.join(candidates(texts, index), F.col("segment") == F.col("id"))
+    keep = [c for c in index.rows.columns if c not in ("segment", "first_line", "lines", "low")]
+    met = index.rows.join(candidates(texts, index), F.col("segment") == F.col("id")).filter(F.contains("low", F.col("q_low")))
     numbered = F.transform("lines", lambda raw, i: F.struct((F.col("first_line") + i).alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
     hits = met.select(*keep, "q_low", F.explode(F.filter(numbered, lambda x: F.contains(x["raw_low"], F.col("q_low")))).alias("hit"))
     return hits.select(*keep, "q_low", "hit.line", "hit.raw", "hit.raw_low")
