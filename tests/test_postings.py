@@ -135,3 +135,31 @@ def test_bucketed_tables_open_again(spark, tmp_path):
     plan = again.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in plan and sorted(r["id"] for r in again.collect()) == list(range(100))
+
+
+def test_texts_found_by_windows_equal_those_by_lists(spark, texts):
+    index = po.text_index(texts)
+    asked = some_queries(spark).selectExpr("lower(query) as q_low")
+    lengths = po.dense_lengths(asked.distinct(), index.counts, 0)
+    assert set(lengths) >= {3, 4} and min(lengths) >= po.GRAM
+    by_lists = po.found_lines(index, asked, dense=1e9)
+    by_windows = po.found_lines(index, asked, dense=0)
+    key = lambda rows: sorted(map(str, rows.select("q_low", "seq", "line", "raw", "raw_low").collect()))
+    assert key(by_lists) == key(by_windows) and by_lists.count() > 500
+
+
+def test_many_texts_of_one_length_meet_windows_not_candidates(spark):
+    rng = random.Random(14)
+    docs = [(i, f"/f{i}", 0, "\n".join("".join(rng.choice("ab") for _ in range(40)) for _ in range(3))) for i in range(50)]
+    index = po.text_index(spark.createDataFrame(docs, DOCS))
+    words = [f"{i:07b}".translate(str.maketrans("01", "ab")) for i in range(128)]
+    asked = spark.createDataFrame([(w,) for w in [*words, "abababab"]], "q_low string")
+    assert po.dense_lengths(asked, index.counts) == [7]
+    want = sum(w in line for w in [*words, "abababab"] for d in docs for line in d[3].split("\n"))
+    assert po.found_lines(index, asked).count() == want
+
+
+def test_an_index_holds_its_texts_once_and_ids_in_two_bytes(spark, texts):
+    index = po.text_index(texts)
+    assert dict(index.lists.dtypes)["ids"] == "array<smallint>"
+    assert {c for c, kind in index.rows.dtypes if "string" in kind} == {"file_path", "lines"}

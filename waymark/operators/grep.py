@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from waymark.operators.pairing import pair_by_substring
 from waymark.operators.postings import GramIndex, found_lines
 from waymark.schema import MAX_FILE_BYTES
+from waymark.session import cut
 
 # Characters removed at both ends of a shown line.
 BLANKS = r"' \t\r\n\u000b\u000c   ﻿'"
@@ -33,6 +34,8 @@ def matching_lines(
     """
     asked = _needles(queries)
     if isinstance(docs, GramIndex):
+        # Read by several steps; where the texts come from is read once.
+        asked = cut(asked, "needles")
         lines = found_lines(docs, asked).join(asked, "q_low")
         if max_bytes is not None:
             lines = grep_guards(lines, max_bytes)

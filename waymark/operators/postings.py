@@ -4,7 +4,9 @@ Built once and stored: the rows in buckets of their id, for every gram the sorte
 the rows that have it, in lists of one range of ids each, and how many rows that are. A
 query looks up its rarest grams, intersects their lists range by range in equality joins,
 and only the rows left are read and tested exactly. Any number of queries goes through one
-plan that reads the rows once, and no text is shuffled.
+plan that reads the rows once, and no text is shuffled. Where a batch asks for so many texts
+of one length that their lists are longer than all text, the lines are cut into windows of
+this length instead, grams long enough to be the answer.
 """
 
 from typing import NamedTuple
@@ -22,10 +24,15 @@ RANGE_BITS = 12
 RAREST = 3
 #: A further gram is used only while it occurs in at most so many times the rows of the rarest.
 HOT = 32
+#: Texts of one length are found by windows once their lists hold so many times the ids of all lists.
+DENSE = 4
 
 
 class GramIndex(NamedTuple):
-    """`rows` with their `id`, `lists` (gram, part, ids), `counts` (gram, n)."""
+    """`rows` with their `id`, `lists` (gram, part, ids), `counts` (gram, n).
+
+    The ids of a list are counted from the start of its range, so two bytes hold one.
+    """
 
     rows: DataFrame
     lists: DataFrame
@@ -54,7 +61,8 @@ def gram_index(rows: DataFrame, row_id: str, texts: Column) -> GramIndex:
     spark = rows.sparkSession
     stored = write_bucketed(rows, fresh_dir(spark, "gram-rows"), [row_id])
     each = stored.select(F.col(row_id).cast("bigint").alias("id"), F.explode(grams_of(texts)).alias("gram"))
-    parts = each.groupBy("gram", F.shiftright("id", RANGE_BITS).alias("part")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    place = F.col("id").bitwiseAND(F.lit((1 << RANGE_BITS) - 1)).cast("smallint")
+    parts = each.groupBy("gram", F.shiftright("id", RANGE_BITS).alias("part")).agg(F.sort_array(F.collect_set(place)).alias("ids"))
     lists = write_bucketed(parts, fresh_dir(spark, "gram-lists"), ["gram"])
     counts = cut(lists.groupBy("gram").agg(F.sum(F.size("ids")).alias("n")), "gram-counts")
     return GramIndex(stored, lists, counts)
@@ -80,14 +88,15 @@ def candidates(texts: DataFrame, index: GramIndex) -> DataFrame:
     lists = rarest_grams(texts, index.counts).join(index.lists, "gram")
     met = lists.groupBy("q_low", "part").agg(F.collect_list("ids").alias("sets"), F.first("need").alias("need")).filter("size(sets) = need")
     both = F.aggregate(F.slice("sets", 2, RAREST), F.col("sets")[0], lambda a, b: F.array_intersect(a, b))
-    long = met.select("q_low", F.explode(both).alias("id"))
+    row = F.shiftleft("part", RANGE_BITS) + F.col("place")
+    long = met.select("q_low", "part", F.explode(both).alias("place")).select("q_low", row.alias("id"))
     # Shorter texts: all grams that hold them, found by the pieces of each gram.
     inside = F.array_distinct(F.filter(F.expr(
         "flatten(transform(sequence(1, 3), i -> transform(sequence(1, 2), n -> substr(gram, i, n))))"
     ), lambda p: p != ""))
     pieces = index.counts.select("gram", F.explode(inside).alias("q_low"))
     short = texts.filter((F.length("q_low") < GRAM) & (F.col("q_low") != "")).join(pieces, "q_low")
-    short = short.join(index.lists, "gram").select("q_low", F.explode("ids").alias("id")).distinct()
+    short = short.join(index.lists, "gram").select("q_low", "part", F.explode("ids").alias("place")).select("q_low", row.alias("id")).distinct()
     return long.unionByName(short)
 
 
@@ -98,26 +107,54 @@ SEGMENT_LINES = 16
 
 
 def text_segments(docs: DataFrame, lines: int = SEGMENT_LINES) -> DataFrame:
-    """`docs` without `text`, as segments of consecutive lines: (..., first_line, lines, low, segment); `low` is all of it folded."""
+    """`docs` without `text`, as numbered segments of consecutive lines: (..., first_line, lines, segment)."""
     keep = [c for c in docs.columns if c != "text"]
     whole = docs.select(*keep, F.split("text", "\n").alias("_all"))
     starts = F.sequence(F.lit(0), F.size("_all") - 1, F.lit(lines))
     each = whole.select("*", F.explode(starts).alias("first_line"))
     cut_out = each.select(*keep, "first_line", F.slice("_all", F.col("first_line") + 1, F.lit(lines)).alias("lines"))
-    return cut_out.withColumn("low", F.lower(F.array_join("lines", "\n"))).withColumn("segment", F.monotonically_increasing_id())
+    return cut_out.withColumn("segment", F.monotonically_increasing_id())
 
 
 def text_index(docs: DataFrame, lines: int = SEGMENT_LINES) -> GramIndex:
     """The stored index over the lines of `docs`; a null text has none."""
     # Written first: the numbers of the segments must not change between two readings.
     segments = cut(text_segments(docs.filter("text is not null"), lines), "segments")
-    return gram_index(segments, "segment", F.split("low", "\n"))
+    return gram_index(segments, "segment", F.transform("lines", F.lower))
+
+
+def dense_lengths(texts: DataFrame, counts: DataFrame, dense: float = DENSE) -> list[int]:
+    """Lengths of which `texts(q_low)` are so many that their lists hold more than `dense` times the ids of all lists."""
+    asked = rarest_grams(texts, counts).join(counts, "gram").groupBy(F.length("q_low").alias("n_chars")).agg(F.sum("n").alias("ids"))
+    everything = counts.agg(F.sum("n")).scalar()
+    return sorted(r["n_chars"] for r in asked.filter(F.col("ids") > dense * everything).select("n_chars").collect())
+
 
+def window_hits(rows: DataFrame, texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """Distinct (q_low, id, at) of the lines of segments that hold a text of `texts(q_low)`, all of one of `lengths`.
 
-def found_lines(index: GramIndex, texts: DataFrame) -> DataFrame:
+    A line holds a text if one of its windows of this length is the text, so windows and
+    texts meet in an equality join; windows travel without their lines.
+    """
+    each = rows.select(F.col("segment").alias("id"), F.posexplode("lines").alias("at", "raw"))
+    windows = F.concat(*(F.regexp_extract_all(F.lower("raw"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths))
+    return each.select("id", "at", F.explode(F.array_distinct(windows)).alias("q_low")).join(texts, "q_low").select("q_low", "id", "at")
+
+
+def found_lines(index: GramIndex, texts: DataFrame, dense: float = DENSE) -> DataFrame:
     """Lines that hold a text of `texts(q_low)`: the columns of the documents, q_low, line, raw, raw_low."""
-    keep = [c for c in index.rows.columns if c not in ("segment", "first_line", "lines", "low")]
-    met = index.rows.join(candidates(texts, index), F.col("segment") == F.col("id")).filter(F.contains("low", F.col("q_low")))
+    keep = [c for c in index.rows.columns if c not in ("segment", "first_line", "lines")]
+    texts = texts.select("q_low").distinct()
+    lengths = dense_lengths(texts, index.counts, dense)
+    met = candidates(texts.filter(~F.length("q_low").isin(lengths)) if lengths else texts, index).withColumn("at", F.lit(None).cast("int"))
+    if lengths:
+        met = met.unionByName(window_hits(index.rows, texts.filter(F.length("q_low").isin(lengths)), lengths))
+    # Folded once for each segment, before its candidates meet it.
+    rows = index.rows.withColumn("low", F.lower(F.array_join("lines", "\n")))
+    met = rows.join(met, F.col("segment") == F.col("id")).filter(F.col("at").isNotNull() | F.contains("low", F.col("q_low")))
     numbered = F.transform("lines", lambda raw, i: F.struct((F.col("first_line") + i).alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
-    hits = met.select(*keep, "q_low", F.explode(F.filter(numbered, lambda x: F.contains(x["raw_low"], F.col("q_low")))).alias("hit"))
+    raw = F.get("lines", F.col("at"))
+    known = F.array(F.struct((F.col("first_line") + F.col("at")).alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
+    tested = F.filter(numbered, lambda x: F.contains(x["raw_low"], F.col("q_low")))
+    hits = met.select(*keep, "q_low", F.explode(F.when(F.col("at").isNotNull(), known).otherwise(tested)).alias("hit"))
     return hits.select(*keep, "q_low", "hit.line", "hit.raw", "hit.raw_low")
