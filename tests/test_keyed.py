@@ -92,3 +92,45 @@ def test_merged_versions_hold_the_latest_rows(spark, tmp_path):
         spark.createDataFrame(rows, "k string, n int").write.parquet(str(tmp_path / f"out/version={v}"))
     st.merge_versions(spark, str(tmp_path / "out"), str(tmp_path / "merged"), ["k"])
     assert sorted((r["k"], r["n"]) for r in spark.read.parquet(str(tmp_path / "merged")).collect()) == [("a", 2), ("b", 1), ("c", 3)]
+
+
+def test_buckets_merge_late_rows_and_forget_after_the_retention(spark, tmp_path):
+    batches = [
+        [("a", 100, 1, "x"), ("a", 200, 2, "y"), (None, 100, 3, None), ("b", 50, 4, "p")],
+        [("a", 150, 5, "z"), ("b", 50, 6, "q"), (None, 300, 7, "n"), ("c", 300, 8, "c")],  # event 5 is late, but within the delay
+        [("c", 2 * DAY, 9, "d")],
+        [("c", 2 * DAY + 1, 10, "e")],
+        [("a", 2 * DAY + 5, 11, "w")],  # comes back after its state went
+    ]
+    ddl = "session string, s long, event_id long, query string"
+    rows, _ = run(kd.latest_query_stream(files(spark, tmp_path / "in", batches, ddl), retention_days=1), tmp_path, "update")
+    first = [("a", 2, "y"), (None, 3, None), ("b", 4, "p")]
+    then = [("a", 2, "y"), ("b", 6, "q"), (None, 7, "n"), ("c", 8, "c"), ("c", 9, "d"), ("c", 10, "e"), ("a", 11, "w")]
+    assert sorted((str(r[0]), r[2], r[3]) for r in rows) == sorted(((str(s), e, q) for s, e, q in first + then), key=lambda r: (r[0], r[1]))
+
+
+def test_counts_of_buckets_start_again_after_the_retention(spark, tmp_path):
+    batches = [[("a", 1, 1), ("a", 2, 2), ("b", 3, 3)], [("a", DAY, 4)], [("b", 4 * DAY, 5)], [("b", 4 * DAY + 1, 6)], [("a", 4 * DAY + 9, 7), ("b", 4 * DAY + 9, 8)]]
+    stream = files(spark, tmp_path / "in", batches, "item_id string, s long, event_id long")
+    rows, progress = run(kd.access_counts_stream(stream, retention_days=2), tmp_path / "counts", "update")
+    assert [(r[0], r[2]) for r in rows if r[0] == "a"] == [("a", 2), ("a", 3), ("a", 1)]
+    assert [(r[0], r[2]) for r in rows if r[0] == "b"] == [("b", 1), ("b", 2), ("b", 3), ("b", 4)]
+
+
+def test_slices_of_several_files_lose_no_rows(spark, tmp_path, monkeypatch):
+    from waymark.plans import catalog, stream_plans
+
+    # Every file of the table spans the whole month.
+    events = spark.range(0, 3000, 1, 6).selectExpr(
+        "id as event_id", "cast(timestamp_seconds(1704067200 + (id % 500) * 5180 + id) as timestamp_ntz) as ts",
+        "id % 97 as user_id", "'view' as event_type", "1.0D as value", "'{}' as props",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stream_plans, "FILE_ROWS", 300, raising=False)
+    newest = {}
+    for r in events.collect():
+        newest[r.user_id] = max(newest.get(r.user_id, ()), (r.ts, r.event_id))
+    got = {r.session: r.event_id for r in catalog.QUERIES["latest_query"](spark, str(tmp_path)).collect()}
+    assert got == {k: v[1] for k, v in newest.items()}
+    counts = {r.item_id: r.access_count for r in catalog.QUERIES["stream_activity"](spark, str(tmp_path)).collect()}
+    assert counts == {f"part:{k}": 3000 // 97 + (k < 3000 % 97) for k in range(97)}

@@ -21,27 +21,37 @@ _SLICES: dict = {}
 CUTS = ["2024-01-09", "2024-01-16", "2024-01-23"]
 
 
-def event_slices(spark, sf) -> tuple[str, object]:
-    """The events as four files that arrive one after the other, by time."""
+FILE_ROWS = 1_000_000
+#: Slices that arrive at once; each has as many files as any other.
+FILES_PER_TRIGGER = 1
+
+
+def event_slices(spark, sf) -> tuple[str, object, int]:
+    """The events as four sets of files that arrive one after the other, by time, and the number of files of each.
+
+    All files of a slice come in one micro-batch: those of a later one would be late by
+    the watermark of the first. A file has about `FILE_ROWS` rows.
+    """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SLICES:
         path = fresh_dir(spark, "arrivals")
         events = tb.load(spark, sf, "events")
         edges = ["1970-01-01", *CUTS, "9999-01-01"]
-        for low, high in zip(edges, edges[1:]):
-            part = events.filter(f"ts >= timestamp_ntz'{low}' and ts < timestamp_ntz'{high}'")
-            part.write.mode("append").parquet(path)
-        _SLICES[key] = (path, events.schema)
+        parts = [events.filter(f"ts >= timestamp_ntz'{low}' and ts < timestamp_ntz'{high}'") for low, high in zip(edges, edges[1:])]
+        sizes = [part.count() for part in parts]
+        # Dealt row by row, so each file has rows once some task reads as many as there are files.
+        tasks = events.rdd.getNumPartitions()
+        n = max(1, min(-(-max(sizes) // FILE_ROWS), min(sizes) // tasks))
+        for part in parts:
+            part.repartition(n).write.mode("append").parquet(path)
+        _SLICES[key] = (path, events.schema, n)
     return _SLICES[key]
 
 
-FILES_PER_TRIGGER = 1
-
-
 def event_stream(spark, sf) -> DataFrame:
-    """The arrival files as a stream, one in each micro-batch: state is handed over between them."""
-    path, schema = event_slices(spark, sf)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(path)
+    """The arrival files as a stream, one slice in each micro-batch: state is handed over between them."""
+    path, schema, files = event_slices(spark, sf)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER * files).parquet(path)
 
 
 def us(c, name):

@@ -5,9 +5,11 @@ Spark's (`transformWithStateInPandas`, with the RocksDB state store). Rows of a
 taken in the order of time and `event_id`. Rows later than the watermark are dropped; a row
 that comes in a later micro-batch than a later row of its key, but within the delay, is
 late, and each function states what happens to it. State goes once the watermark is the
-function's retention past the last row of a key.
+function's retention past the last row of a key. Where one short row is kept of a key, keys
+are kept together by buckets of their hash.
 """
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -194,28 +196,99 @@ def cooldown_stream(events: DataFrame, seconds: float = 5.0, retention_days: flo
     return _run(rows.withColumn("bin", F.explode(bins)), "bin", processor, "us long, event_id long, kind string")
 
 
-class _Latest(_Kept):
-    fields = "us long, event_id long, query string"
+#: Groups that the keys of a stream are dealt to, where what is kept of a key is one short row.
+BUCKETS = 512
 
-    def handleInputRows(self, key, rows, timerValues):
-        end, before = in_order(rows).iloc[-1], self.before()
-        state = (int(end["us"]), int(end["event_id"]), end["query"])
-        if before is not None and before[:2] > state[:2]:
-            state = before
-        self.keep(state, state[0])
-        yield pd.DataFrame({"session": [key[0]], "us": [state[0]], "event_id": [state[1]], "query": [state[2]]})
 
+class _Bucket(StatefulProcessor):
+    """Rows `(name, us, ...)`, one for each key of a bucket of keys, kept together and merged at once.
+
+    A call for each key would cost several round trips to the state store. A row goes once
+    the watermark is `retention_ms` past its `us`, unless rows of its key arrive.
+    """
+
+    columns: tuple[str, ...] = ()
+
+    def __init__(self, retention_days: float):
+        self.retention_ms = int(retention_days * 86_400_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "ms long, rows binary")
+
+    def merged(self, kept: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        """The rows of the names in `batch`, from its rows and those kept of them."""
+        raise NotImplementedError
+
+    def read(self) -> tuple[int, pd.DataFrame]:
+        """When the next row goes, and the rows."""
+        held = self.state.get() if self.state.exists() else None
+        if held is None:
+            return -1, pd.DataFrame({c: [] for c in self.columns}, dtype=object)
+        rows = pickle.loads(bytes(held[1]))
+        return held[0], pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(self.columns, rows)})
+
+    def write(self, held: int, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            self.state.clear()
+            ms = -1
+        else:
+            ms = int(rows["us"].min()) // 1000 + self.retention_ms
+            self.state.update((ms, pickle.dumps([rows[c].tolist() for c in self.columns])))
+        if ms != held:
+            if held >= 0:
+                self.handle.deleteTimer(held)
+            if ms >= 0:
+                self.handle.registerTimer(ms)
 
-class _Counts(_Kept):
-    fields = "last_us long, access_count long"
+    def lasting(self, rows: pd.DataFrame, watermark: int) -> pd.DataFrame:
+        return rows[rows["us"].astype("int64") // 1000 + self.retention_ms >= watermark]
 
     def handleInputRows(self, key, rows, timerValues):
-        batch, before = in_order(rows), self.before()
-        state = (int(batch["us"].max()), len(batch))
-        if before is not None:
-            state = (max(state[0], before[0]), state[1] + before[1])
-        self.keep(state, state[0])
-        yield pd.DataFrame({"item_id": [key[0]], "last_us": [state[0]], "access_count": [state[1]]})
+        batch = in_order(rows)
+        held, kept = self.read()
+        again = kept["name"].isin(batch["name"])
+        new = self.merged(kept[again], batch)
+        rest = self.lasting(kept[~again], timerValues.getCurrentWatermarkInMs())
+        self.write(held, pd.concat([rest, new[list(self.columns)].astype(object)], ignore_index=True))
+        yield new[list(self.columns)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, kept = self.read()
+        # The timer that expired is gone already.
+        self.write(-1, self.lasting(kept, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _Latest(_Bucket):
+    columns = ("name", "us", "event_id", "query")
+
+    def merged(self, kept, batch):
+        # A row of the batch wins over an equal one from before.
+        both = pd.concat([kept, batch[list(self.columns)].astype(object)], ignore_index=True)
+        both = both.sort_values(["us", "event_id"], kind="stable")
+        return both.drop_duplicates("name", keep="last")
+
+
+class _Counts(_Bucket):
+    columns = ("name", "us", "n")
+
+    def merged(self, kept, batch):
+        both = pd.concat([kept, batch.assign(n=1)[list(self.columns)].astype(object)], ignore_index=True)
+        both = both.astype({"us": "int64", "n": "int64"})
+        return both.groupby("name", dropna=False, sort=False).agg(us=("us", "max"), n=("n", "sum")).reset_index()
+
+
+def _run_buckets(rows: DataFrame, name: str, processor: _Bucket, columns: str) -> DataFrame:
+    """`processor` over buckets of the column `name`, which goes through it as text."""
+    named = rows.withColumn("name", F.col(name).cast("string"))
+    dealt = named.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(BUCKETS)))
+    keep = [c for c in dealt.columns if c != name]
+    out = _run(dealt.select(*keep), "bucket", processor, f"name string, {columns}", "Update")
+    return out.withColumn("name", F.col("name").cast(rows.schema[name].dataType)).withColumnRenamed("name", name)
 
 
 def latest_query_stream(typed: DataFrame, retention_days: float = 1, delay: str = "10 minutes") -> DataFrame:
@@ -225,8 +298,7 @@ def latest_query_stream(typed: DataFrame, retention_days: float = 1, delay: str
     went starts anew, with the same answer, as its rows are newer.
     """
     rows = _timed(typed, delay).selectExpr("session", "ts", US, "event_id", "query")
-    kind = typed.schema["session"].dataType.simpleString()
-    return _run(rows, "session", _Latest(retention_days), f"session {kind}, us long, event_id long, query string", "Update")
+    return _run_buckets(rows, "session", _Latest(retention_days), "us long, event_id long, query string")
 
 
 def access_counts_stream(accesses: DataFrame, retention_days: float = 30, delay: str = "10 minutes") -> DataFrame:
@@ -236,4 +308,5 @@ def access_counts_stream(accesses: DataFrame, retention_days: float = 30, delay:
     forgotten, as by `retain`: its count starts again.
     """
     rows = _timed(accesses, delay).selectExpr("item_id", "ts", US, "event_id")
-    return _run(rows, "item_id", _Counts(retention_days), "item_id string, last_us long, access_count long", "Update")
+    out = _run_buckets(rows, "item_id", _Counts(retention_days), "us long, n long")
+    return out.withColumnsRenamed({"us": "last_us", "n": "access_count"})
