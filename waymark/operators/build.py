@@ -139,7 +139,8 @@ INDENTS = {"python": 4, "ruby": 2}
 
 def code_symbols(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Extracted declarations with depth, container, full name and id (`ts:path:fullName:row`)."""
-    found = extract_symbols(docs, rules)
+    # Two steps of the scan read the declarations; the texts are lexed once.
+    found = cut(extract_symbols(docs, rules), "symbols")
     width = F.coalesce(lookup(F.col("language"), INDENTS), F.lit(0))
     level = F.when(width > 0, F.floor(F.try_divide("indent", width))).otherwise(F.col("depth"))
     named = qualify_names(found.withColumn("depth", level.cast("int")))
@@ -231,7 +232,8 @@ def controller_endpoints(docs: DataFrame) -> DataFrame:
         F.when(is_attr, F.expr(f"regexp_extract_all(kept, r'{ATTRIBUTE}', 2)")).alias("routes"),
     )
     ends = F.col("kinds").isNull() | (F.col("method_name") != "") | (F.col("class_name") != "")
-    marked = marked.withColumn("_end", ends.cast("bigint"))
+    # Read twice by each running value; the texts are lexed once.
+    marked = cut(marked.withColumn("_end", ends.cast("bigint")), "marked")
     chunk = number_chunk(F.col("line"))
     blocks = running(marked, ["file_path"], ["line"], chunk, {"_b": ("sum", F.col("_end"))}).withColumn(
         "_b", F.col("_b") - F.col("_end")

@@ -13,7 +13,7 @@ from waymark.operators.index import dedupe_files, item_features
 from waymark.operators.postings import GramIndex
 from waymark.operators.routes import route_index
 from waymark.schema import conform_items
-from waymark.session import cut, fresh_dir, union_all
+from waymark.session import cut, fresh_dir, spread, union_all
 from waymark.sources.corpus import DEFAULT_EXCLUDES, drop_generated_content, drop_generated_paths, drop_ignored, exclude_globs, file_items
 
 #: Kinds of items come one after the other in the order of the index.
@@ -51,7 +51,8 @@ def index_items(listing: DataFrame, verdicts: DataFrame | None = None, commands:
     Within a kind, items come in the order of the listing and of their lines. `seq` of a
     listing must be unique; a null text has no declarations.
     """
-    files = cut(kept_files(listing, verdicts, excludes), "listing")
+    # Texts are small files when written, but lexing them is the work of the job.
+    files = cut(spread(kept_files(listing, verdicts, excludes)), "listing")
     place = files.select("file_path", F.col("listed_at").alias("_at"))
     texts = files.filter("text is not null")
     sharp = texts.filter("language = 'csharp'")

@@ -15,7 +15,7 @@ from waymark.operators import indexing as ixg
 from waymark.plans import sources as src
 from waymark.plans import tables as tb
 from waymark.plans.registry import query
-from waymark.session import fresh_dir
+from waymark.session import fresh_dir, spread
 from waymark.sources import corpus as cp
 
 DOCS = tb.DOC_PATHS_SQL
@@ -447,7 +447,8 @@ def code_symbols_query(spark, sf):
 def keyed_sources(spark, sf, forms):
     """One text per supplier and form, with the supplier's key in its names."""
     rows = spark.createDataFrame(list(forms.items()), "language string, form string")
-    keys = tb.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    # A few megabytes of keys, so one task else, make texts of many times their size.
+    keys = spread(tb.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k")))
     texts = keys.join(F.broadcast(rows))
     return texts.selectExpr("concat('/', language, '/', k) as file_path", "concat(language, '/', k) as relative_path", "language", "replace(form, '§', k) as text")
 
@@ -543,7 +544,8 @@ def workspaces(spark, sf):
     """Listing, verdicts and commands of one workspace for each supplier; one file is listed twice."""
     rows = [(i, p, t) for i, (p, t) in enumerate(WORKSPACE.items())] + [(len(WORKSPACE), "src/./a.go", WORKSPACE["src/a.go"])]
     forms = spark.createDataFrame(rows, "i int, path string, form string")
-    keys = tb.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    # A few megabytes of keys, so one task else, make texts of many times their size.
+    keys = spread(tb.load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k")))
     files = keys.join(F.broadcast(forms)).selectExpr(
         "cast(k as bigint) * 1000 + i as seq", "concat('/ws', k, '/', path) as file_path", "path as relative_path",
         "cast(length(form) as bigint) as size", "replace(form, '§', k) as text",

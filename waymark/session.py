@@ -78,6 +78,12 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt evenly to as many tasks as the session uses: for a small table whose rows each make much work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def scalar(df: DataFrame):
     """One-row, one-column frame as a scalar subquery (no join in the plan)."""
     return df.scalar()
