@@ -275,3 +275,24 @@ def test_every_query_has_a_twin_with_the_same_columns(spark, sf):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     for name, sql in catalog.ORACLES.items():
         con.execute(sql)
+
+
+def test_enclosing_symbol_by_more_tasks_than_partitions(spark):
+    s = spark.range(300).selectExpr("concat('f', id % 7) as file_path", "id * 100 as line", "0 as col", "id * 100 + 50 as end_line", "0 as end_col", "concat('s', id) as name", "id as ord")
+    p = spark.range(300).selectExpr("id as pos_id", "concat('f', id % 7) as file_path", "id * 100 + if(id % 3 = 0, 60, 20) as line", "0 as col")
+    out = rl.enclosing_symbol(p, s, number_chunk(F.col("line"), 1000), task_rows=20)
+    assert {r.pos_id: r.symbol for r in out.collect()} == {i: None if i % 3 == 0 else f"s{i}" for i in range(300)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # 600 rows of which a task takes 20, in a session of 4 shuffle partitions.
+    assert "REPARTITION_BY_NUM" in plan and ", 30), REPARTITION_BY_NUM" in plan
+
+
+def test_texts_of_few_rows_are_lexed_by_many_tasks(spark, sf, tmp_path):
+    from waymark.operators.indexing import index_items
+    from waymark.plans import build_plans
+    from waymark.plans import sources as src
+
+    texts = build_plans.keyed_sources(spark, sf, src.SOURCES)
+    assert texts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    files = spark.range(1, numPartitions=1).selectExpr("id as seq", "'/a.py' as file_path", "'a.py' as relative_path", "cast(5 as bigint) as size", "'def go():' as text")
+    assert [r["name"] for r in index_items(files).collect() if r["type"] == "function"] == ["go"]

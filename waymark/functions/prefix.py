@@ -18,6 +18,7 @@ def running(
     order: list[str],
     chunk: Column,
     specs: dict[str, tuple[str, Column]],
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add running columns.
 
@@ -25,7 +26,8 @@ def running(
     `last` (latest non-null value up to this row) and `lag` (value of the
     previous row, NULL on the first row of the key). `chunk` must not decrease
     along `order`, rows equal in `order` must be unique per key, and keys must not
-    be NULL.
+    be NULL. `tasks` is how many the chunks are dealt to, where the session's number
+    of shuffle partitions is not enough.
     """
     names = list(specs)
     order_key = F.struct(*[F.col(c) for c in order])
@@ -35,6 +37,9 @@ def running(
 
     base = df.select("*", chunk.alias(_CHUNK), *[v.alias(f"_v_{n}") for n, (_, v) in specs.items()])
 
+    if tasks is not None:
+        base = base.repartition(tasks, *keys, _CHUNK)
+
     within, summary = [], []
     for n, (kind, _) in specs.items():
         v = F.col(f"_v_{n}")

@@ -148,12 +148,17 @@ def enclosing_declaration(references: DataFrame, marks: DataFrame, chunk: Column
     )
 
 
-def enclosing_symbol(positions: DataFrame, symbols: DataFrame, chunk: Column | None = None) -> DataFrame:
+#: Positions and symbols that one task sorts.
+TASK_ROWS = 1_000_000
+
+
+def enclosing_symbol(positions: DataFrame, symbols: DataFrame, chunk: Column | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Outermost symbol whose range contains each `(pos_id, file_path, line, col)`.
 
     Among ranges that start at or before a position, the one that ends last is
     the outermost, provided it ends at or after the position (ranges nest). So
     a running maximum replaces a range join; equal ranges: the later `ord` wins.
+    Above `task_rows` rows the number of tasks follows the rows, so that of a task does not grow.
     """
     part = number_chunk(F.col("line")) if chunk is None else chunk
     best = F.struct(
@@ -166,9 +171,11 @@ def enclosing_symbol(positions: DataFrame, symbols: DataFrame, chunk: Column | N
         "file_path", "line", "col", F.lit(1).alias("_side"), F.col("pos_id").alias("_tie"),
         F.lit(None).cast(s.schema["_best"].dataType).alias("_best"),
     )
-    seen = running(
-        s.unionByName(p), ["file_path"], ["line", "col", "_side", "_tie"], part, {"_out": ("max", F.col("_best"))}
-    )
+    # Written, so that where the positions come from runs once and the rows tell the tasks.
+    rows = cut(s.unionByName(p), "positions")
+    n = rows.count()
+    tasks = max(-(-n // task_rows), rows.sparkSession.sparkContext.defaultParallelism) if n > task_rows else None
+    seen = running(rows, ["file_path"], ["line", "col", "_side", "_tie"], part, {"_out": ("max", F.col("_best"))}, tasks)
     holds = F.expr("_out.end_line > line or (_out.end_line = line and _out.end_col >= col)")
     return seen.filter("_side = 1").select(
         F.col("_tie").alias("pos_id"), "file_path", "line", "col", F.when(holds, F.col("_out.name")).alias("symbol")
