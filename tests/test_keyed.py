@@ -110,10 +110,11 @@ def test_buckets_merge_late_rows_and_forget_after_the_retention(spark, tmp_path)
 
 
 def test_counts_of_buckets_start_again_after_the_retention(spark, tmp_path):
-    batches = [[("a", 1, 1), ("a", 2, 2), ("b", 3, 3)], [("a", DAY, 4)], [("b", 4 * DAY, 5)], [("b", 4 * DAY + 1, 6)], [("a", 4 * DAY + 9, 7), ("b", 4 * DAY + 9, 8)]]
+    batches = [[("a", 1, 1), ("a", 2, 2), ("b", 3, 3), (None, 4, 9)], [("a", DAY, 4), (None, DAY, 10)], [("b", 4 * DAY, 5)], [("b", 4 * DAY + 1, 6)], [("a", 4 * DAY + 9, 7), ("b", 4 * DAY + 9, 8)]]
     stream = files(spark, tmp_path / "in", batches, "item_id string, s long, event_id long")
     rows, progress = run(kd.access_counts_stream(stream, retention_days=2), tmp_path / "counts", "update")
     assert [(r[0], r[2]) for r in rows if r[0] == "a"] == [("a", 2), ("a", 3), ("a", 1)]
+    assert [r[2] for r in rows if r[0] is None] == [1, 2]
     assert [(r[0], r[2]) for r in rows if r[0] == "b"] == [("b", 1), ("b", 2), ("b", 3), ("b", 4)]
 
 

@@ -279,7 +279,9 @@ class _Counts(_Bucket):
     def merged(self, kept, batch):
         both = pd.concat([kept, batch.assign(n=1)[list(self.columns)].astype(object)], ignore_index=True)
         both = both.astype({"us": "int64", "n": "int64"})
-        return both.groupby("name", dropna=False, sort=False).agg(us=("us", "max"), n=("n", "sum")).reset_index()
+        out = both.groupby("name", dropna=False, sort=False).agg(us=("us", "max"), n=("n", "sum")).reset_index()
+        # A null name stays one.
+        return out.assign(name=out["name"].astype(object).where(out["name"].notna(), None))
 
 
 def _run_buckets(rows: DataFrame, name: str, processor: _Bucket, columns: str) -> DataFrame:
