@@ -558,3 +558,20 @@ def test_entry_has_all_queries():
 
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+def test_near_texts_just_below_the_threshold_do_not_meet_pairwise(spark, monkeypatch):
+    def text(a, b):
+        words = [f"w{i}" for i in range(154)]
+        for k in range(6):
+            words[10 + 25 * k] = f"x{k}_{(a + b * k) % 31}"
+        return " ".join(words)
+
+    # Any two agree on one of the six places at most: at least 300 / 175 shingles, so none are linked.
+    texts = [text(a, b) for b in (0, 1) for a in range(31)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (100, texts[3].replace(" w1 ", " y "))]
+    seen = []
+    confirm = sketches._confirm
+    monkeypatch.setattr(sketches, "_confirm", lambda pairs, texts: (seen.append(pairs.count()), confirm(pairs, texts))[1])
+    got = sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(62)}, 100: 3} and len(got) == 64
+    assert sum(seen[1:]) <= 400  # 1,891 pairs in all

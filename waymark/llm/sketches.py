@@ -7,8 +7,8 @@ two sets agree on concentrate around their similarity (Dahlgaard, Knudsen, Thoru
 
 Sets that are equal are one class with one representative. Bands of sketch slots put
 representatives into buckets; within a bucket all are compared with its smallest member
-first. What is still apart and could be linked at all is then compared across the parts of
-its buckets. Links are confirmed on the whole shingle sets.
+first. What is still apart and could be linked at all is then compared with what shares one
+of its rarest shingles. Links are confirmed on the whole shingle sets.
 """
 
 from collections.abc import Iterator
@@ -137,18 +137,26 @@ def _star(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _unique_counts(texts: DataFrame) -> DataFrame:
-    """(rep, n_unique): shingles that no other of these texts has."""
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(shingle, rep, n_shingles, mark): each distinct shingle of each text; the mark tells texts of one doc_id apart."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             each = [np.unique(shingle_hashes(lowered_words(t), SHINGLE)) for t in part.column(1).to_pylist()]
-            at = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in each]))
+            counts = np.array([len(x) for x in each], np.int64)
+            at = pa.array(np.repeat(np.arange(part.num_rows), counts))
             flat = np.concatenate([*each, np.empty(0, U64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(0).take(at)], names=["shingle", "rep"])
+            marks = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in each], U64).astype(np.int64)
+            columns = [pa.array(flat), part.column(0).take(at), *(pa.array(np.repeat(x, counts)) for x in (counts, marks))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "rep", "n_shingles", "mark"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, f"shingle long, rep {texts.schema['doc_id'].dataType.simpleString()}, n_shingles long, mark long")
 
-    rows = texts.select("doc_id", "text").mapInArrow(run, f"shingle long, rep {texts.schema['doc_id'].dataType.simpleString()}")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+
+def _unique_counts(texts: DataFrame) -> DataFrame:
+    """(rep, n_unique): shingles that no other of these texts has."""
+    once = _shingle_rows(texts).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
     return once.groupBy("rep").agg(F.count("*").alias("n_unique"))
 
 
@@ -178,14 +186,36 @@ def _linkable(members: DataFrame, texts: DataFrame, scratch: Scratch, rounds: in
     return scratch.write(_open(members))
 
 
-def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs between different parts of a bucket that may be linked, each in its first common bucket.
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(shingle, rep, n_shingles, place): the rarest shingles of each text among these texts, as many as a link needs; not those that no other text has.
 
-    They share enough (see `_linkable`), and their sketches agree on as many slots as those
-    of linked sets do (see AGREE).
+    Exact: `place` counts from 0 in the order of (texts that have it, shingle), which is the
+    same for all. The first common shingle of two linked sets has all others behind it in
+    either, so of n shingles at least 3/4 n begin there or later.
+    """
+    rows = _shingle_rows(texts)
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    each = rows.join(often, "shingle").groupBy("rep", "n_shingles", "mark")
+    shared = F.transform(F.sort_array(F.collect_set(F.when(F.col("often") > 1, F.struct("often", "shingle")))), lambda x: x["shingle"])
+    lists = each.agg(shared.alias("shared")).withColumn("alone", F.col("n_shingles") - F.size("shared"))
+    count = F.greatest(F.floor(F.lit(100 - PERCENT) * F.col("n_shingles") / 100) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    least = F.slice("shared", F.lit(1), F.least(count, F.size("shared")))
+    found = lists.select("rep", "n_shingles", "alone", F.posexplode(least).alias("at", "shingle"))
+    return found.select("shingle", "rep", "n_shingles", (F.col("alone") + F.col("at")).alias("place"))
+
+
+def _across(members: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of different parts that may be linked.
+
+    They meet in a shingle that is rare enough to be the first that a link has in common
+    (see `_prefixes`), so texts that differ from each other about as much as all of a large
+    group do are not paired with all of it. They share enough (see `_linkable`), and their
+    sketches agree on as many slots as those of linked sets do (see AGREE).
     """
-    columns = ["bucket", "rep", "n_shingles", "part", "shared", "bands", "planes"]
-    left = members.join(reps.select("rep", "bands", "planes"), "rep").select(columns)
+    each = scratch.write(members.select("rep", "n_shingles", "part", "shared").distinct())
+    rare = _prefixes(texts.join(each.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    columns = ["shingle", "place", "rep", "n_shingles", "part", "shared", "planes"]
+    left = scratch.write(rare.join(each.join(reps.select("rep", "planes"), "rep"), ["rep", "n_shingles"]).select(columns))
     right = left.select(*(F.col(c).alias(f"{c}_b") for c in columns))
     differ = None
     for half in range(SLOTS // 64):
@@ -194,14 +224,16 @@ def _across(members: DataFrame, reps: DataFrame) -> DataFrame:
         for w in words[1:]:
             off = off.bitwiseOR(w)
         differ = F.bit_count(off) if differ is None else differ + F.bit_count(off)
+    both = F.col("n_shingles") + F.col("n_shingles_b")
+    left_over = F.least(F.col("n_shingles") - F.col("place"), F.col("n_shingles_b") - F.col("place_b"))
     on = (
-        (F.col("bucket") == F.col("bucket_b"))
+        (F.col("shingle") == F.col("shingle_b"))
         & (F.col("part") != F.col("part_b"))
         & (F.col("rep") < F.col("rep_b"))
-        & ((100 + PERCENT) * F.least("shared", "shared_b") >= PERCENT * (F.col("n_shingles") + F.col("n_shingles_b")))
+        & ((100 + PERCENT) * F.least("shared", "shared_b") >= PERCENT * both)
+        & ((100 + PERCENT) * left_over >= PERCENT * both)
         & _sizes_fit(F.col("n_shingles"), F.col("n_shingles_b"))
         & (differ <= SLOTS - AGREE)
-        & (F.array_min(F.array_intersect("bands", "bands_b")) == F.col("bucket"))
     )
     return left.join(right, on).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
 
@@ -234,7 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         parts = components(links, scratch)
         named = parts.select(F.col("node").alias("rep"), F.col("component").alias("part"))
         members = members.drop("part").join(named, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    pairs = scratch.write(_across(_linkable(members, texts, scratch), reps).join(tested, ["a", "b"], "left_anti"))
+    pairs = scratch.write(_across(_linkable(members, texts, scratch), texts, reps, scratch).join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = scratch.write(_confirm(pairs, texts))
         if not more.isEmpty():
