@@ -202,6 +202,18 @@ def test_words_part_where_the_tokenizer_does():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_plain_stretches_of_texts_need_no_word_lookups():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, cache = Tokenizer.from_file(path), idfiles.WordCache(path)
+    texts = ["", " ", "Plain WORDS, of (Éclat) ×", "mixed 12 wörds it's x9-y and so on", "a\x1cb c\x85d", "7", " end \n\n"]
+    got = cache.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"12", "it's", "x9-y", "7", "×"} <= set(cache) and not {"mixed", "wörds", "and", "so"} & set(cache)
+
+
 def test_id_files_without_ids(spark):
     import public_tokenizers
 
@@ -364,6 +376,20 @@ def test_segments_hold_every_window():
     assert windows.sum() == len(data) - suffixes.LENGTH + 1 and (begin == np.cumsum(windows) - windows).all() and windows.max() < 64
 
 
+def test_segments_of_joined_texts_are_those_of_each():
+    rng = random.Random(5)
+    texts = ["", "x" * 99, "y" * 100, "ab" * 300, *("".join(rng.choices("abcd ", k=rng.randrange(400))) for _ in range(300))]
+    blocks = list(suffixes._together(texts))
+    assert len(blocks) < 10
+    got = []
+    for block, starts, places, begins in blocks:
+        anchor, begin, windows = suffixes._segments(block, starts, np.r_[starts[1:], len(block)], 100, 40)
+        text = np.searchsorted(starts, begin, "right") - 1
+        got += zip(places[text].tolist(), (begin - starts[text] + begins[text]).tolist(), windows.tolist(), anchor.tolist())
+    want = [(k, b, w, a) for k, t in enumerate(texts) if len(t) >= 100 for a, b, w in zip(*(x.tolist() for x in suffixes.segments(t.encode())))]
+    assert got == want
+
+
 @pytest.mark.parametrize("many", [2_000, 1])
 def test_repeats(spark, odd, many, monkeypatch):
     monkeypatch.setattr(suffixes, "MANY", many)

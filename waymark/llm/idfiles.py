@@ -44,13 +44,23 @@ class WordCache(dict):
     The tokenizer's pre-tokens never cross its white space, so a text's ids are those of its
     words. Words of plain letters and marks are pre-tokens side by side, runs of either;
     these are asked for many at a time, in one text, where the mark of word ends parts them.
+    Stretches of such words are parted into runs all at once.
     """
 
     #: Words whose pre-tokens are their runs of letters and of marks; no digits, apostrophes or composing characters.
     PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
     TEXT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~ \t\n\x0b\x0c\r]*")
+    #: Other words, from their first character on.
+    ODD = re.compile(
+        r"((?<![^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]*+"
+        r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+)"
+    )
     RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 
+    #: Of the bytes of such texts: white space 0, letters 1 (all above ASCII are parts of such), marks 2; and their lower case.
+    KIND = np.array([0 if b in b" \t\n\x0b\x0c\r" else 1 if b > 127 or chr(b).isalpha() else 2 for b in range(256)], np.uint8)
+    LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -80,21 +90,49 @@ class WordCache(dict):
             blob = ids.tobytes()
             self.runs.update((w, blob[i:j]) for w, i, j in zip(part, [0, *stops.tolist()], stops.tolist()))
 
+    def _know(self, runs: set[str]) -> None:
+        runs = runs.difference(self.runs)
+        self.runs.update((r, self.older[r]) for r in runs & self.older.keys())
+        self._learn_runs(list(runs.difference(self.older)))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that `TEXT` matches: all runs at once, each distinct one looked up once."""
+        coded = [t.encode() for t in texts]
+        data = b" ".join(coded).translate(self.LOWER)
+        raw = np.frombuffer(data, np.uint8)
+        kind = self.KIND[raw]
+        starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if data else np.empty(0, np.int64)
+        inked = kind[starts] > 0
+        sizes = np.diff(np.r_[starts, len(data)])[inked]
+        starts = starts[inked]
+        buffers = [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(raw[kind > 0].tobytes())]
+        runs = pa.Array.from_buffers(pa.large_utf8(), len(starts), buffers).dictionary_encode()
+        distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._know(set(distinct))
+        ids = pa.array([self.runs[r] for r in distinct], pa.large_binary()).take(runs.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(starts) + 1] if len(starts) else np.zeros(1, np.int64)
+        blob = ids.buffers()[2].to_pybytes() if len(starts) else b""
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        begin = np.cumsum(lengths + 1) - lengths - 1
+        edges = (ends[np.searchsorted(starts, x)] for x in (begin, begin + lengths))
+        return [blob[a:b] for a, b in zip(*(e.tolist() for e in edges))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.runs) > CACHED:
             self.older, self.runs = self.runs, {}
         self.clear()  # runs repeat more than words, so these are kept
-        # Plain texts are lists of runs, others lists of words, of which the plain ones are runs again.
-        plain = [bool(self.TEXT.fullmatch(t)) and not any(x in t for x in self.special) for t in texts]
-        split = [self.RUN.findall(t.lower()) if p else words_of(t) for t, p in zip(texts, plain)]
-        words = set().union(*(ws for ws, p in zip(split, plain) if not p))
+        # Texts are plain ones and words that are not in turn; where a space or a special token keeps them from that, words.
+        known = [not any(x in t for x in self.special) for t in texts]
+        parted = [([t] if self.TEXT.fullmatch(t) else self.ODD.split(t)) if k else [] for t, k in zip(texts, known)]
+        parted = [x if all(map(self.TEXT.fullmatch, x[::2])) else [] for x in parted]
+        done = iter(self._plain([t for x in parted for t in x[::2]]))
+        split = [[] if x else words_of(t) for t, x in zip(texts, parted)]
+        words = set().union(*split, *(x[1::2] for x in parted))
         parts = {w: self.RUN.findall(w.lower()) for w in words if self.PLAIN.fullmatch(w) and not any(x in w for x in self.special)}
-        runs = set().union(*parts.values(), *(ws for ws, p in zip(split, plain) if p)).difference(self.runs)
-        self.runs.update((r, self.older[r]) for r in runs & self.older.keys())
-        self._learn_runs(list(runs.difference(self.older)))
+        self._know(set().union(*parts.values()))
         self._whole(list(words.difference(parts)))
         self.update((w, b"".join(map(self.runs.__getitem__, rs))) for w, rs in parts.items())
-        return [b"".join(map((self.runs if p else self).__getitem__, ws)) for ws, p in zip(split, plain)]
+        return [b"".join([self[w] if k % 2 else next(done) for k, w in enumerate(x)] if x else map(self.__getitem__, ws)) for x, ws in zip(parted, split)]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, max_docs: int = 2_000, max_bytes: int = 64 << 10) -> bytes:
