@@ -32,6 +32,8 @@ MANY = 2_000
 #: Bytes that a task sorts at once, and in all.
 BATCH, SHARE = 1 << 20, 8 << 20
 BLOCK = 1 << 20
+#: Bytes of short texts that are cut into segments at once.
+TOGETHER = 1 << 15
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -39,12 +41,19 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
-    p = np.r_[np.unique(t, return_inverse=True)[1] + 1, 0, 0, 0].astype(np.int64)
-    top = int(p.max()) + 1
+    if int(t.max()) < 4 * n + 512:
+        seen = np.zeros(int(t.max()) + 1, np.int64)
+        seen[t] = 1
+        p = np.r_[np.cumsum(seen)[t], 0, 0, 0]
+    else:
+        p = np.r_[np.unique(t, return_inverse=True)[1] + 1, 0, 0, 0].astype(np.int64)
+    top, wide = int(p.max()) + 1, n + 4
     # One more sample position than positions at 1 mod 3 keeps the halves of the names apart.
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.r_[one, two]
-    pair = np.unique(p[:-1] * top + p[1:], return_inverse=True)[1].astype(np.int64)  # of every two symbols
+    pair = p[:-1] * top + p[1:]  # every two symbols; named where the keys below would not fit otherwise
+    if top * top * max(top, wide) >= 2**63:
+        pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
     name = np.unique(pair[sample] * top + p[sample + 2], return_inverse=True)[1].astype(np.int64) + 1
     if int(name.max()) < len(sample):
         order = suffix_array(name)
@@ -54,11 +63,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     rank[n:] = 0
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], p[zero]))]
+    zero = zero[np.argsort(p[zero] * wide + rank[zero + 1])]
     # Where each remaining suffix goes among the samples of either kind.
     samples = sample[order]
     samples = samples[samples < n]
-    wide = n + 4
     ones, twos = samples[samples % 3 == 1], samples[samples % 3 == 2]
     at = np.searchsorted(p[ones] * wide + rank[ones + 1], p[zero] * wide + rank[zero + 1])
     at = at + np.searchsorted(pair[twos] * wide + rank[twos + 2], pair[zero] * wide + rank[zero + 2])
@@ -98,12 +106,16 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> np.ndarray:
     return out
 
 
-def segments(block: bytes, length: int = LENGTH, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, begin, windows) of each segment of a block of at least `length` bytes."""
-    x = np.frombuffer(block, np.uint8).astype(U64)
-    n, width = len(x), length - run + 1
+#: Hash of each byte.
+OF_BYTE = mix(np.arange(1, 257, dtype=U64))
+
+
+def run_hashes(block: bytes, run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of the `run` bytes from each place on."""
+    x = np.frombuffer(block, np.uint8)
+    n = len(x)
     with np.errstate(over="ignore"):
-        level, size, h, done = mix(x + U64(1)), 1, None, 0
+        level, size, h, done = OF_BYTE[x], 1, None, 0
         while True:
             if run & size:
                 h = level.copy() if h is None else mix(h[: n - done - size + 1] * U64(0xD6E8FEB86659FD93) + level[done : n - size + 1])
@@ -112,15 +124,38 @@ def segments(block: bytes, length: int = LENGTH, run: int = RUN) -> tuple[np.nda
                 break
             level = mix(level[: n - 2 * size + 1] * U64(0x9E3779B97F4A7C15) + level[size:])
             size *= 2
-    count = n - length + 1
+    return h
+
+
+def _segments(block: bytes, starts: np.ndarray, stops: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, begin, windows) of each segment of the texts that lie in a block from `starts` to `stops`, side by side."""
+    if len(block) < length:
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = run_hashes(block, run)
+    count, width = len(block) - length + 1, length - run + 1
     grid = np.r_[h, np.full(-len(h) % width, 2**64 - 1, U64)].reshape(-1, width)
     after = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
     before = np.minimum.accumulate(grid, 1).ravel()
     least = np.minimum(after[:count], before[width - 1 : width - 1 + count])
     # The place of the anchor changes where a lesser hash comes in and where it goes out. Within
     # a segment it stays, so no two windows of a segment are equal.
-    begin = np.r_[0, np.flatnonzero((least[1:] != least[:-1]) | (h[: count - 1] == least[:-1])) + 1]
-    return least[begin], begin, np.diff(np.r_[begin, count])
+    cut = np.r_[True, (least[1:] != least[:-1]) | (h[: count - 1] == least[:-1]), True]
+    # Windows across texts form segments of their own, which go.
+    inside = np.zeros(count + 1, np.int64)
+    holds = stops - starts >= length
+    first, behind = starts[holds], stops[holds] - length + 1
+    np.add.at(inside, first, 1)
+    np.add.at(inside, behind, -1)
+    cut[first], cut[behind] = True, True
+    edge = np.flatnonzero(cut)
+    begin, windows = edge[:-1], np.diff(edge)
+    mine = np.cumsum(inside)[begin] > 0
+    return least[begin[mine]], begin[mine], windows[mine]
+
+
+def segments(block: bytes, length: int = LENGTH, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, begin, windows) of each segment of a block of at least `length` bytes."""
+    return _segments(block, np.zeros(1, np.int64), np.array([len(block)]), length, run)
 
 
 def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -129,12 +164,31 @@ def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield a, data[a : a + BLOCK + LENGTH - 1]
 
 
+def _together(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, starts, places, begins): blocks of some texts joined, where each starts, its text's place in the list, and its begin there."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for at, block in blocks(text.encode()):
+            held.append((block, size, k, at))
+            size += len(block)
+            if size >= TOGETHER:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[bytes, int, int, int]]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    parts, *rest = zip(*held)
+    return b"".join(parts), *(np.array(x, np.int64) for x in rest)
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
     """(anchor) of each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            out = [segments(block)[0] for text in part.column(0).to_pylist() for _, block in blocks(text.encode())]
+            out = [_segments(block, starts, np.r_[starts[1:], len(block)], LENGTH, RUN)[0] for block, starts, _, _ in _together(part.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.empty(0, U64)]).astype(np.int64))], names=["anchor"])
 
     return docs.select("text").mapInArrow(run, "anchor long")
@@ -147,12 +201,14 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for at, block in blocks(text.encode()):
-                    anchor, begin, windows = segments(block)
-                    keys = (xxhash.xxh3_64_intdigest(block[b : b + w + LENGTH - 1]) for b, w in zip(begin.tolist(), windows.tolist()))
-                    for o, x in zip(out, (np.full(len(begin), doc), anchor, np.fromiter(keys, U64, len(begin)), (begin + at) * 64 + windows)):
-                        o.append(x.astype(np.int64))
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            for block, starts, places, begins in _together(part.column(1).to_pylist()):
+                anchor, begin, windows = _segments(block, starts, np.r_[starts[1:], len(block)], LENGTH, RUN)
+                keys = (xxhash.xxh3_64_intdigest(block[b:e]) for b, e in zip(begin.tolist(), (begin + windows + (LENGTH - 1)).tolist()))
+                text = np.searchsorted(starts, begin, "right") - 1
+                place = (begin - starts[text] + begins[text]) * 64 + windows
+                for o, x in zip(out, (ids[places[text]], anchor, np.fromiter(keys, U64, len(begin)), place)):
+                    o.append(x.astype(np.int64))
             flat = [pa.array(np.concatenate(o) if o else np.empty(0, np.int64), pa.int64()) for o in out]
             yield pa.RecordBatch.from_arrays(flat, names=["doc", "anchor", "key", "place"])
 
