@@ -601,3 +601,21 @@ def test_near_texts_just_below_the_threshold_do_not_meet_pairwise(spark, monkeyp
     got = sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(62)}, 100: 3} and len(got) == 64
     assert sum(seen[1:]) <= 400  # 1,891 pairs in all
+
+
+def test_near_texts_with_common_changes_do_not_meet_pairwise(spark, monkeypatch):
+    def text(a, b):
+        words = [f"w{i}" for i in range(154)]
+        for k in range(6):
+            words[10 + 25 * k] = f"x{k}_{(a + b * k) % 7}"
+        return " ".join(words)
+
+    # Any two agree on one of the six places at most: 125 / 175 shingles. Others have each change, too.
+    texts = [text(a, b) for a in range(7) for b in range(7)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[3].replace(" w1 ", " y "))]
+    seen = []
+    confirm = sketches._confirm
+    monkeypatch.setattr(sketches, "_confirm", lambda pairs, texts: (seen.append(pairs.count()), confirm(pairs, texts))[1])
+    got = sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(49)}, 100: 3}
+    assert sum(seen[1:]) <= 60  # 1,176 pairs in all

@@ -26,6 +26,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Sketches of similarity 0.75 agree on 96 of the 128 slots, with a deviation of 4.9: on fewer than 70 once in 30 million pairs.
 PLANES, AGREE = 8, 70
+#: Bits that tell apart the shingles of two texts, and rare shingles that a row carries along of those before its own.
+BITS, CARRIED = 1024, 8
 
 
 def sketch(items: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -186,22 +188,40 @@ def _linkable(members: DataFrame, texts: DataFrame, scratch: Scratch, rounds: in
     return scratch.write(_open(members))
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """(shingle, rep, n_shingles, place): the rarest shingles of each text among these texts, as many as a link needs; not those that no other text has.
+def _with_bits(lists: DataFrame) -> DataFrame:
+    """Adds `bits`, in words of 64: for each of BITS hashes, whether an odd number of the `shared` shingles has it."""
 
-    Exact: `place` counts from 0 in the order of (texts that have it, shingle), which is the
-    same for all. The first common shingle of two linked sets has all others behind it in
-    either, so of n shingles at least 3/4 n begin there or later.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            held = []
+            for x in part.column(part.schema.get_field_index("shared")):
+                at = mix(x.values.to_numpy(zero_copy_only=False).astype(U64)) % U64(BITS)
+                held.append(np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view("<i8"))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.list_(pa.int64()))], names=[*part.schema.names, "bits"])
+
+    return lists.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in lists.schema.fields)}, bits array<long>")
+
+
+def _prefixes(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(shingle, rep, n_shingles, place, alone, before, bits): the rarest shingles of each text among these texts, as many as a link needs.
+
+    Not those of one part only; a text has `alone` of them. `place` counts them first, then
+    the others in the order of (texts that have it, shingle), which is the same for all.
+    Exact: the first common shingle of two linked sets of different parts has all others
+    behind it in either, so of n shingles at least 3/4 n begin there or later. `before` holds
+    the last few before this one, `bits` stands for all that other parts have, too.
     """
-    rows = _shingle_rows(texts)
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    rows = _shingle_rows(texts).join(parts, "rep")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), (F.min("part") < F.max("part")).alias("across"))
     each = rows.join(often, "shingle").groupBy("rep", "n_shingles", "mark")
-    shared = F.transform(F.sort_array(F.collect_set(F.when(F.col("often") > 1, F.struct("often", "shingle")))), lambda x: x["shingle"])
-    lists = each.agg(shared.alias("shared")).withColumn("alone", F.col("n_shingles") - F.size("shared"))
+    shared = F.transform(F.sort_array(F.collect_set(F.when(F.col("across"), F.struct("often", "shingle")))), lambda x: x["shingle"])
+    lists = each.agg(shared.alias("shared")).select("rep", "n_shingles", "shared").where(F.size("shared") > 0)
+    lists = _with_bits(lists).withColumn("alone", F.col("n_shingles") - F.size("shared"))
     count = F.greatest(F.floor(F.lit(100 - PERCENT) * F.col("n_shingles") / 100) + 1 - F.col("alone"), F.lit(0)).cast("int")
     least = F.slice("shared", F.lit(1), F.least(count, F.size("shared")))
-    found = lists.select("rep", "n_shingles", "alone", F.posexplode(least).alias("at", "shingle"))
-    return found.select("shingle", "rep", "n_shingles", (F.col("alone") + F.col("at")).alias("place"))
+    found = lists.select("rep", "n_shingles", "alone", "shared", "bits", F.posexplode(least).alias("at", "shingle"))
+    before = F.slice("shared", F.greatest(F.col("at") - CARRIED, F.lit(0)) + 1, F.least("at", F.lit(CARRIED)))
+    return found.select("shingle", "rep", "n_shingles", (F.col("alone") + F.col("at")).alias("place"), "alone", before.alias("before"), "bits")
 
 
 def _across(members: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -210,32 +230,45 @@ def _across(members: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scra
     They meet in a shingle that is rare enough to be the first that a link has in common
     (see `_prefixes`), so texts that differ from each other about as much as all of a large
     group do are not paired with all of it. They share enough (see `_linkable`), and their
-    sketches agree on as many slots as those of linked sets do (see AGREE).
+    sketches agree on as many slots as those of linked sets do (see AGREE). Linked sets of n
+    and m shingles differ by (n + m) / 7 at most; those of one part only and those that the
+    bits tell apart are different ones, so pairs with more are not linked. Where they have a
+    common shingle before this one, the pair is made there.
     """
     each = scratch.write(members.select("rep", "n_shingles", "part", "shared").distinct())
-    rare = _prefixes(texts.join(each.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    columns = ["shingle", "place", "rep", "n_shingles", "part", "shared", "planes"]
-    left = scratch.write(rare.join(each.join(reps.select("rep", "planes"), "rep"), ["rep", "n_shingles"]).select(columns))
-    right = left.select(*(F.col(c).alias(f"{c}_b") for c in columns))
-    differ = None
-    for half in range(SLOTS // 64):
-        words = [F.get("planes", F.lit(k * (SLOTS // 64) + half)).bitwiseXOR(F.get("planes_b", F.lit(k * (SLOTS // 64) + half))) for k in range(PLANES)]
-        off = words[0]
-        for w in words[1:]:
-            off = off.bitwiseOR(w)
-        differ = F.bit_count(off) if differ is None else differ + F.bit_count(off)
+    parts = each.select("rep", "part").distinct()
+    rare = _prefixes(texts.join(parts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), parts)
+    left = scratch.write(rare.join(each, ["rep", "n_shingles"]))
+    sizes = left.groupBy("shingle", "part").count().groupBy("shingle").agg(F.max(F.struct("count", "part")).alias("most"))
+    left = left.join(sizes, "shingle").withColumn("main", F.col("part") == F.col("most.part")).drop("most")
+    right = left.select(*(F.col(c).alias(f"{c}_b") for c in left.columns))
+    unlike = F.col("alone") + F.col("alone_b")
+    for k in range(BITS // 64):
+        unlike = unlike + F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k))))
     both = F.col("n_shingles") + F.col("n_shingles_b")
     left_over = F.least(F.col("n_shingles") - F.col("place"), F.col("n_shingles_b") - F.col("place_b"))
     on = (
         (F.col("shingle") == F.col("shingle_b"))
         & (F.col("part") != F.col("part_b"))
-        & (F.col("rep") < F.col("rep_b"))
+        & (F.col("main_b") | (F.col("rep") < F.col("rep_b")))
         & ((100 + PERCENT) * F.least("shared", "shared_b") >= PERCENT * both)
         & ((100 + PERCENT) * left_over >= PERCENT * both)
         & _sizes_fit(F.col("n_shingles"), F.col("n_shingles_b"))
-        & (differ <= SLOTS - AGREE)
+        & ((100 + PERCENT) * unlike <= (100 - PERCENT) * both)
+        & ~F.arrays_overlap("before", "before_b")
     )
-    return left.join(right, on).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+    # The largest part of a shingle is not compared with itself.
+    pairs = left.where(~F.col("main")).join(right, on).select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+    held = each.select("rep").distinct().join(reps.select("rep", "planes"), "rep")
+    pairs = pairs.join(held.select(F.col("rep").alias("a"), "planes"), "a").join(held.select(F.col("rep").alias("b"), F.col("planes").alias("planes_b")), "b")
+    differ = None
+    for half in range(SLOTS // 64):
+        words = [F.get("planes", F.lit(k * (SLOTS // 64) + half)).bitwiseXOR(F.get("planes_b", F.lit(k * (SLOTS // 64) + half))) for k in range(PLANES)]
+        off = words[0]
+        for w in words[1:]:
+            off = off.bitwiseOR(w)
+        differ = F.bit_count(off) if differ is None else differ + F.bit_count(off)
+    return pairs.where(differ <= SLOTS - AGREE).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
