@@ -4,7 +4,8 @@ A word's symbols start as characters; an agenda holds every adjacent pair that f
 piece, best score first, then leftmost. A popped candidate is skipped when a keyed hash
 of (seed, document, place of the word in the text, begin, middle, end) falls below the
 dropout rate, so every occurrence of a word is cut on its own. The same seed and document
-give the same ids again, on any executor.
+give the same ids again, on any executor. No word is remembered: texts are split and their
+words cut in arrays, so the cost does not depend on how often words repeat.
 
 Space is the mark of word starts. Characters outside the vocabulary become byte pieces,
 so decoding gives back every text exactly. One space goes before each text and is taken
@@ -12,23 +13,25 @@ off by decoding.
 """
 
 import heapq
-import itertools
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 
 from waymark.llm.common import U64, mix, slices, without
 
 #: Words longer than this go through the heap, shorter ones through arrays, many at a time.
-ARRAY_CHARS = 48
-#: Characters that go through the arrays at once, so that these stay in the processor's cache.
+ARRAY_CHARS = 128
+#: Places of characters and words that go through the arrays at once, so that these stay in the processor's cache.
 BATCH_CHARS = 1 << 15
-#: Words without skips that a task remembers in each of two generations.
-CACHED = 250_000
+BATCH_WORDS = 1 << 12
+#: Bits of a place in a word, below the rank in a candidate's number.
+PLACE = 8
 NONE = np.int32(2**31 - 1)
 
 
@@ -65,15 +68,25 @@ class Pieces:
                     merges[a * n + b] = i
         self.keys = np.array(sorted(merges), np.int64)
         self.merged = np.array([merges[k] for k in self.keys], np.int32)
+        self.row, self.slots = displaced(self.keys, self.merged, n)
         if any(re.search(r"[^ ] ", t) for t in ids):
             raise ValueError("pieces run across word starts")
-        line = "" if any("\n" in t and len(t) > 1 for t in ids) else r"\n"
-        #: Words between which no merge can happen: no piece runs on into a space, a line's end or, after other characters, these.
+        #: No merge happens between words: no piece runs on into a space, a line's end or, after other characters, these marks.
+        self.line = not any("\n" in t and len(t) > 1 for t in ids)
+        self.marks = np.zeros(128, bool)
         marks = r"!-@\[-`{-~"
-        if any(re.search(rf"[^ {marks}][{marks}]", t) for t in ids):
-            self.words = re.compile(rf" *[^ {line}]+| +" + (r"|\n" if line else ""))
-        else:
-            self.words = re.compile(rf" *[{marks}]*[^ {line}{marks}]+| *[{marks}]+| +" + (r"|\n" if line else ""))
+        if not any(re.search(rf"[^ {marks}][{marks}]", t) for t in ids):
+            self.marks[[i for i in range(128) if re.match(f"[{marks}]", chr(i))]] = True
+
+    def word_starts(self, points: np.ndarray) -> np.ndarray:
+        """Whether a word starts at each code point: spaces, then marks, then others; a line's end is a word of its own."""
+        space, line = points == 32, (points == 10) & self.line
+        after_line = np.r_[True, line[:-1]]
+        out = line | after_line | (space & ~np.r_[False, space[:-1]])
+        if self.marks.any():
+            mark = self.marks[np.minimum(points, 127)] & (points < 128)
+            out |= mark & ~np.r_[False, (mark | space)[:-1]]
+        return out
 
     @property
     def of_char(self) -> np.ndarray:
@@ -94,10 +107,9 @@ class Pieces:
         return {k: v for k, v in self.__dict__.items() if k not in ("_of_char", "_pairs")}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Piece that each pair forms, or -1."""
-        want = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return np.where((self.keys[at] == want) & (left >= 0) & (right >= 0), self.merged[at], -1)
+        """Piece that each pair of symbols forms, or -1; `size` and `size + 1` stand for symbols that form none."""
+        got = self.slots[self.row[left] + right]
+        return np.where(got >> 32 == left, got & 0xFFFFFFFF, -1)
 
     def bytes_of(self, symbol: int) -> list[int]:
         """Ids of a symbol; unknown characters are held as -1 - code point."""
@@ -109,18 +121,65 @@ class Pieces:
         return b"".join(map(self.texts.__getitem__, ids)).decode(errors="replace")[1:]
 
 
-def skipped(key, begin, middle, end, drop: float):
+def displaced(keys: np.ndarray, merged: np.ndarray, size: int, window: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs as one table: the pair (a, b) lies at row[a] + b, as a << 32 | piece; rows lie over each other's gaps."""
+    row, used = np.zeros(size + 2, np.int64), np.zeros(2 * (len(keys) + size) + window, bool)
+    lefts, first, counts = np.unique(keys // size, return_index=True, return_counts=True)
+    rights = keys % size
+    at = 0
+    for k in np.argsort(-counts, kind="stable").tolist():
+        mine = rights[first[k] : first[k] + counts[k]]
+        while True:
+            if at + window + size > len(used):
+                used = np.r_[used, np.zeros(len(used), bool)]
+            taken = used[np.arange(at, at + window)[:, None] + mine].any(axis=1)
+            if not taken.all():
+                break
+            at += window
+        at += int(taken.argmin())
+        row[lefts[k]] = at
+        used[at + mine] = True
+    slots = np.full(at + size + 2, -1, np.int64)
+    slots[row[keys // size] + rights] = keys // size << 32 | merged
+    return row, slots
+
+
+FACTORS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
+
+def below(drop: float) -> int:
+    """Hashes of 53 bits less than this are skipped."""
+    return math.ceil(min(max(drop, 0.0), 1.0) * 2**53)
+
+
+def skipped(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, drop: float) -> np.ndarray:
     """Whether the keyed hash skips these candidates."""
     with np.errstate(over="ignore"):
-        x = key + begin * U64(0x9E3779B97F4A7C15) + middle * U64(0xC2B2AE3D27D4EB4F) + end * U64(0x165667B19E3779F9)
-    return (mix(x) >> U64(11)).astype(np.float64) * 2.0**-53 < drop
+        x = key + begin * U64(FACTORS[0]) + middle * U64(FACTORS[1]) + end * U64(FACTORS[2])
+    return (mix(x) >> U64(11)) < U64(below(drop))
+
+
+def skipped_one(key: int, begin: int, middle: int, end: int, drop: float) -> bool:
+    """`skipped` for a single candidate."""
+    x = (key + begin * FACTORS[0] + middle * FACTORS[1] + end * FACTORS[2]) & (2**64 - 1)
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
+    return (x ^ (x >> 31)) >> 11 < below(drop)
+
+
+def place_keys(first: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each word, by the key of its document and its place among the words there (from 0)."""
+    with np.errstate(over="ignore"):
+        return mix(first + (place.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93))
+
+
+def document_keys(seed: int, documents: list[int]) -> np.ndarray:
+    return mix(np.array([(seed * 0x9E3779B1 + d * 0x85EBCA77C2B2AE63) & (2**64 - 1) for d in documents], U64))
 
 
 def word_keys(words: list[str], seed: int, document: int) -> np.ndarray:
     """A 64-bit key for each word of a document, by its place among them."""
-    with np.errstate(over="ignore"):
-        first = mix(np.array([(seed * 0x9E3779B1 + document * 0x85EBCA77C2B2AE63) & (2**64 - 1)], U64))
-        return mix(first + np.arange(1, len(words) + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+    return place_keys(document_keys(seed, [document]), np.arange(len(words)))
 
 
 def with_heap(pieces: Pieces, word: str, key: int, drop: float) -> list[int]:
@@ -145,7 +204,7 @@ def with_heap(pieces: Pieces, word: str, key: int, drop: float) -> list[int]:
         _, a, b, stop, left, right, new = heapq.heappop(agenda)
         if after[a] != b or sym[a] != left or sym[b] != right or end[b] != stop:
             continue
-        if drop and skipped(*(np.array([x], U64) for x in (key, a, b, stop)), drop)[0]:
+        if drop and skipped_one(key, a, b, stop, drop):
             continue
         sym[a], end[a], after[a] = new, stop, after[b]
         after[b] = -2
@@ -160,151 +219,161 @@ def with_heap(pieces: Pieces, word: str, key: int, drop: float) -> list[int]:
     return out
 
 
-def with_arrays(pieces: Pieces, words: list[str], keys: np.ndarray, drop: float, seen: list | None = None) -> list[bytes]:
-    """Many short words at once: each round takes the best candidate left in every word.
-
-    `seen` gets every candidate: (word, begin, middle and end as three bytes).
-    """
+def with_arrays(pieces: Pieces, words: list[str], keys: np.ndarray, drop: float) -> list[bytes]:
+    """Many words at once."""
     lens = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
-    sym = pieces.of_char[points].astype(np.int64)
-    sym = np.where(sym < 0, -1 - points, sym)
-    wid = np.repeat(np.arange(len(words)), lens)
-    beg = np.arange(len(sym)) - np.repeat(np.cumsum(lens) - lens, lens)
-    end = beg + 1
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def candidates(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        j = np.minimum(i + 1, len(sym) - 1)
-        new = np.where((i + 1 < len(sym)) & (wid[i] == wid[j]), pieces.pair(sym[i], sym[j]), -1)
-        if drop and (on := np.flatnonzero(new >= 0)).size:
-            a, b = i[on], j[on]
-            off = skipped(keys[wid[a]], beg[a].astype(U64), beg[b].astype(U64), end[b].astype(U64), drop)
-            new[on[off]] = -1
-        if seen is not None and (on := np.flatnonzero(new >= 0)).size:
-            a, b = i[on], j[on]
-            seen.append((wid[a], beg[a] << 16 | beg[b] << 8 | end[b]))
-        return new, np.where(new >= 0, pieces.rank[new], NONE)
-
-    new, rank = candidates(np.arange(len(sym)))
-    while sym.size:
-        first = np.flatnonzero(np.r_[True, wid[1:] != wid[:-1]])
-        best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, sym.size]))
-        if (over := best == NONE).any():
-            done.append((wid[over], sym[over]))
-            sym, wid, beg, end, new, rank, best = (x[~over] for x in (sym, wid, beg, end, new, rank, best))
-            if not sym.size:
-                break
-        at = np.flatnonzero(rank == best)
-        at = at[np.r_[True, wid[at][1:] != wid[at][:-1]]]
-        sym[at], end[at] = new[at], end[at + 1]
-        keep = np.ones(sym.size, bool)
-        keep[at + 1] = False
-        sym, wid, beg, end, new, rank = (x[keep] for x in (sym, wid, beg, end, new, rank))
-        at = at - np.arange(at.size)
-        touched = np.r_[at, at[at > 0] - 1]
-        new[touched], rank[touched] = candidates(touched)
-    wid, sym = (np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, np.int64),) * 2
-    order = np.argsort(wid, kind="stable")
-    wid, sym = wid[order], sym[order]
-    if (odd := sym < 0).any():
-        wide = [pieces.bytes_of(int(s)) for s in sym[odd]]
-        times = np.ones(sym.size, np.int64)
-        times[odd] = [len(x) for x in wide]
-        wid, sym = np.repeat(wid, times), np.repeat(sym, times)
-        sym[sym < 0] = [x for ids in wide for x in ids]
-    blob = sym.astype("<u4").tobytes()
-    ends = (np.cumsum(np.bincount(wid, minlength=len(words))) * 4).tolist()
+    ids, counts = cut_words(pieces, points, np.cumsum(lens) - lens, lens, keys, drop)
+    return blobs_of(ids, counts)
+
+
+def blobs_of(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    blob = ids.astype("<u4").tobytes()
+    ends = (np.cumsum(counts) * 4).tolist()
     return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def cut_words(
+    pieces: Pieces, points: np.ndarray, begins: np.ndarray, lens: np.ndarray, keys: np.ndarray, drop: float, batch: int = BATCH_WORDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words that begin at these places of `points`, in their order, and each word's number of ids.
+
+    Words of about equal length are cut together; the longest go through the heap.
+    """
+    counts = np.zeros(len(lens), np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    order = np.argsort(np.minimum(lens, ARRAY_CHARS + 1).astype(np.uint8), kind="stable")
+    short = int((lens <= ARRAY_CHARS).sum())
+    sym = np.r_[pieces.of_char[points], np.full(ARRAY_CHARS, -1, np.int32)]
+    a = 0
+    while a < short:
+        b = min(a + min(batch, max(1, BATCH_CHARS // int(lens[order[a]]))), short)
+        while b - a > 1 and int(lens[order[b - 1]]) * (b - a) > 2 * BATCH_CHARS:
+            b = (a + b) // 2
+        which = order[a:b]
+        parts.append((which, cut_block(pieces, sym, points, begins[which], lens[which], keys[which], drop, which, counts)))
+        a = b
+    for w in order[short:].tolist():
+        word = points[begins[w] : begins[w] + lens[w]].astype("<u4").tobytes().decode("utf-32-le")
+        ids = np.array(with_heap(pieces, word, int(keys[w]), drop), np.int32)
+        counts[w] = len(ids)
+        parts.append((order[:0], ids) if not len(ids) else (np.array([w]), ids))
+    first = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int32)
+    for which, ids in parts:
+        n = counts[which]
+        out[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    return out, counts
+
+
+def cut_block(pieces: Pieces, sym_of: np.ndarray, points: np.ndarray, begins, lens, keys, drop: float, which, counts: np.ndarray) -> np.ndarray:
+    """Ids of some words, one column each; each round takes the best candidate left in every word.
+
+    A row is a place in the word; a symbol stands at its first place. The row past the last one takes the links that lead out of a word.
+    """
+    n, size = len(lens), int(lens.max())
+    unknown, outside = pieces.size, pieces.size + 1
+    places = np.arange(size + 1)
+    sym = sym_of[begins + places[:, None]].astype(np.int64)
+    sym[sym < 0] = unknown
+    sym[places[:, None] >= lens] = outside
+    after = np.repeat(np.minimum(places + 1, size), n)
+    before = np.repeat(np.where(places, places - 1, size), n)
+    new = np.full((size + 1, n), -1, np.int64)
+    number = np.full((size + 1, n), NONE, np.int32)
+    if size > 1:
+        got = pieces.pair(sym[:-2], sym[1:-1])
+        on = got >= 0
+        if drop:
+            at = places[: size - 1, None].astype(U64)
+            on &= ~skipped(keys, at, at + U64(1), at + U64(2), drop)
+        new[:-2] = got
+        number[:-2] = np.where(on, pieces.rank[got] << PLACE | places[: size - 1, None], NONE)
+    sym, new, flat = sym.ravel(), new.ravel(), number.ravel()
+    while True:
+        best = number[:-1].min(axis=0)
+        act = np.flatnonzero(best != NONE)
+        if not act.size:
+            break
+        m = len(act)
+        i_at = (best[act] & ((1 << PLACE) - 1)).astype(np.int64)
+        i = i_at * n + act
+        j = after[i] * n + act
+        k_at = after[j]
+        k = k_at * n + act
+        h_at = before[i]
+        h = h_at * n + act
+        made = new[i]
+        sym[i], sym[j], flat[j] = made, -1, NONE
+        after[i], before[k] = k_at, i_at
+        # Its pairs with the symbols before and after it.
+        left, right = np.concatenate((sym[h], made)), np.concatenate((made, sym[k]))
+        cell, begin = np.concatenate((h, i)), np.concatenate((h_at, i_at))
+        flat[cell] = NONE
+        got = pieces.pair(left, right)
+        on = np.flatnonzero(got >= 0)
+        if drop and on.size:
+            middle, end = np.concatenate((i_at, k_at))[on], np.concatenate((k_at, after[k]))[on]
+            key = keys[act[np.where(on < m, on, on - m)]]
+            on = on[~skipped(key, begin[on].astype(U64), middle.astype(U64), end.astype(U64), drop)]
+        cell, got = cell[on], got[on]
+        new[cell] = got
+        flat[cell] = pieces.rank[got] << PLACE | begin[on]
+    rows = np.ascontiguousarray(sym.reshape(size + 1, n)[:-1].T).ravel()
+    on = np.flatnonzero((rows >= 0) & (rows != outside))
+    ids, wid = rows[on], on // size
+    if (odd := ids == unknown).any():
+        wide = [pieces.bytes_of(-1 - c) for c in points[begins[wid[odd]] + on[odd] % size].tolist()]
+        times = np.ones(ids.size, np.int64)
+        times[odd] = [len(x) for x in wide]
+        odd, wid, ids = (np.repeat(x, times) for x in (odd, wid, ids))
+        ids[odd] = [x for of in wide for x in of]
+    counts[which] = np.bincount(wid, minlength=n)
+    return ids
+
+
 class Encoder:
-    """Encodes texts. What depends on no key is remembered: the words' ids without any skip and the candidates on the way there."""
+    """Encodes texts; `batch` is the most words that go through the arrays at once."""
 
-    def __init__(self, pieces: Pieces, drop: float, seed: int, cached: int = CACHED):
-        self.pieces, self.drop, self.seed, self.cached = pieces, drop, seed, cached
-        self.known: dict[str, tuple[bytes, np.ndarray]] = {}
-        self.older: dict[str, tuple[bytes, np.ndarray]] = {}
+    def __init__(self, pieces: Pieces, drop: float, seed: int, batch: int = BATCH_WORDS):
+        self.pieces, self.drop, self.seed, self.batch = pieces, drop, seed, batch
 
     def document(self, key) -> int:
         return xxhash.xxh3_64_intdigest(repr(key).encode(), seed=self.seed & (2**64 - 1))
 
-    def learn(self, words: set[str]) -> None:
-        """Make `words` known; those of the last generation are taken over, others segmented without skips."""
-        if len(self.known) > self.cached:
-            self.older, self.known = self.known, {}
-        new = words.difference(self.known)
-        self.known.update((w, self.older[w]) for w in new & self.older.keys())
-        new = new.difference(self.older)
-        for part in batched([w for w in new if len(w) <= ARRAY_CHARS]):
-            seen: list = []
-            ids = with_arrays(self.pieces, part, np.zeros(len(part), U64), 0, seen)
-            self.known.update(zip(part, zip(ids, by_word(seen, len(part)))))
-        if not self.drop:
-            for w in new:
-                if len(w) > ARRAY_CHARS:
-                    self.known[w] = np.array(with_heap(self.pieces, w, 0, 0), "<u4").tobytes(), NO_CANDIDATES
-
-    def skips(self, words: list[str], keys: np.ndarray) -> np.ndarray:
-        """Whether a candidate on the way without skips is skipped, for each word; without one, nothing changes."""
-        each = [self.known[w][1] for w in words]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        places = np.concatenate(each)
-        wid = np.repeat(np.arange(len(words)), sizes)
-        begin, middle, end = (((places >> k) & 255).astype(U64) for k in (16, 8, 0))
-        out = np.zeros(len(words), bool)
-        out[wid[skipped(keys[wid], begin, middle, end, self.drop)]] = True
-        return out
-
     def encode(self, keys: list, texts: list[str | None]) -> list[bytes | None]:
-        split = [None if t is None else self.pieces.words.findall(" " + t) if t else [] for t in texts]
-        self.learn(set().union(*(ws for ws in split if ws)))
-        if not self.drop:
-            return [None if ws is None else b"".join([self.known[w][0] for w in ws]) for ws in split]
-        flat = [w for ws in split if ws for w in ws]
-        marks = [word_keys(ws, self.seed, self.document(k)) for k, ws in zip(keys, split) if ws]
-        marks = np.concatenate(marks) if marks else np.empty(0, U64)
-        out: list[bytes] = []
-        at = 0
-        for part in batched(flat):
-            mine = marks[at : at + len(part)]
-            at += len(part)
-            got: list = [None] * len(part)
-            short = [i for i, w in enumerate(part) if len(w) <= ARRAY_CHARS]
-            if len(short) < len(part):
-                for i, w in enumerate(part):
-                    if len(w) > ARRAY_CHARS:
-                        got[i] = np.array(with_heap(self.pieces, w, int(mine[i]), self.drop), "<u4").tobytes()
-            if short:
-                words, theirs = [part[i] for i in short], mine[short]
-                again = self.skips(words, theirs)
-                redone = with_arrays(self.pieces, [words[i] for i in np.flatnonzero(again)], theirs[again], self.drop) if again.any() else []
-                redone = iter(redone)
-                for i, w, other in zip(short, words, again.tolist()):
-                    got[i] = next(redone) if other else self.known[w][0]
-            out += got
-        done = iter(out)
-        return [None if ws is None else b"".join(itertools.islice(done, len(ws))) for ws in split]
-
-
-NO_CANDIDATES = np.empty(0, np.int32)
-
-
-def batched(words: list[str]) -> Iterator[list[str]]:
-    """Runs of words of about `BATCH_CHARS` characters."""
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    cuts = np.flatnonzero(np.diff(ends // BATCH_CHARS)) + 1
-    edges = [0, *cuts.tolist(), len(words)]
-    return (words[a:b] for a, b in zip(edges, edges[1:]) if a < b)
-
-
-def by_word(seen: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[np.ndarray]:
-    """Places of candidates, one array for each of `n` words."""
-    wid, places = (np.concatenate(x) for x in zip(*seen)) if seen else (np.empty(0, np.int64), NO_CANDIDATES)
-    order = np.argsort(wid, kind="stable")
-    places = places[order].astype(np.int32)
-    ends = np.cumsum(np.bincount(wid, minlength=n)).tolist()
-    return [places[a:b].copy() for a, b in zip([0, *ends], ends)]
+        ids, counts = self.arrays(keys, texts)
+        return [None if t is None else b for t, b in zip(texts, blobs_of(ids, counts))]
+
+    def arrays(self, keys: list, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and each text's number of ids; a null or empty one has none."""
+        full = np.array([bool(t) for t in texts], bool)
+        counts = np.zeros(len(texts), np.int64)
+        if not full.any():
+            return np.empty(0, np.int32), counts
+        points = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le"), "<u4").view("<i4")
+        sizes = np.fromiter((len(t) + 1 for t in texts if t), np.int64)
+        starts = self.pieces.word_starts(points)
+        starts[np.cumsum(sizes) - sizes] = True
+        begins = np.flatnonzero(starts)
+        lens = np.diff(np.r_[begins, len(points)])
+        first = np.searchsorted(begins, np.cumsum(sizes) - sizes)
+        n_words = np.diff(np.r_[first, len(begins)])
+        mine = document_keys(self.seed, [self.document(k) for k, t in zip(keys, texts) if t])
+        marks = place_keys(np.repeat(mine, n_words), np.arange(len(begins)) - np.repeat(first, n_words))
+        ids, each = cut_words(self.pieces, points, begins, lens, marks, self.drop, self.batch)
+        counts[full] = np.add.reduceat(each, first)
+        return ids, counts
+
+
+def decoded_lists(pieces: Pieces, table: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """`Pieces.decode` of many lists at once; `table` holds the pieces' texts."""
+    spelt = pa.ListArray.from_arrays(lists.offsets, table.take(lists.values), mask=lists.is_null())
+    joined = pa.compute.binary_join(spelt, b"")
+    try:
+        return pa.compute.binary_replace_slice(joined, 0, 1, b"").cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([pieces.decode(x) for x in lists.to_pylist()], pa.string())
 
 
 def encode(docs: DataFrame, model_file: str, drop: float = 0.1, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,17 +390,16 @@ def encode(docs: DataFrame, model_file: str, drop: float = 0.1, seed: int = 1, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, drop, seed)
+        table = pa.array(pieces.texts, pa.binary())
         for part in slices(batches, text):
             at = part.schema.get_field_index
-            blobs = encoder.encode(part.column(at(key)).to_pylist(), part.column(at(text)).to_pylist())
-            ids = np.frombuffer(b"".join(b or b"" for b in blobs), "<u4").astype(np.int32)
-            ends = np.cumsum([0, *(len(b or b"") // 4 for b in blobs)], dtype=np.int32)
-            none = np.array([b is None for b in blobs])
+            texts = part.column(at(text))
+            none = np.asarray(texts.is_null())
+            ids, counts = encoder.arrays(part.column(at(key)).to_pylist(), texts.to_pylist())
+            ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array(none))
-            whole = ids.tolist()
-            decoded = [None if b is None else pieces.decode(whole[a:e]) for b, a, e in zip(blobs, ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, lists, pa.array(np.diff(ends).astype(np.int32), mask=none), pa.array(decoded, pa.string())],
+                [*part.columns, lists, pa.array(counts.astype(np.int32), mask=none), decoded_lists(pieces, table, lists)],
                 names=[*part.schema.names, "piece_ids", "n_pieces", "decoded"],
             )
 
