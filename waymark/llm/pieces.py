@@ -247,7 +247,7 @@ def cut_words(
     sym = np.r_[pieces.of_char[points], np.full(ARRAY_CHARS, -1, np.int32)]
     a = 0
     while a < short:
-        b = min(a + min(batch, max(1, BATCH_CHARS // int(lens[order[a]]))), short)
+        b = min(a + min(batch, max(1, BATCH_CHARS // max(1, int(lens[order[a]])))), short)
         while b - a > 1 and int(lens[order[b - 1]]) * (b - a) > 2 * BATCH_CHARS:
             b = (a + b) // 2
         which = order[a:b]
@@ -257,7 +257,7 @@ def cut_words(
         word = points[begins[w] : begins[w] + lens[w]].astype("<u4").tobytes().decode("utf-32-le")
         ids = np.array(with_heap(pieces, word, int(keys[w]), drop), np.int32)
         counts[w] = len(ids)
-        parts.append((order[:0], ids) if not len(ids) else (np.array([w]), ids))
+        parts.append((np.array([w]), ids))
     first = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int32)
     for which, ids in parts:
@@ -271,7 +271,7 @@ def cut_block(pieces: Pieces, sym_of: np.ndarray, points: np.ndarray, begins, le
 
     A row is a place in the word; a symbol stands at its first place. The row past the last one takes the links that lead out of a word.
     """
-    n, size = len(lens), int(lens.max())
+    n, size = len(lens), max(1, int(lens.max()))
     unknown, outside = pieces.size, pieces.size + 1
     places = np.arange(size + 1)
     sym = sym_of[begins + places[:, None]].astype(np.int64)
