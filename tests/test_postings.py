@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.functions import windows as win
 from waymark.operators import fast as fs
 from waymark.operators import grep as gr
 from waymark.operators import postings as po
@@ -163,3 +166,87 @@ def test_an_index_holds_its_texts_once_and_ids_in_two_bytes(spark, texts):
     index = po.text_index(texts)
     assert dict(index.lists.dtypes)["ids"] == "array<smallint>"
     assert {c for c, kind in index.rows.dtypes if "string" in kind} == {"file_path", "lines"}
+
+
+def test_windows_meet_texts_where_the_lines_lie(spark, texts):
+    index = po.text_index(texts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = po.window_hits(index.rows, some_queries(spark).selectExpr("lower(query) as q_low").filter("length(q_low) > 2"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x for x in plan.split("\n") if x.lstrip(" :").startswith(("+-", ":-"))]
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "lines" in x)
+    level = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above, low = [], level(lines[scan])
+    for x in reversed(lines[:scan]):
+        if level(x) < low:
+            above, low = [*above, x], level(x)
+    # Neither windows nor what they found are dealt out between the lines and the result.
+    assert any("BroadcastHashJoin" in x for x in above) and not any("Exchange" in x or "SortMergeJoin" in x for x in above), plan
+
+
+def test_passes_over_the_lines_find_what_one_finds(spark, texts, monkeypatch):
+    index, asked = po.text_index(texts), some_queries(spark)
+    monkeypatch.setattr(po, "DENSE", 0)
+    monkeypatch.setattr(po.found_lines, "__defaults__", (0, None))
+    one = found(gr.matching_lines(index, asked))
+    monkeypatch.setattr(po, "AT_ONCE", 30)
+    assert found(gr.matching_lines(index, asked)) == one == found(gr.matching_lines(texts, asked))
+
+
+def test_rows_of_one_text_are_answered_each(spark, texts):
+    asked = spark.createDataFrame([(1, "abc", 1), (2, "ABC", None), (2, "abc", None), (3, "   ", 9)], QUERIES)
+    index = po.text_index(texts)
+    got = po.found_lines(index, asked.selectExpr("lower(query) as q_low", "qid"), dense=0, blanks=F.expr(gr.BLANKS))
+    want = gr.matching_lines(texts, asked)
+    key = lambda rows: sorted(map(str, rows.select("q_low", "qid", "seq", "line", "raw").collect()))
+    assert key(got.filter("q_low = 'abc'")) == key(want) and want.count() > 9
+    # A line of blanks holds a text of blanks only where no blanks are left out.
+    assert got.filter("file_path = '/blank'").count() == 0
+    assert po.found_lines(index, asked.selectExpr("lower(query) as q_low"), dense=0).filter("file_path = '/blank'").count() == 1
+
+
+def test_lists_hold_the_grams_of_their_rows(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("ab\n\0é日😀\U0010ffff") for _ in range(rng.randint(0, 9)))
+    rows = [(rng.randrange(20_000), [rng.choice([None, word(), word()]) for _ in range(rng.randint(0, 4))]) for _ in range(400)]
+    rows += [(7, ["ab"]), (7, ["abab"]), (None, ["ab"]), (8, None), (9, []), (10, [""])]
+    df = spark.createDataFrame(rows, "id bigint, t array<string>")
+    ids = F.explode(F.transform("ids", lambda x: F.shiftleft("part", 12) + x)).alias("id")
+    got = sorted(map(tuple, win.gram_lists(df, "id", F.col("t"), 12).select("gram", ids).distinct().collect()))
+    assert got == sorted(map(tuple, df.filter("id is not null").select(F.explode(po.grams_of(F.col("t"))).alias("gram"), "id").distinct().collect()))
+    index = po.gram_index(df, "id", F.col("t"))
+    assert sorted(map(tuple, index.lists.select("gram", ids).collect())) == got
+
+
+def test_too_many_characters_for_a_number_are_taken_in_halves():
+    chars = "".join(chr(c) for c in range(0x20, 0x110000, 16) if not 0xD800 <= c < 0xE000)
+    texts = [chars[i : i + 700] for i in range(0, len(chars), 700)] * 300
+    row = np.arange(len(texts))
+    want = sum(len(x) - 2 for x in texts)
+    got = sum(len(x) for b in win._gram_lists(pa.array(texts), row, row, 12) for x in b.column("ids").to_pylist())
+    assert len(chars) * 3 > 1 << 17 and got == want
+
+
+def test_windows_of_any_length_are_told_apart():
+    rng = random.Random(16)
+    morse = "a"
+    for _ in range(11):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    words = sorted({"".join(rng.choice("abcé😀") for _ in range(n)) for n in range(1, 40) for _ in range(60)} | {morse, other})
+    lines = ["".join(rng.choice("abcé😀x") for _ in range(rng.randint(0, 300))) for _ in range(40)] + [morse + other, "x" + morse, other, *words[::50]]
+    text = pa.array(["".join(x + "\n" for x in lines[:17]), "".join(x + "\n" for x in lines[17:])])
+    row, at, which = win._held(text, np.array([17, len(lines) - 17]), win.Texts(pa.array(words)))
+    got = sorted(zip((row * 17 + at).tolist(), which.tolist()))
+    assert got == [(i, k) for i, x in enumerate(lines) for k, w in enumerate(words) if w in x] and len(got) > 1000
+
+
+def test_keys_that_share_a_cell_are_found():
+    rng = np.random.default_rng(17)
+    wanted = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    keys = np.concatenate([rng.permutation(wanted), rng.integers(0, 1 << 63, 5000).astype(np.uint64), np.zeros(3, np.uint64)])
+    at, which = (table := win.KeyTable(wanted)).find(keys)
+    assert len(table.rest) > 100 and sorted(which.tolist()) == list(range(len(wanted)))
+    assert (keys[at] == wanted[which]).all()

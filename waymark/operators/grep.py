@@ -36,7 +36,7 @@ def matching_lines(
     if isinstance(docs, GramIndex):
         # Read by several steps; where the texts come from is read once.
         asked = cut(asked, "needles")
-        lines = found_lines(docs, asked).join(asked, "q_low")
+        lines = found_lines(docs, asked, blanks=F.expr(BLANKS))
         if max_bytes is not None:
             lines = grep_guards(lines, max_bytes)
     else:
@@ -46,12 +46,11 @@ def matching_lines(
         pairs = pair_by_substring(parted, asked, ["text_low"], "q_low", F.lit(True), small)
         numbered = F.transform("lines", lambda raw, i: F.struct(i.alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
         hits = F.filter(numbered, lambda x: F.contains(x["raw_low"], F.col("q_low")))
-        lines = pairs.select(*keep, "qid", "q_low", "k", F.inline(hits))
+        lines = pairs.select(*keep, "qid", "q_low", "k", F.inline(hits)).filter(f"btrim(raw, {BLANKS}) <> ''")
     if max_line is not None:
         lines = lines.filter(F.length("raw") <= max_line)
     return (
         lines.withColumn("name", F.expr(f"btrim(raw, {BLANKS})"))
-        .filter("name <> ''")
         .withColumn("indent", F.expr(f"length(raw) - length(ltrim({BLANKS}, raw))"))
     )
 

@@ -15,13 +15,13 @@ BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 16 << 20
 
 
-def count_slices(n: int, n_bytes: int) -> int:
+def count_slices(n: int, n_bytes: int, most: int = BROADCAST_QUERIES, most_bytes: int = BROADCAST_BYTES) -> int:
     """Slices that `n` queries with texts of `n_bytes` need."""
-    return max(1, -(-n // BROADCAST_QUERIES), -(-n_bytes // BROADCAST_BYTES))
+    return max(1, -(-n // most), -(-n_bytes // most_bytes))
 
 
-def slices(queries: DataFrame, small: bool | None = None) -> list[DataFrame]:
-    """The query set in parts of about `BROADCAST_QUERIES` rows or `BROADCAST_BYTES` of text, by a hash of `qid`.
+def slices(queries: DataFrame, small: bool | None = None, key: str = "qid", most: int = BROADCAST_QUERIES, most_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """The query set in parts of about `most` rows or `most_bytes` of text, by a hash of `key`.
 
     `small` passes a size check already made.
     """
@@ -29,8 +29,8 @@ def slices(queries: DataFrame, small: bool | None = None) -> list[DataFrame]:
         return [queries]
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in queries.dtypes if kind == "string"]
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0)).alias("bytes")).first()
-    n = count_slices(size["n"], size["bytes"])
-    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+    n = count_slices(size["n"], size["bytes"], most, most_bytes)
+    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def pair_by_mask(

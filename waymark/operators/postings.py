@@ -5,8 +5,9 @@ the rows that have it, in lists of one range of ids each, and how many rows that
 query looks up its rarest grams, intersects their lists range by range in equality joins,
 and only the rows left are read and tested exactly. Any number of queries goes through one
 plan that reads the rows once, and no text is shuffled. Where a batch asks for so many texts
-of one length that their lists are longer than all text, the lines are cut into windows of
-this length instead, grams long enough to be the answer.
+of one length that their lists are longer than all text, each window of this length in the
+lines is looked up among the texts instead, where the lines lie: grams long enough to be the
+answer.
 """
 
 from typing import NamedTuple
@@ -14,10 +15,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import cut, fresh_dir
+from waymark.functions.windows import GRAM, find_in_lines, gram_lists
+from waymark.operators.pairing import slices
+from waymark.session import cut, fits, fresh_dir, union_all
 from waymark.sources.bucketed import write_bucketed
 
-GRAM = 3
 #: Ids of a list lie in one range of 2^12, so no list is longer than that.
 RANGE_BITS = 12
 #: Grams that a query intersects at most; more hardly narrow its candidates.
@@ -26,6 +28,8 @@ RAREST = 3
 HOT = 32
 #: Texts of one length are found by windows once their lists hold so many times the ids of all lists.
 DENSE = 4
+#: Texts, and bytes of text, that the lines are searched for at once; more take a further pass over the lines.
+AT_ONCE, AT_ONCE_BYTES = 1 << 18, 4 << 20
 
 
 class GramIndex(NamedTuple):
@@ -43,27 +47,28 @@ def grams_of(texts: Column) -> Column:
     """Distinct grams of an array of texts; a text of one or two characters is a gram itself.
 
     So every substring of up to three characters lies in some gram of its text. The
-    lookahead gives overlapping matches.
+    lookahead gives overlapping matches, one for each code point. `gram_lists` finds the same.
     """
     pieces = F.transform(
         texts,
-        lambda t: F.when(F.length(t) < GRAM, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))),
+        lambda t: F.when(F.length(t) < GRAM, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))),
     )
     return F.filter(F.array_distinct(F.flatten(F.filter(pieces, lambda p: p.isNotNull()))), lambda g: g != "")
 
 
-def gram_index(rows: DataFrame, row_id: str, texts: Column) -> GramIndex:
+def gram_index(rows: DataFrame, row_id: str, texts: Column, written: bool = False) -> GramIndex:
     """Build and store the index of `rows` with a unique whole number `row_id`.
 
     `texts` is the array of folded texts to search; nulls in it are skipped. A gram that
-    every row has is spread over as many lists as there are id ranges.
+    every row has is spread over as many lists as there are id ranges. Where `rows` are
+    `written`, so that they can be read twice, best in the order of `row_id`, their lists
+    are taken from them and come out in fewer pieces.
     """
     spark = rows.sparkSession
-    stored = write_bucketed(rows, fresh_dir(spark, "gram-rows"), [row_id])
-    each = stored.select(F.col(row_id).cast("bigint").alias("id"), F.explode(grams_of(texts)).alias("gram"))
-    place = F.col("id").bitwiseAND(F.lit((1 << RANGE_BITS) - 1)).cast("smallint")
-    parts = each.groupBy("gram", F.shiftright("id", RANGE_BITS).alias("part")).agg(F.sort_array(F.collect_set(place)).alias("ids"))
-    lists = write_bucketed(parts, fresh_dir(spark, "gram-lists"), ["gram"])
+    stored = write_bucketed(rows, fresh_dir(spark, "gram-rows"), [row_id], compression="zstd")
+    pieces = gram_lists(rows if written else stored, row_id, texts, RANGE_BITS)
+    ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids"))))
+    lists = write_bucketed(pieces, fresh_dir(spark, "gram-lists"), ["gram"], within=lambda dealt: dealt.groupBy("gram", "part").agg(ids.alias("ids")), compression="zstd")
     counts = cut(lists.groupBy("gram").agg(F.sum(F.size("ids")).alias("n")), "gram-counts")
     return GramIndex(stored, lists, counts)
 
@@ -119,8 +124,8 @@ def text_segments(docs: DataFrame, lines: int = SEGMENT_LINES) -> DataFrame:
 def text_index(docs: DataFrame, lines: int = SEGMENT_LINES) -> GramIndex:
     """The stored index over the lines of `docs`; a null text has none."""
     # Written first: the numbers of the segments must not change between two readings.
-    segments = cut(text_segments(docs.filter("text is not null"), lines), "segments")
-    return gram_index(segments, "segment", F.transform("lines", F.lower))
+    segments = cut(text_segments(docs.filter("text is not null"), lines), "segments", compression="zstd")
+    return gram_index(segments, "segment", F.transform("lines", F.lower), written=True)
 
 
 def dense_lengths(texts: DataFrame, counts: DataFrame, dense: float = DENSE) -> list[int]:
@@ -130,31 +135,49 @@ def dense_lengths(texts: DataFrame, counts: DataFrame, dense: float = DENSE) ->
     return sorted(r["n_chars"] for r in asked.filter(F.col("ids") > dense * everything).select("n_chars").collect())
 
 
-def window_hits(rows: DataFrame, texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """Distinct (q_low, id, at) of the lines of segments that hold a text of `texts(q_low)`, all of one of `lengths`.
+def not_blank(raw: Column, blanks: Column | None) -> Column:
+    """Whether a line has characters other than `blanks`; without them, true of all."""
+    return F.lit(True) if blanks is None else F.btrim(raw, blanks) != ""
 
-    A line holds a text if one of its windows of this length is the text, so windows and
-    texts meet in an equality join; windows travel without their lines.
+
+def window_hits(rows: DataFrame, texts: DataFrame, blanks: Column | None = None) -> DataFrame:
+    """The columns of segments `rows`, with `at`, a line that holds a text, for each row of `texts(q_low, ...)`.
+
+    A line holds a text if one of its windows of this length is the text. The distinct texts
+    go to the lines, `AT_ONCE` of them in a pass; lines do not travel.
     """
-    each = rows.select(F.col("segment").alias("id"), F.posexplode("lines").alias("at", "raw"))
-    windows = F.concat(*(F.regexp_extract_all(F.lower("raw"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths))
-    return each.select("id", "at", F.explode(F.array_distinct(windows)).alias("q_low")).join(texts, "q_low").select("q_low", "id", "at")
+    # Written first: their numbers must not change between two readings.
+    words = texts.filter(~F.contains("q_low", F.lit("\n"))).select("q_low").distinct()
+    numbered = cut(words.withColumn("n", F.monotonically_increasing_id()), "wanted")
+    low = F.transform("lines", lambda raw: F.when(not_blank(raw, blanks), F.lower(raw)).otherwise(F.lit("")))
+
+    def held(part: DataFrame) -> DataFrame:
+        found = find_in_lines(rows, "lines", low, part.select("n", "q_low").toArrow())
+        each = found.select(*rows.columns, "found_at", F.posexplode("found").alias("_place", "n"))
+        each = each.select(*rows.columns, "n", F.get("found_at", F.col("_place")).alias("at"))
+        asked = part.join(texts, "q_low")
+        return each.join(F.broadcast(asked) if fits(asked, 2 * AT_ONCE) else asked, "n").drop("n")
+
+    return union_all(held(part) for part in slices(numbered, key="q_low", most=AT_ONCE, most_bytes=AT_ONCE_BYTES))
+
 
+def found_lines(index: GramIndex, texts: DataFrame, dense: float = DENSE, blanks: Column | None = None) -> DataFrame:
+    """Lines that hold a text, for each row of `texts(q_low, ...)`: the columns of the documents and of `texts`, line, raw, raw_low.
 
-def found_lines(index: GramIndex, texts: DataFrame, dense: float = DENSE) -> DataFrame:
-    """Lines that hold a text of `texts(q_low)`: the columns of the documents, q_low, line, raw, raw_low."""
+    Lines of nothing but `blanks`, a text of such characters, are left out where it is given.
+    """
     keep = [c for c in index.rows.columns if c not in ("segment", "first_line", "lines")]
-    texts = texts.select("q_low").distinct()
-    lengths = dense_lengths(texts, index.counts, dense)
-    met = candidates(texts.filter(~F.length("q_low").isin(lengths)) if lengths else texts, index).withColumn("at", F.lit(None).cast("int"))
-    if lengths:
-        met = met.unionByName(window_hits(index.rows, texts.filter(F.length("q_low").isin(lengths)), lengths))
+    lengths = dense_lengths(texts.select("q_low").distinct(), index.counts, dense)
+    crowded = F.coalesce(F.length("q_low").isin(lengths), F.lit(False))
+    rest = texts.filter(~crowded) if lengths else texts
     # Folded once for each segment, before its candidates meet it.
     rows = index.rows.withColumn("low", F.lower(F.array_join("lines", "\n")))
-    met = rows.join(met, F.col("segment") == F.col("id")).filter(F.col("at").isNotNull() | F.contains("low", F.col("q_low")))
+    met = rows.join(candidates(rest, index), F.col("segment") == F.col("id")).filter(F.contains("low", F.col("q_low")))
     numbered = F.transform("lines", lambda raw, i: F.struct((F.col("first_line") + i).alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
-    raw = F.get("lines", F.col("at"))
-    known = F.array(F.struct((F.col("first_line") + F.col("at")).alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
-    tested = F.filter(numbered, lambda x: F.contains(x["raw_low"], F.col("q_low")))
-    hits = met.select(*keep, "q_low", F.explode(F.when(F.col("at").isNotNull(), known).otherwise(tested)).alias("hit"))
-    return hits.select(*keep, "q_low", "hit.line", "hit.raw", "hit.raw_low")
+    tested = F.filter(numbered, lambda x: F.contains(x["raw_low"], F.col("q_low")) & not_blank(x["raw"], blanks))
+    hits = met.select(*keep, "q_low", F.inline(tested)).join(rest, "q_low")
+    if lengths:
+        held = window_hits(index.rows, texts.filter(crowded), blanks)
+        raw = F.get("lines", F.col("at"))
+        hits = hits.unionByName(held.select(*keep, *texts.columns, (F.col("first_line") + F.col("at")).alias("line"), raw.alias("raw"), F.lower(raw).alias("raw_low")))
+    return hits

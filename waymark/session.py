@@ -52,15 +52,15 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", **options: str) -> DataFrame:
     """Cut lineage through a table written to the shared folder.
 
     The data survives lost executors, and later stages read it back instead of
-    computing it again.
+    computing it again. `options` are those of the writer.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
