@@ -15,15 +15,15 @@ BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 16 << 20
 
 
-def count_slices(n: int, n_bytes: int, most: int = BROADCAST_QUERIES, most_bytes: int = BROADCAST_BYTES) -> int:
+def count_slices(n: int, n_bytes: int, most: int | None = None, most_bytes: int | None = None) -> int:
     """Slices that `n` queries with texts of `n_bytes` need."""
-    return max(1, -(-n // most), -(-n_bytes // most_bytes))
+    return max(1, -(-n // (most or BROADCAST_QUERIES)), -(-n_bytes // (most_bytes or BROADCAST_BYTES)))
 
 
-def slices(queries: DataFrame, small: bool | None = None, key: str = "qid", most: int = BROADCAST_QUERIES, most_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
+def slices(queries: DataFrame, small: bool | None = None, key: str = "qid", most: int | None = None, most_bytes: int | None = None) -> list[DataFrame]:
     """The query set in parts of about `most` rows or `most_bytes` of text, by a hash of `key`.
 
-    `small` passes a size check already made.
+    Without them, `BROADCAST_QUERIES` and `BROADCAST_BYTES`. `small` passes a size check already made.
     """
     if small:
         return [queries]
